@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandkeep.llm import hilbert_shards, source_mix, token_counts
+from strandkeep.llm import hilbert_shards, page_text, source_mix, token_counts
 
-MODULES = (token_counts, source_mix, hilbert_shards)
+MODULES = (token_counts, page_text, source_mix, hilbert_shards)
 
 
 def queries() -> dict:
