@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandkeep.llm import hilbert_shards, page_text, source_mix, token_counts
+from strandkeep.llm import hilbert_shards, page_text, quality, source_mix, token_counts, toxicity
 
-MODULES = (token_counts, page_text, source_mix, hilbert_shards)
+MODULES = (token_counts, page_text, source_mix, quality, hilbert_shards, toxicity)
 
 
 def queries() -> dict:
