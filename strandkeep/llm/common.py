@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words kept in a worker's hash cache before it is emptied.
 CACHE_WORDS = 1 << 19
+#: A table joined to the documents is broadcast if its rows and bytes are no more than these, else shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,3 +108,9 @@ def texts(column) -> list[bytes]:
     import pyarrow as pa
 
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
+
+
+def sized(df: DataFrame, payload: F.Column | None = None) -> DataFrame:
+    """df, marked for broadcast if its rows and bytes allow that."""
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(F.lit(0) if payload is None else payload), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and size + 32 * n <= BROADCAST_BYTES else df
