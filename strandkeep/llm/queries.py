@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandkeep.llm import decontamination, hilbert_shards, near_dups, page_text, quality, source_mix, substring_dedup, token_counts, toxicity
+from strandkeep.llm import decontamination, hilbert_shards, near_dups, nearest, page_text, quality, source_mix, substring_dedup, token_counts, toxicity
 
-MODULES = (token_counts, substring_dedup, decontamination, near_dups, page_text, source_mix, quality, hilbert_shards, toxicity)
+MODULES = (token_counts, substring_dedup, decontamination, near_dups, page_text, source_mix, nearest, quality, hilbert_shards, toxicity)
 
 
 def queries() -> dict:
