@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from strandkeep.llm import decontamination, hilbert_shards, near_dups, nearest, page_text, quality, source_mix, substring_dedup, token_counts, toxicity
 
 MODULES = (token_counts, substring_dedup, decontamination, near_dups, page_text, source_mix, nearest, quality, hilbert_shards, toxicity)
 
 
 def queries() -> dict:
-    return {name: run for module in MODULES for name, run in module.QUERIES.items()}
+    return {name: run for module in MODULES for name, run in module.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
