@@ -20,7 +20,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -40,17 +39,18 @@ ERRORS = 5.0
 BLOCK_REST, BLOCK_ALL = 512, 2048
 _NULL_ID = (1 << 63) - 1
 _FACTORS = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
-_HASHES = common.WordHashes()
 
 
-def shingle_set(text: bytes, size: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a text, A-Z in lower case; fewer words than size are one shingle, none are none."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(words) < size:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    return np.unique(common.rolling(_HASHES.of(words), size))
+def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of the shingles of each text, A-Z in lower case; fewer words than size are one shingle, none are none."""
+    words, starts = common.hash_words([t.lower() for t in texts])
+    every, out = common.rolling(words, size), []
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        if b - a >= size:
+            out.append(np.unique(every[a : b - size + 1]))
+        else:
+            out.append(common.mixed(common.rolling(words[a:b], b - a) + np.uint64(b - a)) if b > a else np.empty(0, np.uint64))
+    return out
 
 
 def sketch(elements: np.ndarray) -> np.ndarray:
@@ -118,7 +118,7 @@ def described(docs: DataFrame, size: int) -> DataFrame:
 
     def digested(batches):
         for batch in batches:
-            sets = [shingle_set(t, size) for t in common.texts(batch.column("text"))]
+            sets = shingle_sets(common.texts(batch.column("text")), size)
             digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2) if digests else np.empty((0, 2), np.int64)
             yield pa.record_batch([batch.column("doc"), batch.column("t"), pa.array([len(s) for s in sets], pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], ["doc", "t", "n", "s1", "s2"])
@@ -131,7 +131,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
     def built(batches):
         for batch in batches:
-            sets = [shingle_set(t, size) for t in common.texts(batch.column("text"))]
+            sets = shingle_sets(common.texts(batch.column("text")), size)
             yield pa.record_batch([batch.column("doc"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())], ["doc", "elements", "registers"])
 
     return docs.select("doc", "text").mapInArrow(built, "doc long, elements binary, registers binary")
@@ -158,26 +158,38 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ea", "eb", "ra", "rb").mapInArrow(decided, "a long, b long")
 
 
-def block_links(docs: list[int], components: list[int], rest: list[bool], elements: list[bytes], registers: list[bytes], percent: int) -> list[tuple[int, int]]:
+def block_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
     """Links of one block that join two components: each document of rest against all.
 
-    Sketches rule pairs out, sets decide, and documents that a link has joined are not compared again.
+    rows: doc, component, rest, elements, registers. Sketches rule pairs out, sets decide, and documents that
+    a link has joined are not compared again.
     """
+    if not rows:
+        return []
+    docs, components, rest, elements, registers = zip(*rows, strict=True)
     sketches = _rows(registers, np.uint16)
-    sets = [np.frombuffer(x, np.uint64) for x in elements]
-    n = np.array([len(s) for s in sets])
+    n = np.array([len(x) // 8 for x in elements])
     _, own = np.unique(components, return_inverse=True)
     root = np.arange(own.max() + 1)
-    out = []
+    t = percent / 100
+    least = REGISTERS * (t - ERRORS * math.sqrt(t * (1 - t) / REGISTERS))  # equal registers are at least as likely as similarity
+    out, sets = [], {}
     for k in np.flatnonzero(rest).tolist():
         there = np.flatnonzero(root[own] != root[own[k]])
         if not len(there):
             break
+        there = there[(sketches[there] == sketches[k]).sum(1) >= least]
+        if not len(there):
+            continue
         there = there[near_enough(sketches[there], sketches[k][None, :], n[there], np.full(len(there), n[k]), percent)]
         for j in there.tolist():
-            if root[own[j]] != root[own[k]] and linked(sets[k], sets[j], percent):
-                out.append((docs[k], docs[j]))
-                root[root == root[own[j]]] = root[own[k]]
+            if root[own[j]] != root[own[k]]:
+                for x in (j, k):
+                    if x not in sets:
+                        sets[x] = np.frombuffer(elements[x], np.uint64)
+                if linked(sets[k], sets[j], percent):
+                    out.append((docs[k], docs[j]))
+                    root[root == root[own[j]]] = root[own[k]]
     return out
 
 
@@ -194,7 +206,7 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     one = docs.withColumn("t", F.xxhash64("text")).join(common.sized(common.stash(apart)), ["doc", "t"], "left_anti").select("doc", "text")
 
     def banded(batch):
-        sets = [shingle_set(t, size) for t in common.texts(batch.column("text"))]
+        sets = shingle_sets(common.texts(batch.column("text")), size)
         registers = np.array([sketch(s) for s in sets]).reshape(-1, REGISTERS)
         ids = batch.column("doc").to_numpy()
         text, band = np.repeat(np.arange(len(ids)), BANDS), np.tile(np.arange(BANDS), len(ids))
@@ -204,7 +216,7 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     members = common.stash(packed.repeated(one, banded, packed.Packing(buckets, wide=False, least=True), members=True))
     stars = members.where("doc <> leader").select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct()
     touched = common.stash(members.select("doc").distinct())
-    sets = common.stash(_sets(one.join(common.sized(touched), "doc", "left_semi"), size))
+    sets = common.stash(_sets(one.join(touched, "doc", "left_semi"), size))
     links = common.stash(_verify(stars, sets, percent))
     first = connected(links)
     # band values that still hold several components
@@ -212,7 +224,12 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     lead = first.select(F.col("node").alias("leader"), F.col("component").alias("of_leader"))
     inside = inside.join(lead, "leader", "left").withColumn("rest", F.col("component") != F.coalesce("of_leader", "leader"))
     inside = common.stash(inside.select("hash", "doc", "component", "rest"))
-    open_ = inside.groupBy("hash").agg(F.count("*").alias("all"), F.sum(F.col("rest").cast("long")).alias("some")).where("some > 0")
+    # a value of two documents has had its pair compared; values of the same documents are compared once
+    of_value = inside.groupBy("hash").agg(
+        F.count("*").alias("all"), F.sum(F.col("rest").cast("long")).alias("some"),
+        *(F.sum(F.xxhash64(F.lit(k), "doc").bitwiseAND(F.lit((1 << 40) - 1))).alias(f"sum{k}") for k in (1, 2)),
+    )
+    open_ = of_value.where("some > 0 AND all > 2").groupBy("all", "some", "sum1", "sum2").agg(F.min("hash").alias("hash")).select("hash", "all", "some")
     blocks = inside.join(open_, "hash").withColumns({"x": F.ceil(F.col("all") / BLOCK_ALL).cast("int"), "y": F.ceil(F.col("some") / BLOCK_REST).cast("int")})
     spread = F.pmod(F.xxhash64("doc"), F.col("x")).cast("int")
     alls = blocks.where("NOT rest").withColumn("bx", spread).withColumn("by", F.explode(F.sequence(F.lit(0), F.col("y") - 1)))
@@ -223,11 +240,22 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     columns = ["hash", "bx", "by", "doc", "component", "rest"]
     dealt = alls.select(columns).unionByName(rests.select(columns)).unionByName(cross.withColumn("rest", F.lit(False)).select(columns)).unionByName(home.select(columns))
 
-    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = block_links(pdf["doc"].tolist(), pdf["component"].tolist(), pdf["rest"].tolist(), pdf["elements"].tolist(), pdf["registers"].tolist(), percent)
-        return pd.DataFrame(got, columns=["a", "b"]).astype("int64")
-
-    more = dealt.join(sets, "doc").groupBy("hash", "bx", "by").applyInPandas(joined, "a long, b long")
+    def joined(batches):
+        held, block = [], None
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("hash", "bx", "by", "doc", "component", "rest", "elements", "registers")), strict=True):
+                if row[:3] != block:
+                    out += block_links(held, percent)
+                    held, block = [], row[:3]
+                held.append(row[3:])
+            yield pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+        out = block_links(held, percent)
+        yield pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = dealt.join(sets, "doc").repartition(n, "hash", "bx", "by").sortWithinPartitions("hash", "bx", "by", "doc")
+    more = sorted_.select(*columns, "elements", "registers").mapInArrow(joined, "a long, b long")
     all_links = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(common.stash(more))
     classes = connected(all_links.unionByName(others.select(F.col("doc").alias("a"), F.col("least").alias("b"))))
     sizes = known.groupBy("doc").agg(F.max("n").alias("n_shingles"))
@@ -246,7 +274,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     keyed = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("__doc"))
     found = similar(keyed.select(F.col("__doc").alias("doc"), F.coalesce("text", F.lit("")).alias("text")), size, percent)
     found = common.stash(found.select(F.col("doc").alias("__doc"), "n_shingles", F.col("component").alias("__component")))
-    out = keyed.join(common.sized(found), "__doc").withColumn("component_id", F.nullif("__component", F.lit(_NULL_ID)))
+    out = keyed.join(found, "__doc").withColumn("component_id", F.nullif("__component", F.lit(_NULL_ID)))
     return out.select(*names, "n_shingles", "component_id", (F.col("__doc") == F.col("__component")).alias("kept"))
 
 
