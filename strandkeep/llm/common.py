@@ -8,14 +8,11 @@ import tempfile
 import uuid
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word, for every operator that counts or compares words.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Words kept in a worker's hash cache before it is emptied.
-CACHE_WORDS = 1 << 19
 #: A table joined to the documents is broadcast if its rows and bytes are no more than these, else shuffled.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
@@ -50,6 +47,7 @@ def stash(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # the shuffles behind the table are done with: lets Spark's cleaner drop their files
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -63,22 +61,70 @@ def n_words(column: str = "text") -> F.Column:
     return F.coalesce(F.regexp_count(column, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def split_words(data: bytes) -> list[bytes]:
-    """The words of UTF-8 bytes: bytes.split() cuts at exactly 0x20 and 0x09-0x0D."""
-    return data.split()
-
-
-class WordHashes(dict):
-    """64-bit hashes of words, remembered while a worker reads; bounded by CACHE_WORDS."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_BYTE = np.random.Generator(np.random.PCG64(71)).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTOR = 0x9E3779B97F4A7C15
+_UNFACTOR = pow(_FACTOR, -1, 1 << 64)
+#: Bytes hashed at a time; a text longer than that is cut at white space.
+CHUNK = 1 << 19
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The factor's and its inverse's powers up to n, modulo 2 ** 64, kept by the worker."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        n = max(n, CHUNK * 2)
+        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, f, np.uint64)])) for f in (_FACTOR, _UNFACTOR)]
+    return _POWERS
+
+
+def _pieces(texts: list[bytes]):
+    """(first text, its pieces joined by a space and the pieces' offsets, whether the last text goes on) of CHUNK bytes or so."""
+    held, size, first = [], 0, 0
+    for k, text in enumerate(texts):
+        while len(text) > CHUNK:
+            if held:
+                yield first, held, False
+                held, size = [], 0
+            cut = CHUNK
+            while cut < len(text) and not _SPACE[text[cut]]:
+                cut += 1
+            yield k, [text[:cut]], True
+            text, first = text[cut:], k
+        if not held:
+            first = k
+        held.append(text)
+        size += len(text) + 1
+        if size > CHUNK:
+            yield first, held, False
+            held, size = [], 0
+    if held:
+        yield first, held, False
+
+
+def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a batch end to end, and each text's first place (one more at the end).
+
+    A word's hash is a polynomial of its bytes modulo 2 ** 64, scrambled with its length; words are found and
+    hashed by whole arrays, so new words cost no more than known ones.
+    """
+    counts, out = np.zeros(len(texts), np.int64), []
+    for first, held, _ in _pieces(texts):
+        joined = b" ".join([b"", *held, b""])
+        data = np.frombuffer(joined, np.uint8)
+        power, unpower = _powers(len(data) + 1)
+        space = _SPACE[data]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        start, end = edge[::2], edge[1::2]
+        value = _BYTE[data]
+        value *= power[: len(data)]
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value)])
+        out.append(mixed((total[end] - total[start]) * unpower[start] + (end - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
+        stops = np.cumsum([len(x) + 1 for x in held]) + 1
+        counts[first : first + len(held)] += np.diff(np.searchsorted(start, stops), prepend=0)
+    starts = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum(counts, out=starts[1:])
+    return np.concatenate(out) if out else np.empty(0, np.uint64), starts
 
 
 #: Odd multipliers for rolling hashes, from the golden ratio by repeated squaring.

@@ -37,16 +37,16 @@ def _groups(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Packing:
-    """How the hashes of one comparison travel. wide: two 64-bit hashes, else 32 bits within the bucket; least: with the smallest document."""
+    """How the hashes of one comparison travel. wide: a 64-bit and a 32-bit hash, else 32 bits within the bucket; least: with the smallest document."""
 
     def __init__(self, buckets: int, wide: bool, least: bool):
         self.buckets, self.wide, self.least = buckets, wide, least
-        self.kinds = [np.dtype(np.uint64)] * 2 if wide else [np.dtype(np.uint32)]
+        self.kinds = [np.dtype(np.uint64), np.dtype(np.uint32)] if wide else [np.dtype(np.uint32)]
 
     def split(self, hashes: list[np.ndarray]):
         """(bucket, where its hashes are, their keys) for each bucket that has some."""
         bucket = (hashes[0] % np.uint64(self.buckets)).astype(np.int64)
-        keys = hashes if self.wide else [(hashes[0] // np.uint64(self.buckets)).astype(np.uint32)]
+        keys = [hashes[0], (hashes[1] >> np.uint64(32)).astype(np.uint32)] if self.wide else [(hashes[0] // np.uint64(self.buckets)).astype(np.uint32)]
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
         for part in np.split(order, cuts) if len(order) else ():

@@ -44,13 +44,13 @@ def statistics(data: bytes, words: list[bytes]) -> list[float]:
     ]
 
 
-def sparse(data: bytes, hashes: common.WordHashes) -> tuple[np.ndarray, np.ndarray, list[float]]:
+def sparse(data: bytes) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """Buckets of the words, the words' shares scaled to unit length, and the statistics."""
     words = data.split()
     stats = statistics(data, words)
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.float32), stats
-    bucket = np.bincount((hashes.of([w.lower() for w in words]) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+    bucket = np.bincount((common.hash_words([data.lower()])[0] % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
     at = bucket.nonzero()[0]
     value = np.sqrt(bucket[at].astype(np.float32))
     return at, value / np.sqrt((value * value).sum()), stats
@@ -66,10 +66,10 @@ def train(rows: list[tuple[str, int]]) -> dict | None:
     """Adam on the logistic loss over all training rows at once; None if a class is missing."""
     if len({label for _, label in rows}) < 2:
         return None
-    hashes, rng = common.WordHashes(), np.random.default_rng(11)
+    rng = np.random.default_rng(11)
     x, y = np.zeros((len(rows), BUCKETS + STATISTICS), np.float32), np.array([label for _, label in rows], np.float32)
     for k, (text, _) in enumerate(rows):
-        at, value, stats = sparse(text.encode("utf-8", "surrogatepass"), hashes)
+        at, value, stats = sparse(text.encode("utf-8", "surrogatepass"))
         x[k, at] = value
         x[k, BUCKETS:] = stats
     mean, spread = x[:, BUCKETS:].mean(0), x[:, BUCKETS:].std(0) + 1e-3
@@ -89,9 +89,9 @@ def train(rows: list[tuple[str, int]]) -> dict | None:
     return m | {"mean": mean, "spread": spread}
 
 
-def score(data: bytes, model: dict, hashes: common.WordHashes) -> float:
+def score(data: bytes, model: dict) -> float:
     """The score of one text, in time linear in its distinct words."""
-    at, value, stats = sparse(data, hashes)
+    at, value, stats = sparse(data)
     s = np.clip((np.array(stats, np.float32) - model["mean"]) / model["spread"], -5, 5) / math.sqrt(STATISTICS)
     v, u = model["v"][at], model["v"][BUCKETS:]
     sums = value @ v + s @ u
@@ -111,9 +111,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, training_rows_: int = TRAI
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        hashes = common.WordHashes()
         for batch in batches:
-            yield pd.Series([0.5 if model is None else score((x or "").encode("utf-8", "surrogatepass"), model, hashes) for x in batch], dtype=float)
+            yield pd.Series([0.5 if model is None else score((x or "").encode("utf-8", "surrogatepass"), model) for x in batch], dtype=float)
 
     out = docs.withColumn("held_out", F.coalesce(fold(5) == 0, F.lit(False))).withColumn("score", scored("text"))
     return out.withColumn("predicted", (F.col("score") >= CUT).cast("int"))

@@ -30,14 +30,6 @@ ANCHOR = SPAN - PERIOD + 1
 _NULL_ID = (1 << 63) - 1
 
 
-def batch_words(texts: list[bytes], hashes: common.WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of a batch end to end, and each text's first place (one more at the end)."""
-    lists = [t.split() for t in texts]
-    starts = np.zeros(len(lists) + 1, np.int64)
-    np.cumsum([len(x) for x in lists], out=starts[1:])
-    return hashes.of([w for x in lists for w in x]), starts
-
-
 def runs(words: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of size words inside one text: their place in the batch, their text, their place in the text."""
     text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
@@ -79,9 +71,8 @@ def removed_windows(docs: DataFrame) -> DataFrame:
     longs = docs.join(common.sized(others), ["doc", "key"], "left_anti").select("doc", "key", "text")
 
     def batch_of(batch):
-        hashes = _HASHES
         ids, row_keys = batch.column("doc").to_numpy(), batch.column("key").to_numpy()
-        words, starts = batch_words(common.texts(batch.column("text")), hashes)
+        words, starts = common.hash_words(common.texts(batch.column("text")))
         return words, starts, ids, row_keys
 
     def anchored(batch):
@@ -93,7 +84,7 @@ def removed_windows(docs: DataFrame) -> DataFrame:
     marked = common.stash(marked.groupBy("doc", "key").agg(F.collect_list("places").alias("places")))
     size = F.aggregate("places", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x))
     candidates = marked.agg(F.sum(size / 4)).first()[0] or 0
-    held = longs.join(common.sized(marked, size), ["doc", "key"])
+    held = longs.join(marked, ["doc", "key"])
 
     def windowed(batch):
         words, starts, ids, row_keys = batch_of(batch)
@@ -106,9 +97,6 @@ def removed_windows(docs: DataFrame) -> DataFrame:
     return common.stash(gone.select("doc", "key", F.lit(False).alias("copy"), "places").unionByName(others.select("doc", "key", F.lit(True).alias("copy"), empty.alias("places"))))
 
 
-_HASHES = common.WordHashes()
-
-
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """docs with n_words, n_removed, kept (the kept words joined by one space) and spans (removed word ranges, end excluded).
 
@@ -119,8 +107,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     keyed = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("__doc"))
     keyed = keyed.withColumn("__key", F.xxhash64("__doc", "text"))
     gone = removed_windows(keyed.select(F.col("__doc").alias("doc"), F.col("__key").alias("key"), F.coalesce("text", F.lit("")).alias("text")))
-    size = F.aggregate("places", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x))
-    info = common.sized(gone.select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), F.col("copy").alias("__copy"), F.col("places").alias("__places")), F.coalesce(F.expr("aggregate(__places, 0L, (a, x) -> a + octet_length(x))"), F.lit(0)))
+    info = gone.select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), F.col("copy").alias("__copy"), F.col("places").alias("__places"))
     joined = keyed.join(info, ["__doc", "__key"], "left").select(*names, "__copy", "__places")
 
     def cut(batches):
