@@ -24,7 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tuned(spark: SparkSession) -> None:
-    """Bounds Arrow batches by bytes as well as rows, so that very long texts don't pile up in a worker."""
+    """Bounds Arrow batches by bytes as well as rows, so that very long texts don't pile up in a worker.
+
+    Shuffle files go when the action that wrote them ends, so disk holds one action's at a time.
+    """
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     try:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
@@ -47,7 +51,6 @@ def stash(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # the shuffles behind the table are done with: lets Spark's cleaner drop their files
     return spark.read.schema(df.schema).parquet(path)
 
 
