@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandkeep.plans import diffs
+from strandkeep.plans import contents, diffs, histories, policies
 
-MODULES = (diffs,)
+MODULES = (diffs, policies, histories, contents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
