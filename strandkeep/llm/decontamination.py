@@ -32,9 +32,9 @@ def with_shingles(df: DataFrame, out: str = "__shingles", size: int = SHINGLE) -
 
 
 def sketches(benchmark: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """item_id, item_text_hash, n, shingles, sketch of the items that have words; different texts under one item_id are items of their own."""
-    items = with_shingles(benchmark.select("item_id", "text"), "shingles", size).select("item_id", F.xxhash64("text").alias("item_text"), F.size("shingles").alias("n"), "shingles")
-    items = items.where("n > 0").dropDuplicates(["item_id", "item_text"])
+    """item_id, item_key, n, shingles, sketch of the items that have words; different texts under one item_id are items of their own."""
+    items = with_shingles(benchmark.select("item_id", "text"), "shingles", size).select("item_id", F.xxhash64("item_id", "text").alias("item_key"), F.size("shingles").alias("n"), "shingles")
+    items = items.where("n > 0").dropDuplicates(["item_key"])
     largest = F.pow(F.lit(2), F.floor(F.log2("n")) + 1) - 1  # of the size partition
     k = F.least(F.floor(largest * (100 - percent) / 100) + 1, F.lit(SKETCH)).cast("int")
     # one more scramble, so that the order is a permutation of its own
@@ -56,11 +56,11 @@ def contained(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, siz
     sets = with_shingles(keyed, "__shingles", size)
     found = None
     for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        probe = own.select("item_id", "item_text", F.explode("sketch").alias("h"))
+        own = items.where(F.pmod("item_key", F.lit(blocks)) == block)
+        probe = own.select("item_key", F.explode("sketch").alias("h"))
         hits = sets.select("doc_id", "__key", F.explode("__shingles").alias("h")).join(F.broadcast(probe), "h")
-        pairs = common.stash(hits.select("doc_id", "__key", "item_id", "item_text").distinct())
-        named = pairs.join(F.broadcast(own.select("item_id", "item_text", "n", "shingles")), ["item_id", "item_text"])
+        pairs = common.stash(hits.select("doc_id", "__key", "item_key").distinct())
+        named = pairs.join(F.broadcast(own.select("item_key", "item_id", "n", "shingles")), "item_key")
         # candidates bring their documents back by the text's hash; the documents are read again, not kept
         named = named.withColumnRenamed("doc_id", "__doc").groupBy("__doc", "__key").agg(F.collect_list(F.struct("item_id", "n", "shingles")).alias("__items"))
         texts = keyed.join(named, (keyed["__key"] == named["__key"]) & keyed["doc_id"].eqNullSafe(named["__doc"])).select("doc_id", "text", "__items")
