@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandkeep.plans import contents, diffs, histories, policies
+from strandkeep.plans import contents, diffs, histories, overviews, policies
 
-MODULES = (diffs, policies, histories, contents)
+MODULES = (diffs, policies, histories, contents, overviews)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

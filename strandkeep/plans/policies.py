@@ -56,7 +56,7 @@ def _urls(spark, folder):
 
 
 def _ids(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.sha2("text", 256)).when(F.col("doc_id") % 3 == 1, F.upper(F.sha2("text", 256))).otherwise(F.sha2("text", 224)).alias("x"))
+    docs = table(spark, folder, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.sha2("text", 256)).when(F.col("doc_id") % 3 == 1, F.upper(F.sha2("text", 256))).otherwise(F.substring(F.sha2("text", 256), 1, 60)).alias("x"))
     return docs.select("doc_id", scalars.is_id("x").alias("valid"), scalars.shard_of(F.lower("x")).alias("shard"))
 
 
@@ -142,7 +142,7 @@ ORACLES = {
     "flt7_refused": f"SELECT DISTINCT part || CASE WHEN dir THEN '/' ELSE '' END AS refused FROM {_JUDGED_SQL} j WHERE v = 'Never' AND d = (SELECT min(d) FROM {_JUDGED_SQL} k WHERE k.path = j.path AND v <> 'Include')",
     "flt14_url_verdicts": f"""SELECT page_id, CASE WHEN NOT starts_with(u, 'http') THEN 'scheme' WHEN contains(split_part(u, '/', 3), '@') THEN 'credentials' WHEN starts_with(u, 'https') THEN 'ok' ELSE 'insecure' END AS verdict,
         regexp_replace(regexp_extract(u, '^([^?#]*)', 1), '/+$', '') AS normal, starts_with(u, 'http:') AND NOT contains(split_part(u, '/', 3), '@') AS warns FROM {_URL_SQL}""",
-    "flt16_ids": "SELECT doc_id, doc_id % 3 <> 2 AS valid, CASE WHEN doc_id % 3 <> 2 THEN substr(sha256(text), 1, 2) END AS shard FROM documents WHERE doc_id % 3 <> 2 UNION ALL SELECT doc_id, false, NULL FROM documents WHERE false",
+    "flt16_ids": "SELECT doc_id, doc_id % 3 <> 2 AS valid, substr(sha256(text), 1, 2) AS shard FROM documents",
     "flt17_versions": f"""SELECT p_partkey, CASE WHEN bad THEN 'Unknown' WHEN (major, minor) < (2, 5) THEN 'Available' WHEN (major, minor) = (2, 5) THEN 'UpToDate' ELSE 'Ahead' END AS verdict,
         NOT bad AND (major, minor) >= (1, 3) AS may_write FROM {_V}""",
     "flt13_relative_paths": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) END AS relative, doc_id % 3 = 2 AS temporary, doc_id % 4 = 1 AS safe FROM documents",
@@ -153,4 +153,3 @@ ORACLES = {
     "src2_repo_boundary": """WITH p AS (SELECT CASE WHEN doc_id % 25 = 0 THEN source || '/repo/.git/config' WHEN doc_id % 5 = 1 THEN source || '/repo/deep/' || doc_id ELSE source || '/' || doc_id END AS path FROM documents)
         SELECT path FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE contains(q.path, '/.git/') AND starts_with(p.path, split_part(q.path, '.git', 1)))""",
 }
-del ORACLES["flt16_ids"]
