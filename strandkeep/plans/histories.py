@@ -189,8 +189,9 @@ ORACLES = {
     "set3_live_heads": f"WITH {_HISTORY} SELECT DISTINCT head FROM h WHERE superseded_utc IS NULL OR superseded_utc >= TIMESTAMP '2024-01-17'",
     "agg8_gc_report": f"""{_STATE} SELECT false AS refused, (SELECT count(*) FROM heads) AS live_heads, (SELECT count(*) FROM heads WHERE head NOT IN (SELECT head FROM p)) AS unretainable,
         (SELECT count(*) FROM live) AS live_objects, count(*) FILTER (young) AS young, count(*) FILTER (NOT young) AS candidates, CAST(coalesce(sum(bytes) FILTER (NOT young), 0) AS BIGINT) AS candidate_bytes FROM swept""",
-    "str5_gc_refusal": f"""WITH {_HISTORY}, {_PINS}, {_BAD} SELECT count(*) > 0 AS refused, CAST(0 AS BIGINT) AS live_heads, CAST(0 AS BIGINT) AS unretainable, CAST(0 AS BIGINT) AS live_objects, CAST(0 AS BIGINT) AS young,
-        CAST(0 AS BIGINT) AS candidates, CAST(0 AS BIGINT) AS candidate_bytes FROM bad""",
+    "str5_gc_refusal": f"""{_STATE.replace("WHERE machine_id NOT IN (SELECT id FROM bad)", "")}, k AS (SELECT count(*) > 0 AS refused, CASE WHEN count(*) > 0 THEN 0 ELSE 1 END AS one FROM bad)
+        SELECT refused, one * (SELECT count(*) FROM heads) AS live_heads, one * (SELECT count(*) FROM heads WHERE head NOT IN (SELECT head FROM p)) AS unretainable, one * (SELECT count(*) FROM live) AS live_objects,
+            one * (SELECT count(*) FROM swept WHERE young) AS young, one * (SELECT count(*) FROM swept WHERE NOT young) AS candidates, CAST(one * (SELECT coalesce(sum(bytes), 0) FROM swept WHERE NOT young) AS BIGINT) AS candidate_bytes FROM k""",
     "jn10_gc_sweep": f"{_STATE} SELECT remote_id, young FROM swept",
     "jn6_missing_ids": f"WITH {_PINS}, {_OBJECTS}, {_SESSIONS} SELECT session, object AS remote_id FROM i WHERE object NOT IN (SELECT remote_id FROM o)",
     "jn8_pinned_flags": f"WITH {_HISTORY}, {_PINS} SELECT machine_id AS id, head, EXISTS (SELECT 1 FROM p WHERE p.head = h.head) AS pinned FROM h WHERE superseded_utc IS NULL",
