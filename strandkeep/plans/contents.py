@@ -36,29 +36,29 @@ def _chunk_sums(spark, folder):
 
 
 def _survival(spark, folder):
-    """How many chunks of each source's text outlive a line put in front."""
+    """How many chunks outlive a line put in front, in files of the documents of a hundred ids each."""
     text = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]))
-    whole = _docs(spark, folder).where("doc_id % 5 = 0").groupBy("source").agg(F.encode(text, "utf-8").alias("content"))
-    before = chunking.chunk(whole).select("source", "chunk_id").distinct()
-    after = chunking.chunk(whole.withColumn("content", F.concat(F.encode(F.lit("a new first line\n"), "utf-8"), "content"))).select("source", "chunk_id").distinct()
-    return before.join(after.withColumn("there", F.lit(1)), ["source", "chunk_id"], "left").groupBy("source").agg(F.count("*").alias("chunks"), F.count("there").alias("survived"))
+    whole = _docs(spark, folder).groupBy(F.expr("doc_id div 100").alias("file")).agg(F.encode(text, "utf-8").alias("content"))
+    before = chunking.chunk(whole).select("file", "chunk_id").distinct()
+    after = chunking.chunk(whole.withColumn("content", F.concat(F.encode(F.lit("a new first line\n"), "utf-8"), "content"))).select("file", "chunk_id").distinct()
+    return before.join(after.withColumn("there", F.lit(1)), ["file", "chunk_id"], "left").groupBy("file").agg(F.count("*").alias("chunks"), F.count("there").alias("survived"))
 
 
 def _put(spark, folder):
-    docs = _docs(spark, folder).select(F.sha2("text", 256).alias("chunk_id"), "doc_id", "text")
-    return store.put(docs.where("doc_id % 3 = 0"), docs.where("doc_id % 3 > 0").select("chunk_id", "text")).select("chunk_id")
+    docs = _docs(spark, folder).select(F.sha2("text", 256).alias("chunk_id"), "lang", "text")
+    return store.put(docs.where("lang = 'en'"), docs.where("lang <> 'en'").select("chunk_id", "text")).select("chunk_id")
 
 
 def _verified(spark, folder):
     docs = _docs(spark, folder)
     objects = docs.select(F.sha2("text", 256).alias("chunk_id"), F.encode("text", "utf-8").alias("content")).dropDuplicates(["chunk_id"])
-    got = store.get(docs.where("doc_id % 4 = 0").select("doc_id", F.sha2("text", 256).alias("chunk_id")), objects)
+    got = store.get(docs.select("doc_id", F.sha2("text", 256).alias("chunk_id")), objects)
     return got.select("doc_id", F.octet_length("content").cast("long").alias("bytes"))
 
 
 def _fresh(spark, folder):
-    chunks = _docs(spark, folder).select(F.sha2("text", 256).alias("chunk_id"), F.octet_length("text").cast("long").alias("length"), F.when(F.col("doc_id") % 2 == 0, "content").otherwise("manifest").alias("origin"), "doc_id")
-    fresh = store.fresh_chunks(chunks.where("doc_id % 3 > 0"), chunks.where("doc_id % 3 = 0").select("chunk_id").distinct())
+    chunks = _docs(spark, folder).select(F.sha2("text", 256).alias("chunk_id"), F.octet_length("text").cast("long").alias("length"), F.when(F.col("doc_id") % 2 == 0, "content").otherwise("manifest").alias("origin"), "lang")
+    fresh = store.fresh_chunks(chunks.where("lang <> 'en'"), chunks.where("lang = 'en'").select("chunk_id").distinct())
     return fresh.groupBy("origin").agg(F.count("*").alias("chunks"), F.sum("length").alias("bytes"))
 
 
@@ -145,8 +145,8 @@ def _secrets(spark, folder):
 
 
 def _scan_gate(spark, folder):
-    docs = _docs(spark, folder).select(F.col("doc_id").cast("string").alias("path"), F.array(F.sha2("text", 256)).alias("chunks"), "doc_id")
-    known = docs.where("doc_id % 2 = 0").select(F.explode("chunks").alias("chunk_id")).distinct()
+    docs = _docs(spark, folder).select(F.col("doc_id").cast("string").alias("path"), F.array(F.sha2("text", 256)).alias("chunks"), "lang")
+    known = docs.where("lang = 'en'").select(F.explode("chunks").alias("chunk_id")).distinct()
     return secrets.to_scan(docs.select("path", "chunks"), known).select("path")
 
 
@@ -228,10 +228,10 @@ _ENTRIES = versions.entries_sql("ours")
 
 ORACLES = {
     "src10_reassembly": "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes, true AS in_bounds, sha256(text) AS content_sha256 FROM documents WHERE strlen(text) > 0",
-    "snk1_object_put": "SELECT DISTINCT sha256(text) AS chunk_id FROM documents WHERE doc_id % 3 > 0 EXCEPT SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0",
-    "src5_verified_get": "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes FROM documents WHERE doc_id % 4 = 0",
+    "snk1_object_put": "SELECT DISTINCT sha256(text) AS chunk_id FROM documents WHERE lang <> 'en' EXCEPT SELECT sha256(text) FROM documents WHERE lang = 'en'",
+    "src5_verified_get": "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes FROM documents",
     "agg2_fresh_chunks": """SELECT origin, count(*) AS chunks, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT sha256(text) AS c, min(CASE WHEN doc_id % 2 = 0 THEN 'content' ELSE 'manifest' END) AS origin, min(strlen(text)) AS bytes
-        FROM documents WHERE doc_id % 3 > 0 GROUP BY 1) WHERE c NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0) GROUP BY origin""",
+        FROM documents WHERE lang <> 'en' GROUP BY 1) WHERE c NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en') GROUP BY origin""",
     "agg3_store_size": "SELECT count(*) AS objects, CAST(sum(n) AS BIGINT) AS bytes FROM (SELECT DISTINCT text, strlen(text) AS n FROM documents)",
     "snk2_envelopes": "SELECT doc_id, true AS same, '5701' AS head, CAST(strlen(text) AS BIGINT) AS bytes FROM documents",
     "src7_manifest_round_trip": f"SELECT path || CASE WHEN length(path) % 3 = 0 THEN chr(9) || '\\x' ELSE '' END AS path, size, size + 1700000000000 AS ms, size % 2 = 0 AS executable, array_to_string(chunks, ',') AS chunks FROM {_ENTRIES}",
@@ -240,7 +240,7 @@ ORACLES = {
     "cnt5_line_counts": "SELECT sha256(line) AS line_sha256, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents UNION ALL SELECT unnest(string_split(html, chr(10))) FROM pages) GROUP BY 1",
     "flt9_binary_test": "SELECT doc_id, doc_id % 3 = 0 AND strlen(text) < 8000 AS is_binary FROM documents",
     "flt10_secret_scan": f"WITH l AS (SELECT doc_id, i AS line, x[i] AS x FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))) {_kinds_sql()}",
-    "flt11_scan_gate": "SELECT CAST(doc_id AS VARCHAR) AS path FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)",
+    "flt11_scan_gate": "SELECT CAST(doc_id AS VARCHAR) AS path FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE lang = 'en')",
     "crypto_seal": f"SELECT doc_id, true AS opens, true AS refused, {crypto.OVERHEAD} AS overhead FROM documents",
     "crypto_token_hash": "SELECT c_custkey, sha256('strandkeep/token/v1/' || c_name) AS token_hash FROM customer",
     "fn_format_bytes": """SELECT n, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', round(n / 1024.0::DOUBLE, 1)) WHEN n < 1073741824 THEN printf('%.1f MB', round(n / 1024.0::DOUBLE / 1024, 1)) ELSE printf('%.2f GB', round(n / 1024.0::DOUBLE / 1024 / 1024, 2)) END AS shown

@@ -63,8 +63,8 @@ def _objects(spark, folder):
 
 
 def _sessions(spark, folder):
-    sessions = table(spark, folder, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("machine_id"), F.expr("timestamp'2024-01-31' - make_interval(0, 0, 0, 0, cast(o_orderkey % 49 as int))").alias("created_utc"))
-    ids = table(spark, folder, "lineitem").where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("session"), F.expr("(l_orderkey div 4) * 10 + l_linenumber + l_partkey % 3").alias("object")).distinct()
+    sessions = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("machine_id"), F.expr("timestamp'2024-01-31' - make_interval(0, 0, 0, 0, cast(o_orderkey % 49 as int))").alias("created_utc"))
+    ids = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("session"), F.expr("(l_orderkey div 4) * 10 + l_linenumber + l_partkey % 3").alias("object")).distinct()
     return sessions, ids
 
 
@@ -109,15 +109,15 @@ def _pinned_flags(spark, folder):
 
 def _commits(spark, folder):
     sessions, ids = _sessions(spark, folder)
-    commits = table(spark, folder, "orders").where("o_orderkey % 25 = 0").select(F.col("o_orderkey").alias("session"), "o_custkey", F.expr("(o_orderkey div 4) * 10 + 1 + o_orderkey % 3").alias("snapshot"))
+    commits = table(spark, folder, "orders").select((F.col("o_orderkey") + F.when(F.col("o_orderkey") % 25 == 3, 10**9).otherwise(0)).alias("session"), "o_custkey", F.expr("(o_orderkey div 4) * 10 + 1 + o_orderkey % 3").alias("snapshot"))
     commits = commits.select("session", F.col("o_custkey").alias("machine_id"), "snapshot")
     return server.commit_outcomes(commits, sessions, ids, _objects(spark, folder))
 
 
 def _ignore_inserts(spark, folder):
     pins = _pins(spark, folder)
-    old, new = pins.where("head % 3 = 0"), pins.where("head % 2 = 0")
-    return server.insert_or_ignore(old, new.unionByName(new))
+    new = pins.withColumn("object", F.col("object") + 1)
+    return server.insert_or_ignore(pins, new.unionByName(pins).unionByName(new))
 
 
 def _forgotten(spark, folder):
@@ -138,9 +138,9 @@ def _trash(spark, folder):
 def _first_writer(spark, folder):
     from strandkeep.operators import store
 
-    old = table(spark, folder, "events").where("event_id % 5 = 0").select(F.col("user_id").alias("remote_id"))
+    old = table(spark, folder, "events").where("event_type = 'error' AND value > 90").select(F.col("user_id").alias("remote_id"))
     new = table(spark, folder, "events").select(F.col("user_id").alias("remote_id"), F.col("event_id").alias("arrival"), F.encode("props", "utf-8").alias("blob"))
-    return store.put_first(old.where("remote_id % 4 = 0"), new, 9).select("remote_id", "arrival")
+    return store.put_first(old, new, 9).select("remote_id", "arrival")
 
 
 QUERIES = {
@@ -172,8 +172,8 @@ _HISTORY = "h AS (SELECT user_id AS machine_id, event_id AS head, ts AS set_utc,
 _PINS = "p AS (SELECT DISTINCT l_orderkey AS head, (l_orderkey // 4) * 10 + l_linenumber AS object FROM lineitem)"
 _BAD = "bad AS (SELECT machine_id AS id, head FROM h WHERE superseded_utc IS NULL AND head NOT IN (SELECT head FROM p))"
 _OBJECTS = "o AS (SELECT DISTINCT object AS remote_id, object % 1000 + 100 AS bytes, TIMESTAMP '2024-01-01' + to_days(CAST(object % 31 AS INTEGER)) AS modified_utc FROM p)"
-_SESSIONS = """s AS (SELECT o_orderkey AS id, o_custkey AS machine_id, TIMESTAMP '2024-01-31' - to_hours(CAST(o_orderkey % 49 AS INTEGER)) AS created_utc FROM orders WHERE o_orderkey % 50 = 0),
-    i AS (SELECT DISTINCT l_orderkey AS session, (l_orderkey // 4) * 10 + l_linenumber + l_partkey % 3 AS object FROM lineitem WHERE l_orderkey % 50 = 0)"""
+_SESSIONS = """s AS (SELECT o_orderkey AS id, o_custkey AS machine_id, TIMESTAMP '2024-01-31' - to_hours(CAST(o_orderkey % 49 AS INTEGER)) AS created_utc FROM orders),
+    i AS (SELECT DISTINCT l_orderkey AS session, (l_orderkey // 4) * 10 + l_linenumber + l_partkey % 3 AS object FROM lineitem)"""
 _STATE = f"""WITH {_HISTORY}, {_PINS}, {_BAD}, {_OBJECTS}, {_SESSIONS}, g AS (SELECT * FROM h WHERE machine_id NOT IN (SELECT id FROM bad)),
     heads AS (SELECT DISTINCT head FROM g WHERE superseded_utc IS NULL OR superseded_utc >= TIMESTAMP '2024-01-17'),
     live AS (SELECT object FROM p WHERE head IN (SELECT head FROM heads) UNION SELECT object FROM i JOIN s ON s.id = i.session WHERE created_utc >= TIMESTAMP '2024-01-30'),
@@ -195,15 +195,15 @@ ORACLES = {
     "jn10_gc_sweep": f"{_STATE} SELECT remote_id, young FROM swept",
     "jn6_missing_ids": f"WITH {_PINS}, {_OBJECTS}, {_SESSIONS} SELECT session, object AS remote_id FROM i WHERE object NOT IN (SELECT remote_id FROM o)",
     "jn8_pinned_flags": f"WITH {_HISTORY}, {_PINS} SELECT machine_id AS id, head, EXISTS (SELECT 1 FROM p WHERE p.head = h.head) AS pinned FROM h WHERE superseded_utc IS NULL",
-    "sta8_commit_outcomes": f"""WITH {_PINS}, {_OBJECTS}, {_SESSIONS}, c AS (SELECT o_orderkey AS session, o_custkey AS machine_id, (o_orderkey // 4) * 10 + 1 + o_orderkey % 3 AS snapshot FROM orders WHERE o_orderkey % 25 = 0),
+    "sta8_commit_outcomes": f"""WITH {_PINS}, {_OBJECTS}, {_SESSIONS}, c AS (SELECT o_orderkey + CASE WHEN o_orderkey % 25 = 3 THEN 1000000000 ELSE 0 END AS session, o_custkey AS machine_id, (o_orderkey // 4) * 10 + 1 + o_orderkey % 3 AS snapshot FROM orders),
         m AS (SELECT session, count(*) AS n FROM i WHERE object NOT IN (SELECT remote_id FROM o) GROUP BY session)
         SELECT c.session, c.machine_id, snapshot, CASE WHEN s.id IS NULL THEN 'NoSuchSession' WHEN i.object IS NULL THEN 'SnapshotNotInSession' WHEN n > 0 THEN 'ObjectsMissing' ELSE 'Committed' END AS outcome,
             CASE WHEN s.id IS NOT NULL AND i.object IS NOT NULL AND n > 0 THEN n ELSE 0 END AS n_missing
         FROM c LEFT JOIN s ON s.id = c.session AND s.machine_id = c.machine_id LEFT JOIN i ON i.session = c.session AND i.object = c.snapshot LEFT JOIN m ON m.session = c.session""",
-    "set5_insert_or_ignore": f"WITH {_PINS} SELECT head, object FROM p WHERE head % 3 = 0 UNION SELECT head, object FROM p WHERE head % 2 = 0",
+    "set5_insert_or_ignore": f"WITH {_PINS} SELECT head, object FROM p UNION SELECT head, object + 1 FROM p",
     "set6_forget": f"""{_STATE} SELECT 'history' AS kept, count(*) AS n FROM g WHERE superseded_utc IS NULL OR superseded_utc >= TIMESTAMP '2024-01-17' UNION ALL SELECT 'pins', count(*) FROM p WHERE head IN (SELECT head FROM heads)
         UNION ALL SELECT 'sessions', count(*) FROM s WHERE created_utc >= TIMESTAMP '2024-01-30' UNION ALL SELECT 'session_ids', count(*) FROM i JOIN s ON s.id = i.session WHERE created_utc >= TIMESTAMP '2024-01-30'""",
     "snk10_trash_purge": """SELECT CASE WHEN event_id % 17 = 0 THEN 'not a stamp' ELSE strftime(ts, '%Y%m%dT%H%M%SZ') END AS stamp, event_id AS remote_id FROM events
         WHERE event_id % 17 = 0 OR date_trunc('second', ts) >= TIMESTAMP '2024-01-24'""",
-    "snk5_first_writer": """SELECT user_id AS remote_id, min(event_id) AS arrival FROM events WHERE strlen(props) <= 9 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 5 = 0 AND user_id % 4 = 0) GROUP BY 1""",
+    "snk5_first_writer": """SELECT user_id AS remote_id, min(event_id) AS arrival FROM events WHERE strlen(props) <= 9 AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 90) GROUP BY 1""",
 }

@@ -41,7 +41,7 @@ def _defaults(spark, folder):
 
 def _carried(spark, folder):
     work = table(spark, folder, "orders").select(F.col("o_orderkey").alias("work_id"), F.concat(F.lit("repo/"), "o_custkey").alias("repo"))
-    here = table(spark, folder, "customer").where("c_custkey % 3 > 0").select(F.concat(F.lit("repo/"), "c_custkey").alias("repo"), (F.col("c_custkey") % 2 == 0).alias("snapshotted"), (F.col("c_custkey") % 5 == 0).alias("pushed"))
+    here = table(spark, folder, "customer").where("c_acctbal > 0").select(F.concat(F.lit("repo/"), "c_custkey").alias("repo"), (F.col("c_custkey") % 2 == 0).alias("snapshotted"), (F.col("c_custkey") % 5 == 0).alias("pushed"))
     joined = work.join(here, "repo", "left")
     where = F.when(F.col("snapshotted").isNull(), "gone").when(F.col("pushed"), "on the server").when(F.col("snapshotted"), "snapshotted").otherwise("this disk only")
     return joined.groupBy(where.alias("place")).agg(F.count("*").alias("n"))
@@ -82,8 +82,8 @@ def _shares(spark, folder):
 def _attention(spark, folder):
     c = table(spark, folder, "customer")
     checkouts = c.select(F.col("c_name").alias("path"), (F.col("c_custkey") % 4).alias("dirty_files"), (F.col("c_custkey") % 3 == 0).alias("carried"), (F.col("c_custkey") % 50 == 1).alias("volatile"), (F.col("c_custkey") % 60 == 2).alias("external"))
-    conflicts = c.where("c_custkey % 100 = 7").select(F.col("c_name").alias("path"))
-    heads = c.where("c_custkey % 200 = 9").select(F.col("c_name").alias("head"), F.lit(False).alias("pushed"))
+    conflicts = c.where("c_mktsegment = 'MACHINERY'").select(F.col("c_name").alias("path"))
+    heads = c.where("c_mktsegment = 'BUILDING'").select(F.col("c_name").alias("head"), F.lit(False).alias("pushed"))
     return server.attention(conflicts, checkouts, heads).select(F.col("rank").cast("long").alias("rank"), "kind", "subject")
 
 
@@ -100,17 +100,17 @@ def _edges_of_windows(spark, folder):
 
 def _sessions(spark, folder):
     orders = table(spark, folder, "orders")
-    sessions = orders.where("o_orderkey % 9 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("machine_id"), F.lit(NOW).alias("created_utc"))
-    asked = table(spark, folder, "lineitem").where("l_orderkey % 3 = 0").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("session"), F.col("o_custkey").alias("machine_id"), F.col("l_partkey").alias("remote_id"))
+    sessions = orders.where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("machine_id"), F.lit(NOW).alias("created_utc"))
+    asked = table(spark, folder, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("session"), F.col("o_custkey").alias("machine_id"), F.col("l_partkey").alias("remote_id"))
     known = spark.createDataFrame([], "session long, object long")
-    objects = table(spark, folder, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("remote_id"))
+    objects = table(spark, folder, "part").where("p_size < 25").select(F.col("p_partkey").alias("remote_id"))
     ids, _ = server.add_to_session(sessions, known, objects, asked)
     return ids
 
 
 def _touched(spark, folder):
     objects = table(spark, folder, "part").select(F.col("p_partkey").alias("remote_id"), F.lit(datetime(2024, 1, 1)).alias("modified_utc"))
-    asked = table(spark, folder, "lineitem").where("l_orderkey % 100 = 0").select(F.col("l_partkey").alias("remote_id"))
+    asked = table(spark, folder, "lineitem").where("l_discount = 0 AND l_quantity < 5").select(F.col("l_partkey").alias("remote_id"))
     return server.touch(objects, asked, F.lit(NOW)).select("remote_id", (F.col("modified_utc") == F.lit(NOW)).alias("touched"))
 
 
@@ -130,7 +130,7 @@ def _moved(spark, folder):
 
 
 def _topped(spark, folder):
-    refused = table(spark, folder, "documents").where("doc_id % 3 = 0").select("doc_id")
+    refused = table(spark, folder, "documents").where("lang = 'en'").select("doc_id")
     first = Window.orderBy("doc_id")
     top = refused.orderBy("doc_id").limit(40).withColumn("k", F.row_number().over(first))  # forty rows
     return top.crossJoin(refused.agg((F.count("*") - 40).alias("more"))).select("doc_id", "more")
@@ -187,18 +187,18 @@ ORACLES = {
     "('never', 0, 'vault'), ('never', 1, '*.pem'), ('never', 2, 'deploy_key'), ('unsupported', 0, '(?d)(?i)*.tmp  (flags dropped)'), ('unsupported', 1, '#include other')) t(kind, position, line)",
     "src13_default_rules": f"SELECT doc_id, {_VERDICTS}[doc_id % 7 + 1] AS verdict FROM documents",
     "jn11_carried_places": """SELECT CASE WHEN c_custkey IS NULL THEN 'gone' WHEN c_custkey % 5 = 0 THEN 'on the server' WHEN c_custkey % 2 = 0 THEN 'snapshotted' ELSE 'this disk only' END AS place, count(*) AS n
-        FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 3 > 0) ON o_custkey = c_custkey GROUP BY 1""",
+        FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey GROUP BY 1""",
     "jn12_fetched_heads": """SELECT c_custkey AS machine_id, c_name AS name, CASE WHEN c_custkey % 4 = 0 THEN 'no head' WHEN s_suppkey IS NOT NULL THEN 'fetched' ELSE 'to fetch' END AS state
         FROM customer LEFT JOIN supplier ON c_custkey % 4 > 0 AND s_suppkey = c_custkey % 100""",
     "jn13_name_lookup": "SELECT DISTINCT sha256(text) AS chunk_id FROM documents WHERE sha256('name/' || sha256(text)) >= '8'",
     "jn14_same_carried": "SELECT c_custkey % 40 AS g, bool_and(c_custkey % 97 <> 5) AS same FROM customer GROUP BY 1",
     "agg6_working_trees": """SELECT c_nationkey AS repository, CAST(count(*) AS INTEGER) AS trees, coalesce(min(c_name) FILTER (c_custkey % 10 = 0), min(c_name)) AS first, CAST(count(*) FILTER (c_custkey % 10 = 0) AS INTEGER) AS primary_trees FROM customer GROUP BY 1""",
     "agg10_fresh_share": """SELECT source, round(CASE WHEN every > 0 THEN fresh / every ELSE 0 END, 6) AS share FROM (SELECT source, CAST(sum(n_chars) FILTER (doc_id % 3 = 0) AS DOUBLE) AS fresh, CAST(coalesce(sum(n_chars) FILTER (doc_id % 7 > 0), 0) AS DOUBLE) AS every FROM documents GROUP BY 1)""",
-    "sta14_attention": """SELECT CAST(0 AS BIGINT) AS rank, 'conflict' AS kind, c_name AS subject FROM customer WHERE c_custkey % 100 = 7 UNION ALL SELECT 1, 'only_here', c_name FROM customer WHERE c_custkey % 4 > 0 AND c_custkey % 3 > 0
-        UNION ALL SELECT 2, 'volatile', c_name FROM customer WHERE c_custkey % 50 = 1 UNION ALL SELECT 3, 'not_pushed', c_name FROM customer WHERE c_custkey % 200 = 9 UNION ALL SELECT 4, 'external', c_name FROM customer WHERE c_custkey % 60 = 2""",
+    "sta14_attention": """SELECT CAST(0 AS BIGINT) AS rank, 'conflict' AS kind, c_name AS subject FROM customer WHERE c_mktsegment = 'MACHINERY' UNION ALL SELECT 1, 'only_here', c_name FROM customer WHERE c_custkey % 4 > 0 AND c_custkey % 3 > 0
+        UNION ALL SELECT 2, 'volatile', c_name FROM customer WHERE c_custkey % 50 = 1 UNION ALL SELECT 3, 'not_pushed', c_name FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 4, 'external', c_name FROM customer WHERE c_custkey % 60 = 2""",
     "str1_window_edges": "SELECT * FROM (VALUES ('0/-1', false, true), ('0/0', true, true), ('0/1', true, true), ('1/-1', false, false), ('1/0', false, true), ('1/1', false, true)) t(remote_id, young, live)",
-    "sta7_add_to_session": "SELECT DISTINCT l_orderkey AS session, l_partkey AS object FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 9 = 0",
-    "jn7_touch": "SELECT p_partkey AS remote_id, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 100 = 0) AS touched FROM part",
+    "sta7_add_to_session": "SELECT DISTINCT l_orderkey AS session, l_partkey AS object FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O'",
+    "jn7_touch": "SELECT p_partkey AS remote_id, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_discount = 0 AND l_quantity < 5) AS touched FROM part",
     "sta1_enrol_revoke": """WITH j AS (SELECT s_suppkey * 20 AS id, s_name FROM supplier), r AS (SELECT s_suppkey * 3 AS id FROM supplier), every AS (SELECT c_custkey AS id FROM customer UNION SELECT id FROM j)
         SELECT id, coalesce(s_name, c_name) AS name, CASE WHEN s_name IS NULL THEN 'linux' ELSE 'macos' END AS platform, CASE WHEN c_custkey % 2 = 0 THEN 'h' || c_custkey END AS head,
             id IN (SELECT id FROM r) OR (s_name IS NULL AND c_custkey % 5 = 0) AS revoked, s_name IS NOT NULL AND id NOT IN (SELECT id FROM r) AS known
@@ -206,7 +206,7 @@ ORACLES = {
     "sta5_move_heads": """WITH h AS (SELECT c_custkey AS m, c_custkey % 7 AS head, c_custkey % 4 > 0 AS is_open, c_custkey % 2 = 0 AND c_custkey // 2 IN (SELECT s_suppkey FROM supplier) AS moved FROM customer)
         SELECT m AS machine_id, head, '2024-01-01' AS set_on, CASE WHEN NOT is_open THEN '2024-01-05' WHEN moved AND head <> 3 THEN '2024-01-31' END AS superseded_on FROM h
         UNION ALL SELECT s_suppkey * 2, 3, '2024-01-31', NULL FROM supplier WHERE s_suppkey * 2 NOT IN (SELECT m FROM h WHERE is_open AND head = 3)""",
-    "lim1_top_and_more": "SELECT doc_id, (SELECT count(*) - 40 FROM documents WHERE doc_id % 3 = 0) AS more FROM documents WHERE doc_id % 3 = 0 ORDER BY doc_id LIMIT 40",
+    "lim1_top_and_more": "SELECT doc_id, (SELECT count(*) - 40 FROM documents WHERE lang = 'en') AS more FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 40",
     "cnt5_text_shape": "SELECT doc_id, true AS same FROM documents",
     "cnt10_json_merge": """SELECT event_id, '{' || chr(10) || '  "k": ' || CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END || ',' || chr(10) || '  "ours": ' || user_id || ',' || chr(10) || '  "theirs": "' || event_type || '"' || chr(10) || '}' || chr(10) AS merged FROM events""",
 }

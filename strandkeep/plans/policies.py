@@ -78,7 +78,7 @@ def _relative(spark, folder):
 
 def _land(spark, folder):
     work = table(spark, folder, "orders").select(F.concat(F.lit("repo/"), "o_custkey").alias("repo"), F.col("o_orderkey").alias("work_id"), (F.col("o_orderkey") % 7).alias("base"))
-    here = table(spark, folder, "customer").where("c_custkey % 4 <> 0").select(F.concat(F.lit("repo/"), "c_custkey").alias("repo"), (F.col("c_custkey") % 3).alias("dirty_files"), (F.col("c_custkey") % 7).alias("head"))
+    here = table(spark, folder, "customer").where("c_acctbal > 0").select(F.concat(F.lit("repo/"), "c_custkey").alias("repo"), (F.col("c_custkey") % 3).alias("dirty_files"), (F.col("c_custkey") % 7).alias("head"))
     joined = work.join(here, "repo", "left")
     reason = F.when(F.col("head").isNull(), "no checkout").when(F.col("dirty_files") > 0, "dirty").when(F.col("head") != F.col("base"), "different head").otherwise("")
     return joined.select("work_id", reason.alias("refusal"))
@@ -147,7 +147,7 @@ ORACLES = {
         NOT bad AND (major, minor) >= (1, 3) AS may_write FROM {_V}""",
     "flt13_relative_paths": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) END AS relative, doc_id % 3 = 2 AS temporary, doc_id % 4 = 1 AS safe FROM documents",
     "flt19_land_gate": """SELECT o_orderkey AS work_id, CASE WHEN c_custkey IS NULL THEN 'no checkout' WHEN c_custkey % 3 > 0 THEN 'dirty' WHEN c_custkey % 7 <> o_orderkey % 7 THEN 'different head' ELSE '' END AS refusal
-        FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 4 <> 0) ON o_custkey = c_custkey""",
+        FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey""",
     "flt18_dirty_top": "SELECT c_custkey, c_custkey % 13 AS dirty_files FROM customer WHERE c_custkey % 13 > 0 ORDER BY 2 DESC, 1 LIMIT 20",
     "src3_structural_skips": "SELECT CAST(doc_id AS VARCHAR) AS path FROM documents WHERE doc_id % 8 > 2",
     "src2_repo_boundary": """WITH p AS (SELECT CASE WHEN doc_id % 25 = 0 THEN source || '/repo/.git/config' WHEN doc_id % 5 = 1 THEN source || '/repo/deep/' || doc_id ELSE source || '/' || doc_id END AS path FROM documents)
