@@ -4,7 +4,7 @@ Two zstandard dictionaries are built from labelled text: one of ordinary words,
 set toxic documents apart. A text is read in windows of one word; each window, behind a short carrier that
 both dictionaries hold, is compressed with either dictionary, and the difference of the two lengths in
 bytes says how much better the toxic one explains it. A document's differences are counted over rising
-thresholds, and a logistic curve fitted on labelled documents that the dictionaries have not seen turns
+thresholds, and a logistic curve fitted on documents that its dictionaries have not seen turns
 the counts into a score.
 
 Windows of one word let a worker remember the difference of every word it has met, so the cost follows the
@@ -31,14 +31,22 @@ TRAINING_ROWS, DICTIONARY_PART = 12_000, 0.6
 #: Bytes of the dictionaries' contents.
 TOXIC_BYTES, ORDINARY_BYTES = 4_000, 32_000
 LEVEL = 19
-THRESHOLDS = (1, 2, 3, 4, 5, 6)
+#: A window that shares no run of so many characters with the toxic dictionary cannot gain by it, and counts as 0 uncompressed.
+RUN = 5
+THRESHOLDS = (2, 4, 6, 8, 10, 12)
 #: Documents with this score or more are predicted toxic.
 CUT = 0.3
+#: Lengths of the segments that the toxic dictionary is chosen from.
+SEGMENTS = range(4, 13)
 _CARRIER = "|zqxj0vkw8yhg3bfm5pdl7ctn2r9s4u6e1aio|"
 _MARKS = ".,;:!?*&%$#|\"'()[]{}<>-_/\\+=~^`@"
 _CACHE = 1 << 20
 
 
+def _coded(text: str) -> bytes:
+    return text.encode("utf-16-le", "surrogatepass")
+
+
 def words_of(text: str) -> list[str]:
     return text.lower().split()
 
@@ -49,25 +57,46 @@ class Distances(dict):
     def __init__(self, ordinary: str, toxic: str):
         super().__init__()
         self.compressors = [self.compressor(x) for x in (ordinary, toxic)]
+        self.runs = {s[k : k + RUN] for s in toxic.split("|") for k in range(len(s) - RUN + 1)}
 
     @staticmethod
     def compressor(content: str) -> zstandard.ZstdCompressor:
-        data = (content + _CARRIER).encode()
-        params = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=64, dict_size=len(data), min_match=3, write_content_size=False, write_dict_id=False, write_checksum=False)
+        data = _coded(content + _CARRIER)
+        params = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=128, dict_size=len(data), min_match=3, write_content_size=False, write_dict_id=False, write_checksum=False)
         return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
 
     def __missing__(self, word: str) -> int:
         if len(self) >= _CACHE:
             self.clear()
-        window = f"{_CARRIER} {word.strip(_MARKS)} ".encode("utf-8", "surrogatepass")
-        ordinary, toxic = self.compressors
-        value = self[word] = len(ordinary.compress(window)) - len(toxic.compress(window))
+        w = f" {word.strip(_MARKS)} "
+        value = 0
+        if any(w[k : k + RUN] in self.runs for k in range(len(w) - RUN + 1)):
+            window = _coded(_CARRIER + w)
+            ordinary, toxic = self.compressors
+            value = len(ordinary.compress(window)) - len(toxic.compress(window))
+        self[word] = value
         return value
 
 
 def segments(word: str) -> set[str]:
     w = f" {word.strip(_MARKS)} "
-    return {w[i : i + n] for n in range(4, 13) for i in range(len(w) - n + 1)}
+    return {w[i : i + n] for n in SEGMENTS for i in range(len(w) - n + 1)}
+
+
+def frequent_segments(words: Counter, least: float) -> Counter:
+    """How often each segment occurs, of those that occur least times; length by length, as a frequent one has frequent parts."""
+    bare: Counter = Counter()
+    for word, n in words.items():
+        bare[f" {word.strip(_MARKS)} "] += n
+    found: Counter = Counter()
+    for size in SEGMENTS:
+        longer: Counter = Counter()
+        for w, n in bare.items():
+            for s in {w[k : k + size] for k in range(len(w) - size + 1)}:
+                if size == SEGMENTS[0] or s[1:] in found and s[:-1] in found:
+                    longer[s] += n
+        found.update({s: n for s, n in longer.items() if n >= least})
+    return found
 
 
 def dictionaries(rows: list[tuple[str, int]]) -> tuple[str, str]:
@@ -81,18 +110,15 @@ def dictionaries(rows: list[tuple[str, int]]) -> tuple[str, str]:
     for text, label in rows:
         count[label].update(set(words_of(text)))
         docs[label] += 1
-    in_toxic: Counter = Counter()
-    for word, n in count[1].items():
-        for s in segments(word):
-            in_toxic[s] += n
-    least = max(4, docs[1] * 0.003)
-    found = {s for s, n in in_toxic.items() if n >= least}
+    in_toxic = frequent_segments(count[1], max(4, docs[1] * 0.003))
     in_ordinary: Counter = Counter()
     for word, n in count[0].items():
-        for s in segments(word) & found:
-            in_ordinary[s] += n
+        w = f" {word.strip(_MARKS)} "
+        if any(w[k : k + SEGMENTS[0]] in in_toxic for k in range(len(w) - SEGMENTS[0] + 1)):
+            for s in segments(word) & in_toxic.keys():
+                in_ordinary[s] += n
     ranked = []
-    for s in found:
+    for s in in_toxic:
         odds = math.log((in_toxic[s] + 0.5) / (docs[1] + 1) / ((in_ordinary[s] + 0.5) / (docs[0] + 1)))
         if odds > 3:
             ranked.append((in_toxic[s] * (odds - 1) * (len(s) - 3), s))
@@ -114,7 +140,7 @@ def dictionaries(rows: list[tuple[str, int]]) -> tuple[str, str]:
 def features(words: list[str], distances: Distances) -> list[float]:
     d = np.fromiter(map(distances.__getitem__, words), np.int64, len(words)) if words else np.zeros(1, np.int64)
     top = int(d.max())
-    return [1.0, top, float(top >= 3), *(math.log1p(int((d >= k).sum())) for k in THRESHOLDS), math.log1p(len(d))]
+    return [1.0, top, float(top >= THRESHOLDS[2]), *(math.log1p(int((d >= k).sum())) for k in THRESHOLDS), math.log1p(len(d))]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
