@@ -17,9 +17,14 @@ KEPT = ("TakeTheirs", "Write", "KeepOurs")
 
 
 def three_way(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """path with base, ours, theirs: struct(executable, chunks) or null. Two full outer joins on one key, so one exchange a side."""
-    sides = [df.select("path", F.struct("executable", "chunks").alias(name)) for df, name in zip((base, ours, theirs), SIDES, strict=True)]
-    return reduce(lambda a, b: a.join(b, "path", "full_outer"), sides)
+    """path with base, ours, theirs: struct(executable, chunks) or null.
+
+    A path is unique in each side, so the three-way outer join is one aggregation of their union: every row
+    moves once, where chained outer joins would move the first result again.
+    """
+    entry = F.struct("executable", "chunks").alias("entry")
+    tagged = [df.select("path", F.lit(name).alias("side"), entry) for df, name in zip((base, ours, theirs), SIDES, strict=True)]
+    return reduce(DataFrame.unionByName, tagged).groupBy("path").agg(*(F.max(F.when(F.col("side") == s, F.col("entry"))).alias(s) for s in SIDES))
 
 
 def decision(base: str = "base", ours: str = "ours", theirs: str = "theirs") -> Column:
