@@ -200,7 +200,7 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """
     known = common.stash(described(docs, size))
     equal = known.where("n > 0").groupBy("s1", "s2").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
-    others = common.stash(known.join(equal.where("least < most"), ["s1", "s2"]).where("doc <> least").select("doc", "t", "least"))
+    others = common.stash(known.join(common.sized(common.stash(equal.where("least < most"))), ["s1", "s2"]).where("doc <> least").select("doc", "t", "least"))
     empty = known.where("n = 0").select("doc", "t")
     apart = others.select("doc", "t").unionByName(empty).distinct()
     one = docs.withColumn("t", F.xxhash64("text")).join(common.sized(common.stash(apart)), ["doc", "t"], "left_anti").select("doc", "text")
@@ -227,7 +227,7 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     # a value of two documents has had its pair compared; values of the same documents are compared once
     of_value = inside.groupBy("hash").agg(
         F.count("*").alias("all"), F.sum(F.col("rest").cast("long")).alias("some"),
-        *(F.sum(F.xxhash64(F.lit(k), "doc").bitwiseAND(F.lit((1 << 40) - 1))).alias(f"sum{k}") for k in (1, 2)),
+        *(F.sum(F.xxhash64(F.lit(k), "doc").bitwiseAND(F.lit((1 << 30) - 1))).alias(f"sum{k}") for k in (1, 2)),
     )
     open_ = of_value.where("some > 0 AND all > 2").groupBy("all", "some", "sum1", "sum2").agg(F.min("hash").alias("hash")).select("hash", "all", "some")
     blocks = inside.join(open_, "hash").withColumns({"x": F.ceil(F.col("all") / BLOCK_ALL).cast("int"), "y": F.ceil(F.col("some") / BLOCK_REST).cast("int")})

@@ -66,7 +66,7 @@ def removed_windows(docs: DataFrame) -> DataFrame:
     narrow = common.stash(docs.select("doc", "key", F.xxhash64(F.lit(3), "text").alias("t1"), F.xxhash64(F.lit(5), "text").alias("t2"), common.n_words("text").alias("n")))
     total = narrow.agg(F.sum("n")).first()[0] or 0
     same = narrow.groupBy("t1", "t2").agg(F.min("doc").alias("least"), F.count("*").alias("copies"))
-    listed = narrow.join(same.where("copies > 1"), ["t1", "t2"])
+    listed = narrow.join(common.sized(common.stash(same.where("copies > 1"))), ["t1", "t2"])
     others = common.stash(listed.where("doc > least").select("doc", "key").distinct())
     longs = docs.join(common.sized(others), ["doc", "key"], "left_anti").select("doc", "key", "text")
 
