@@ -147,6 +147,17 @@ def verdict(policy: Policy, path: Column | str, is_dir: Column | bool) -> Column
     return F.lit("Include") if out is None else out.otherwise("Include")
 
 
+def judge(policy: Policy, path: str, is_dir: bool) -> str:
+    """The verdict on one path, outside Spark: for a lister that doesn't enter what is out."""
+    def hit(rule: Rule) -> bool:
+        return (is_dir or not rule.dir_only) and re.search(rule.regex, path) is not None
+
+    if not {path, path.rsplit("/", 1)[-1]} & set(policy.exempt) and any(map(hit, policy.never)):
+        return "Never"
+    last = next((rule for rule in reversed(policy.ignore) if hit(rule)), None)
+    return "Include" if last is None or last.negated else "Ignored"
+
+
 def with_ancestors(paths: DataFrame, path: str = "path") -> DataFrame:
     """paths with at (each directory above, then the path itself), depth, is_dir."""
     parts = F.split(path, "/")
