@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandkeep.functions import scalars, structural, textshape
-from strandkeep.operators import gc, policy, server
+from strandkeep.operators import gc, merge, policy, server
 from strandkeep.sources.tables import table
 
 NOW = datetime(2024, 1, 31)
@@ -160,7 +160,56 @@ def _json_merges(spark, folder):
     return e.select("event_id", merged(F.lit('{"k": 1}'), ours, theirs).alias("merged"))
 
 
+def _unresolved(spark, folder):
+    from strandkeep import settings
+
+    state = table(spark, folder, "documents").select(F.concat("source", F.lit("/"), "doc_id").alias("path"))
+    there = table(spark, folder, "labels").select(F.concat(F.lit("src"), F.col("doc_id") % 20, F.lit("/"), "doc_id", F.lit(f".{settings.NAMESPACE}-theirs")).alias("path"))
+    return merge.unresolved(state, there).select("path")
+
+
+def _quarantine(spark, folder):
+    swept = table(spark, folder, "part").select(F.col("p_partkey").alias("remote_id"), (F.col("p_size") > 25).alias("young"))
+    objects = swept.select("remote_id")
+    trash = spark.createDataFrame([("20240131T000000Z", 0), ("20240131T000000Z-2", 0)], "stamp string, remote_id long")
+    left, after = gc.collect(objects, swept, trash, "20240131T000000Z")
+    return after.select("stamp", "remote_id").unionByName(left.select(F.lit("kept").alias("stamp"), "remote_id"))
+
+
+def _tree_counts(spark, folder):
+    trees = table(spark, folder, "customer")
+    return trees.agg(F.count_if(F.col("c_custkey") % 10 == 0).alias("primary_trees"), F.count("*").alias("trees"), F.sum(F.when(F.col("c_acctbal") > 0, F.col("c_nationkey")).otherwise(0)).cast("long").alias("carried_files"), F.count_if((F.col("c_nationkey") > 5) & ~(F.col("c_acctbal") > 0)).alias("at_risk"))
+
+
+def _json_states(spark, folder):
+    texts = table(spark, folder, "events").select("event_id", F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("x{"), "props")).when(F.col("event_id") % 4 == 1, F.lit("{oops")).otherwise(F.col("props")).alias("text"))
+    return texts.select("event_id", F.from_json("text", "k long", {"mode": "PERMISSIVE"})["k"].alias("k"))
+
+
+def _machines_by_name(spark, folder):
+    rows = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("machine_name"), F.col("s_nationkey").alias("head"))
+    return server.resolve_head(rows, "SUPPLIER#000000003").select("id", "head")
+
+
+def _pairs_merges(spark, folder):
+    @F.udf("string", useArrow=True)
+    def merged(base, ours, theirs):
+        out = structural.merge_pairs(base.encode(), ours.encode(), theirs.encode())
+        return out.content.decode() if out else None
+
+    e = table(spark, folder, "events")
+    ours = F.concat(F.lit("# ours\nA="), "user_id", F.lit("\nB=1\nD=4\n"))
+    theirs = F.concat(F.lit("A="), F.when(F.col("event_id") % 3 == 0, "x").otherwise("0"), F.lit("\nB=1\nC="), "event_type", F.lit("\n"))
+    return e.select("event_id", merged(F.lit("A=0\nB=1\nD=4\n"), ours, theirs).alias("merged"))
+
+
 QUERIES = {
+    "cnt20_unresolved": _unresolved,
+    "snk9_quarantine": _quarantine,
+    "agg9_tree_counts": _tree_counts,
+    "src12_json_states": _json_states,
+    "sta12_resolve_head": _machines_by_name,
+    "cnt11_pairs_merge": _pairs_merges,
     "flt8_foreign_rules": _foreign,
     "src13_default_rules": _defaults,
     "jn11_carried_places": _carried,
@@ -183,6 +232,12 @@ QUERIES = {
 _VERDICTS = ["Never", "Include", "Never", "Ignored", "Never", "Ignored", "Include"]
 
 ORACLES = {
+    "cnt20_unresolved": "SELECT source || '/' || doc_id AS path FROM documents WHERE source || '/' || doc_id IN (SELECT 'src' || (doc_id % 20) || '/' || doc_id FROM labels)",
+    "snk9_quarantine": "SELECT CASE WHEN p_size > 25 THEN 'kept' ELSE '20240131T000000Z-3' END AS stamp, p_partkey AS remote_id FROM part UNION ALL SELECT '20240131T000000Z', 0 UNION ALL SELECT '20240131T000000Z-2', 0",
+    "agg9_tree_counts": "SELECT count(*) FILTER (c_custkey % 10 = 0) AS primary_trees, count(*) AS trees, CAST(sum(CASE WHEN c_acctbal > 0 THEN c_nationkey ELSE 0 END) AS BIGINT) AS carried_files, count(*) FILTER (c_nationkey > 5 AND NOT c_acctbal > 0) AS at_risk FROM customer",
+    "src12_json_states": "SELECT event_id, CASE WHEN event_id % 4 > 1 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events",
+    "sta12_resolve_head": "SELECT s_suppkey AS id, s_nationkey AS head FROM supplier WHERE lower(s_name) = 'supplier#000000003'",
+    "cnt11_pairs_merge": """SELECT event_id, CASE WHEN event_id % 3 <> 0 OR user_id = 0 THEN 'A=' || CASE WHEN event_id % 3 = 0 THEN 'x' ELSE CAST(user_id AS VARCHAR) END || chr(10) || 'B=1' || chr(10) || 'C=' || event_type || chr(10) END AS merged FROM events""",
     "flt8_foreign_rules": "SELECT * FROM (VALUES ('ignore', 0, '# build output'), ('ignore', 1, 'build'), ('ignore', 2, '*.tmp'), ('ignore', 3, '# Secrets of the team'), ('ignore', 4, '!vault/readme'), ('ignore', 5, '# plain again'), ('ignore', 6, 'notes'), "
     "('never', 0, 'vault'), ('never', 1, '*.pem'), ('never', 2, 'deploy_key'), ('unsupported', 0, '(?d)(?i)*.tmp  (flags dropped)'), ('unsupported', 1, '#include other')) t(kind, position, line)",
     "src13_default_rules": f"SELECT doc_id, {_VERDICTS}[doc_id % 7 + 1] AS verdict FROM documents",
