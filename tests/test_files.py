@@ -41,3 +41,16 @@ def test_snapshot_refuses_secrets_and_stores_the_rest(spark):
     assert b'x\ntoken = "0123456789abcdef0123"\n' not in {bytes(r.content) for r in taken.objects.collect()} and taken.objects.count() == 2
     text = taken.snapshot.first().text
     assert "parent p1\n" in text and "files 4\n" in text and text.startswith(f"{settings.NAMESPACE}-snapshot 1\nmanifest ")
+
+
+def test_lister_and_expression_agree_on_verdicts(spark):
+    import random
+
+    rng = random.Random(8)
+    names = ["node_modules", "a", "b.tmp", "x.pem", ".env", ".env.example", "keys", "src", "Library", "c.log", "d~"]
+    paths = sorted({"/".join(rng.choices(names, k=rng.randrange(1, 5))) for _ in range(300)})
+    rules = policy.load_policy("*.log\n!src/**/*.log\nLibrary/\n*~\n\n# note\nnode_modules", None)
+    for is_dir in (True, False):
+        got = spark.createDataFrame([(p,) for p in paths], "path string").select("path", policy.verdict(rules, "path", is_dir).alias("v")).collect()
+        assert {r.path: r.v for r in got} == {p: policy.judge(rules, p, is_dir) for p in paths}
+        assert {r.v for r in got} == {"Include", "Ignored", "Never"}
