@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandkeep.stash import stash  # noqa: F401  the operators take it from here
+
 #: A word, for every operator that counts or compares words.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A table joined to the documents is broadcast if its rows and bytes are no more than these, else shuffled.
@@ -29,29 +26,8 @@ def tuned(spark: SparkSession) -> None:
     Shuffle files go when the action that wrote them ends, so disk holds one action's at a time.
     """
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    try:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    except Exception:  # noqa: BLE001  a Spark without that setting bounds rows only
-        pass
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="strandkeep-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back: lineage is cut, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def words_sql(column: str = "text") -> str:

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandkeep.llm import common
 
 #: Different hashes of a bucket, about; the least number of buckets; parts that a bucket's places are salted to.
-BUCKET_HASHES, LEAST_BUCKETS, SALTS = 6_000_000, 16, 4
+BUCKET_HASHES, LEAST_BUCKETS, SALTS = 2_000_000, 48, 4
 
 
 def buckets_for(hashes: float) -> int:
@@ -165,7 +166,7 @@ def repeated(rows: DataFrame, produce, packing: Packing, members: bool = False)
             yield done()
 
     def second_pass(batches):
-        turn = 0
+        turn = TaskContext.get().partitionId()  # tasks of one batch must not all take one salt
         for batch in batches:
             got = places(packing, *produce(batch))
             turn += 1

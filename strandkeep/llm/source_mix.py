@@ -18,8 +18,8 @@ from strandkeep.llm import common
 MOST = 3
 #: The budget that the knapsack solves exactly; what exceeds it is filled in proportion and by the longest lengths first.
 EXACT = 1 << 16
-#: Hash ranges by which a length's documents are counted before the last range is ranked.
-RANGES = 1024
+#: Bits of the hash ranges by which a length's documents are counted before the last range is ranked.
+RANGE_BITS = 10
 
 
 def cycle_weights(n: int) -> list[int]:
@@ -125,7 +125,7 @@ def mix(docs: DataFrame, weights=cycle_weights, seed: int = 17, most: float = MO
     lengths = narrow.where("size > 0").groupBy("__sk", "size").agg(F.count("*").alias("n"))
     extra = common.stash(lengths.groupBy("__sk").applyInPandas(fitted, "__sk string, size long, extra long"))
     # the range of hashes in which the count of a length is reached, then the last hash taken in it
-    part = F.shiftrightunsigned(F.col("__h"), 54).cast("int").alias("part")
+    part = F.shiftrightunsigned(F.col("__h"), 64 - RANGE_BITS).cast("int").alias("part")
     ranges = narrow.where("size > 0").select("__sk", "size", part).groupBy("__sk", "size", "part").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("__sk", "size").orderBy("part"))
     last = (
@@ -140,7 +140,7 @@ def mix(docs: DataFrame, weights=cycle_weights, seed: int = 17, most: float = MO
     of_source = spark.createDataFrame([(k, n, a, w) for k, (n, a, w, _) in plan.items()], "__sk string, source_size long, target double, whole int")
     small = cuts.count() <= 500_000  # one row a source and length; larger tables are shuffled
     out = keyed.join(F.broadcast(of_source), "__sk").join(F.broadcast(cuts) if small else cuts, ["__sk", "size"], "left")
-    own = F.shiftrightunsigned(F.col("__h"), 54).cast("int")
+    own = F.shiftrightunsigned(F.col("__h"), 64 - RANGE_BITS).cast("int")
     more = F.when(F.col("part").isNull(), 0).when(own < F.col("part"), 1).when((own == F.col("part")) & (F.col("__h") <= F.col("cut")), 1).otherwise(0)
     out = out.withColumn("copies", (F.col("whole") + more).cast("int")).withColumn("taken", F.col("size") * F.col("copies"))
     return out.select(*docs.columns, "size", "source_size", "target", "copies", "taken")
