@@ -8,6 +8,9 @@ seeded hashes are taken. The result depends on the rows and the seed alone.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,8 +19,8 @@ from strandkeep.llm import common
 
 #: A source's target is at most so many times its size.
 MOST = 3
-#: The budget that the knapsack solves exactly; what exceeds it is filled in proportion and by the longest lengths first.
-EXACT = 1 << 16
+#: Words of the budget that the knapsack is left at first, and those it is left at most where the longest text needs no more.
+EXACT, LARGEST = 1 << 16, 1 << 25
 #: Bits of the hash ranges by which a length's documents are counted before the last range is ranked.
 RANGE_BITS = 10
 
@@ -48,44 +51,60 @@ def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[
 def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     """How many documents of each length to take (at most counts) so that their words come as near under budget as found.
 
-    A proportional share of every length first, the longest lengths next, and for what is left (EXACT at
-    most) the best sum there is.
+    A proportional share of every length first and the best sum there is for what is left. If that misses the
+    budget, ever more of it is left to the best sum, until the budget is met, all of it was left (no sum is
+    better then) or LARGEST words and twice the longest text were: any text can then be taken or passed over.
     """
     total = sum(n * k for n, k in zip(lengths, counts, strict=True))
     if budget <= 0 or total == 0:
         return [0] * len(lengths)
     if budget >= total:
         return list(counts)
-    taken = [k * budget // total for k in counts]
-    left = budget - sum(n * k for n, k in zip(lengths, taken, strict=True))
+    unit = math.gcd(*lengths)
+    lengths, budget, total = [n // unit for n in lengths], budget // unit, total // unit
     order = sorted((j for j in range(len(lengths)) if lengths[j] > 0), key=lambda j: -lengths[j])
-    for j in order:
-        if left > EXACT:
-            more = min(counts[j] - taken[j], max(0, (left - EXACT // 2) // lengths[j]))
+    most = min(budget, max(LARGEST, 2 * lengths[order[0]]))
+    best, missed, room = [], budget + 1, 0
+    while True:
+        taken = [k * (budget - room) // total for k in counts]
+        left = budget - sum(n * k for n, k in zip(lengths, taken, strict=True))
+        for j in order:
+            more = min(counts[j] - taken[j], max(0, left - max(room, EXACT)) // lengths[j])
             taken[j] += more
             left -= more * lengths[j]
-    room = min(left, EXACT)
-    for j, more in subset_sum([lengths[j] for j in order], [counts[j] - taken[j] for j in order], room):
-        taken[order[j]] += more
-    return taken
+        for j, more in subset_sum([lengths[j] for j in order], [counts[j] - taken[j] for j in order], left):
+            taken[order[j]] += more
+            left -= more * lengths[order[j]]
+        if left < missed:
+            best, missed = [*taken], left
+        if missed == 0 or room == most:
+            return best
+        room = min(most, max(EXACT, room * 8))
 
 
 def subset_sum(lengths: list[int], counts: list[int], budget: int) -> list[tuple[int, int]]:
     """Bounded knapsack over bit sets of reachable sums: (index, how many) of the largest sum up to budget."""
     mask, reach, steps = (1 << (budget + 1)) - 1, 1, []
+    first = np.zeros(budget + 1, np.int32)  # the step that first reached a sum
     for j in range(len(lengths) - 1, -1, -1):  # short lengths first: they reach most sums
         left, part = min(counts[j], budget // lengths[j]), 1
         while left > 0 and not reach >> budget & 1:
             part = min(part, left)
-            steps.append((j, part, reach))
-            reach |= reach << (part * lengths[j]) & mask
+            new = reach << (part * lengths[j]) & mask & ~reach
+            if new:
+                low = (new & -new).bit_length() - 1
+                bits = new >> low
+                bits = np.frombuffer(bits.to_bytes(bits.bit_length() + 7 >> 3, "little"), np.uint8)
+                first[low + np.flatnonzero(np.unpackbits(bits, bitorder="little"))] = len(steps)
+                steps.append((j, part))
+                reach |= new
             left -= part
             part *= 2
     at, taken = reach.bit_length() - 1, {}
-    for j, part, before in reversed(steps):
-        if not before >> at & 1:
-            taken[j] = taken.get(j, 0) + part
-            at -= part * lengths[j]
+    while at:
+        j, part = steps[first[at]]
+        taken[j] = taken.get(j, 0) + part
+        at -= part * lengths[j]
     return sorted(taken.items())
 
 

@@ -34,6 +34,30 @@ def test_fit_of_large_budgets():
         assert all(0 <= t <= c for t, c in zip(take, counts)) and sum(n * t for n, t in zip(lengths, take)) == budget
 
 
+@pytest.mark.parametrize(
+    ("lengths", "counts", "budget", "want"),
+    [
+        ([10, 1300], [20, 1], 1400, 1400), ([1000, 130_000], [20, 1], 149_000, 149_000), ([70_000, 70_001], [1, 1], 100_000, 70_001),
+        ([7, 1_000_003], [20_000, 1], 1_100_003, 1_099_998), ([3, 2_500_001, 2_500_002], [1000, 1, 1], 5_000_003, 5_000_003),
+    ],
+)
+def test_fit_of_sources_that_long_texts_dominate(lengths, counts, budget, want):
+    take = M.fit(lengths, counts, budget)
+    assert all(0 <= t <= c for t, c in zip(take, counts)) and sum(n * t for n, t in zip(lengths, take)) == want
+
+
+def test_fit_is_the_best_there_is_when_all_is_left_to_it(monkeypatch):
+    monkeypatch.setattr(M, "EXACT", 8)
+    rng = random.Random(9)
+    for _ in range(300):
+        lengths = rng.sample(range(1, 120), rng.randrange(1, 5))
+        counts = [rng.randrange(1, 4) for _ in lengths]
+        budget = rng.randrange(0, 400)
+        best = max(s for s in (sum(n * k for n, k in zip(lengths, take)) for take in itertools.product(*(range(c + 1) for c in counts))) if s <= budget)
+        take = M.fit(lengths, counts, budget)
+        assert all(0 <= t <= c for t, c in zip(take, counts)) and sum(n * t for n, t in zip(lengths, take)) == best
+
+
 def test_mix(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     got, again = ([tuple(r) for r in M.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source").orderBy("doc_id").collect()] for _ in range(2))
