@@ -1,12 +1,12 @@
 """Main text of web pages, with site template removal.
 
-Every page is parsed into a tree once to hash the element subtrees outside its article. Spark counts, per
-host, the different pages on which a subtree stands; subtrees recurring on many pages of the host are its
-template. In a second pass they are deleted along with elements whose tag, role or class names them as
+Every page is parsed into a tree once to hash the element subtrees outside its article and the boxes inside.
+Spark counts, per host, the different pages on which a subtree stands; subtrees recurring on many pages of the
+host are its template, boxes inside articles if they stand in most of its different articles. In a second pass they are deleted along with elements whose tag, role or class names them as
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments. What is
 left of the article (or, without one, of the main element or the body) is the text.
 
-Subtrees inside an article count as content: a paragraph that many pages of a host quote is not template.
+Paragraphs, headings and quotations of an article count as content, however many pages of the host repeat them.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from strandkeep.llm import common
 
 #: A subtree is template if it stands on at least so many different pages of its host, and on this share of them.
 LEAST_PAGES, SHARE = 4, 0.2
+#: A box inside articles is template if it stands in so many different articles of its host, and in this share of them.
+INNER_SHARE = 0.6
 #: Template rows that may be broadcast; more are joined by a shuffle on the host.
 BROADCAST_ROWS = 200_000
 
@@ -35,6 +37,8 @@ _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
+#: What may be template inside an article too.
+_BOXES = frozenset("center details div dl fieldset figure header ol section table ul".split())
 _DROP_TAGS = frozenset(
     "head title script style noscript template iframe object svg canvas nav footer aside form button select option textarea label menu dialog".split()
 )
@@ -145,26 +149,34 @@ def is_article(node: Node) -> bool:
     return node.tag == "article" or node.tag == "main" or bool(node.attrs) and "main" == node.attr("role").get("role")
 
 
-def subtree_hash(page: str, node: Node) -> int:
-    """A signed 64-bit hash of an element's markup, white space runs as one."""
-    value = xxhash.xxh3_64_intdigest(" ".join(page[node.start : node.end].split()).encode("utf-8", "surrogatepass"))
+def subtree_hash(page: str, node: Node, inside: bool = False) -> int:
+    """A signed 64-bit hash of an element's markup, white space runs as one; odd for one inside an article, else even."""
+    value = xxhash.xxh3_64_intdigest(" ".join(page[node.start : node.end].split()).encode("utf-8", "surrogatepass")) & ~1 | inside
     return value - (1 << 64) if value >> 63 else value
 
 
-def outer_subtrees(page: str) -> set[int]:
-    """Hashes of the elements outside the article that have content of their own."""
-    found: set[int] = set()
-    todo = [parse(page)]
+def subtrees(page: str) -> tuple[set[int], set[int], int]:
+    """Hashes of the elements outside the article that have content of their own, of the boxes inside, and of the articles (0 for none)."""
+    outer: set[int] = set()
+    inner: set[int] = set()
+    articles = 0
+    todo = [(parse(page), False)]
     while todo:
-        node = todo.pop()
+        node, inside = todo.pop()
         for kid in node.kids:
-            if isinstance(kid, tuple) or is_article(kid):
+            if isinstance(kid, tuple):
                 continue
+            within = inside or is_article(kid)
+            if within and not inside:
+                articles = (articles * 31 + subtree_hash(page, kid, True)) % (1 << 63)
             if kid.tag not in ("html", "body", "head") and not kid.holds and kid.kids:
-                found.add(subtree_hash(page, kid))
+                if not within:
+                    outer.add(subtree_hash(page, kid))
+                elif inside and kid.tag in _BOXES:
+                    inner.add(subtree_hash(page, kid, True))
             if kid.tag != "head":
-                todo.append(kid)
-    return found
+                todo.append((kid, within))
+    return outer, inner, articles
 
 
 def links_only(page: str, node: Node) -> bool:
@@ -201,8 +213,10 @@ def extract(page: str | None, template: set[int]) -> str:
     def dropped(node: Node, inside: bool) -> bool:
         if is_boilerplate(node, inside):
             return True
-        if inside or node.holds or node.tag in ("html", "body"):
+        if node.holds or node.tag in ("html", "body"):
             return False
+        if inside:
+            return bool(template and node.kids and node.tag in _BOXES and subtree_hash(page, node, True) in template)
         if template and node.kids and subtree_hash(page, node) in template:
             return True
         return node.tag in ("ul", "ol", "div", "table", "section") and links_only(page, node)
@@ -252,27 +266,31 @@ def host(url: str = "url") -> F.Column:
 def templates(pages: DataFrame) -> DataFrame:
     """host, subtrees (array of hashes): the element subtrees recurring on many different pages of a host.
 
-    Equal pages count once. A host's array is bounded: each of its subtrees stands on SHARE of the pages.
+    Equal pages count once, and so do equal articles for the boxes inside. A host's array is bounded: each of its
+    subtrees stands on SHARE of the pages or in INNER_SHARE of the articles.
     Keys are spread by host, subtree and page, so a host with a third of all pages loads no single task.
     """
 
     def hashed(batches):
         for batch in batches:
-            hosts, subtrees, ids = [], [], []
+            hosts, trees, ids = [], [], []
             for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if page:
                     own = xxhash.xxh3_64_intdigest(page.encode("utf-8", "surrogatepass")) >> 1
-                    found = outer_subtrees(page) | {0}  # 0 stands for the page itself
-                    hosts += [h] * len(found)
-                    subtrees += found
-                    ids += [own] * len(found)
-            yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(subtrees, pa.int64()), pa.array(ids, pa.int64())], ["host", "subtree", "page"])
+                    outer, inner, articles = subtrees(page)
+                    # 0 stands for the page itself, 1 for its articles
+                    for found, of in ((outer | {0}, own), (inner | {1} if articles else (), articles)):
+                        hosts += [h] * len(found)
+                        trees += found
+                        ids += [of] * len(found)
+            yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(trees, pa.int64()), pa.array(ids, pa.int64())], ["host", "subtree", "page"])
 
     seen = pages.select(host().alias("host"), "html").mapInArrow(hashed, "host string, subtree long, page long")
     counts = seen.distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
     counts = common.stash(counts.where(F.col("n") >= LEAST_PAGES))
-    of_host = counts.where("subtree = 0").select("host", F.col("n").alias("all"))
-    many = counts.where("subtree <> 0").join(of_host, "host").where(F.col("n") >= F.col("all") * SHARE)
+    counts = counts.withColumn("inside", F.col("subtree").bitwiseAND(1) == 1)
+    of_host = counts.where("subtree IN (0, 1)").select("host", "inside", F.col("n").alias("all"))
+    many = counts.where("subtree NOT IN (0, 1)").join(of_host, ["host", "inside"]).where(F.col("n") >= F.col("all") * F.when(F.col("inside"), INNER_SHARE).otherwise(SHARE))
     return many.groupBy("host").agg(F.collect_list("subtree").alias("subtrees"))
 
 

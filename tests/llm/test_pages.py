@@ -42,6 +42,17 @@ def test_paragraphs_quoted_in_articles_stay(spark):
     assert all(r.text == f"{r.page_id}\n\nA line that all quote" for r in got) and len(got) == 9
 
 
+def test_boxes_that_most_articles_of_a_host_hold_go(spark):
+    box, quoted = "<div class='x7'><p>Read us daily</p></div>", "<p>A line that all quote</p>"
+    rows = [(k, f"http://one.example/{k}", f"<article><div><p>Body {k}</p>{quoted}</div>{box if k < 7 else ''}</article>") for k in range(9)]
+    rows += [(20 + k, f"http://two.example/{k}", f"<main><p>Body {k}</p>{box if k < 4 else ''}</main>") for k in range(9)]  # not most
+    rows += [(40 + k, f"http://same.example/{k}", f"<nav>{k}</nav><article>{box}<p>One article everywhere</p></article>") for k in range(9)]
+    rows += [(60 + k, f"http://three.example/{k}", f"<article><p>Body {k}</p>{box}</article>") for k in range(3)]  # too few
+    got = {r.page_id: r.text for r in P.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Body {k}\n\nA line that all quote" for k in range(9))
+    assert got[20] == "Body 0\n\nRead us daily" and got[60] == "Body 0\n\nRead us daily" and got[40] == "Read us daily\n\nOne article everywhere"
+
+
 def test_query(spark, tiny):
     got = P.op5_page_text(spark, tiny)
     assert got.columns == ["page_id", "url", "text", "n_chars"]
