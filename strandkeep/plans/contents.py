@@ -1,5 +1,6 @@
 """Queries over contents: chunks, stores, lines, differences, encryption, secrets, and scalar functions."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -7,6 +8,7 @@ from strandkeep.functions import chunking, crypto, linediff, scalars, textshape
 from strandkeep.operators import secrets, store
 from strandkeep.sources import versions
 from strandkeep.sources.tables import table
+from strandkeep.stash import stash
 
 #: A key for tests; real ones come from the caller.
 KEY = bytes(range(32))
@@ -189,7 +191,13 @@ def _escapes(spark, folder):
 def _order(spark, folder):
     words = _docs(spark, folder).select(F.explode(F.split("text", " ")).alias("w")).where("length(w) > 0").select("w").distinct()
     marked = words.withColumn("w", F.when(F.crc32(F.encode("w", "utf-8")) % 5 == 0, F.concat(F.lit("\U0001f600"), "w")).when(F.crc32(F.encode("w", "utf-8")) % 5 == 1, F.concat(F.lit("\ue000"), "w")).otherwise(F.col("w")))
-    return marked.orderBy(scalars.ordinal("w").desc()).limit(50)
+    # the order is cut into ranges, so that each is ranked by a task of its own; the words before it are added
+    ranges = marked.repartitionByRange(scalars.ordinal("w").desc()).withColumn("part", F.spark_partition_id())
+    ranges = stash(ranges)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = ranges.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(scalars.ordinal("w").desc()))
+    return ranges.join(F.broadcast(starts), "part").select("w", (own + F.col("start")).alias("rank")).orderBy("rank")
 
 
 QUERIES = {
