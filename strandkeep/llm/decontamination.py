@@ -42,12 +42,12 @@ def sketches(benchmark: DataFrame, percent: int = PERCENT, size: int = SHINGLE)
     return items.withColumn("sketch", F.slice(order, 1, k).getField("h"))
 
 
-def contained(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+def contained(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, size: int = SHINGLE, null_keys: bool = False) -> DataFrame:
     """doc_id, item_id, n_item, n_shared of every document that holds percent of an item's shingles or more.
 
     Null and empty texts on either side match nothing; an item shorter than a shingle matches only documents
     of the same few words; repeated rows count once; an empty table gives an empty result. Documents with a
-    null doc_id are searched like others. The driver sees the number of items alone.
+    null doc_id are searched like others; with null_keys, null_key is the hash of such a row's text, else null. The driver sees the number of items alone.
     """
     spark = docs.sparkSession
     items = common.stash(sketches(benchmark, percent, size))
@@ -63,18 +63,20 @@ def contained(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, siz
         named = pairs.join(F.broadcast(own.select("item_key", "item_id", "n", "shingles")), "item_key")
         # candidates bring their documents back by the text's hash; the documents are read again, not kept
         named = named.withColumnRenamed("doc_id", "__doc").groupBy("__doc", "__key").agg(F.collect_list(F.struct("item_id", "n", "shingles")).alias("__items"))
-        texts = keyed.join(named, (keyed["__key"] == named["__key"]) & keyed["doc_id"].eqNullSafe(named["__doc"])).select("doc_id", "text", "__items")
+        texts = keyed.join(named, (keyed["__key"] == named["__key"]) & keyed["doc_id"].eqNullSafe(named["__doc"])).select("doc_id", "text", *[F.when(F.col("doc_id").isNull(), keyed["__key"]).alias("null_key")] * null_keys, "__items")
         shared = with_shingles(texts, "__shingles", size).withColumn("__item", F.explode("__items"))
-        shared = shared.select("doc_id", F.col("__item.item_id").alias("item_id"), F.col("__item.n").cast("long").alias("n_item"), F.size(F.array_intersect("__shingles", "__item.shingles")).cast("long").alias("n_shared"))
+        shared = shared.select("doc_id", *["null_key"] * null_keys, F.col("__item.item_id").alias("item_id"), F.col("__item.n").cast("long").alias("n_item"), F.size(F.array_intersect("__shingles", "__item.shingles")).cast("long").alias("n_shared"))
         shared = shared.where(F.col("n_shared") * 100 >= F.col("n_item") * percent).distinct()
         found = shared if found is None else found.unionByName(shared)
     return found
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """The documents that hold no benchmark item, all columns and repeated rows kept."""
-    bad = common.stash(contained(docs, benchmark, percent, size).select(F.col("doc_id").alias("__bad")).distinct())
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    """The documents that hold no benchmark item, all columns and repeated rows kept; of rows without doc_id those go whose own text does."""
+    found = contained(docs, benchmark, percent, size, null_keys=True)
+    bad = common.stash(found.select(F.col("doc_id").alias("__bad"), F.col("null_key").alias("__bad_text")).distinct())
+    own = F.when(docs["doc_id"].isNull(), F.xxhash64(docs["text"]))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]) & own.eqNullSafe(bad["__bad_text"]), "left_anti")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,8 @@ BASE, RATE, LARGEST = 1.02, 20.0, (1 << 16) - 2
 ERRORS = 5.0
 #: Most documents of a block: of those outside the leader's component, and of all of the band value.
 BLOCK_REST, BLOCK_ALL = 512, 2048
-_NULL_ID = (1 << 63) - 1
+#: Documents without an id are keyed from here on, by a hash of their text.
+_NULL_IDS = 1 << 62
 _FACTORS = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -267,14 +268,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """docs (doc_id, text and others) with n_shingles, component_id, kept.
 
     Null and empty texts have empty sets and stand alone. Rows of one doc_id are one document: it links if
-    any of its texts does, n_shingles is of its largest set, and each row gets its component. A null doc_id
-    orders after all others; documents without one are one component. An empty table gives an empty one.
+    any of its texts does, n_shingles is of its largest set, and each row gets its component. Rows without a
+    doc_id are told apart by their texts and order by hashes of 62 bits, after ids below _NULL_IDS; a component
+    whose first document has none has a null component_id. An empty table gives an empty one.
     """
     names = [c for c in docs.columns if c not in ("n_shingles", "component_id", "kept", "__doc")]
-    keyed = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("__doc"))
+    of_text = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2) + F.lit(_NULL_IDS)
+    keyed = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), of_text).alias("__doc"))
+    unnamed = common.sized(common.stash(keyed.where("doc_id IS NULL").select(F.col("__doc").alias("__component")).distinct()).withColumn("__unnamed", F.lit(True)))
     found = similar(keyed.select(F.col("__doc").alias("doc"), F.coalesce("text", F.lit("")).alias("text")), size, percent)
     found = common.stash(found.select(F.col("doc").alias("__doc"), "n_shingles", F.col("component").alias("__component")))
-    out = keyed.join(found, "__doc").withColumn("component_id", F.nullif("__component", F.lit(_NULL_ID)))
+    found = found.join(unnamed, "__component", "left")
+    out = keyed.join(found, "__doc").withColumn("component_id", F.when(F.col("__unnamed").isNull(), F.col("__component")))
     return out.select(*names, "n_shingles", "component_id", (F.col("__doc") == F.col("__component")).alias("kept"))
 
 

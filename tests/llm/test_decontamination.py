@@ -50,3 +50,10 @@ def test_odd_rows(spark, odd_docs, no_docs):
 def test_runs_no_python(spark, tiny):
     plan = D.op3_decontamination(spark, tiny)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_of_rows_without_id_the_contaminated_text_goes(spark):
+    item = " ".join(f"w{k}" for k in range(30))
+    docs = spark.createDataFrame([(None, f"a {item} b"), (None, "clean and unrelated words stand here"), (None, None), (1, item), (2, "clean")], "doc_id long, text string")
+    kept = D.decontaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.text) for r in kept} == {(None, "clean and unrelated words stand here"), (None, None), (2, "clean")}

@@ -108,3 +108,11 @@ def test_components(spark):
     want = {x: find(x) for x in list(parent) if find(x) != x}
     assert {r.node: r.component for r in connected(spark.createDataFrame(links, "a long, b long")).collect()} == want
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_without_id_are_told_apart_by_text(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, text + " tail"), (None, "quite other words than those of the passage"), (None, "and a third text of its own here"), (12, text), ((1 << 63) - 5, "the largest of ids keeps its own component")]
+    got = {r.text: r for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[t].kept for _, t in rows] == [False, True, True, True, True]
+    assert [got[t].component_id for _, t in rows] == [12, None, None, 12, (1 << 63) - 5]
