@@ -1,12 +1,19 @@
 """Main text of web pages, with site template removal.
 
-Every page is parsed into a tree once to hash the element subtrees outside its article and the boxes inside.
-Spark counts, per host, the different pages on which a subtree stands; subtrees recurring on many pages of the
-host are its template, boxes inside articles if they stand in most of its different articles. In a second pass they are deleted along with elements whose tag, role or class names them as
-menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments. What is
-left of the article (or, without one, of the main element or the body) is the text.
-
-Paragraphs, headings and quotations of an article count as content, however many pages of the host repeat them.
+Every page is parsed into a tree and each element's subtree is hashed, bottom-up, from its tag, attributes,
+texts and its children's hashes; its slot is the hash of the tags and classes on the way down to it. Spark counts,
+per host, the different pages on which a subtree stands and the different contents of a slot. Template, and
+deleted from every page of the host, are
+
+* subtrees beside the articles that recur on SHARE of the host's pages, and slots that SLOT_SHARE of the pages
+  fill: beside an article whatever stands there, on pages without one if the contents recur too;
+* inside articles, boxes that recur in INNER_SHARE of the host's different articles, and paragraphs or headings
+  that recur in PARAGRAPH_SHARE of them, LEAST_ARTICLES at least, among the first or last EDGE elements. A
+  paragraph quoted further inside stays however often it recurs.
+
+All that takes LEAST_PAGES pages at least. What the counts do not know is left to the names: tags, roles and
+classes of menus, headers, footers, sidebars, notices, adverts, forms and reader comments, and whatever stands
+beside an article. Names also hold inside articles. What remains is the text.
 """
 
 from __future__ import annotations
@@ -21,23 +28,33 @@ from pyspark.sql import functions as F
 
 from strandkeep.llm import common
 
-#: A subtree is template if it stands on at least so many different pages of its host, and on this share of them.
-LEAST_PAGES, SHARE = 4, 0.2
-#: A box inside articles is template if it stands in so many different articles of its host, and in this share of them.
-INNER_SHARE = 0.6
+#: Different pages on which template stands at least, and the shares of the host's pages or articles.
+LEAST_PAGES, SHARE, SLOT_SHARE, INNER_SHARE = 4, 0.2, 0.5, 0.6
+#: The same for paragraphs and headings of articles, which are content more often than boxes.
+LEAST_ARTICLES, PARAGRAPH_SHARE = 12, 0.8
+#: On pages without an article a slot's different contents are no more than this share of its pages.
+VARIETY = 0.5
+#: First and last elements of an article whose paragraphs may be template.
+EDGE = 2
 #: Template rows that may be broadcast; more are joined by a shuffle on the host.
 BROADCAST_ROWS = 200_000
+#: What a key stands for, in its low bits: a subtree beside the article, a box or an edge paragraph inside, a slot beside an article or on a page without one.
+OUTER, BOX, PARAGRAPH, BESIDE, FREE = range(5)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<[/a-zA-Z!?][^<>]*$", re.S)
-_ATTR = re.compile(r"([a-zA-Z:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?|[\"'])*+)>")
+_ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)")
 _WORD = re.compile(r"[a-z]+")
+_DIGITS = re.compile(r"[0-9]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe template".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
-#: What may be template inside an article too.
+#: What goes with the element around it and is not counted by itself.
+_INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark option q s samp small span strike strong sub sup td th time tt u var".split())
+#: Inside an article these may be template wherever they stand; other elements only at its edges.
 _BOXES = frozenset("center details div dl fieldset figure header ol section table ul".split())
 _DROP_TAGS = frozenset(
     "head title script style noscript template iframe object svg canvas nav footer aside form button select option textarea label menu dialog".split()
@@ -56,42 +73,67 @@ _BARRIER = frozenset("html body table td th ul ol dl article section main aside
 
 
 class Node:
-    """An element: its tag, attribute text, place in the page, and children (elements and text spans)."""
+    """An element: tag, attribute text, parent, children (elements and texts); the rest is filled in by analyse."""
 
-    __slots__ = ("tag", "attrs", "start", "end", "kids", "holds")
+    __slots__ = ("tag", "attrs", "above", "kids", "holds", "inside", "named", "edge", "hash", "slot", "links", "text", "linked")
 
-    def __init__(self, tag: str, attrs: str, start: int):
-        self.tag, self.attrs, self.start, self.end, self.kids, self.holds = tag, attrs, start, start, [], False
+    def __init__(self, tag: str, attrs: str, above: Node | None):
+        self.tag, self.attrs, self.above, self.kids = tag, attrs, above, []
+        self.holds = self.inside = self.named = self.edge = False
+        self.links = self.text = self.linked = 0
 
     def attr(self, *names: str) -> dict[str, str]:
         return {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(self.attrs) if m[1].lower() in names} if self.attrs else {}
 
 
-def parse(page: str) -> Node:
-    """A forgiving tree: unknown end tags are ignored, paragraphs, items and cells end where the next begins, the page's end closes all."""
-    root = Node("", "", 0)
-    stack, at, n = [root], 0, len(page)
+def parse(page: str) -> list[Node]:
+    """The elements of a page in order, a root first. Unknown end tags are ignored; paragraphs, items and cells end where the next begins.
+
+    Time is linear in the page: open tags are counted, so no end tag looks through a deep nest in vain. A tag
+    whose quotes never close ends at the next >, and one without any > is no text.
+    """
+    root = Node("", "", None)
+    order, stack, opened, endless = [root], [root], {}, set()
+    at, n, last = 0, len(page), page.rfind(">")
 
-    def close(k: int, end: int) -> None:
+    def close(k: int) -> None:
         for node in stack[k:]:
-            node.end = end
+            opened[node.tag] -= 1
         del stack[k:]
 
     while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
-            stack[-1].kids.append((at, n))
+        lt = page.find("<", at)
+        if lt < 0 or lt > last:
+            rest = page[at:]
+            cut = re.search(r"<[/a-zA-Z!?][^<>]*$", rest) if lt >= 0 else None
+            stack[-1].kids.append(rest[: cut.start()] if cut else rest)
             break
-        if m.start() > at:
-            stack[-1].kids.append((at, m.start()))
-        at = m.end()
-        if not m[2]:
+        if lt > at:
+            stack[-1].kids.append(page[at:lt])
+        ahead = page[lt + 1 : lt + 4]
+        if ahead == "!--":
+            stop = page.find("-->", lt + 4)
+            at = stop + 3 if stop >= 0 else n
             continue
+        if ahead[:1] in ("!", "?"):
+            at = page.find(">", lt) + 1
+            continue
+        m = _TAG.match(page, lt)
+        if not m:
+            stop = page.find(">", lt)
+            m = re.match(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", page[lt : stop + 1])
+            if not m:
+                stack[-1].kids.append("<")
+                at = lt + 1
+                continue
+            at = stop + 1
+        else:
+            at = m.end()
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened.get(tag) else ():
                 if stack[k].tag == tag:
-                    close(k, at)
+                    close(k)
                     break
                 if tag == "p" and stack[k].tag in _BARRIER:
                     break
@@ -99,38 +141,35 @@ def parse(page: str) -> Node:
         closes = _CLOSES.get(tag, ())
         if tag in _BLOCK:
             closes = (*closes, "p")
-        for k in range(len(stack) - 1, 0, -1) if closes else ():
+        for k in range(len(stack) - 1, 0, -1) if any(opened.get(x) for x in closes) else ():
             if stack[k].tag in closes:
-                close(k, m.start())
+                close(k)
                 break
             if stack[k].tag in _BARRIER:
                 break
-        node = Node(tag, m[3], m.start())
+        node = Node(tag, m[3], stack[-1])
         stack[-1].kids.append(node)
-        node.end = at
+        order.append(node)
         if tag in _VOID or (m[3].endswith("/") and tag not in _BLOCK):
             continue
         if tag in _RAW:
-            stop = re.compile(f"</{tag}[^>]*>", re.I).search(page, at)
+            stop = None if tag in endless else re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
+            if not stop:
+                endless.add(tag)
             if tag not in ("title", "textarea") or stop:
                 at = stop.end() if stop else n
-            node.end = at
             continue
-        if tag in ("article", "main"):
-            for x in stack:
-                x.holds = True
         stack.append(node)
-    close(1, n)
-    root.end = n
-    return root
+        opened[tag] = opened.get(tag, 0) + 1
+    return order
 
 
-def is_boilerplate(node: Node, inside: bool) -> bool:
+def is_named(node: Node, inside: bool) -> bool:
     """Whether tag, role, class or id name the element as something else than article text."""
     tag = node.tag
     if tag in _DROP_TAGS:
-        return not node.holds or tag in _RAW
-    if node.holds or tag in ("body", "html", "main"):
+        return True
+    if tag in ("", "body", "html", "main"):
         return False
     if tag == "header" and not inside:
         return True
@@ -139,70 +178,111 @@ def is_boilerplate(node: Node, inside: bool) -> bool:
     got = node.attr("class", "id", "role", "style", "aria-hidden")
     if got.get("role", "").lower() in _DROP_ROLES or "display:none" in got.get("style", "").replace(" ", "").lower() or got.get("aria-hidden") == "true":
         return True
-    if re.search(r"\shidden(?:[\s=]|$)", node.attrs):
+    if _HIDDEN.search(node.attrs):
         return True
     words = set(_WORD.findall(f"{got.get('class', '')} {got.get('id', '')}".lower()))
     return bool(words & _DROP_WORDS) or not inside and bool(words & _OUTSIDE)
 
 
-def is_article(node: Node) -> bool:
-    return node.tag == "article" or node.tag == "main" or bool(node.attrs) and "main" == node.attr("role").get("role")
+def _key(kind: int, value: int) -> int:
+    """A signed 64-bit key: the hash with its kind in the low bits; hash 0 stands for the page or its articles."""
+    value = value & ~7 | kind
+    return value - (1 << 64) if value >> 63 else value
+
 
+def _digest(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
 
-def subtree_hash(page: str, node: Node, inside: bool = False) -> int:
-    """A signed 64-bit hash of an element's markup, white space runs as one; odd for one inside an article, else even."""
-    value = xxhash.xxh3_64_intdigest(" ".join(page[node.start : node.end].split()).encode("utf-8", "surrogatepass")) & ~1 | inside
-    return value - (1 << 64) if value >> 63 else value
 
+def analyse(order: list[Node]) -> bool:
+    """Fills in the nodes' article, slots, hashes and link counts; whether the page has an article.
 
-def subtrees(page: str) -> tuple[set[int], set[int], int]:
-    """Hashes of the elements outside the article that have content of their own, of the boxes inside, and of the articles (0 for none)."""
-    outer: set[int] = set()
-    inner: set[int] = set()
-    articles = 0
-    todo = [(parse(page), False)]
-    while todo:
-        node, inside = todo.pop()
+    The articles are those elements that nothing names otherwise, else the main ones, else any.
+    """
+    for node in order[1:]:
+        node.named = node.above.named or is_named(node, False)
+    articles = [x for x in order if x.tag == "article"]
+    tops = [x for x in articles if not x.named] or [x for x in order if (x.tag == "main" or x.attrs and x.attr("role").get("role") == "main") and not x.named] or articles
+    for x in tops:
+        x.inside = True
+        while x and not x.holds:
+            x.holds, x = True, x.above
+    order[0].slot = 0
+    top = {id(x) for x in tops}
+    for node in order[1:]:
+        above = node.above
+        node.inside = node.inside or above.inside
+        got = node.attr("class", "role")
+        node.slot = _digest(f"{above.slot} {node.tag} {_DIGITS.sub('', ' '.join(sorted(got.values()))) if got else ''}")
+    for x in tops:
+        kids = [k for k in x.kids if not isinstance(k, str)]
+        for k in (*kids[:EDGE], *kids[-EDGE:]):
+            k.edge = id(k) not in top
+    for node in reversed(order):  # children before parents
+        parts = [node.tag, " ".join(node.attrs.split())]
         for kid in node.kids:
-            if isinstance(kid, tuple):
-                continue
-            within = inside or is_article(kid)
-            if within and not inside:
-                articles = (articles * 31 + subtree_hash(page, kid, True)) % (1 << 63)
-            if kid.tag not in ("html", "body", "head") and not kid.holds and kid.kids:
-                if not within:
-                    outer.add(subtree_hash(page, kid))
-                elif inside and kid.tag in _BOXES:
-                    inner.add(subtree_hash(page, kid, True))
-            if kid.tag != "head":
-                todo.append((kid, within))
-    return outer, inner, articles
-
-
-def links_only(page: str, node: Node) -> bool:
-    """Whether a list or box is little else than two or more links."""
-    links = inner = text = 0
-    todo = [(node, False)]
-    while todo:
-        x, linked = todo.pop()
-        for kid in x.kids:
-            if isinstance(kid, tuple):
-                n = len(page[kid[0] : kid[1]].strip())
-                text += n
-                inner += n * linked
+            if isinstance(kid, str):
+                text = " ".join(kid.split())
+                node.text += len(text)
+                parts.append(text)
             else:
-                links += kid.tag == "a"
-                todo.append((kid, linked or kid.tag == "a"))
-    return links >= 2 and inner >= 0.8 * text
+                node.links += kid.links + (kid.tag == "a")
+                node.text += kid.text
+                node.linked += kid.text if kid.tag == "a" else kid.linked
+                parts.append(str(kid.hash))
+        node.hash = _digest("\0".join(parts))
+    return bool(tops)
+
+
+def _counted(node: Node) -> bool:
+    return bool(node.kids) and node.tag not in _INLINE and node.tag not in ("", "html", "body", "head") and node.above.tag != "head" and not node.holds
+
+
+def keys_of(node: Node, article: bool) -> list[int]:
+    """The keys by which an element can be template."""
+    if not _counted(node):
+        return []
+    if node.inside:
+        return [_key(BOX, node.hash)] if node.tag in _BOXES else [_key(PARAGRAPH, node.hash)] if node.edge else []
+    return [_key(OUTER, node.hash), _key(BESIDE if article else FREE, node.slot)]
+
+
+def page_keys(page: str) -> list[tuple[int, int, int]]:
+    """(key, what it is counted by: the page or its articles, the content of a slot on a page without article else 0), each once."""
+    order = parse(page)
+    article = analyse(order)
+    own = _digest(page) >> 1
+    articles = _digest(" ".join(str(x.hash) for x in order if x.inside and not x.above.inside)) >> 1
+    found: dict[int, int] = {_key(k, 0): 0 for k in ((OUTER, BOX, PARAGRAPH, BESIDE) if article else (OUTER, FREE))}
+    for node in order[1:]:
+        for key in keys_of(node, article):
+            content = (found.get(key, 0) * 31 + node.hash) % (1 << 63) if key & 7 == FREE else 0
+            found[key] = content
+    return [(key, articles if key & 7 in (BOX, PARAGRAPH) else own, content) for key, content in found.items()]
+
+
+def links_only(node: Node) -> bool:
+    """Whether a list or box is little else than two or more links."""
+    return node.links >= 2 and node.linked >= 0.8 * node.text
+
+
+def extract(page: str | None, template: set[int], known: set[int] = frozenset(), names: bool = True) -> str:
+    """The text of stripped."""
+    return stripped(page, template, known, names)[0]
+
 
+def stripped(page: str | None, template: set[int], known: set[int] = frozenset(), names: bool = True) -> tuple[str, int]:
+    """The article's text, blocks in page order joined by an empty line, and how many subtrees went as template; empty for null.
 
-def extract(page: str | None, template: set[int]) -> str:
-    """The article's text: blocks in page order, joined by an empty line; empty for null."""
+    Slots beside an article that are known are left to the template alone. names=False leaves all to it.
+    """
     if not page:
-        return ""
-    root = parse(page)
+        return "", 0
+    order = parse(page)
+    article = analyse(order)
     blocks: list[str] = []
     parts: list[str] = []
+    gone = 0
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(parts)).split())
@@ -210,52 +290,38 @@ def extract(page: str | None, template: set[int]) -> str:
         if text:
             blocks.append(text)
 
-    def dropped(node: Node, inside: bool) -> bool:
-        if is_boilerplate(node, inside):
-            return True
-        if node.holds or node.tag in ("html", "body"):
-            return False
-        if inside:
-            return bool(template and node.kids and node.tag in _BOXES and subtree_hash(page, node, True) in template)
-        if template and node.kids and subtree_hash(page, node) in template:
-            return True
-        return node.tag in ("ul", "ol", "div", "table", "section") and links_only(page, node)
-
-    def find(node: Node, tag: str, found: list) -> list:
-        stack = [node]
-        while stack:
-            x = stack.pop()
-            if x is not node and x.tag and is_boilerplate(x, False):
-                continue
-            if x.tag == tag or tag == "main" and is_article(x) and x.tag != "article":
-                found.append(x)
-                continue
-            stack += [k for k in reversed(x.kids) if not isinstance(k, tuple)]
-        return found
-
-    roots = find(root, "article", []) if root.holds or "<article" in page else []
-    roots = roots or find(root, "main", [])
-    inside = bool(roots)
-    for top in roots or [root]:
-        # an explicit stack: pages nest as deeply as they like
-        stack = [(k, inside) for k in reversed(top.kids)]
-        while stack:
-            kid, within = stack.pop()
-            if kid is None:
-                flush()
-            elif isinstance(kid, tuple):
-                parts.append(page[kid[0] : kid[1]])
-            elif dropped(kid, within):
+    # an explicit stack: pages nest as deeply as they like; the flag says whether loose text counts
+    stack: list = [(k, not article) for k in reversed(order[0].kids)]
+    while stack:
+        kid, counts = stack.pop()
+        if kid is None:
+            flush()
+            continue
+        if isinstance(kid, str):
+            if counts or not names:
+                parts.append(kid)
+            continue
+        if kid.tag in _RAW or kid.tag == "head":
+            continue
+        keys = keys_of(kid, article)
+        if any(k in template for k in keys):
+            gone += 1
+            continue
+        if names and not kid.holds:
+            if kid.inside or not article:
+                if is_named(kid, kid.inside) or not kid.inside and kid.tag in ("ul", "ol", "div", "table", "section") and links_only(kid):
+                    continue
+            elif not any(k in known for k in keys) and not counts:
                 continue
-            else:
-                if kid.tag in ("br", "td", "th"):
-                    parts.append(" ")
-                if kid.tag in _BLOCK:
-                    flush()
-                    stack.append((None, within))
-                stack += [(k, within) for k in reversed(kid.kids)]
-        flush()
-    return "\n\n".join(blocks)
+        if kid.tag in ("br", "td", "th"):
+            parts.append(" ")
+        if kid.tag in _BLOCK:
+            flush()
+            stack.append((None, counts))
+        within = counts or kid.inside or any(k in known for k in keys)
+        stack += [(k, within) for k in reversed(kid.kids)]
+    flush()
+    return "\n\n".join(blocks), gone
 
 
 def host(url: str = "url") -> F.Column:
@@ -264,53 +330,56 @@ def host(url: str = "url") -> F.Column:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, subtrees (array of hashes): the element subtrees recurring on many different pages of a host.
+    """host, template, known (arrays of keys): the subtrees and slots recurring on many different pages of a host, and the slots that are settled by it.
 
-    Equal pages count once, and so do equal articles for the boxes inside. A host's array is bounded: each of its
-    subtrees stands on SHARE of the pages or in INNER_SHARE of the articles.
-    Keys are spread by host, subtree and page, so a host with a third of all pages loads no single task.
+    Equal pages count once, and so do equal articles for what stands inside. A host's arrays are bounded: each
+    of its keys stands on a share of the pages or articles. Rows are keyed by host, key and page, then
+    pre-aggregated by host and key, so a host with a third of all pages loads no single task.
     """
 
     def hashed(batches):
         for batch in batches:
-            hosts, trees, ids = [], [], []
+            hosts, rows = [], []
             for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if page:
-                    own = xxhash.xxh3_64_intdigest(page.encode("utf-8", "surrogatepass")) >> 1
-                    outer, inner, articles = subtrees(page)
-                    # 0 stands for the page itself, 1 for its articles
-                    for found, of in ((outer | {0}, own), (inner | {1} if articles else (), articles)):
-                        hosts += [h] * len(found)
-                        trees += found
-                        ids += [of] * len(found)
-            yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(trees, pa.int64()), pa.array(ids, pa.int64())], ["host", "subtree", "page"])
-
-    seen = pages.select(host().alias("host"), "html").mapInArrow(hashed, "host string, subtree long, page long")
-    counts = seen.distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    counts = common.stash(counts.where(F.col("n") >= LEAST_PAGES))
-    counts = counts.withColumn("inside", F.col("subtree").bitwiseAND(1) == 1)
-    of_host = counts.where("subtree IN (0, 1)").select("host", "inside", F.col("n").alias("all"))
-    many = counts.where("subtree NOT IN (0, 1)").join(of_host, ["host", "inside"]).where(F.col("n") >= F.col("all") * F.when(F.col("inside"), INNER_SHARE).otherwise(SHARE))
-    return many.groupBy("host").agg(F.collect_list("subtree").alias("subtrees"))
+                    found = page_keys(page)
+                    hosts += [h] * len(found)
+                    rows += found
+            yield pa.record_batch([pa.array(hosts, pa.string()), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3))], ["host", "key", "page", "content"])
+
+    seen = pages.select(host().alias("host"), "html").mapInArrow(hashed, "host string, key long, page long, content long").distinct()
+    counts = seen.groupBy("host", "key", "content").agg(F.count("*").alias("n")).groupBy("host", "key").agg(F.sum("n").alias("n"), F.count("*").alias("contents"))
+    kind = F.col("key").bitwiseAND(7)
+    counts = common.stash(counts.withColumn("kind", kind).where(F.col("n") >= F.when(kind == PARAGRAPH, LEAST_ARTICLES).otherwise(LEAST_PAGES)))
+    of_host = counts.where("key = kind").select("host", "kind", F.col("n").alias("all"))
+    shares = F.when(F.col("kind") == OUTER, SHARE).when(F.col("kind") == BOX, INNER_SHARE).when(F.col("kind") == PARAGRAPH, PARAGRAPH_SHARE).otherwise(SLOT_SHARE)
+    varied = (F.col("kind") == FREE) & (F.col("contents") > F.col("n") * VARIETY)
+    many = counts.where("key <> kind").join(of_host, ["host", "kind"]).where((F.col("n") >= F.col("all") * shares) & ~varied)
+    return many.groupBy("host").agg(F.collect_list("key").alias("template"), F.collect_list(F.when(F.col("kind") == BESIDE, F.col("key"))).alias("known"))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
-    """pages (url, html and others) with text (empty for null or nothing found). Repeated rows each keep theirs; empty tables give none."""
-    names = [c for c in pages.columns if c not in ("text", "__host", "__subtrees")]
+    """pages (url, html and others) with text (empty for null, empty or nothing found) and n_template, the subtrees removed as template.
+
+    Repeated rows each keep theirs; empty tables give none; columns named text or n_template are replaced. Null
+    urls are one host. Pages of any length and nesting are read whole, in time linear in their length.
+    """
+    names = [c for c in pages.columns if c not in ("text", "n_template", "__host", "__template", "__known")]
     found = common.stash(templates(pages))
-    by_host = found.select(F.col("host").alias("__host"), F.col("subtrees").alias("__subtrees"))
-    if found.select(F.coalesce(F.sum(F.size("subtrees")), F.lit(0))).first()[0] <= BROADCAST_ROWS:
+    by_host = found.select(F.col("host").alias("__host"), F.col("template").alias("__template"), F.col("known").alias("__known"))
+    if found.select(F.coalesce(F.sum(F.size("template") + F.size("known")), F.lit(0))).first()[0] <= BROADCAST_ROWS:
         by_host = F.broadcast(by_host)
     joined = pages.select(*names, host().alias("__host")).join(by_host, "__host", "left")
 
     def extracted(batches):
         for batch in batches:
-            text = [extract(page, set(subtrees or ())) for page, subtrees in zip(batch.column("html").to_pylist(), batch.column("__subtrees").to_pylist(), strict=True)]
+            of = zip(*(batch.column(c).to_pylist() for c in ("html", "__template", "__known")), strict=True)
+            found = [stripped(page, set(template or ()), set(known or ())) for page, template, known in of]
             kept = [batch.column(c) for c in names]
-            yield pa.record_batch([*kept, pa.array(text, pa.string())], [*names, "text"])
+            yield pa.record_batch([*kept, pa.array([t for t, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], [*names, "text", "n_template"])
 
-    schema = pages.select(*names).schema.add("text", "string")
-    return joined.select(*names, "__subtrees").mapInArrow(extracted, schema)
+    schema = pages.select(*names).schema.add("text", "string").add("n_template", "long")
+    return joined.select(*names, "__template", "__known").mapInArrow(extracted, schema)
 
 
 def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,3 +61,93 @@ def test_query(spark, tiny):
 
 def test_empty_table(spark):
     assert P.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def rows_of(spark, folder):
+    return [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html").collect()]
+
+
+def brute_templates(rows):
+    """host -> (template, known) by counting every key in dictionaries."""
+    seen, of = {}, {}
+    for _, url, page in rows:
+        host = (url or "").lower().split("://")[-1].split("/")[0].split(":")[0] if url and "://" in url else ""
+        for key, page_, content in P.page_keys(page) if page else ():
+            seen.setdefault((host, key), {}).setdefault((page_, content))
+    for (host, key), found in seen.items():
+        kind, n = key & 7, len(found)
+        every = len(seen[host, kind])
+        share = {P.OUTER: P.SHARE, P.BOX: P.INNER_SHARE, P.PARAGRAPH: P.PARAGRAPH_SHARE}.get(kind, P.SLOT_SHARE)
+        least = P.LEAST_ARTICLES if kind == P.PARAGRAPH else P.LEAST_PAGES
+        varied = kind == P.FREE and len({c for _, c in found}) > n * P.VARIETY
+        if key != kind and n >= least and n >= every * share and not varied:
+            of.setdefault(host, (set(), set()))[0].add(key)
+            if kind == P.BESIDE:
+                of[host][1].add(key)
+    return of
+
+
+def test_equals_brute_force_over_a_table(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = rows_of(spark, folder)
+    want = brute_templates(rows)
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    assert {r.host: (set(r.template), set(r.known)) for r in P.templates(pages).collect()} == want and want
+    got = {r.page_id: r.text for r in P.op5_page_text(spark, folder).collect()}
+    for page_id, url, page in rows:
+        host = url.split("://")[1].split("/")[0]
+        assert got[page_id] == P.extract(page, *want.get(host, (set(), set())))
+
+
+def test_the_template_decides_the_text(spark):
+    """On the given pages template removal alone, without a look at names, leaves the article; without it all pages of the counted hosts change."""
+    rows = rows_of(spark, "/root/testdata/sf0.1")
+    of = brute_templates(rows)
+    right = changed = counted = 0
+    for _, url, page in rows:
+        template, known = of.get(url.split("://")[1].split("/")[0], (set(), set()))
+        if known:
+            counted += 1
+            want = P.extract(page, set())  # by names
+            right += P.extract(page, template, known, names=False) == want
+            changed += P.extract(page, set(), known) != P.extract(page, template, known)
+    assert counted > 0.9 * len(rows) and right == counted and changed == counted
+
+
+def test_unnamed_template_inside_and_beside_articles(spark):
+    note, quoted = "<section class=q9><p>Sign here for our letters</p></section>", "<p>A line that most quote</p>"
+    article = "<article><h1>{k}</h1><p>Body {k}</p>{quoted}<p>More {k}</p><p>End {k}</p>{note}<p>Written for our readers</p></article>"
+    page = "<body><div class=x1><p>Motto {m}</p></div>{article}<div class=x2>Elsewhere {k}</div></body>"
+    rows = [(k, f"http://one.example/{k}", page.format(k=k, m=k % 3, article=article.format(k=k, note=note, quoted=quoted))) for k in range(20)]
+    loose = "<body><div class=x1><p>Motto {m}</p></div><div class=x3><p>Body {k}</p></div><div class=x2><p>Seen {m}</p></div></body>"
+    rows += [(100 + k, f"http://two.example/{k}", loose.format(k=k, m=k % 3)) for k in range(20)]
+    got = {r.page_id: (r.text, r.n_template) for r in P.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == (f"{k}\n\nBody {k}\n\nA line that most quote\n\nMore {k}\n\nEnd {k}", 4) for k in range(20))
+    assert all(got[100 + k] == (f"Body {k}", 2) for k in range(20))
+
+
+@pytest.mark.parametrize("page", ["<div>{n}", "<article>{n}", "<p><b>{n}", "<ul><li><b>x{n}", "<a title='x>y{n}", '<a b="c" {n}', "<title>{n}", "<span>{n}</p>{n}"])
+def test_time_is_linear_in_the_page(page):
+    import time
+
+    def took(n):
+        began, head = time.process_time(), page.split("{n}")
+        text = "".join(x * n for x in head)
+        P.page_keys(text)
+        P.extract(text, {1})
+        return time.process_time() - began
+
+    took(1000)
+    assert took(100_000) < 25 * max(took(10_000), 0.05)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p><a title=it's>x</a> text one</p><p>text two</p>", "x text one\n\ntext two"), ("<p title='a>b'>x</p>", "x"), ("<p title=\"never>x</p><p>y</p>", "x\n\ny"),
+        ("<p class = \"ad\">no</p><p class=ad>no</p><p CLASS='ad x'>no</p><p>yes", "yes"), ("a < b and <3 <p>c", "a < b and <3\n\nc"),
+        ("<main><p>Text</p><div class=comments><article>Nice</article></div></main>", "Text"),
+    ],
+)
+def test_attributes_and_loose_signs(page, text):
+    assert P.extract(page, set()) == text
