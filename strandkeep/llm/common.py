@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,20 +42,10 @@ def n_words(column: str = "text") -> F.Column:
 
 
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-_BYTE = np.random.Generator(np.random.PCG64(71)).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_FACTOR = 0x9E3779B97F4A7C15
-_UNFACTOR = pow(_FACTOR, -1, 1 << 64)
 #: Bytes hashed at a time; a text longer than that is cut at white space.
 CHUNK = 1 << 19
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """The factor's and its inverse's powers up to n, modulo 2 ** 64, kept by the worker."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, CHUNK * 2)
-        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, f, np.uint64)])) for f in (_FACTOR, _UNFACTOR)]
-    return _POWERS
+#: Words longer than that are hashed one by one.
+LONG_WORD = 64
 
 
 def _pieces(texts: list[bytes]):
@@ -81,24 +72,35 @@ def _pieces(texts: list[bytes]):
         yield first, held, False
 
 
-def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(texts: list[bytes], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of a batch end to end, and each text's first place (one more at the end).
 
-    A word's hash is a polynomial of its bytes modulo 2 ** 64, scrambled with its length; words are found and
-    hashed by whole arrays, so new words cost no more than known ones.
+    A word is read in blocks of eight bytes, each folded in by a multiplication and a bijective scramble, so
+    words of one length up to eight bytes never collide and longer ones only by chance. All words of a batch
+    take a block at a time, in whole arrays; words over LONG_WORD bytes go through xxh3 one by one.
     """
     counts, out = np.zeros(len(texts), np.int64), []
+    start_value = np.uint64((seed + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
     for first, held, _ in _pieces(texts):
         joined = b" ".join([b"", *held, b""])
-        data = np.frombuffer(joined, np.uint8)
-        power, unpower = _powers(len(data) + 1)
-        space = _SPACE[data]
+        data = np.frombuffer(joined + bytes(8), np.uint8)
+        space = _SPACE[data[: len(joined)]]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-        start, end = edge[::2], edge[1::2]
-        value = _BYTE[data]
-        value *= power[: len(data)]
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value)])
-        out.append(mixed((total[end] - total[start]) * unpower[start] + (end - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
+        start, size = edge[::2], edge[1::2] - edge[::2]
+        blocks = np.ndarray((len(joined),), "<u8", data, strides=(1,))  # eight bytes from any place on
+        value = start_value + size.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        there, at, left = slice(None), start, size
+        for _ in range(LONG_WORD // 8):
+            block = blocks[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.minimum(left, 8).astype(np.uint64) * np.uint64(8)))
+            value[there] = mixed((value[there] ^ block) * np.uint64(0xFF51AFD7ED558CCD))
+            more = np.flatnonzero(left > 8)
+            if not len(more):
+                break
+            there = more if isinstance(there, slice) else there[more]
+            at, left = at[more] + 8, left[more] - 8
+        for k in np.flatnonzero(size > LONG_WORD).tolist():
+            value[k] = xxhash.xxh3_64_intdigest(joined[start[k] : start[k] + size[k]], seed)
+        out.append(value)
         stops = np.cumsum([len(x) + 1 for x in held]) + 1
         counts[first : first + len(held)] += np.diff(np.searchsorted(start, stops), prepend=0)
     starts = np.zeros(len(texts) + 1, np.int64)
@@ -110,14 +112,14 @@ def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 MULTIPLIERS = [pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(64)]
 
 
-def rolling(hashes: np.ndarray, size: int, lane: int = 0) -> np.ndarray:
+def rolling(hashes: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit hash of every run of size consecutive word hashes (none if there are fewer)."""
     n = len(hashes) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for k in range(size):
-        out += mixed(hashes[k : k + n] + np.uint64(lane)) * np.uint64(MULTIPLIERS[k]) if lane else hashes[k : k + n] * np.uint64(MULTIPLIERS[k])
+        out += hashes[k : k + n] * np.uint64(MULTIPLIERS[k])
     return mixed(out)
 
 

@@ -3,7 +3,8 @@
 Hashes are dealt to buckets. They travel first once per batch, pre-aggregated, to find those that several
 documents have; then with their places, in salted parts, past the bucket's result, which stands first in
 each sorted part. A part is streamed: a hash that a third of all documents have costs time spread over the
-salts, and no memory. A bucket's result holds different hashes only, and the buckets follow their number.
+salts, and no memory; the first pass counts the places of each bucket, and the salts follow that count. A
+bucket's result holds different hashes only, and the buckets follow their number.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 
 from strandkeep.llm import common
 
-#: Different hashes of a bucket, about; the least number of buckets; parts that a bucket's places are salted to.
+#: Different hashes of a bucket, about; the least number of buckets; least parts that a bucket's places are salted to.
 BUCKET_HASHES, LEAST_BUCKETS, SALTS = 2_000_000, 48, 4
+#: Buckets with more than this share of all places are salted by their count; the driver learns these alone.
+HOT_SHARE = 1e-5
 
 
 def buckets_for(hashes: float) -> int:
@@ -38,16 +41,16 @@ def _groups(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Packing:
-    """How the hashes of one comparison travel. wide: a 64-bit and a 32-bit hash, else 32 bits within the bucket; least: with the smallest document."""
+    """How the hashes of one comparison travel. wide: two of 64 bits, else 32 bits within the bucket; least: with the smallest document."""
 
     def __init__(self, buckets: int, wide: bool, least: bool):
         self.buckets, self.wide, self.least = buckets, wide, least
-        self.kinds = [np.dtype(np.uint64), np.dtype(np.uint32)] if wide else [np.dtype(np.uint32)]
+        self.kinds = [np.dtype(np.uint64), np.dtype(np.uint64)] if wide else [np.dtype(np.uint32)]
 
     def split(self, hashes: list[np.ndarray]):
         """(bucket, where its hashes are, their keys) for each bucket that has some."""
         bucket = (hashes[0] % np.uint64(self.buckets)).astype(np.int64)
-        keys = [hashes[0], (hashes[1] >> np.uint64(32)).astype(np.uint32)] if self.wide else [(hashes[0] // np.uint64(self.buckets)).astype(np.uint32)]
+        keys = [hashes[0], hashes[1]] if self.wide else [(hashes[0] // np.uint64(self.buckets)).astype(np.uint32)]
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
         for part in np.split(order, cuts) if len(order) else ():
@@ -77,15 +80,15 @@ class Packing:
         return [k[order][first] for k in keys], (size > 1) | np.logical_or.reduceat(many[order], first), np.minimum.reduceat(least[order], first)
 
 
-def seen_once_a_batch(packing: Packing, hashes, text, ids) -> list[tuple[int, bytes]]:
-    """(bucket, packed keys) of a batch, each key once, with whether several of its documents have it."""
+def seen_once_a_batch(packing: Packing, hashes, text, ids) -> list[tuple[int, int, bytes]]:
+    """(bucket, places, packed keys) of a batch, each key once, with whether several of its documents have it."""
     out = []
     for bucket, part, keys in packing.split(hashes):
         order, first = _groups(keys)
         own = ids[text[part]][order]
         size = np.diff(np.append(first, len(order)))
         low, high = np.minimum.reduceat(text[part][order], first), np.maximum.reduceat(text[part][order], first)
-        out.append((bucket, packing.pack([k[order][first] for k in keys], (low != high) & (size > 1), np.minimum.reduceat(own, first))))
+        out.append((bucket, len(part), packing.pack([k[order][first] for k in keys], (low != high) & (size > 1), np.minimum.reduceat(own, first))))
     return out
 
 
@@ -116,7 +119,7 @@ def _find(keys: list[np.ndarray], among: list[np.ndarray]) -> np.ndarray:
     if not n:
         return np.full(len(keys[0]), -1)
     at = np.searchsorted(among[0], keys[0])
-    if len(keys) > 1:  # equal first hashes are all but unheard of; step over them
+    if len(keys) > 1:  # step over equal first halves
         for _ in range(64):
             ahead = (at < n) & (among[0][np.minimum(at, n - 1)] == keys[0]) & (among[1][np.minimum(at, n - 1)] != keys[1])
             if not ahead.any():
@@ -142,22 +145,23 @@ def repeated(rows: DataFrame, produce, packing: Packing, members: bool = False)
         for batch in batches:
             hashes, text, _, ids, _ = produce(batch)
             got = seen_once_a_batch(packing, hashes, text, ids)
-            yield pa.record_batch([pa.array([b for b, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], ["bucket", "data"])
+            yield pa.record_batch([pa.array([b for b, _, _ in got], pa.int32()), pa.array([n for _, n, _ in got], pa.int64()), pa.array([x for _, _, x in got], pa.binary())], ["bucket", "n", "data"])
 
     def reduce(batches):
-        bucket, parts, held = None, [], 0
+        bucket, parts, held, total = None, [], 0, 0
 
         def done():
             keys, many, least = packing.merge(parts)
-            return pa.record_batch([pa.array([bucket], pa.int32()), pa.array([packing.pack([k[many] for k in keys], many[many], least[many])], pa.binary())], ["bucket", "data"])
+            return pa.record_batch([pa.array([bucket], pa.int32()), pa.array([total], pa.int64()), pa.array([packing.pack([k[many] for k in keys], many[many], least[many])], pa.binary())], ["bucket", "n", "data"])
 
         for batch in batches:
-            for b, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for b, n, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if b != bucket:
                     if parts:
                         yield done()
-                    bucket, parts, held = b, [], 0
+                    bucket, parts, held, total = b, [], 0, 0
                 parts.append(packing.unpack(data))
+                total += n
                 held += len(parts[-1][1])
                 if held > 4 * len(parts[0][1]) + 2_000_000:
                     parts = [packing.merge(parts)]
@@ -170,7 +174,7 @@ def repeated(rows: DataFrame, produce, packing: Packing, members: bool = False)
         for batch in batches:
             got = places(packing, *produce(batch))
             turn += 1
-            yield pa.record_batch([pa.array([b for b, _ in got], pa.int32()), pa.array([turn % SALTS] * len(got), pa.int32()), pa.array([1] * len(got), pa.int32()), pa.array([x for _, x in got], pa.binary())], ["bucket", "salt", "kind", "data"])
+            yield pa.record_batch([pa.array([b for b, _ in got], pa.int32()), pa.array([turn % salts_of.get(b, SALTS) for b, _ in got], pa.int32()), pa.array([1] * len(got), pa.int32()), pa.array([x for _, x in got], pa.binary())], ["bucket", "salt", "kind", "data"])
 
     def look_up(batches):
         bucket, found = None, None
@@ -202,10 +206,14 @@ def repeated(rows: DataFrame, produce, packing: Packing, members: bool = False)
             else:
                 yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(keys_out, pa.int64()), pa.array(out, pa.binary())], ["doc", "key", "places"])
 
-    common_rows = rows.mapInArrow(first_pass, "bucket int, data binary").repartition(min(n, count), "bucket").sortWithinPartitions("bucket").mapInArrow(reduce, "bucket int, data binary")
-    shared = common.stash(common_rows)
-    salts = F.explode(F.array(*[F.lit(k) for k in range(SALTS)])).alias("salt")
-    parts = shared.select("bucket", salts, F.lit(0).alias("kind"), "data").unionByName(rows.mapInArrow(second_pass, "bucket int, salt int, kind int, data binary"))
+    found = rows.mapInArrow(first_pass, "bucket int, n long, data binary").repartition(count, "bucket").sortWithinPartitions("bucket").mapInArrow(reduce, "bucket int, n long, data binary")
+    shared = common.stash(found)
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    salts = F.when(F.col("n") > total * HOT_SHARE, F.greatest(F.lit(SALTS), F.ceil(F.col("n") / BUCKET_HASHES))).otherwise(F.lit(SALTS)).cast("int")
+    hot = shared.withColumn("salts", salts).where(F.col("salts") > SALTS).select("bucket", "salts").collect()  # at most 1 / HOT_SHARE rows
+    salts_of = {r["bucket"]: r["salts"] for r in hot}
+    salt = F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")
+    parts = shared.select("bucket", salt, F.lit(0).alias("kind"), "data").unionByName(rows.mapInArrow(second_pass, "bucket int, salt int, kind int, data binary"))
     sorted_parts = parts.repartition(max(n, count), "bucket", "salt").sortWithinPartitions("bucket", "kind").select("bucket", "salt", "kind", "data")
     return sorted_parts.mapInArrow(look_up, "hash long, doc long, leader long" if members else "doc long, key long, places binary")
 

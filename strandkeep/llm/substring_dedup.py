@@ -3,18 +3,22 @@
 A window is SPAN consecutive words. Two equal windows need not start at like positions, but with the
 difference cover {0, 1, 3} modulo 7 some shift d below 7 puts both starts on cover positions; so two equal
 windows share an anchor, ANCHOR words long, that stands on a cover position in either document. Only the
-anchors at cover positions (three of seven) are hashed and compared over the whole corpus. Windows that
-hold no repeated anchor are dropped; the others extend to all their words, compared by 128-bit hashes, and
-every window learns the smallest document that it starts in.
+anchors at cover positions (three of seven) are hashed and compared over the whole corpus, by 32 bits within a
+bucket: anchors that collide only bring more windows to the next step. Windows that hold no repeated anchor are
+dropped; the others extend to all their words. What is compared there is the 128-bit BLAKE2b digest of the very
+words, joined by one space, so no window is taken for another: among 10 ** 13 windows two different ones agree with
+probability 1e-12. Every window learns the smallest document that it starts in.
 
 Both comparisons go through packed.repeated.
 
-Texts equal throughout are settled first: all but the copies with the smallest doc_id lose all words
+Texts equal throughout (by SHA-256) are settled first: all but the copies with the smallest doc_id lose all words
 (if there are at least SPAN), and one copy of each text takes part in the comparison.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,32 +34,45 @@ ANCHOR = SPAN - PERIOD + 1
 _NULL_ID = (1 << 63) - 1
 
 
-def runs(words: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def runs(starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of size words inside one text: their place in the batch, their text, their place in the text."""
     text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    at = np.arange(max(0, len(words) - size + 1))
+    at = np.arange(max(0, len(text) - size + 1))
     at = at[text[at] == text[at + size - 1]] if len(at) else at
     return at, text[at], at - starts[text[at]]
 
 
 def anchors(words: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Hash, text and place of the anchors at cover positions."""
-    at, text, place = runs(words, starts, ANCHOR)
+    at, text, place = runs(starts, ANCHOR)
     on = np.isin(place % PERIOD, COVER)
     return [common.rolling(words, ANCHOR)[at[on]]], text[on], place[on]
 
 
-def windows(words: np.ndarray, starts: np.ndarray, marked: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Two hashes, text and place of the windows that hold a marked anchor; marked: places of anchors by text."""
-    at, text, place = runs(words, starts, SPAN)
-    if not len(at):
-        return [np.empty(0, np.uint64)] * 2, text, place
-    edge = np.zeros(len(words) + 1, np.int32)
+def windows(starts: np.ndarray, marked: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Text and place of the windows that hold a marked anchor; marked: places of anchors by text."""
+    at, text, place = runs(starts, SPAN)
+    edge = np.zeros(int(starts[-1]) + 1, np.int32)
     for k, m in enumerate(marked):
         edge[starts[k] + m] = 1
     held = np.concatenate([[0], np.cumsum(edge)])
     on = held[at + PERIOD] > held[at]  # an anchor starts at the window's first to seventh word
-    return [common.rolling(words, SPAN)[at[on]], common.rolling(words, SPAN, lane=0x5BD1E995)[at[on]]], text[on], place[on]
+    return text[on], place[on]
+
+
+def digests(words: list[list[bytes]], text: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+    """The two halves of the digest of each window's words; windows are in text order."""
+    out = []
+    edges = np.searchsorted(text, np.arange(len(words) + 1))
+    for k, own in enumerate(words):
+        at = place[edges[k] : edges[k + 1]]
+        if len(at):
+            joined = b" ".join(own)
+            stop = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1) - 1
+            begin = np.concatenate([[0], stop[:-1] + 1])
+            out += [blake2b(joined[a:b], digest_size=16).digest() for a, b in zip(begin[at].tolist(), stop[at + SPAN - 1].tolist(), strict=True)]
+    halves = np.frombuffer(b"".join(out), np.uint64).reshape(-1, 2)
+    return [halves[:, 0].copy(), halves[:, 1].copy()]
 
 
 def removed_windows(docs: DataFrame) -> DataFrame:
@@ -63,21 +80,16 @@ def removed_windows(docs: DataFrame) -> DataFrame:
 
     copy: all words go, as an equal text has a smaller id; places: packed starts of removed windows, in parts.
     """
-    narrow = common.stash(docs.select("doc", "key", F.xxhash64(F.lit(3), "text").alias("t1"), F.xxhash64(F.lit(5), "text").alias("t2"), common.n_words("text").alias("n")))
+    narrow = common.stash(docs.select("doc", "key", F.unhex(F.sha2("text", 256)).alias("digest"), common.n_words("text").alias("n")))
     total = narrow.agg(F.sum("n")).first()[0] or 0
-    same = narrow.groupBy("t1", "t2").agg(F.min("doc").alias("least"), F.count("*").alias("copies"))
-    listed = narrow.join(common.sized(common.stash(same.where("copies > 1"))), ["t1", "t2"])
+    same = narrow.groupBy("digest").agg(F.min("doc").alias("least"), F.count("*").alias("copies"))
+    listed = narrow.join(common.sized(common.stash(same.where("copies > 1")), F.lit(32)), "digest")
     others = common.stash(listed.where("doc > least").select("doc", "key").distinct())
     longs = docs.join(common.sized(others), ["doc", "key"], "left_anti").select("doc", "key", "text")
 
-    def batch_of(batch):
-        ids, row_keys = batch.column("doc").to_numpy(), batch.column("key").to_numpy()
-        words, starts = common.hash_words(common.texts(batch.column("text")))
-        return words, starts, ids, row_keys
-
     def anchored(batch):
-        words, starts, ids, row_keys = batch_of(batch)
-        return *anchors(words, starts), ids, row_keys
+        words, starts = common.hash_words(common.texts(batch.column("text")))
+        return *anchors(words, starts), batch.column("doc").to_numpy(), batch.column("key").to_numpy()
 
     buckets = packed.buckets_for(total * len(COVER) / PERIOD)
     marked = packed.repeated(longs, anchored, packed.Packing(buckets, wide=False, least=False))
@@ -87,9 +99,11 @@ def removed_windows(docs: DataFrame) -> DataFrame:
     held = longs.join(marked, ["doc", "key"])
 
     def windowed(batch):
-        words, starts, ids, row_keys = batch_of(batch)
-        places_ = [np.concatenate([np.frombuffer(x, np.int32) for x in parts]) for parts in batch.column("places").to_pylist()]
-        return *windows(words, starts, places_), ids, row_keys
+        words = [t.split() for t in common.texts(batch.column("text"))]
+        starts = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+        marks = [np.concatenate([np.frombuffer(x, np.int32) for x in parts]) for parts in batch.column("places").to_pylist()]
+        text, place = windows(starts, marks)
+        return digests(words, text, place), text, place, batch.column("doc").to_numpy(), batch.column("key").to_numpy()
 
     buckets = packed.buckets_for(candidates * 2)
     gone = packed.repeated(held, windowed, packed.Packing(buckets, wide=True, least=True)).groupBy("doc", "key").agg(F.collect_list("places").alias("places"))

@@ -78,3 +78,43 @@ def test_word_hashes_split_like_words():
 
 def test_buckets_follow_the_hashes():
     assert packed.buckets_for(10) == packed.LEAST_BUCKETS < packed.buckets_for(1e9)
+
+
+def thue_morse(n):
+    """A string of 2 ** n letters and its complement: equal under any polynomial hash modulo 2 ** 64."""
+    word = b"a"
+    for _ in range(n):
+        word += word.translate(bytes.maketrans(b"ab", b"ba"))
+    return word, word.translate(bytes.maketrans(b"ab", b"ba"))
+
+
+def test_words_that_polynomials_take_for_equal(spark):
+    one, two = (w.decode() for w in thue_morse(10))
+    shared = " ".join(f"w{k}" for k in range(12))
+    compare(spark.createDataFrame([(1, f"{shared} {one}"), (2, f"{shared} {two}"), (3, f"{one} {shared} {two}"), (4, f"x {shared} {one} y")], "doc_id long, text string"))
+    hashes, _ = common.hash_words([one.encode(), two.encode()])
+    assert hashes[0] != hashes[1]
+
+
+def test_hashes_of_words_of_every_length():
+    rng = random.Random(5)
+    words = {bytes(rng.choice(b"ab") for _ in range(n)) for n in [*range(1, 90), 500] for _ in range(40)}
+    words = sorted(words)
+    hashes, _ = common.hash_words([b" ".join(words)])
+    again, starts = common.hash_words([b"\t" + w + b" " for w in words])
+    assert len(set(hashes.tolist())) == len(words) and (hashes == again).all() and list(starts) == list(range(len(words) + 1))
+    assert not set(common.hash_words([b" ".join(words)], 1)[0].tolist()) & set(hashes.tolist())
+
+
+def test_windows_are_compared_when_all_anchors_collide(spark, monkeypatch):
+    monkeypatch.setattr(common, "rolling", lambda hashes, size: hashes[: max(0, len(hashes) - size + 1)] * 0)
+    words = [f"w{k}" for k in range(40)]
+    keys = S.digests([[w.encode() for w in words]], *S.windows(S.np.array([0, 40]), [S.np.arange(34)]))
+    assert len({(int(a), int(b)) for a, b in zip(*keys)}) == 28
+
+
+def test_a_hot_bucket_gets_salts_by_its_places(spark, monkeypatch):
+    monkeypatch.setattr(packed, "BUCKET_HASHES", 50)
+    monkeypatch.setattr(packed, "LEAST_BUCKETS", 3)
+    line = " ".join(f"h{k}" for k in range(15))
+    compare(spark.createDataFrame([(k, f"{line} own{k}") for k in range(300)], "doc_id long, text string").repartition(9))
