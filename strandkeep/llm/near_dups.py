@@ -1,16 +1,17 @@
 """Near-duplicate documents by SetSketch registers.
 
-A document's set is its distinct word shingles. Texts with equal sets are one class, and one document of it,
+A document's set is its distinct word shingles, hashed to 64 bits for sketches. Texts with equal sets (by the
+digests of two such sets, hashed with different seeds: 192 bits) are one class, and one document of it,
 with the smallest doc_id, goes on. Its sketch has REGISTERS registers, each the smallest of the set's
 exponentially distributed hash values on an exponential scale, cut off to a fixed range; registers of a
 union are the larger ones, and equal registers are likely in proportion to similarity. Bands of registers
 are hashed, and documents of one band value are compared:
 
 1. with the smallest document of the value: a star, as many pairs as members. The joint likelihood of the
-   registers says whether a pair can be near enough, then the full sets decide;
+   registers says whether a pair can be near enough, then the full sets of the words themselves decide;
 2. where documents of one value are still in different components after that, those outside the leader's
-   component with all documents of the value, in blocks that hold the sets and return only links that join
-   two components.
+   component with all documents of the value, in blocks that hold the words, are bounded by documents and
+   bytes, and return only links that join two components.
 
 So no pair of one band value stays undecided, no group is paired out, and no block outgrows a task.
 """
@@ -35,16 +36,19 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, LARGEST = 1.02, 20.0, (1 << 16) - 2
 #: A pair is given up unread if its estimate lies so many standard errors under the threshold.
 ERRORS = 5.0
-#: Most documents of a block: of those outside the leader's component, and of all of the band value.
-BLOCK_REST, BLOCK_ALL = 512, 2048
+#: A block's documents and bytes, about: of those outside the leader's component, and of all of the band value.
+BLOCK_REST, BLOCK_ALL = 128, 512
+REST_BYTES, ALL_BYTES = 4 << 20, 16 << 20
+#: Sets of shingles that a block keeps spelled out.
+HELD_SETS = 64
 #: Documents without an id are keyed from here on, by a hash of their text.
 _NULL_IDS = 1 << 62
 _FACTORS = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], size: int, seed: int = 0) -> list[np.ndarray]:
     """Sorted distinct hashes of the shingles of each text, A-Z in lower case; fewer words than size are one shingle, none are none."""
-    words, starts = common.hash_words([t.lower() for t in texts])
+    words, starts = common.hash_words([t.lower() for t in texts], seed)
     every, out = common.rolling(words, size), []
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
         if b - a >= size:
@@ -54,6 +58,12 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     return out
 
 
+def spelled(text: bytes, size: int) -> set[tuple[bytes, ...]]:
+    """The shingles themselves."""
+    words = text.lower().split()
+    return set(zip(*(words[k:] for k in range(size)), strict=False)) if len(words) >= size else {tuple(words)} if words else set()
+
+
 def sketch(elements: np.ndarray) -> np.ndarray:
     """The registers of a set of 64-bit hashes, uint16; zeros for the empty set."""
     if not len(elements):
@@ -99,9 +109,9 @@ def near_enough(a, b, n_a, n_b, percent: int) -> np.ndarray:
     return sizes & (likeliest(a, b, n_a.astype(float), n_b.astype(float)) >= t - ERRORS * math.sqrt(t * (1 - t) / REGISTERS))
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+def linked(a: set, b: set, percent: int) -> bool:
     """100 * intersection >= percent * union, on the full sets."""
-    both = len(a) + len(b) - len(np.union1d(a, b))
+    both = len(a & b)
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
@@ -115,61 +125,70 @@ def band_hashes(registers: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame, size: int) -> DataFrame:
-    """doc, t (a hash of the text), n (size of the set), s1, s2 (a 128-bit digest of it) of rows doc, text."""
+    """doc, t (a digest of the text), n (size of the set), s (digests of the set under two seeds) of rows doc, text."""
 
     def digested(batches):
         for batch in batches:
-            sets = shingle_sets(common.texts(batch.column("text")), size)
-            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2) if digests else np.empty((0, 2), np.int64)
-            yield pa.record_batch([batch.column("doc"), batch.column("t"), pa.array([len(s) for s in sets], pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], ["doc", "t", "n", "s1", "s2"])
+            texts = common.texts(batch.column("text"))
+            one, two = (shingle_sets(texts, size, seed) for seed in (0, 1))
+            digests = [xxhash.xxh3_128_digest(x.tobytes()) + xxhash.xxh3_64_digest(y.tobytes()) for x, y in zip(one, two, strict=True)]
+            yield pa.record_batch([batch.column("doc"), batch.column("t"), pa.array([len(x) for x in one], pa.int64()), pa.array(digests, pa.binary())], ["doc", "t", "n", "s"])
+
+    return docs.select("doc", _digest().alias("t"), "text").mapInArrow(digested, "doc long, t binary, n long, s binary")
+
 
-    return docs.select("doc", F.xxhash64("text").alias("t"), "text").mapInArrow(digested, "doc long, t long, n long, s1 long, s2 long")
+def _digest() -> F.Column:
+    return F.unhex(F.sha2("text", 256))
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc, elements (packed hashes), registers (packed) of rows doc, text."""
+    """doc, words (joined by one space, in lower case), n (size of the set), registers (packed) of rows doc, text."""
 
     def built(batches):
         for batch in batches:
-            sets = shingle_sets(common.texts(batch.column("text")), size)
-            yield pa.record_batch([batch.column("doc"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())], ["doc", "elements", "registers"])
+            texts = common.texts(batch.column("text"))
+            sets = shingle_sets(texts, size)
+            words = [b" ".join(t.lower().split()) for t in texts]
+            columns = [batch.column("doc"), pa.array(words, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x).tobytes() for x in sets], pa.binary())]
+            yield pa.record_batch(columns, ["doc", "words", "n", "registers"])
 
-    return docs.select("doc", "text").mapInArrow(built, "doc long, elements binary, registers binary")
+    return docs.select("doc", "text").mapInArrow(built, "doc long, words binary, n long, registers binary")
 
 
 def _rows(values: list[bytes], kind) -> np.ndarray:
     return np.frombuffer(b"".join(values), kind).reshape(len(values), -1)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b of those pairs that are linked: estimated from the sketches first, then decided on the sets."""
-    one, two = (sets.select(F.col("doc").alias(x), F.col("elements").alias(f"e{x}"), F.col("registers").alias(f"r{x}")) for x in "ab")
+def _verify(pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b of those pairs that are linked: estimated from the sketches first, then decided on the words."""
+    one, two = (sets.select(F.col("doc").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("words", "n", "registers"))) for x in "ab")
 
     def decided(batches):
         for batch in batches:
-            a, b, ea, eb, ra, rb = (batch.column(c).to_pylist() for c in ("a", "b", "ea", "eb", "ra", "rb"))
-            keep = []
+            a, b, wa, wb, ra, rb, na, nb = (batch.column(c).to_pylist() for c in ("a", "b", "words_a", "words_b", "registers_a", "registers_b", "n_a", "n_b"))
+            keep, last, own = [], None, set()
             if a:
-                n_a, n_b = (np.array([len(x) // 8 for x in e]) for e in (ea, eb))
-                room = near_enough(_rows(ra, np.uint16), _rows(rb, np.uint16), n_a, n_b, percent)
-                keep = [k for k in np.flatnonzero(room).tolist() if linked(np.frombuffer(ea[k], np.uint64), np.frombuffer(eb[k], np.uint64), percent)]
+                room = near_enough(_rows(ra, np.uint16), _rows(rb, np.uint16), np.array(na), np.array(nb), percent)
+                for k in np.flatnonzero(room).tolist():
+                    if b[k] != last:  # rows of one leader stand together
+                        last, own = b[k], spelled(wb[k], size)
+                    if linked(spelled(wa[k], size), own, percent):
+                        keep.append(k)
             yield pa.record_batch([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], ["a", "b"])
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ea", "eb", "ra", "rb").mapInArrow(decided, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", *(f"{c}_{x}" for c in ("words", "n", "registers") for x in "ab")).mapInArrow(decided, "a long, b long")
 
 
-def block_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+def block_links(rows: list[tuple], size: int, percent: int) -> list[tuple[int, int]]:
     """Links of one block that join two components: each document of rest against all.
 
-    rows: doc, component, rest, elements, registers. Sketches rule pairs out, sets decide, and documents that
-    a link has joined are not compared again.
+    rows: doc, component, rest, words, n, registers. Sketches rule pairs out, the words decide, and documents
+    that a link has joined are not compared again.
     """
     if not rows:
         return []
-    docs, components, rest, elements, registers = zip(*rows, strict=True)
-    sketches = _rows(registers, np.uint16)
-    n = np.array([len(x) // 8 for x in elements])
+    docs, components, rest, words, n, registers = zip(*rows, strict=True)
+    sketches, n = _rows(registers, np.uint16), np.array(n)
     _, own = np.unique(components, return_inverse=True)
     root = np.arange(own.max() + 1)
     t = percent / 100
@@ -183,12 +202,14 @@ def block_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
         if not len(there):
             continue
         there = there[near_enough(sketches[there], sketches[k][None, :], n[there], np.full(len(there), n[k]), percent)]
+        mine = spelled(words[k], size) if len(there) else set()
         for j in there.tolist():
             if root[own[j]] != root[own[k]]:
-                for x in (j, k):
-                    if x not in sets:
-                        sets[x] = np.frombuffer(elements[x], np.uint64)
-                if linked(sets[k], sets[j], percent):
+                if j not in sets:
+                    if len(sets) >= HELD_SETS:
+                        sets.clear()
+                    sets[j] = spelled(words[j], size)
+                if linked(mine, sets[j], percent):
                     out.append((docs[k], docs[j]))
                     root[root == root[own[j]]] = root[own[k]]
     return out
@@ -200,11 +221,11 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     Documents link if 100 * intersection >= percent * union of their sets; empty sets link with nothing.
     """
     known = common.stash(described(docs, size))
-    equal = known.where("n > 0").groupBy("s1", "s2").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
-    others = common.stash(known.join(common.sized(common.stash(equal.where("least < most"))), ["s1", "s2"]).where("doc <> least").select("doc", "t", "least"))
+    equal = known.where("n > 0").groupBy("s").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
+    others = common.stash(known.join(common.sized(common.stash(equal.where("least < most")), F.lit(24)), "s").where("doc <> least").select("doc", "t", "least"))
     empty = known.where("n = 0").select("doc", "t")
     apart = others.select("doc", "t").unionByName(empty).distinct()
-    one = docs.withColumn("t", F.xxhash64("text")).join(common.sized(common.stash(apart)), ["doc", "t"], "left_anti").select("doc", "text")
+    one = docs.withColumn("t", _digest()).join(common.sized(common.stash(apart), F.lit(32)), ["doc", "t"], "left_anti").select("doc", "text")
 
     def banded(batch):
         sets = shingle_sets(common.texts(batch.column("text")), size)
@@ -218,20 +239,26 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     stars = members.where("doc <> leader").select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct()
     touched = common.stash(members.select("doc").distinct())
     sets = common.stash(_sets(one.join(touched, "doc", "left_semi"), size))
-    links = common.stash(_verify(stars, sets, percent))
+    links = common.stash(_verify(stars, sets, size, percent))
     first = connected(links)
     # band values that still hold several components
-    inside = members.join(first.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    nodes = sets.groupBy("doc").agg(F.sum(F.octet_length("words")).alias("bytes")).join(first.withColumnRenamed("node", "doc"), "doc", "left")
+    inside = members.join(nodes, "doc").withColumn("component", F.coalesce("component", "doc"))
     lead = first.select(F.col("node").alias("leader"), F.col("component").alias("of_leader"))
     inside = inside.join(lead, "leader", "left").withColumn("rest", F.col("component") != F.coalesce("of_leader", "leader"))
-    inside = common.stash(inside.select("hash", "doc", "component", "rest"))
+    inside = common.stash(inside.select("hash", "doc", "component", "rest", "bytes"))
     # a value of two documents has had its pair compared; values of the same documents are compared once
     of_value = inside.groupBy("hash").agg(
         F.count("*").alias("all"), F.sum(F.col("rest").cast("long")).alias("some"),
+        F.sum("bytes").alias("all_bytes"), F.coalesce(F.sum(F.when(F.col("rest"), F.col("bytes"))), F.lit(0)).alias("some_bytes"),
         *(F.sum(F.xxhash64(F.lit(k), "doc").bitwiseAND(F.lit((1 << 30) - 1))).alias(f"sum{k}") for k in (1, 2)),
     )
-    open_ = of_value.where("some > 0 AND all > 2").groupBy("all", "some", "sum1", "sum2").agg(F.min("hash").alias("hash")).select("hash", "all", "some")
-    blocks = inside.join(open_, "hash").withColumns({"x": F.ceil(F.col("all") / BLOCK_ALL).cast("int"), "y": F.ceil(F.col("some") / BLOCK_REST).cast("int")})
+    parts = {
+        "x": F.greatest(F.ceil(F.col("all") / BLOCK_ALL), F.ceil(F.col("all_bytes") / ALL_BYTES)).cast("int"),
+        "y": F.greatest(F.ceil(F.col("some") / BLOCK_REST), F.ceil(F.col("some_bytes") / REST_BYTES)).cast("int"),
+    }
+    open_ = of_value.where("some > 0 AND all > 2").withColumns(parts).groupBy("x", "y", "all", "some", "sum1", "sum2").agg(F.min("hash").alias("hash")).select("hash", "x", "y")
+    blocks = inside.join(open_, "hash")
     spread = F.pmod(F.xxhash64("doc"), F.col("x")).cast("int")
     alls = blocks.where("NOT rest").withColumn("bx", spread).withColumn("by", F.explode(F.sequence(F.lit(0), F.col("y") - 1)))
     rests = blocks.where("rest").withColumn("by", F.pmod(F.xxhash64("doc"), F.col("y")).cast("int")).withColumn("bx", F.explode(F.sequence(F.lit(0), F.col("x") - 1)))
@@ -245,18 +272,18 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         held, block = [], None
         for batch in batches:
             out = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("hash", "bx", "by", "doc", "component", "rest", "elements", "registers")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in (*columns, "words", "n", "registers")), strict=True):
                 if row[:3] != block:
-                    out += block_links(held, percent)
+                    out += block_links(held, size, percent)
                     held, block = [], row[:3]
                 held.append(row[3:])
             yield pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-        out = block_links(held, percent)
+        out = block_links(held, size, percent)
         yield pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = dealt.join(sets, "doc").repartition(n, "hash", "bx", "by").sortWithinPartitions("hash", "bx", "by", "doc")
-    more = sorted_.select(*columns, "elements", "registers").mapInArrow(joined, "a long, b long")
+    more = sorted_.select(*columns, "words", "n", "registers").mapInArrow(joined, "a long, b long")
     all_links = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(common.stash(more))
     classes = connected(all_links.unionByName(others.select(F.col("doc").alias("a"), F.col("least").alias("b"))))
     sizes = known.groupBy("doc").agg(F.max("n").alias("n_shingles"))

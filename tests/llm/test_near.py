@@ -116,3 +116,37 @@ def test_rows_without_id_are_told_apart_by_text(spark):
     got = {r.text: r for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[t].kept for _, t in rows] == [False, True, True, True, True]
     assert [got[t].component_id for _, t in rows] == [12, None, None, 12, (1 << 63) - 5]
+
+
+def test_words_that_polynomials_take_for_equal(spark):
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{word} p q"), (2, f"{other} p q"), (3, f"{word} P Q"), (4, other), (5, word)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == brute(rows, 3, 85) and got[2] == (1, 2)
+
+
+def test_links_are_decided_on_the_words(monkeypatch):
+    """With sketches that take all texts for equal no unequal texts link."""
+    registers = N.sketch(np.arange(1, 50, dtype=np.uint64)).tobytes()
+    words = [b"a b c d e", b"a b c d f", b"A b c d e", b"x y z u v"]
+    links = N.block_links([(k, k, True, w, 3, registers) for k, w in enumerate(words)], 3, 85)
+    assert links == [(0, 2)]
+
+
+def test_blocks_are_bounded_by_bytes(monkeypatch, spark):
+    monkeypatch.setattr(N, "REST_BYTES", 2000)
+    monkeypatch.setattr(N, "ALL_BYTES", 3000)
+    monkeypatch.setattr(N, "HELD_SETS", 2)
+    rng = random.Random(19)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(30):
+        words = list(base)
+        for _ in range(k % 9):
+            words[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == {i: c for i, (_, c) in brute(rows, 3, 85).items()}
