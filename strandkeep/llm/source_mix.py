@@ -2,8 +2,8 @@
 
 Every source has a target number of words. Whole passes over the source are taken while they fit; the
 remaining budget is filled from a histogram of exact document lengths by a bounded knapsack, which says
-how many documents of each length to take once more; of each length the documents with the smallest
-seeded hashes are taken. The result depends on the rows and the seed alone.
+how many documents of each length to take once more; of each length the rows with the smallest seeded hashes
+are taken. The result depends on the rows and the seed alone.
 """
 
 from __future__ import annotations
@@ -23,11 +23,13 @@ MOST = 3
 EXACT, LARGEST = 1 << 16, 1 << 25
 #: Bits of the hash ranges by which a length's documents are counted before the last range is ranked.
 RANGE_BITS = 10
+#: Equal rows that are numbered in one part, about.
+TIED = 100_000
 
 
-def cycle_weights(n: int) -> list[int]:
-    """The weights 1, 2, 3, repeating."""
-    return [k % 3 + 1 for k in range(n)]
+def cycle_weights(k):
+    """The weights 1, 2, 3, repeating, of a place (a number or a column)."""
+    return k % 3 + 1
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:
@@ -108,61 +110,101 @@ def subset_sum(lengths: list[int], counts: list[int], budget: int) -> list[tuple
     return sorted(taken.items())
 
 
+def source_targets(totals: DataFrame, weights, most: float = MOST) -> DataFrame:
+    """totals (__sk, __n) with __target, by the rule of targets, for any number of sources.
+
+    Sources are numbered in code point order by ranges; the level up to which shares rise is found by sums over
+    them, and the driver sees one total a range and two a step.
+    """
+    spark = totals.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by = F.col("__sk") == "n", F.col("__sk")
+    ranged = common.stash(totals.repartitionByRange(n, *by).withColumn("__range", F.spark_partition_id()))
+    at, before = 0, []
+    for r in sorted(ranged.groupBy("__range").count().collect()):
+        before.append((r[0], at))
+        at += r[1]
+    numbered = ranged.join(F.broadcast(spark.createDataFrame(before, "__range int, __before long")), "__range")
+    place = F.col("__before") + F.row_number().over(Window.partitionBy("__range").orderBy(*by)) - 1
+    numbered = common.stash(numbered.select("__sk", "__n", weights(place).cast("double").alias("__w")))
+    most_of = F.col("__n") * F.lit(float(most))
+    total, open_ = numbered.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.coalesce(F.sum("__w"), F.lit(0.0))).first()
+    level, last = (total / open_ if open_ else 0.0), None
+    while level != last and open_:
+        over = F.lit(level) * F.col("__w") > most_of
+        capped, open_ = numbered.agg(F.coalesce(F.sum(F.when(over, most_of)), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("__w"))), F.lit(0.0))).first()
+        last, level = level, max(level, (total - capped) / open_) if open_ else level
+    return numbered.select("__sk", "__n", F.least(F.lit(level) * F.col("__w"), most_of).alias("__target"))
+
+
 def mix(docs: DataFrame, weights=cycle_weights, seed: int = 17, most: float = MOST) -> DataFrame:
     """docs with size, source_size, target, copies (how often the mix takes the document), taken (its words in the mix).
 
-    docs needs doc_id, text, source; other columns stay. Null text has size 0; documents of size 0 are
-    taken once if their source's whole passes take it. Null sources form one source, ordered last. Ties
-    cannot arise between different ids; wholly equal rows share one hash, and all of them go with it.
-    weights(n) gives the weights of the n sources in code point order. The totals of the sources, one row
-    each, go to the driver; histograms are fitted source by source, their rows bounded by the distinct
-    lengths. Counts are pre-aggregated per length and hash range, so no task ranks a whole source.
+    docs needs doc_id, text, source; other columns stay, but for those of the names above, which are replaced.
+    Null text has size 0; documents of size 0 are taken once if their source's whole passes take it. Null
+    sources form one source, ordered last. Of each length the rows with the smallest hashes of doc_id and text go
+    in; of rows equal in both, any so many. So a source is fitted to the row whether its ids are null, repeated
+    or alike. An empty table gives an empty one. weights(k) is the weight of the source with the place k.
+
+    Histograms are fitted source by source, their rows bounded by the distinct lengths. Counts are pre-aggregated
+    per length, hash range and hash, so no task ranks a whole source; equal rows of which only some go in are
+    numbered in salted parts.
     """
-    spark = docs.sparkSession
-    names = {"__sk", "__h", "size", "source_size", "target", "copies", "taken"}
-    docs = docs.drop(*names & set(docs.columns))
+    docs = docs.drop(*{"size", "source_size", "target", "copies", "taken"} & set(docs.columns))
     keyed = docs.withColumns({
         "__sk": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")),
         "size": common.n_words("text"),
-        "__h": F.xxhash64(F.lit(seed), "doc_id"),
+        "__h": F.xxhash64(F.lit(seed), "doc_id", "text"),
     })
     narrow = common.stash(keyed.select("__sk", "size", "__h"))
-    sums = narrow.groupBy("__sk").agg(F.sum("size").alias("n")).collect()
-    sums = sorted(sums, key=lambda r: (r["__sk"] == "n", r["__sk"]))
-    sizes = [r["n"] for r in sums]
-    aims = targets(sizes, weights(len(sizes)), most)
-    plan = {}
-    for r, n, aim in zip(sums, sizes, aims, strict=True):
-        whole = min(int(aim // n), int(most)) if n else 1
-        plan[r["__sk"]] = (n, aim, whole, max(0, min(round(aim) - whole * n, n)))
+    n = F.col("__n")
+    whole = F.when(n > 0, F.least(F.floor(F.col("__target") / n), F.lit(int(most)))).otherwise(1).cast("int")
+    plan = source_targets(narrow.groupBy("__sk").agg(F.sum("size").alias("__n")), weights, most).withColumn("__whole", whole)
+    plan = common.stash(plan.withColumn("__budget", F.greatest(F.lit(0), F.least(F.round("__target").cast("long") - F.col("__whole") * n, n))))
+    plan = common.sized(plan, F.octet_length("__sk"))
 
     def fitted(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size")
-        take = fit(pdf["size"].tolist(), pdf["n"].tolist(), plan[key[0]][3])
+        take = fit(pdf["size"].tolist(), pdf["n"].tolist(), int(pdf["__budget"].iloc[0]))
         return pd.DataFrame({"__sk": key[0], "size": pdf["size"], "extra": take})
 
-    lengths = narrow.where("size > 0").groupBy("__sk", "size").agg(F.count("*").alias("n"))
+    lengths = narrow.where("size > 0").groupBy("__sk", "size").agg(F.count("*").alias("n")).join(plan.select("__sk", "__budget"), "__sk")
     extra = common.stash(lengths.groupBy("__sk").applyInPandas(fitted, "__sk string, size long, extra long"))
     # the range of hashes in which the count of a length is reached, then the last hash taken in it
-    part = F.shiftrightunsigned(F.col("__h"), 64 - RANGE_BITS).cast("int").alias("part")
-    ranges = narrow.where("size > 0").select("__sk", "size", part).groupBy("__sk", "size", "part").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("__sk", "size").orderBy("part"))
+    part = F.shiftrightunsigned(F.col("__h"), 64 - RANGE_BITS).cast("int")
+    ranges = narrow.where("size > 0").groupBy("__sk", "size", part.alias("__part")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("__sk", "size").orderBy("__part"))
     last = (
         ranges.withColumn("upto", upto).join(extra.where("extra > 0"), ["__sk", "size"])
         .where("upto >= extra AND upto - n < extra")
-        .select("__sk", "size", "part", (F.col("extra") - F.col("upto") + F.col("n")).alias("rank"))
+        .select("__sk", "size", "__part", (F.col("extra") - F.col("upto") + F.col("n")).alias("rank"))
     )
-    inside = narrow.select("__sk", "size", "__h", part).join(last, ["__sk", "size", "part"])
-    order = Window.partitionBy("__sk", "size", "part").orderBy("__h")
-    cuts = inside.withColumn("k", F.row_number().over(order)).where("k = rank").select("__sk", "size", "part", F.col("__h").alias("cut"))
-    cuts = common.stash(cuts)
-    of_source = spark.createDataFrame([(k, n, a, w) for k, (n, a, w, _) in plan.items()], "__sk string, source_size long, target double, whole int")
-    small = cuts.count() <= 500_000  # one row a source and length; larger tables are shuffled
-    out = keyed.join(F.broadcast(of_source), "__sk").join(F.broadcast(cuts) if small else cuts, ["__sk", "size"], "left")
-    own = F.shiftrightunsigned(F.col("__h"), 64 - RANGE_BITS).cast("int")
-    more = F.when(F.col("part").isNull(), 0).when(own < F.col("part"), 1).when((own == F.col("part")) & (F.col("__h") <= F.col("cut")), 1).otherwise(0)
-    out = out.withColumn("copies", (F.col("whole") + more).cast("int")).withColumn("taken", F.col("size") * F.col("copies"))
-    return out.select(*docs.columns, "size", "source_size", "target", "copies", "taken")
+    last = common.sized(common.stash(last), F.octet_length("__sk"))
+    inside = narrow.withColumn("__part", part).join(last, ["__sk", "size", "__part"]).groupBy("__sk", "size", "__part", "rank", "__h").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("__sk", "size", "__part").orderBy("__h"))
+    cuts = inside.withColumn("upto", upto).where("upto >= rank AND upto - n < rank")
+    cuts = common.stash(cuts.select("__sk", "size", "__part", F.col("__h").alias("__cut"), (F.col("rank") - F.col("upto") + F.col("n")).alias("__some"), F.col("n").alias("__all")))
+    out = keyed.join(plan.select("__sk", "__n", "__target", "__whole"), "__sk").join(common.sized(cuts, F.octet_length("__sk")), ["__sk", "size"], "left")
+    more = F.when(F.col("__part").isNull() | (part > F.col("__part")), 0).when((part < F.col("__part")) | (F.col("__h") <= F.col("__cut")), 1).otherwise(0)
+    out = out.withColumn("__more", more)
+    most_tied = cuts.where("__some < __all").agg(F.max("__all")).first()[0]
+    if most_tied:
+        tied = F.coalesce((F.col("__h") == F.col("__cut")) & (F.col("__some") < F.col("__all")), F.lit(False))
+        out = out.where(~tied).unionByName(_some(out.where(tied), max(1, most_tied // TIED)))
+    out = out.withColumn("copies", (F.col("__whole") + F.col("__more")).cast("int")).withColumn("taken", F.col("size") * F.col("copies"))
+    return out.select(*docs.columns, "size", F.col("__n").alias("source_size"), F.col("__target").alias("target"), "copies", "taken")
+
+
+def _some(rows: DataFrame, salts: int) -> DataFrame:
+    """rows with __more = 1 for __some of each group of equal rows, else 0. The salts are written with the rows, so that counts and numbers see the same ones."""
+    keys = ["__sk", "size", "__h"]
+    salted = common.stash(rows.drop("__more").withColumn("__salt", (F.rand() * salts).cast("int")))
+    counts = salted.groupBy(*keys, "__salt").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*keys).orderBy("__salt")) - F.col("n")
+    counts = counts.select(*keys, "__salt", before.alias("__before"))
+    number = F.row_number().over(Window.partitionBy(*keys, "__salt").orderBy(F.lit(0)))
+    joined = salted.withColumn("__number", number).join(counts, [*keys, "__salt"])
+    return joined.withColumn("__more", (F.col("__before") + F.col("__number") <= F.col("__some")).cast("int")).drop("__salt", "__number", "__before")
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandkeep.llm import hilbert_shards as H
 from strandkeep.llm import source_mix as M
@@ -70,7 +71,7 @@ def test_mix(spark, tiny):
         by_source[source][2] += taken
         by_source[source][3] += size
     names = sorted(by_source)
-    want = M.targets([by_source[s][3] for s in names], M.cycle_weights(len(names)))
+    want = M.targets([by_source[s][3] for s in names], [M.cycle_weights(k) for k in range(len(names))])
     for name, aim in zip(names, want):
         source_size, target, taken, size = by_source[name]
         assert source_size == size and target == pytest.approx(aim) and abs(taken - target) <= max(2, 0.01 * size)
@@ -82,6 +83,49 @@ def test_mix_of_odd_rows(odd_docs, no_docs):
     assert len({r.target for r in got if r.source is None}) == 1 and M.mix(no_docs).count() == 0
 
 
+def test_targets_of_many_sources(spark):
+    rng = random.Random(8)
+    for most, n in ((3, 500), (1, 40), (3, 1)):
+        sizes = {f"s{rng.randrange(10**6)}\u00e9" if k % 2 else f"s\U0001f600{k}": rng.choice([0, 1, 5, 100, 10_000]) for k in range(n)} | {"n": 7}
+        names = sorted(sizes, key=lambda s: (s == "n", s))
+        want = M.targets([sizes[s] for s in names], [M.cycle_weights(k) for k in range(len(names))], most)
+        got = {r["__sk"]: r["__target"] for r in M.source_targets(spark.createDataFrame(list(sizes.items()), "__sk string, __n long").repartition(3), M.cycle_weights, most).collect()}
+        assert [got[s] for s in names] == pytest.approx(want)
+    assert M.source_targets(spark.createDataFrame([], "__sk string, __n long"), M.cycle_weights).count() == 0
+
+
+def check_mix(docs):
+    """Every source within one document of its target, no document over three times its size."""
+    rows, of = M.mix(docs).collect(), {}
+    for r in rows:
+        assert r.size == len((r.text or "").encode().split()) and r.taken == r.size * r.copies and 0 <= r.copies <= 3
+        own = of.setdefault(r.source, [r.target, r.source_size, 0, 0, 0])
+        own[2] += r.taken
+        own[3] += r.size
+        own[4] = max(own[4], r.size)
+    names = sorted(of, key=lambda s: (s is None, s))
+    want = M.targets([of[s][3] for s in names], [M.cycle_weights(k) for k in range(len(names))])
+    for s, aim in zip(names, want):
+        target, source_size, taken, size, longest = of[s]
+        assert target == pytest.approx(aim) and source_size == size and abs(taken - target) <= max(1, longest)
+    return rows
+
+
+@pytest.mark.parametrize("salted", [False, True])
+def test_mix_is_fitted_to_the_row(spark, monkeypatch, odd_docs, salted):
+    if salted:
+        monkeypatch.setattr(M, "TIED", 7)
+    rng = random.Random(7)
+    text = {k: " ".join(["w"] * k) for k in range(1, 30)}
+    nulls = [(None, text[10], "a") for _ in range(300)] + [(k, text[10], s) for s in "bc" for k in range(300)]
+    hot = [(77, text[5], "a")] * 400 + [(k, text[rng.randrange(1, 30)], "b") for k in range(200)] + [(77, text[7], None)] * 250 + [(77, text[7], "b")] * 3
+    for rows in (nulls, hot, [(None, text[rng.randrange(1, 4)], rng.choice(["x", "y", None])) for _ in range(500)]):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"part": F.lit("p"), "n": F.lit(1), "size": F.lit("s"), "extra": F.lit(2)}).repartition(5)
+        got, again = ([(r.doc_id, r.text, r.source, r.taken) for r in check_mix(df)] for _ in range(2))
+        assert sorted(got, key=repr) == sorted(again, key=repr) and len(got) == len(rows)
+    check_mix(odd_docs)
+
+
 def test_curve_is_a_walk_through_all_cells():
     cells = np.arange(1 << 15)
     points = np.stack([(cells >> (5 * k)) & 31 for k in range(3)], axis=1)
