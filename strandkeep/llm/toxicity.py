@@ -1,14 +1,15 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are built from labelled text: one of ordinary words, one of the segments that
-set toxic documents apart. A text is read in windows of one word; each window, behind a short carrier that
-both dictionaries hold, is compressed with either dictionary, and the difference of the two lengths in
+Two zstandard dictionaries are built from labelled text: one of ordinary words, one of the segments that set toxic
+documents apart. A text is read in windows of one word; every different window, behind a short carrier
+that both dictionaries hold, is compressed with either dictionary, and the difference of the two lengths in
 bytes says how much better the toxic one explains it. A document's differences are counted over rising
-thresholds, and a logistic curve fitted on documents that its dictionaries have not seen turns
-the counts into a score.
+thresholds, and a logistic curve turns the counts into a score. It is fitted across folds: each labelled
+document is measured with dictionaries of the other folds, the final ones see all of them.
 
 Windows of one word let a worker remember the difference of every word it has met, so the cost follows the
-distinct words. The carrier keeps short windows above the length from which zstandard compresses at all.
+distinct words. Windows of two or three words were tried and find less, as chance matches of the neighbours
+drown a word's gain. The carrier keeps short windows above the length from which zstandard compresses at all.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,14 +28,12 @@ from pyspark.sql import functions as F
 from strandkeep.llm import common
 from strandkeep.llm.labelled import fold, training_rows
 
-#: Labelled documents the model is fitted on, at most; the first part of them builds the dictionaries, the rest calibrates.
-TRAINING_ROWS, DICTIONARY_PART = 12_000, 0.6
+#: Labelled documents the model is fitted on, at most, and the folds of the calibration.
+TRAINING_ROWS, FOLDS = 6_000, 3
 #: Bytes of the dictionaries' contents.
-TOXIC_BYTES, ORDINARY_BYTES = 4_000, 32_000
+TOXIC_BYTES, ORDINARY_BYTES = 4_000, 128_000
 LEVEL = 19
-#: A window that shares no run of so many characters with the toxic dictionary cannot gain by it, and counts as 0 uncompressed.
-RUN = 5
-THRESHOLDS = (2, 4, 6, 8, 10, 12)
+THRESHOLDS = (2, 4, 6, 8, 10, 12, 14)
 #: Documents with this score or more are predicted toxic.
 CUT = 0.3
 #: Lengths of the segments that the toxic dictionary is chosen from.
@@ -54,30 +54,41 @@ def words_of(text: str) -> list[str]:
 class Distances(dict):
     """word -> bytes saved by the toxic dictionary against the ordinary one; bounded."""
 
-    def __init__(self, ordinary: str, toxic: str):
+    def __init__(self, ordinary: bytes, toxic: bytes):
         super().__init__()
         self.compressors = [self.compressor(x) for x in (ordinary, toxic)]
-        self.runs = {s[k : k + RUN] for s in toxic.split("|") for k in range(len(s) - RUN + 1)}
 
     @staticmethod
-    def compressor(content: str) -> zstandard.ZstdCompressor:
-        data = _coded(content + _CARRIER)
+    def compressor(content: bytes) -> zstandard.ZstdCompressor:
+        data = content + _coded(_CARRIER)
         params = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=128, dict_size=len(data), min_match=3, write_content_size=False, write_dict_id=False, write_checksum=False)
         return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
 
     def __missing__(self, word: str) -> int:
         if len(self) >= _CACHE:
             self.clear()
-        w = f" {word.strip(_MARKS)} "
-        value = 0
-        if any(w[k : k + RUN] in self.runs for k in range(len(w) - RUN + 1)):
-            window = _coded(_CARRIER + w)
+        bare = word.strip(_MARKS)
+        if bare != word:
+            value = self[bare]
+        else:
+            window = _coded(f"{_CARRIER} {bare} ")
             ordinary, toxic = self.compressors
             value = len(ordinary.compress(window)) - len(toxic.compress(window))
         self[word] = value
         return value
 
 
+_KEPT: dict[str, Distances] = {}
+
+
+def distances_of(model: dict) -> Distances:
+    """The model's distances; a worker keeps those of the last model from one task to the next."""
+    if model["key"] not in _KEPT:
+        _KEPT.clear()
+        _KEPT[model["key"]] = Distances(model["ordinary"], model["toxic"])
+    return _KEPT[model["key"]]
+
+
 def segments(word: str) -> set[str]:
     w = f" {word.strip(_MARKS)} "
     return {w[i : i + n] for n in SEGMENTS for i in range(len(w) - n + 1)}
@@ -99,18 +110,20 @@ def frequent_segments(words: Counter, least: float) -> Counter:
     return found
 
 
-def dictionaries(rows: list[tuple[str, int]]) -> tuple[str, str]:
-    """The ordinary and the toxic dictionary's contents; the most useful text stands last, where zstandard reaches it cheapest.
+def dictionaries(rows: list[tuple[str, int]]) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary's contents.
 
-    Toxic segments are ranked by the bytes they would save in toxic documents, weighted by how much more
-    often they occur there; a segment inside one already chosen is passed over.
+    The ordinary one holds the words of most ordinary documents (zstandard's own training on the same words was
+    tried and lets more ordinary words through). The toxic one holds the segments of toxic documents ranked by the bytes they would save
+    there, weighted by how much more often they occur than in ordinary ones; a segment inside one already
+    chosen is passed over. In both the best stands last, where zstandard reaches it cheapest.
     """
     count = {0: Counter(), 1: Counter()}
     docs = Counter()
     for text, label in rows:
         count[label].update(set(words_of(text)))
         docs[label] += 1
-    in_toxic = frequent_segments(count[1], max(4, docs[1] * 0.003))
+    in_toxic = frequent_segments(count[1], max(2, min(4, docs[1] // 20), docs[1] * 0.003))
     in_ordinary: Counter = Counter()
     for word, n in count[0].items():
         w = f" {word.strip(_MARKS)} "
@@ -133,14 +146,16 @@ def dictionaries(rows: list[tuple[str, int]]) -> tuple[str, str]:
     bare: Counter = Counter()
     for word, n in count[0].items():
         bare[word.strip(_MARKS)] += n
-    common_words = sorted(bare, key=lambda w: (-bare[w], w))[:8000]
-    return " ".join(reversed(common_words))[-ORDINARY_BYTES:], "|".join(reversed(chosen))
+    common_words = sorted(bare, key=lambda w: (-bare[w], w))[:ORDINARY_BYTES // 4]
+    return _coded(" ".join(reversed(common_words)))[-ORDINARY_BYTES:], _coded("|".join(reversed(chosen)))
 
 
 def features(words: list[str], distances: Distances) -> list[float]:
-    d = np.fromiter(map(distances.__getitem__, words), np.int64, len(words)) if words else np.zeros(1, np.int64)
-    top = int(d.max())
-    return [1.0, top, float(top >= THRESHOLDS[2]), *(math.log1p(int((d >= k).sum())) for k in THRESHOLDS), math.log1p(len(d))]
+    """What the curve is fitted on: the three largest differences, and the different words over each threshold."""
+    d = sorted((distances[w] for w in set(words)), reverse=True) or [0]
+    first = [*d[:3], 0, 0][:3]
+    over = [math.log1p(sum(x >= k for x in d)) for k in THRESHOLDS] if first[0] >= THRESHOLDS[0] else [0.0] * len(THRESHOLDS)
+    return [1.0, *first, float(first[0] >= 6), float(first[1] >= 6), *over, math.log1p(len(d))]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -156,32 +171,49 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray
     return w
 
 
+def folds(rows: list[tuple[str, int]], most: int = FOLDS) -> np.ndarray | None:
+    """The fold of each row, each class dealt evenly; None if a class has fewer than two rows."""
+    labels = np.array([label for _, label in rows])
+    least = min(int((labels == k).sum()) for k in (0, 1)) if rows else 0
+    if least < 2:
+        return None
+    out, rng = np.zeros(len(rows), int), np.random.default_rng(5)
+    for k in (0, 1):
+        own = rng.permutation(np.flatnonzero(labels == k))
+        out[own] = np.arange(len(own)) % min(most, least)
+    return out
+
+
 def train(rows: list[tuple[str, int]]) -> dict | None:
-    """The model as plain data; None if a part lacks a class."""
-    cut = int(len(rows) * DICTIONARY_PART)
-    order = np.random.default_rng(5).permutation(len(rows))
-    first, rest = [rows[k] for k in order[:cut]], [rows[k] for k in order[cut:]]
-    if any(len({label for _, label in part}) < 2 for part in (first, rest)):
+    """The model as plain data; None if a class has fewer than two rows."""
+    of = folds(rows)
+    if of is None:
         return None
-    ordinary, toxic = dictionaries(first)
-    distances = Distances(ordinary, toxic)
-    x = np.array([features(words_of(text), distances) for text, _ in rest])
-    return {"ordinary": ordinary, "toxic": toxic, "weights": fit_logistic(x, np.array([label for _, label in rest], float)).tolist()}
+    x, y = [], []
+    for k in range(of.max() + 1):
+        distances = Distances(*dictionaries([r for r, f in zip(rows, of, strict=True) if f != k]))
+        own = [r for r, f in zip(rows, of, strict=True) if f == k]
+        x += [features(words_of(text), distances) for text, _ in own]
+        y += [label for _, label in own]
+    ordinary, toxic = dictionaries(rows)
+    weights = fit_logistic(np.array(x), np.array(y, float)).tolist()
+    return {"ordinary": ordinary, "toxic": toxic, "weights": weights, "key": xxhash.xxh3_128_hexdigest(ordinary + b"|" + toxic)}
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, training_rows_: int = TRAINING_ROWS) -> DataFrame:
-    """docs with held_out, score, predicted.
+    """docs with held_out, score, predicted; columns of these names are replaced.
 
-    Empty and null texts score as a text of no toxic words. Without labelled rows of both classes every
-    score is 0. Rows count one by one: repeated ones score alike. The model, some 40 KB, goes in the
-    function's closure.
+    Empty and null texts score as a text of no toxic words; very long ones are read whole, word by word. With
+    fewer than two labelled rows of a class every score is 0. Rows count one by one: repeated ones score alike,
+    and of a labelled doc_id with several texts all are learnt from. An empty table gives an empty one. The
+    model, some 140 KB, goes in the function's closure.
     """
     docs = docs.drop("held_out", "score", "predicted")
     model = train(training_rows(docs, labels, "toxic", 4, 2, training_rows_))
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        distances = Distances(model["ordinary"], model["toxic"]) if model else None
+        distances = distances_of(model) if model else None
         weights = np.array(model["weights"]) if model else None
         for batch in batches:
             if model is None:

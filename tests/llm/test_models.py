@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandkeep.llm import quality as Q
 from strandkeep.llm import toxicity as X
@@ -53,3 +54,56 @@ def test_toxic_dictionary_explains_toxic_words_better():
     ordinary, toxic = X.dictionaries(rows)
     distances = X.Distances(ordinary, toxic)
     assert distances["snorkwaffle"] >= 3 > distances["quick"]
+
+
+def held_out(spark, folder):
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    return [(r.predicted, r.score, labels[r.doc_id]) for r in X.op10_toxicity(spark, folder).collect() if r.held_out and r.doc_id in labels]
+
+
+def test_toxic_documents_are_found_and_others_left_alone(spark):
+    test = held_out(spark, "/root/testdata/sf0.1")
+    assert np.mean([p for p, _, y in test if y == 1]) >= 0.93
+    assert np.mean([p for p, _, y in test if y == 0]) < 0.01
+
+
+def test_few_labels_still_make_a_model(spark, tiny):
+    rows = X.op10_toxicity(spark, tiny).collect()
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{tiny}/labels.parquet").collect()}
+    toxic, other = ([r.score for r in rows if labels.get(r.doc_id) == k] for k in (1, 0))
+    assert any(r.predicted for r in rows if labels.get(r.doc_id) == 1) and np.mean(toxic) > np.mean(other)
+
+
+def test_folds_hold_both_classes():
+    for n in (2, 3, 5, 40):
+        rows = [("x", 1)] * n + [("y", 0)] * 50
+        of = X.folds(rows)
+        assert all({y for (_, y), f in zip(rows, of) if f == k} == {0, 1} == {y for (_, y), f in zip(rows, of) if f != k} for k in range(of.max() + 1))
+    assert X.folds([("x", 1)] + [("y", 0)] * 50) is None and X.folds([]) is None and X.train([("x", 1), ("y", 0)]) is None
+
+
+def test_every_window_is_compressed_by_both():
+    distances = X.Distances(X._coded("the of and"), X._coded(" idiot | moron "))
+    calls = []
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def compress(self, data):
+            calls.append(data)
+            return self.inner.compress(data)
+
+    distances.compressors = [Counting(c) for c in distances.compressors]
+    X.features(X.words_of("The idiot, the zebra and THE idiot"), distances)
+    assert len(calls) == 2 * 4 and distances["idiot"] > distances["zebra"]  # the, idiot, zebra, and
+
+
+def test_long_texts_and_repeated_labelled_rows(spark):
+    rows = [(k, f"plain words number {k} of all") for k in range(40)] + [(100 + k, f"you snorkwaffle {k}") for k in range(40)] + [(100, "you snorkwaffle 0")] * 3 + [(500, "word " * 300_000 + "snorkwaffle")]
+    labels = [(k, 0) for k in range(40)] + [(100 + k, 1) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("key", F.lit(1))
+    got = X.score_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert len(got) == 84 and {r.score for r in got if r.doc_id == 100} == {next(r.score for r in got if r.doc_id == 100)}
+    assert {r.predicted for r in got if 100 <= r.doc_id < 200} == {1} and {r.predicted for r in got if r.doc_id < 40} == {0}
+    assert next(r.predicted for r in got if r.doc_id == 500) == 1
