@@ -1,50 +1,118 @@
-"""Ancestry over a table of parent edges: closure, ancestor test, merge base."""
+"""Ancestry over a table of parent edges: closure, ancestor test, merge base.
+
+A history is mostly lines of commits with one parent each, so it is first cut into chains: a node goes on into
+its parent's chain if that is its only parent and the node is the parent's least such child. Chains are found by
+pointer doubling, in rounds that grow with the logarithm of the longest. A search then steps from chain to chain
+and never along one; what it reaches are entries, a place in a chain from which all below is reached.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandkeep.stash import stash
 
-#: Rounds between two cuts of the lineage.
-ROUNDS = 8
+
+def chains(edges: DataFrame) -> DataFrame:
+    """node, chain (its last node), at (0 for the last, -1 above it and so on) of all nodes of edges (child, parent)."""
+    pairs = edges.select("child", "parent").distinct()
+    only = pairs.groupBy("child").agg(F.count("*").alias("n"), F.min("parent").alias("parent")).where("n = 1")
+    links = only.groupBy("parent").agg(F.min("child").alias("node")).withColumnRenamed("parent", "to")
+    nodes = pairs.select(F.col("child").alias("node")).unionByName(pairs.select(F.col("parent").alias("node"))).distinct()
+    rows = nodes.join(links, "node", "left").select("node", F.coalesce("to", "node").alias("to"), F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("far"), F.col("to").isNull().alias("last"))
+    rows = stash(rows)
+    while not (open_ := rows.where("NOT last")).isEmpty():
+        ahead = rows.select(F.col("node").alias("to"), F.col("to").alias("then"), F.col("far").alias("more"), F.col("last").alias("ends"))
+        moved = open_.join(ahead, "to").select("node", F.col("then").alias("to"), (F.col("far") + F.col("more")).alias("far"), F.col("ends").alias("last"))
+        rows = stash(rows.where("last").unionByName(moved))
+    return rows.select("node", F.col("to").alias("chain"), (-F.col("far")).alias("at"))
+
+
+def entries(edges: DataFrame, places: DataFrame, seeds: DataFrame) -> DataFrame:
+    """root, chain, at, shift: a place that root reaches in a chain; from there on the node at place x has depth shift + x at most.
+
+    places are the chains of edges; seeds: root, node. Each round joins the last improved entries alone.
+    """
+    last = places.where("at = 0").select("chain")
+    exits = edges.select(F.col("child").alias("chain"), F.col("parent").alias("node")).join(last, "chain").distinct()
+    exits = stash(exits.withColumnRenamed("chain", "from").join(places, "node").select("from", "chain", "at"))
+    begin = seeds.select("root", "node").distinct().join(places, "node", "left")
+    begin = begin.select("root", F.coalesce("chain", "node").alias("chain"), F.coalesce("at", F.lit(0)).cast("long").alias("at"))
+    found = front = stash(begin.withColumn("shift", -F.col("at")))
+    while not front.isEmpty():
+        step = front.groupBy("root", F.col("chain").alias("from")).agg(F.min("shift").alias("shift")).join(exits, "from")
+        step = step.groupBy("root", "chain", "at").agg((F.min("shift") + 1 - F.col("at")).alias("shift"))
+        known = found.select("root", "chain", F.col("at").alias("at_"), F.col("shift").alias("shift_"))
+        new = step.join(known, (step["root"] == known["root"]) & (step["chain"] == known["chain"]) & (F.col("at_") <= step["at"]) & (F.col("shift_") <= step["shift"]), "left_anti")
+        front = stash(new)
+        found = found.unionByName(front)
+    return found
+
+
+def _within(places: DataFrame, reached: DataFrame) -> DataFrame:
+    there = places.withColumnRenamed("at", "place")
+    return there.join(reached, "chain").where("place >= at").groupBy("root", "node").agg(F.min(F.col("shift") + F.col("place")).alias("depth"))
 
 
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """root, node, depth, trail: all nodes that the seeds (root, node) reach, the seeds at depth 0.
+    """root, node, depth: all nodes that the seeds (root, node) reach, the seeds at depth 0, each at its least depth.
 
-    edges: child, parent, ordinal. Breadth first, a node counts at its least depth; trail is the path of
-    parent ordinals there, the least one, which orders nodes of one depth as a queue would. A parent that is
-    no child itself ends its path. Each round joins the last frontier alone and leaves out what was reached.
+    edges: child, parent (and ordinal). A parent that is no child itself ends its path; a seed without edges reaches itself.
     """
-    reached = seeds.select("root", "node", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("trail")).distinct()
-    reached = frontier = stash(reached)
-    depth = 0
-    while not frontier.isEmpty():
-        depth += 1
-        step = frontier.join(edges.withColumnRenamed("child", "node"), "node")
-        step = step.select("root", F.col("parent").alias("node"), F.concat("trail", F.array("ordinal")).alias("trail"))
-        step = step.groupBy("root", "node").agg(F.min("trail").alias("trail")).join(reached, ["root", "node"], "left_anti")
-        frontier = stash(step.select("root", "node", F.lit(depth).alias("depth"), "trail"))
-        reached = reached.unionByName(frontier)
-        if depth % ROUNDS == 0:
-            reached = stash(reached)
-    return reached
+    places = chains(edges)
+    alone = seeds.select("node").distinct().join(places, "node", "left_anti").select("node", F.col("node").alias("chain"), F.lit(0).cast("long").alias("at"))
+    return _within(places.unionByName(alone), entries(edges, places, seeds))
 
 
 def is_ancestor(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (ancestor, descendant) with is_ancestor; a node is its own ancestor."""
-    found = closure(edges, pairs.select(F.col("descendant").alias("root"), F.col("descendant").alias("node")).distinct())
-    hits = found.select(F.col("root").alias("descendant"), F.col("node").alias("ancestor"), F.lit(True).alias("hit"))
+    """pairs (ancestor, descendant) with is_ancestor; a node is its own ancestor. No path is enumerated: the ancestor's place is held against the entries of its chain."""
+    places = chains(edges)
+    reached = entries(edges, places, pairs.select(F.col("descendant").alias("root"), F.col("descendant").alias("node")))
+    ends = pairs.select("ancestor", "descendant").distinct().join(places, F.col("ancestor") == F.col("node"), "left")
+    ends = ends.select("ancestor", "descendant", F.coalesce("chain", "ancestor").alias("chain"), F.coalesce("at", F.lit(0)).alias("place"))
+    hits = ends.join(reached.withColumnRenamed("root", "descendant"), ["descendant", "chain"]).where("place >= at").select("ancestor", "descendant").distinct().withColumn("hit", F.lit(True))
     return pairs.join(hits, ["ancestor", "descendant"], "left").withColumn("is_ancestor", F.coalesce("hit", F.lit(False))).drop("hit")
 
 
 def merge_bases(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (ours, theirs) with base: the first ancestor of theirs, breadth first, that is ours' ancestor too; null if none."""
-    heads = pairs.select(F.col("ours").alias("head")).unionByName(pairs.select(F.col("theirs").alias("head"))).distinct()
-    found = stash(closure(edges, heads.select(F.col("head").alias("root"), F.col("head").alias("node"))))
-    up = pairs.join(found.withColumnRenamed("root", "theirs"), "theirs")
-    both = up.join(found.select(F.col("root").alias("ours"), "node"), ["ours", "node"], "left_semi")
-    first = both.groupBy("ours", "theirs").agg(F.min_by("node", F.struct("depth", "trail", "node")).alias("base"))
-    return pairs.join(first, ["ours", "theirs"], "left")
+    """pairs (ours, theirs) with base: the first ancestor of theirs, breadth first, that is ours' ancestor too; null if none.
+
+    Where two entries of one chain meet, the later is the first common node of both. Only pairs with several
+    bases of one depth are walked generation by generation, for the order of the parents (ordinal) to decide.
+    """
+    places = chains(edges)
+    heads = pairs.select(F.col("ours").alias("root")).unionByName(pairs.select(F.col("theirs").alias("root"))).distinct()
+    reached = stash(entries(edges, places, heads.withColumn("node", F.col("root"))))
+    asked = pairs.select("ours", "theirs").distinct()
+    up = asked.join(reached.withColumnRenamed("root", "theirs"), "theirs")
+    own = reached.select(F.col("root").alias("ours"), "chain", F.col("at").alias("own"))
+    meet = up.join(own, ["ours", "chain"]).withColumn("place", F.greatest("at", "own"))
+    meet = meet.groupBy("ours", "theirs", "chain", "place").agg((F.min("shift") + F.col("place")).alias("depth"))
+    least = meet.groupBy("ours", "theirs").agg(F.min("depth").alias("depth"))
+    meet = meet.join(least, ["ours", "theirs", "depth"]).join(places.withColumnRenamed("at", "place"), ["chain", "place"], "left")
+    meet = stash(meet.select("ours", "theirs", "depth", F.coalesce("node", "chain").alias("node")))
+    first = meet.groupBy("ours", "theirs").agg(F.min("node").alias("base"), F.count("*").alias("n"), F.max("depth").alias("depth"))
+    first = stash(first)
+    tied = first.where("n > 1").select("ours", "theirs", "depth")
+    if not tied.isEmpty():
+        order = ranks(edges, tied.groupBy(F.col("theirs").alias("root")).agg(F.max("depth").alias("depth")))
+        chosen = meet.join(order.withColumnRenamed("root", "theirs"), ["theirs", "node", "depth"]).groupBy("ours", "theirs").agg(F.min_by("node", "rank").alias("chosen"))
+        first = first.join(chosen, ["ours", "theirs"], "left").withColumn("base", F.coalesce("chosen", "base"))
+    return pairs.join(first.select("ours", "theirs", "base"), ["ours", "theirs"], "left")
+
+
+def ranks(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """root, node, depth, rank: the place of a node among those of its generation, as a queue would hold them, for roots (root, depth) down to that depth."""
+    front = stash(roots.select("root", F.col("root").alias("node"), F.lit(0).cast("long").alias("depth"), F.lit(1).alias("rank"), F.col("depth").alias("most")))
+    out, seen, depth = front, front.select("root", "node"), 0
+    while not front.isEmpty():
+        depth += 1
+        step = front.where(F.col("most") >= depth).withColumnRenamed("node", "child").join(edges, "child")
+        step = step.groupBy("root", F.col("parent").alias("node"), "most").agg(F.min(F.struct("rank", "ordinal")).alias("by")).join(seen, ["root", "node"], "left_anti")
+        rank = F.row_number().over(Window.partitionBy("root").orderBy("by", "node"))
+        front = stash(step.select("root", "node", F.lit(depth).cast("long").alias("depth"), rank.alias("rank"), "most"))
+        out, seen = out.unionByName(front), seen.unionByName(front.select("root", "node"))
+        if depth % 16 == 0:
+            out, seen = stash(out), stash(seen)
+    return out.drop("most")

@@ -10,14 +10,62 @@ from pyspark.sql import functions as F
 
 # Rules for what regenerates, what is confidential, and names exempted from the latter.
 DEFAULT_IGNORE = """
-node_modules .next .turbo dist out bin obj target .venv __pycache__ coverage TestResults Pods
-Library/ Temp/ Logs/ UserSettings/ ds-bundle _exports .stfolder .stversions *.sync-conflict-*
-.DS_Store Thumbs.db desktop.ini *.swp *~ .idea **/.vscode/chrome-debug-profile *.tgz.tmp *.tmp
+node_modules
+.next
+.turbo
+dist
+out
+bin
+obj
+target
+.venv
+__pycache__
+coverage
+TestResults
+Pods
+Library/
+Temp/
+Logs/
+UserSettings/
+.stfolder
+.stversions
+*.sync-conflict-*
+.DS_Store
+Thumbs.db
+desktop.ini
+*.swp
+*~
+.idea
+**/.vscode/chrome-debug-profile
+*.tgz.tmp
+*.tmp
 """.split()
 DEFAULT_NEVER = """
-*.pem *.key *.p12 *.pfx *.jks *.keystore *.cer *.crt *.der id_rsa id_dsa id_ecdsa id_ed25519 *.certSigningRequest
-.env .env.* =.env.example =.env.sample =.env.template
-**/.aws/credentials .npmrc .pypirc service-account*.json *.secret secrets.*
+*.pem
+*.key
+*.p12
+*.pfx
+*.jks
+*.keystore
+*.cer
+*.crt
+*.der
+id_rsa
+id_dsa
+id_ecdsa
+id_ed25519
+*.certSigningRequest
+.env
+.env.*
+=.env.example
+=.env.sample
+=.env.template
+**/.aws/credentials
+.npmrc
+.pypirc
+service-account*.json
+*.secret
+secrets.*
 """.split()
 # What marks a pattern, and what marks a section's comment, as confidential in a foreign file.
 PATTERN_HINTS = """

@@ -28,10 +28,14 @@ def _chunks(spark, folder):
 
 
 def _chunk_sums(spark, folder):
-    """What chunking must keep whatever the cuts: every blob's bytes, in pieces of allowed sizes, and its hash when put together again."""
-    pieces = chunking.chunk(_blobs(spark, folder))
-    files = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("position", "chunk_id"))).alias("x"), F.sum("length").alias("bytes"), F.max("length").alias("most"))
-    files = files.select("doc_id", "bytes", (F.col("most") <= chunking.MAX_SIZE).alias("in_bounds"), F.transform("x", lambda y: y["chunk_id"]).alias("chunks"))
+    """What chunking must keep whatever the cuts: every blob's bytes, in pieces of allowed sizes, and its hash when put together again; an empty blob has no pieces."""
+    blobs = _blobs(spark, folder)
+    pieces = chunking.chunk(blobs)
+    lists = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("position", "chunk_id"))).alias("x"), F.sum("length").alias("bytes"), F.max("length").alias("most"))
+    none = F.array().cast("array<string>")
+    files = blobs.select("doc_id").join(lists, "doc_id", "left").select(
+        "doc_id", F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"), (F.coalesce("most", F.lit(0)) <= chunking.MAX_SIZE).alias("in_bounds"), F.coalesce(F.transform("x", lambda y: y["chunk_id"]), none).alias("chunks"),
+    )
     objects = pieces.select("chunk_id", F.col("chunk").alias("content")).dropDuplicates(["chunk_id"])
     whole = store.reassemble(files, objects, key="doc_id")
     return files.select("doc_id", "bytes", "in_bounds").join(whole, "doc_id").select("doc_id", "bytes", "in_bounds", F.sha2("content", 256).alias("content_sha256"))
@@ -235,7 +239,7 @@ def _kinds_sql() -> str:
 _ENTRIES = versions.entries_sql("ours")
 
 ORACLES = {
-    "src10_reassembly": "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes, true AS in_bounds, sha256(text) AS content_sha256 FROM documents WHERE strlen(text) > 0",
+    "src10_reassembly": "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes, true AS in_bounds, sha256(text) AS content_sha256 FROM documents",
     "snk1_object_put": "SELECT DISTINCT sha256(text) AS chunk_id FROM documents WHERE lang <> 'en' EXCEPT SELECT sha256(text) FROM documents WHERE lang = 'en'",
     "src5_verified_get": "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes FROM documents",
     "agg2_fresh_chunks": """SELECT origin, count(*) AS chunks, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT sha256(text) AS c, min(CASE WHEN doc_id % 2 = 0 THEN 'content' ELSE 'manifest' END) AS origin, min(strlen(text)) AS bytes

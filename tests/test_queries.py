@@ -118,3 +118,41 @@ def test_every_word_has_its_rank_in_ordinal_order(spark, tiny):
     want = sorted(marked, key=lambda w: w.encode("utf-16-be"), reverse=True)
     assert [tuple(r) for r in catalog.queries()["srt1_ordinal_order"](spark, tiny).select("w", "rank").collect()] == [(w, k + 1) for k, w in enumerate(want)]
     assert len(want) > 50
+
+
+def test_a_long_line_of_commits_takes_few_rounds(spark):
+    n = 100_000
+    edges = spark.range(1, n).selectExpr("id AS child", "id - 1 AS parent", "0 AS ordinal")
+    side = spark.createDataFrame([(n, 70_000, 0), (n + 1, n, 0), (n + 1, 30_000, 1)], "child long, parent long, ordinal int")
+    edges = edges.unionByName(side)
+    pairs = spark.createDataFrame([(n - 1, n + 1), (n + 1, 50_000), (0, n + 1)], "ours long, theirs long")
+    assert {(r.ours, r.theirs): r.base for r in graph.merge_bases(edges, pairs).collect()} == {(n - 1, n + 1): 30_000, (n + 1, 50_000): 50_000, (0, n + 1): 0}
+    asked = spark.createDataFrame([(69_999, n + 1), (70_001, n + 1), (n, n + 1), (5, 5), (5, 4)], "ancestor long, descendant long")
+    assert {(r.ancestor, r.descendant): r.is_ancestor for r in graph.is_ancestor(edges, asked).collect()} == {(69_999, n + 1): True, (70_001, n + 1): False, (n, n + 1): True, (5, 5): True, (5, 4): False}
+    found = graph.closure(edges, spark.createDataFrame([(n + 1, n + 1)], "root long, node long"))
+    assert found.count() == 70_003 and found.where("node = 30000").first().depth == 1 and found.where("node = 30001").first().depth == 40_001
+
+
+def test_ancestry_equals_a_plain_walk(spark):
+    import random
+
+    rng = random.Random(12)
+    for seed in range(3):
+        parents = {k: rng.sample(range(k), min(k, rng.choice([1, 1, 1, 2, 3]))) if rng.random() < 0.95 else [] for k in range(1, 60)}
+        edges = spark.createDataFrame([(c, p, o) for c, ps in parents.items() for o, p in enumerate(ps)], "child long, parent long, ordinal int")
+
+        def walk(head):
+            depth, queue = {head: 0}, [head]
+            for x in queue:
+                for p in parents.get(x, ()):
+                    if p not in depth:
+                        depth[p] = depth[x] + 1
+                        queue.append(p)
+            return depth, queue
+
+        heads = rng.sample(range(60), 8)
+        got = graph.closure(edges, spark.createDataFrame([(h, h) for h in heads], "root long, node long")).collect()
+        assert {(r.root, r.node): r.depth for r in got} == {(h, x): d for h in heads for x, d in walk(h)[0].items()} and len(got) == sum(len(walk(h)[0]) for h in heads)
+        pairs = [(a, b) for a in heads for b in heads]
+        want = {(a, b): next((x for x in walk(b)[1] if x in walk(a)[0]), None) for a, b in pairs}
+        assert {(r.ours, r.theirs): r.base for r in graph.merge_bases(edges, spark.createDataFrame(pairs, "ours long, theirs long")).collect()} == want
