@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from strandkeep import settings
 from strandkeep.functions import structural
 from strandkeep.functions.scalars import fold_ascii
+from strandkeep.operators import graph
 
 SIDES = ("base", "ours", "theirs")
 KEPT = ("TakeTheirs", "Write", "KeepOurs")
@@ -58,6 +60,36 @@ def fast_forward(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     return both.select("path", F.when(F.col("theirs").isNull(), "Delete").otherwise("TakeTheirs").alias("action"))
 
 
+class Outcome(NamedTuple):
+    """What a merge of two snapshots comes to: its base (null without one), whether one side holds the other, the paths' actions, and repositories that differ."""
+
+    base: str | int | None
+    fast_forward: bool
+    ahead: bool
+    items: DataFrame
+    repos: DataFrame
+
+
+def compute(edges: DataFrame, entries: DataFrame, repos: DataFrame, ours, theirs) -> Outcome:
+    """The merge of the snapshot theirs into ours over a history of edges (child, parent, ordinal).
+
+    entries: snapshot_id, path, executable, chunks; repos: snapshot_id, path, branch, head. Where one side holds
+    the other nothing is merged: theirs is taken, or, if we are ahead, there are no items. Without a base
+    every path that both have is new on both sides.
+    """
+    spark = edges.sparkSession
+    kind = "string" if isinstance(ours, str) else "long"
+    base = graph.merge_bases(edges, spark.createDataFrame([(ours, theirs)], f"ours {kind}, theirs {kind}")).first()["base"]
+    ahead, behind = base == theirs, base == ours  # the base is a side exactly if that side is the other's ancestor
+    own, their, common = (entries.where(F.col("snapshot_id") == F.lit(x)).drop("snapshot_id") for x in (ours, theirs, base))
+    if ahead:
+        items = fast_forward(own, their).limit(0)
+    else:
+        items = fast_forward(own, their) if behind else plan(common, own, their)
+    sides = [repos.where(F.col("snapshot_id") == F.lit(x)) for x in (ours, theirs)]
+    return Outcome(base, ahead or behind, ahead, items, divergence(*sides))
+
+
 def divergence(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """path, kind of repositories (path, branch, head) that differ; one that only we have is none."""
     o, t = (df.select("path", F.struct("branch", "head").alias(x)) for df, x in ((ours, "o"), (theirs, "t")))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandkeep.functions.scalars import token_hash
+from strandkeep.stash import stash
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
@@ -114,6 +117,40 @@ def commit_outcomes(commits: DataFrame, sessions: DataFrame, session_ids: DataFr
     return out.select("session", "machine_id", "snapshot", "outcome", n.alias("n_missing"))
 
 
+class Committed(NamedTuple):
+    """The state after commits: their outcomes, and the tables that the committed ones changed."""
+
+    outcomes: DataFrame
+    machines: DataFrame
+    history: DataFrame
+    pins: DataFrame
+    sessions: DataFrame
+    session_ids: DataFrame
+
+
+def commit_heads(commits: DataFrame, machines: DataFrame, history: DataFrame, pins: DataFrame, sessions: DataFrame, session_ids: DataFrame, objects: DataFrame, now: Column) -> Committed:
+    """Commits (session, machine_id, snapshot; one a machine) applied: what is committed pins its session's objects to the new head, moves the machine's head and ends the session; the rest changes nothing."""
+    outcomes = stash(commit_outcomes(commits, sessions, session_ids, objects))
+    done = outcomes.where("outcome = 'Committed'").select("session", "machine_id", "snapshot")
+    pinned = session_ids.join(done.select("session", F.col("snapshot").alias("head")), "session").select("head", "object")
+    moves = done.select("machine_id", F.col("snapshot").alias("head"))
+    moved = machines.join(moves.select(F.col("machine_id").alias("id"), F.col("head").alias("__head")), "id", "left")
+    moved = moved.withColumn("head", F.coalesce("__head", "head")).select(machines.columns)
+    ended = done.select(F.col("session").alias("id"))
+    return Committed(
+        outcomes, moved, move_heads(history, moves, now), insert_or_ignore(pins, pinned.select(pins.columns)),
+        sessions.join(ended, "id", "left_anti"), session_ids.join(ended.withColumnRenamed("id", "session"), "session", "left_anti"),
+    )
+
+
+def migrate(table: DataFrame | None, spark: SparkSession, schema: str) -> DataFrame:
+    """A state table in the form of schema: an empty one where there is none, columns that it lacks added as null; columns and rows that it has stay."""
+    want = spark.createDataFrame([], schema)
+    if table is None:
+        return want
+    return table.withColumns({f.name: F.lit(None).cast(f.dataType) for f in want.schema if f.name not in table.columns})
+
+
 def resolve_head(heads: DataFrame, name: str) -> DataFrame:
     """The one head of that machine name, whatever its case; raises if there is none or several."""
     found = heads.where(F.lower("machine_name") == name.lower()).limit(2).collect()

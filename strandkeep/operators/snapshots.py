@@ -7,9 +7,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandkeep.functions import chunking, crypto
+from strandkeep.functions import chunking, crypto, scalars
 from strandkeep.functions.scalars import is_companion
-from strandkeep.operators import manifest, policy, secrets, store
+from strandkeep.operators import manifest, policy, secrets, store, workspace
 from strandkeep.stash import stash
 
 
@@ -21,11 +21,17 @@ class Snapshot(NamedTuple):
     findings: DataFrame
     snapshot: DataFrame
     changes: DataFrame
+    carried: DataFrame | None = None
 
 
-def create(files: DataFrame, known: DataFrame, rules: policy.Policy, parent: DataFrame | None, machine: tuple[str, str], now: Column, parents: list[str] = ()) -> Snapshot:
+def create(
+    files: DataFrame, known: DataFrame, rules: policy.Policy, parent: DataFrame | None, machine: tuple[str, str], now: Column, parents: list[str] = (),
+    patches: DataFrame | None = None, repos: DataFrame | None = None,
+) -> Snapshot:
     """A snapshot of files (path, content, modified_utc, executable) over a store (chunk_id) and the parent's entries.
 
+    patches are uncommitted work to carry (see workspace.capture), scanned like files; repos are repository states.
+
     Files with something new are scanned whole before anything is stored. The chunk table is written once, as
     entries, objects and scan all read it. A file without bytes has no chunks.
     """
@@ -39,22 +45,44 @@ def create(files: DataFrame, known: DataFrame, rules: policy.Policy, parent: Dat
     findings = stash(secrets.findings(kept.join(fresh.select("path"), "path", "left_semi").select("path", F.decode("content", "utf-8").alias("content"))))
     bad = findings.select("path").distinct()
     new = pieces.join(bad, "path", "left_anti").select("chunk_id", F.col("chunk").alias("content"))
+    carried = None
+    if patches is not None:
+        found = secrets.findings(patches.select("path", F.decode("patch", "utf-8").alias("content")))
+        findings = stash(findings.unionByName(found))
+        taken = workspace.capture(patches.join(found.select("path").distinct(), "path", "left_anti"))
+        carried, new = stash(taken.carried), new.unionByName(taken.objects)
     text = store.write_manifests(entries.withColumn("snapshot_id", F.lit(""))).select(F.encode("text", "utf-8").alias("content"))
     whole = stash(chunking.chunk(text.withColumn("path", F.lit("manifest")).withColumn("manifest_id", F.sha2("content", 256))))
     listed = whole.groupBy("manifest_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "chunk_id"))), lambda y: y["chunk_id"]).alias("manifest_chunks"))
     head = listed.crossJoin(manifest.totals(entries))  # one row each
     row = head.select(
         "manifest_id", "manifest_chunks", F.array(*map(F.lit, parents)).cast("array<string>").alias("parents"), F.lit(machine[0]).alias("machine_id"), F.lit(machine[1]).alias("machine_name"),
-        now.alias("created_utc"), F.col("file_count").cast("int").alias("file_count"), "total_bytes", empty.alias("carried"), empty.alias("repos"),
+        now.alias("created_utc"), F.col("file_count").cast("int").alias("file_count"), "total_bytes",
     )
+    for name, lines in (("carried", carried and workspace.carry_lines(carried)), ("repos", repos and workspace.repo_lines(repos))):
+        if lines is None:
+            row = row.withColumn(name, empty)
+        else:  # one row; checkouts are few
+            ordered = F.array_sort(F.collect_list(F.struct(scalars.ordinal("path").alias("k"), "line")))
+            row = row.crossJoin(lines.agg(F.transform(ordered, lambda x: x["line"]).alias(name)))
     objects = store.put(known, new.unionByName(whole.select("chunk_id", F.col("chunk").alias("content"))))
     none = entries.limit(0) if parent is None else parent
-    return Snapshot(entries, objects, findings, store.write_snapshots(row), manifest.diff(none, entries))
+    return Snapshot(entries, objects, findings, store.write_snapshots(row), manifest.diff(none, entries), carried)
+
 
+def is_unchanged(snapshot: Snapshot, merging: bool = False, same_repos: bool = True, same_work: bool = True, carried_before: DataFrame | None = None) -> bool:
+    """Whether a snapshot would say nothing new: not merging, no change, the same repositories and carried work.
 
-def is_unchanged(snapshot: Snapshot, merging: bool = False, same_repos: bool = True, same_work: bool = True) -> bool:
-    """Whether a snapshot would say nothing new: not merging, no change, the same repositories and carried work."""
-    return not merging and same_repos and same_work and snapshot.changes.isEmpty()
+    carried_before is the parent's carried work; where either snapshot has some, the two are compared by repository.
+    """
+    if merging or not same_repos or not same_work or not snapshot.changes.isEmpty():
+        return False
+    if snapshot.carried is None and carried_before is None:
+        return True
+    if snapshot.carried is None or carried_before is None:
+        return (carried_before or snapshot.carried).isEmpty()
+    one, two = (x.withColumn("all", F.lit(1)) for x in (carried_before, snapshot.carried))
+    return workspace.same_carried(one, two, ["all"]).where("NOT same").isEmpty()
 
 
 def to_push(reachable: DataFrame, chunks: DataFrame, objects: DataFrame, key: bytes) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandkeep.plans import contents, diffs, histories, overviews, policies, snapshots
+from strandkeep.plans import contents, diffs, histories, overviews, policies, snapshots, workspaces
 
-MODULES = (diffs, policies, histories, contents, overviews, snapshots)
+MODULES = (diffs, policies, histories, contents, overviews, snapshots, workspaces)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

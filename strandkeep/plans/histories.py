@@ -107,11 +107,14 @@ def _pinned_flags(spark, folder):
     return server.with_pinned(_machines(spark, folder), _pins(spark, folder))
 
 
+def _commits_asked(spark, folder):
+    commits = table(spark, folder, "orders").select((F.col("o_orderkey") + F.when(F.col("o_orderkey") % 25 == 3, 10**9).otherwise(0)).alias("session"), "o_custkey", F.expr("(o_orderkey div 4) * 10 + 1 + o_orderkey % 3").alias("snapshot"))
+    return commits.select("session", F.col("o_custkey").alias("machine_id"), "snapshot")
+
+
 def _commits(spark, folder):
     sessions, ids = _sessions(spark, folder)
-    commits = table(spark, folder, "orders").select((F.col("o_orderkey") + F.when(F.col("o_orderkey") % 25 == 3, 10**9).otherwise(0)).alias("session"), "o_custkey", F.expr("(o_orderkey div 4) * 10 + 1 + o_orderkey % 3").alias("snapshot"))
-    commits = commits.select("session", F.col("o_custkey").alias("machine_id"), "snapshot")
-    return server.commit_outcomes(commits, sessions, ids, _objects(spark, folder))
+    return server.commit_outcomes(_commits_asked(spark, folder), sessions, ids, _objects(spark, folder))
 
 
 def _ignore_inserts(spark, folder):

@@ -39,22 +39,6 @@ def _defaults(spark, folder):
     return docs.select("doc_id", policy.verdict(policy.load_policy(None, None), "path", False).alias("verdict"))
 
 
-def _carried(spark, folder):
-    work = table(spark, folder, "orders").select(F.col("o_orderkey").alias("work_id"), F.concat(F.lit("repo/"), "o_custkey").alias("repo"))
-    here = table(spark, folder, "customer").where("c_acctbal > 0").select(F.concat(F.lit("repo/"), "c_custkey").alias("repo"), (F.col("c_custkey") % 2 == 0).alias("snapshotted"), (F.col("c_custkey") % 5 == 0).alias("pushed"))
-    joined = work.join(here, "repo", "left")
-    where = F.when(F.col("snapshotted").isNull(), "gone").when(F.col("pushed"), "on the server").when(F.col("snapshotted"), "snapshotted").otherwise("this disk only")
-    return joined.groupBy(where.alias("place")).agg(F.count("*").alias("n"))
-
-
-def _fetched(spark, folder):
-    heads = table(spark, folder, "customer").select(F.col("c_custkey").alias("machine_id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 4 > 0, F.col("c_custkey") % 100).alias("head"))
-    fetched = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("head")).withColumn("here", F.lit(True))
-    joined = heads.join(fetched, "head", "left")
-    state = F.when(F.col("head").isNull(), "no head").when(F.col("here"), "fetched").otherwise("to fetch")
-    return joined.select("machine_id", "name", state.alias("state"))
-
-
 def _names(spark, folder):
     chunks = table(spark, folder, "documents").select(scalars.content_id(F.col("text").cast("binary")).alias("chunk_id")).distinct()
     named = chunks.select("chunk_id", F.sha2(F.concat(F.lit("name/"), "chunk_id"), 256).alias("remote_id"))
@@ -62,23 +46,6 @@ def _names(spark, folder):
     return server.missing(named.select("remote_id"), objects).join(named, "remote_id").select("chunk_id")
 
 
-def _same_carried(spark, folder):
-    one = table(spark, folder, "customer").select((F.col("c_custkey") % 40).alias("g"), "c_custkey", F.col("c_nationkey").alias("base"))
-    two = table(spark, folder, "customer").select((F.col("c_custkey") % 40).alias("g"), "c_custkey", F.when((F.col("c_custkey") % 97 == 5), -1).otherwise(F.col("c_nationkey")).alias("base2"))
-    return one.join(two, ["g", "c_custkey"], "full_outer").groupBy("g").agg(F.bool_and(F.col("base").eqNullSafe(F.col("base2"))).alias("same"))
-
-
-def _groups(spark, folder):
-    rows = table(spark, folder, "customer").select(F.col("c_nationkey").alias("repository"), F.struct((F.col("c_custkey") % 10 > 0).alias("linked"), F.col("c_name").alias("name")).alias("x"))
-    whole = rows.groupBy("repository").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    return whole.select("repository", F.size("xs").alias("trees"), F.col("xs")[0]["name"].alias("first"), F.size(F.filter("xs", lambda x: ~x["linked"])).alias("primary_trees"))
-
-
-def _shares(spark, folder):
-    rows = table(spark, folder, "documents").groupBy("source").agg(F.sum(F.when(F.col("doc_id") % 3 == 0, F.col("n_chars"))).alias("fresh"), F.sum(F.when(F.col("doc_id") % 7 > 0, F.col("n_chars")).otherwise(0)).alias("every"))
-    return rows.select("source", F.round(F.when(F.col("every") > 0, F.col("fresh") / F.col("every")).otherwise(0), 6).alias("share"))
-
-
 def _attention(spark, folder):
     c = table(spark, folder, "customer")
     checkouts = c.select(F.col("c_name").alias("path"), (F.col("c_custkey") % 4).alias("dirty_files"), (F.col("c_custkey") % 3 == 0).alias("carried"), (F.col("c_custkey") % 50 == 1).alias("volatile"), (F.col("c_custkey") % 60 == 2).alias("external"))
@@ -110,7 +77,7 @@ def _sessions(spark, folder):
 
 def _touched(spark, folder):
     objects = table(spark, folder, "part").select(F.col("p_partkey").alias("remote_id"), F.lit(datetime(2024, 1, 1)).alias("modified_utc"))
-    asked = table(spark, folder, "lineitem").where("l_discount = 0 AND l_quantity < 5").select(F.col("l_partkey").alias("remote_id"))
+    asked = table(spark, folder, "lineitem").select((F.col("l_partkey") * 2).alias("remote_id"))  # even ids, and ids beyond all parts
     return server.touch(objects, asked, F.lit(NOW)).select("remote_id", (F.col("modified_utc") == F.lit(NOW)).alias("touched"))
 
 
@@ -176,16 +143,6 @@ def _quarantine(spark, folder):
     return after.select("stamp", "remote_id").unionByName(left.select(F.lit("kept").alias("stamp"), "remote_id"))
 
 
-def _tree_counts(spark, folder):
-    trees = table(spark, folder, "customer")
-    return trees.agg(F.count_if(F.col("c_custkey") % 10 == 0).alias("primary_trees"), F.count("*").alias("trees"), F.sum(F.when(F.col("c_acctbal") > 0, F.col("c_nationkey")).otherwise(0)).cast("long").alias("carried_files"), F.count_if((F.col("c_nationkey") > 5) & ~(F.col("c_acctbal") > 0)).alias("at_risk"))
-
-
-def _json_states(spark, folder):
-    texts = table(spark, folder, "events").select("event_id", F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("x{"), "props")).when(F.col("event_id") % 4 == 1, F.lit("{oops")).otherwise(F.col("props")).alias("text"))
-    return texts.select("event_id", F.from_json("text", "k long", {"mode": "PERMISSIVE"})["k"].alias("k"))
-
-
 def _machines_by_name(spark, folder):
     rows = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("machine_name"), F.col("s_nationkey").alias("head"))
     return server.resolve_head(rows, "SUPPLIER#000000003").select("id", "head")
@@ -206,18 +163,11 @@ def _pairs_merges(spark, folder):
 QUERIES = {
     "cnt20_unresolved": _unresolved,
     "snk9_quarantine": _quarantine,
-    "agg9_tree_counts": _tree_counts,
-    "src12_json_states": _json_states,
     "sta12_resolve_head": _machines_by_name,
     "cnt11_pairs_merge": _pairs_merges,
     "flt8_foreign_rules": _foreign,
     "src13_default_rules": _defaults,
-    "jn11_carried_places": _carried,
-    "jn12_fetched_heads": _fetched,
     "jn13_name_lookup": _names,
-    "jn14_same_carried": _same_carried,
-    "agg6_working_trees": _groups,
-    "agg10_fresh_share": _shares,
     "sta14_attention": _attention,
     "str1_window_edges": _edges_of_windows,
     "sta7_add_to_session": _sessions,
@@ -234,26 +184,17 @@ _VERDICTS = ["Never", "Include", "Never", "Ignored", "Never", "Ignored", "Includ
 ORACLES = {
     "cnt20_unresolved": "SELECT source || '/' || doc_id AS path FROM documents WHERE source || '/' || doc_id IN (SELECT 'src' || (doc_id % 20) || '/' || doc_id FROM labels)",
     "snk9_quarantine": "SELECT CASE WHEN p_size > 25 THEN 'kept' ELSE '20240131T000000Z-3' END AS stamp, p_partkey AS remote_id FROM part UNION ALL SELECT '20240131T000000Z', 0 UNION ALL SELECT '20240131T000000Z-2', 0",
-    "agg9_tree_counts": "SELECT count(*) FILTER (c_custkey % 10 = 0) AS primary_trees, count(*) AS trees, CAST(sum(CASE WHEN c_acctbal > 0 THEN c_nationkey ELSE 0 END) AS BIGINT) AS carried_files, count(*) FILTER (c_nationkey > 5 AND NOT c_acctbal > 0) AS at_risk FROM customer",
-    "src12_json_states": "SELECT event_id, CASE WHEN event_id % 4 > 1 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events",
     "sta12_resolve_head": "SELECT s_suppkey AS id, s_nationkey AS head FROM supplier WHERE lower(s_name) = 'supplier#000000003'",
     "cnt11_pairs_merge": """SELECT event_id, CASE WHEN event_id % 3 <> 0 OR user_id = 0 THEN 'A=' || CASE WHEN event_id % 3 = 0 THEN 'x' ELSE CAST(user_id AS VARCHAR) END || chr(10) || 'B=1' || chr(10) || 'C=' || event_type || chr(10) END AS merged FROM events""",
     "flt8_foreign_rules": "SELECT * FROM (VALUES ('ignore', 0, '# build output'), ('ignore', 1, 'build'), ('ignore', 2, '*.tmp'), ('ignore', 3, '# Secrets of the team'), ('ignore', 4, '!vault/readme'), ('ignore', 5, '# plain again'), ('ignore', 6, 'notes'), "
     "('never', 0, 'vault'), ('never', 1, '*.pem'), ('never', 2, 'deploy_key'), ('unsupported', 0, '(?d)(?i)*.tmp  (flags dropped)'), ('unsupported', 1, '#include other')) t(kind, position, line)",
     "src13_default_rules": f"SELECT doc_id, {_VERDICTS}[doc_id % 7 + 1] AS verdict FROM documents",
-    "jn11_carried_places": """SELECT CASE WHEN c_custkey IS NULL THEN 'gone' WHEN c_custkey % 5 = 0 THEN 'on the server' WHEN c_custkey % 2 = 0 THEN 'snapshotted' ELSE 'this disk only' END AS place, count(*) AS n
-        FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey GROUP BY 1""",
-    "jn12_fetched_heads": """SELECT c_custkey AS machine_id, c_name AS name, CASE WHEN c_custkey % 4 = 0 THEN 'no head' WHEN s_suppkey IS NOT NULL THEN 'fetched' ELSE 'to fetch' END AS state
-        FROM customer LEFT JOIN supplier ON c_custkey % 4 > 0 AND s_suppkey = c_custkey % 100""",
     "jn13_name_lookup": "SELECT DISTINCT sha256(text) AS chunk_id FROM documents WHERE sha256('name/' || sha256(text)) >= '8'",
-    "jn14_same_carried": "SELECT c_custkey % 40 AS g, bool_and(c_custkey % 97 <> 5) AS same FROM customer GROUP BY 1",
-    "agg6_working_trees": """SELECT c_nationkey AS repository, CAST(count(*) AS INTEGER) AS trees, coalesce(min(c_name) FILTER (c_custkey % 10 = 0), min(c_name)) AS first, CAST(count(*) FILTER (c_custkey % 10 = 0) AS INTEGER) AS primary_trees FROM customer GROUP BY 1""",
-    "agg10_fresh_share": """SELECT source, round(CASE WHEN every > 0 THEN fresh / every ELSE 0 END, 6) AS share FROM (SELECT source, CAST(sum(n_chars) FILTER (doc_id % 3 = 0) AS DOUBLE) AS fresh, CAST(coalesce(sum(n_chars) FILTER (doc_id % 7 > 0), 0) AS DOUBLE) AS every FROM documents GROUP BY 1)""",
     "sta14_attention": """SELECT CAST(0 AS BIGINT) AS rank, 'conflict' AS kind, c_name AS subject FROM customer WHERE c_mktsegment = 'MACHINERY' UNION ALL SELECT 1, 'only_here', c_name FROM customer WHERE c_custkey % 4 > 0 AND c_custkey % 3 > 0
         UNION ALL SELECT 2, 'volatile', c_name FROM customer WHERE c_custkey % 50 = 1 UNION ALL SELECT 3, 'not_pushed', c_name FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 4, 'external', c_name FROM customer WHERE c_custkey % 60 = 2""",
     "str1_window_edges": "SELECT * FROM (VALUES ('0/-1', false, true), ('0/0', true, true), ('0/1', true, true), ('1/-1', false, false), ('1/0', false, true), ('1/1', false, true)) t(remote_id, young, live)",
     "sta7_add_to_session": "SELECT DISTINCT l_orderkey AS session, l_partkey AS object FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O'",
-    "jn7_touch": "SELECT p_partkey AS remote_id, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_discount = 0 AND l_quantity < 5) AS touched FROM part",
+    "jn7_touch": "SELECT p_partkey AS remote_id, p_partkey IN (SELECT l_partkey * 2 FROM lineitem) AS touched FROM part",
     "sta1_enrol_revoke": """WITH j AS (SELECT s_suppkey * 20 AS id, s_name FROM supplier), r AS (SELECT s_suppkey * 3 AS id FROM supplier), every AS (SELECT c_custkey AS id FROM customer UNION SELECT id FROM j)
         SELECT id, coalesce(s_name, c_name) AS name, CASE WHEN s_name IS NULL THEN 'linux' ELSE 'macos' END AS platform, CASE WHEN c_custkey % 2 = 0 THEN 'h' || c_custkey END AS head,
             id IN (SELECT id FROM r) OR (s_name IS NULL AND c_custkey % 5 = 0) AS revoked, s_name IS NOT NULL AND id NOT IN (SELECT id FROM r) AS known

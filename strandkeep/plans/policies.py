@@ -1,9 +1,10 @@
 """Queries over path rules, URL verdicts and gates."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandkeep.functions import scalars
-from strandkeep.operators import policy
+from strandkeep.operators import policy, workspace
 from strandkeep.sources.tables import table
 
 #: A path corpus with every class of rule in it, from documents; the same expression in both engines.
@@ -84,17 +85,11 @@ def _relative(spark, folder):
     return docs.select("doc_id", scalars.relative_path(path, "/work/a").alias("relative"), scalars.is_temporary(path).alias("temporary"), scalars.is_safe_path(climb).alias("safe"))
 
 
-def _land(spark, folder):
-    work = table(spark, folder, "orders").select(F.concat(F.lit("repo/"), "o_custkey").alias("repo"), F.col("o_orderkey").alias("work_id"), (F.col("o_orderkey") % 7).alias("base"))
-    here = table(spark, folder, "customer").where("c_acctbal > 0").select(F.concat(F.lit("repo/"), "c_custkey").alias("repo"), (F.col("c_custkey") % 3).alias("dirty_files"), (F.col("c_custkey") % 7).alias("head"))
-    joined = work.join(here, "repo", "left")
-    reason = F.when(F.col("head").isNull(), "no checkout").when(F.col("dirty_files") > 0, "dirty").when(F.col("head") != F.col("base"), "different head").otherwise("")
-    return joined.select("work_id", reason.alias("refusal"))
-
-
 def _dirty(spark, folder):
-    rows = table(spark, folder, "customer").select("c_custkey", (F.col("c_custkey") % 13).alias("dirty_files")).where("dirty_files > 0")
-    return rows.orderBy(F.desc("dirty_files"), "c_custkey").limit(20)
+    """Every dirty checkout with its place, most files first."""
+    rows = workspace.dirty(table(spark, folder, "customer").select(F.col("c_custkey").alias("path"), (F.col("c_custkey") % 13).alias("dirty_files")))
+    place = F.row_number().over(Window.orderBy(F.desc("dirty_files"), "path"))
+    return rows.select(F.col("path").alias("c_custkey"), "dirty_files", place.cast("long").alias("place"))
 
 
 def _structural(spark, folder):
@@ -119,7 +114,6 @@ QUERIES = {
     "flt16_ids": _ids,
     "flt17_versions": _versions,
     "flt13_relative_paths": _relative,
-    "flt19_land_gate": _land,
     "flt18_dirty_top": _dirty,
     "src3_structural_skips": _structural,
     "src2_repo_boundary": _checkouts,
@@ -151,9 +145,7 @@ ORACLES = {
     "flt17_versions": f"""SELECT p_partkey, CASE WHEN bad THEN 'Unknown' WHEN (major, minor) < (2, 5) THEN 'Available' WHEN (major, minor) = (2, 5) THEN 'UpToDate' ELSE 'Ahead' END AS verdict,
         NOT bad AND (major, minor) >= (1, 3) AS may_write FROM {_V}""",
     "flt13_relative_paths": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) END AS relative, doc_id % 3 = 2 AS temporary, doc_id % 4 = 1 AS safe FROM documents",
-    "flt19_land_gate": """SELECT o_orderkey AS work_id, CASE WHEN c_custkey IS NULL THEN 'no checkout' WHEN c_custkey % 3 > 0 THEN 'dirty' WHEN c_custkey % 7 <> o_orderkey % 7 THEN 'different head' ELSE '' END AS refusal
-        FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey""",
-    "flt18_dirty_top": "SELECT c_custkey, c_custkey % 13 AS dirty_files FROM customer WHERE c_custkey % 13 > 0 ORDER BY 2 DESC, 1 LIMIT 20",
+    "flt18_dirty_top": "SELECT c_custkey, c_custkey % 13 AS dirty_files, row_number() OVER (ORDER BY c_custkey % 13 DESC, c_custkey) AS place FROM customer WHERE c_custkey % 13 > 0",
     "src3_structural_skips": "SELECT CAST(doc_id AS VARCHAR) AS path FROM documents WHERE doc_id % 8 > 2",
     "src2_repo_boundary": """WITH p AS (SELECT CASE WHEN doc_id % 25 = 0 THEN source || '/repo/.git/config' WHEN doc_id % 5 = 1 THEN source || '/repo/deep/' || doc_id ELSE source || '/' || doc_id END AS path FROM documents)
         SELECT path FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE contains(q.path, '/.git/') AND starts_with(p.path, split_part(q.path, '.git', 1)))""",

@@ -56,9 +56,9 @@ def walk(files: DataFrame, policy: rules.Policy) -> Walk:
     return Walk(checkouts.orderBy("root"), rules.kept(loose, policy), rules.refused(loose, policy).orderBy("refused"))
 
 
-def read_json(texts: DataFrame, schema: str, strict: bool) -> DataFrame:
-    """text parsed by a schema: strict raises for what doesn't fit (a machine's identity), else it reads as null (heads, merge state)."""
-    return texts.select(F.from_json("text", schema, {"mode": "FAILFAST" if strict else "PERMISSIVE"}).alias("value"))
+def read_json(texts: DataFrame, schema: str, strict: bool, keep: list[str] = ()) -> DataFrame:
+    """keep, and value: text parsed by a schema. strict raises for what doesn't fit (a machine's identity), else it reads as null (heads, merge state)."""
+    return texts.select(*keep, F.from_json("text", schema, {"mode": "FAILFAST" if strict else "PERMISSIVE"}).alias("value"))
 
 
 def porcelain_states(reports: DataFrame) -> DataFrame:
