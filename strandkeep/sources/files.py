@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from datetime import UTC, datetime
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from strandkeep.functions.scalars import is_companion
 from strandkeep.operators import policy as rules
+from strandkeep.stash import stash
 
 
 class Walk(NamedTuple):
@@ -21,21 +24,71 @@ class Walk(NamedTuple):
 
 
 _LISTED = "path string, size long, modified_utc timestamp"
+#: Files of another store that the driver holds before it writes them.
+_HELD = 100_000
 
 
 def listed(spark: SparkSession, root: str, policy: rules.Policy | None = None) -> DataFrame:
     """path (below root), size, modified_utc of the files of a tree, hidden ones too; contents are not read.
 
     A directory that the policy takes out is listed itself, with a final slash, and not entered; of a checkout
-    only its .git entry is. The driver lists through Spark's file systems, so any store that Spark opens will
-    do; what it holds are the rows that remain.
+    only its .git entry is. A link to a directory is listed as a file and never followed. Directories that
+    vanish or cannot be read are passed over. A mounted tree is listed in tasks, level by level, and the driver
+    sees nothing of it; any other store goes through Spark's file systems, where the driver lists and writes
+    what it found in parts.
     """
+    bare = root.removeprefix("file:")
+    if "://" in bare and not root.startswith("file:///"):
+        return _listed_elsewhere(spark, root, policy)
+    top = "/" + bare.lstrip("/") if root.startswith("file:") else bare
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    front, parts = spark.createDataFrame([("",)], "above string"), []
+    while not front.isEmpty():
+        found = stash(front.repartition(n, "above").mapInArrow(lambda batches: _scanned(top, batches), _LISTED + ", is_dir boolean"))
+        entered = found.where("is_dir")
+        if policy is not None:
+            entered = entered.withColumn("__verdict", rules.verdict(policy, "path", True))
+            out = entered.where("__verdict <> 'Include'").select(F.concat("path", F.lit("/")).alias("path"), F.lit(0).cast("long").alias("size"), "modified_utc")
+            entered = entered.where("__verdict = 'Include'")
+            parts.append(out)
+        parts.append(found.where("NOT is_dir").select("path", "size", "modified_utc"))
+        front = stash(entered.select(F.concat("path", F.lit("/")).alias("above")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _scanned(top: str, batches):
+    """The entries of each directory of a batch."""
+    import pyarrow as pa
+
+    kinds = [pa.string(), pa.int64(), pa.timestamp("us", tz="UTC"), pa.bool_()]
+    for batch in batches:
+        rows = []
+        for above in batch.column("above").to_pylist():
+            try:
+                with os.scandir(os.path.join(top, above)) as entries:
+                    own = list(entries)
+            except OSError:
+                continue
+            if any(e.name == ".git" for e in own):
+                rows.append((f"{above}.git", 0, None, False))
+                continue
+            for e in own:
+                try:
+                    is_dir = e.is_dir(follow_symlinks=False)
+                    stat = e.stat(follow_symlinks=not e.is_symlink() or e.is_file())
+                except OSError:
+                    continue
+                rows.append((above + e.name, 0 if is_dir else stat.st_size, int(stat.st_mtime * 1e6), is_dir))
+        yield pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["path", "size", "modified_utc", "is_dir"])
+
+
+def _listed_elsewhere(spark: SparkSession, root: str, policy: rules.Policy | None) -> DataFrame:
     top = spark._jvm.org.apache.hadoop.fs.Path(root)
     system = top.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    todo, rows = [(top, "")], []
+    todo, rows, parts = [(top, "")], [], []
     while todo:
         place, above = todo.pop()
-        found = [(x.getPath(), x.getPath().getName(), x.isDirectory(), x.getLen(), x.getModificationTime()) for x in system.listStatus(place)]
+        found = [(x.getPath(), x.getPath().getName(), x.isDirectory() and not x.isSymlink(), x.getLen(), x.getModificationTime()) for x in system.listStatus(place)]
         if any(name == ".git" for _, name, *_ in found):
             rows.append((f"{above}.git", 0, None))
             continue
@@ -44,7 +97,10 @@ def listed(spark: SparkSession, root: str, policy: rules.Policy | None = None) -
                 todo.append((path, f"{above}{name}/"))
             else:
                 rows.append((f"{above}{name}/" if is_dir else above + name, 0 if is_dir else size, datetime.fromtimestamp(at / 1000, UTC)))
-    return spark.createDataFrame(rows, _LISTED)
+        if len(rows) >= _HELD:
+            parts.append(stash(spark.createDataFrame(rows, _LISTED)))
+            rows = []
+    return reduce(DataFrame.unionByName, [*parts, spark.createDataFrame(rows, _LISTED)])
 
 
 def walk(files: DataFrame, policy: rules.Policy) -> Walk:

@@ -54,3 +54,75 @@ def test_lister_and_expression_agree_on_verdicts(spark):
         got = spark.createDataFrame([(p,) for p in paths], "path string").select("path", policy.verdict(rules, "path", is_dir).alias("v")).collect()
         assert {r.path: r.v for r in got} == {p: policy.judge(rules, p, is_dir) for p in paths}
         assert {r.v for r in got} == {"Include", "Ignored", "Never"}
+
+
+def test_links_to_directories_are_files_and_not_followed(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "b" / "x.txt").write_text("x")
+    (tmp_path / "a" / "loop").symlink_to(tmp_path)
+    (tmp_path / "a" / "b" / "up").symlink_to("..")
+    (tmp_path / "gone").symlink_to(tmp_path / "nothing")
+    (tmp_path / "alias.txt").symlink_to(tmp_path / "a" / "b" / "x.txt")
+    for root in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}"):
+        got = {r.path: r.size for r in files.listed(spark, root).collect()}
+        assert set(got) == {"a/b/x.txt", "a/loop", "a/b/up", "gone", "alias.txt"} and got["a/b/x.txt"] == got["alias.txt"] == 1
+    assert files.listed(spark, str(tmp_path / "not there")).count() == 0
+
+
+def test_saved_refs_replace_the_old_ones(spark, tmp_path):
+    from strandkeep.operators import workspace
+
+    path = str(tmp_path / "refs")
+    for head in ("a" * 64, "b" * 64):
+        refs = spark.createDataFrame([("HEAD", None, None, head)], workspace.REFS)
+        workspace.save_refs(refs, path)
+        assert [r.head for r in workspace.read_ref(spark.read.parquet(path), "HEAD").collect()] == [head]
+    assert not (tmp_path / "refs.new").exists()
+
+
+def test_a_snapshot_carries_work_and_repositories(spark):
+    from strandkeep.operators import workspace
+
+    files_ = spark.createDataFrame([("a.txt", b"plain\n")], "path string, content binary").withColumns({"modified_utc": F.lit(datetime(2024, 1, 1)), "executable": F.lit(False)})
+    none = spark.createDataFrame([], "chunk_id string")
+    patches = spark.createDataFrame([("z", "c1", "main", b"+ new line\n", 1, 0), ("b\tc", "c2", None, b"+ other\n", 2, 1), ("empty", "c3", "x", b"", 0, 0), ("unborn", None, "x", b"+ y\n", 1, 0), ("bad", "c4", "x", b'+ token = "0123456789abcdef0123"\n', 1, 0)], "path string, base_commit string, branch string, patch binary, changed_files int, staged_files int")
+    repos = spark.createDataFrame([("z", "git@h:z", "main", "c1", True, 1), ("b\tc", None, None, "c2", False, 2)], "path string, remote string, branch string, head string, is_primary boolean, dirty_files int")
+    taken = snapshots.create(files_, none, policy.parse_policy([], []), None, ("m", "desk"), F.lit(datetime(2024, 1, 2)), [], patches, repos)
+    assert [r.path for r in taken.findings.collect()] == ["bad"] and taken.objects.count() == 4
+    lines = taken.snapshot.first().text.split("\n")
+    carried = [x for x in lines if x.startswith("carry ")]
+    assert [x.split("\t")[:3] for x in carried] == [["carry b c", "c2", ""], ["carry z", "c1", "main"]] and carried[1].endswith("\t11\t1\t0")
+    assert [x for x in lines if x.startswith("repo ")] == ["repo b c\t\t\tc2\tw\t2", "repo z\tgit@h:z\tmain\tc1\tp\t1"]
+    again = snapshots.create(files_, none, policy.parse_policy([], []), taken.entries, ("m", "desk"), F.lit(datetime(2024, 1, 2)), [], patches, repos)
+    assert snapshots.is_unchanged(again, carried_before=taken.carried) and not snapshots.is_unchanged(again)
+    moved = taken.carried.withColumn("base_commit", F.lit("c9"))
+    assert not snapshots.is_unchanged(again, carried_before=moved) and not snapshots.is_unchanged(again, merging=True, carried_before=taken.carried)
+    with pytest.raises(ValueError):
+        workspace.abort_merge(None, files_)
+
+
+def test_tables_on_the_way_are_dropped(spark, tmp_path, monkeypatch):
+    from strandkeep import stash
+
+    monkeypatch.setattr(stash, "shared_folder", lambda _: str(tmp_path))
+    monkeypatch.setattr(stash, "_written", [[]])
+    kept = stash.stash(spark.range(2))
+    out = stash.settled(spark, lambda: stash.stash(stash.stash(spark.range(5)).where("id > 1")))
+    assert out.count() == 3 and kept.count() == 2 and len(list(tmp_path.iterdir())) == 2
+    with pytest.raises(ZeroDivisionError):
+        stash.settled(spark, lambda: 1 / 0)
+    assert len(stash._written) == 1
+    stash.release(spark)
+    assert not list(tmp_path.iterdir())
+
+
+def test_a_cluster_without_a_shared_folder_raises(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from strandkeep import stash
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://h:7077"))
+    with pytest.raises(ValueError, match="share"):
+        stash.shared_folder(fake)
+    fake.sparkContext.master = "local[2]"
+    assert stash.shared_folder(fake) == stash.shared_folder(fake)
