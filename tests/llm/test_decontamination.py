@@ -57,3 +57,15 @@ def test_of_rows_without_id_the_contaminated_text_goes(spark):
     docs = spark.createDataFrame([(None, f"a {item} b"), (None, "clean and unrelated words stand here"), (None, None), (1, item), (2, "clean")], "doc_id long, text string")
     kept = D.decontaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
     assert {(r.doc_id, r.text) for r in kept} == {(None, "clean and unrelated words stand here"), (None, None), (2, "clean")}
+
+
+def test_texts_of_one_id_are_held_apart(spark):
+    one, two = (" ".join(f"{c}{k}" for k in range(12)) for c in "ab")
+    docs = spark.createDataFrame([(1, one), (1, f"{two} more"), (2, f"{one} {two}")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, one), (7, two)], "item_id long, text string")
+    assert rows(D.contained(docs, items)) == {(1, 7, 8, 8), (2, 7, 8, 8)}
+
+
+def test_shingles_as_text_agree_with_their_hashes(spark, odd_docs):
+    both = D.with_spelled(D.with_shingles(odd_docs, "h"), "s").selectExpr("size(h) AS a", "size(s) AS b").collect()
+    assert all(r.a == r.b for r in both)
