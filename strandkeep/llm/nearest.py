@@ -5,8 +5,9 @@ visits its own bucket of every table and then those with some cells shifted by o
 estimated chance that a near vector fell there (by the squared distances to the cells' borders). Candidates
 of all tables are ranked by their exact distance in double precision.
 
-Equal vectors are one point with its smallest ids. Points are dealt by table and bucket range to parts; a
-query goes once to each part that it visits, past the part's points, and takes its nearest of the part along.
+Equal vectors are one point with its smallest ids. Points are dealt by table and bucket range to parts, and a
+part that a full bucket makes large is split by point; a query goes once to each part that it visits, or to all
+its splits, past their points, and takes its nearest of each along.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ TABLES, FUNCTIONS, PROBES, WIDTH = 8, 10, 128, 1.77
 #: Vectors that the width is fitted on, at most; points of a part, about; queries of an exhaustive block.
 SAMPLE, PART_POINTS, BLOCK = 2000, 40_000, 1024
 NEAREST = 10
+#: Parts with more than this share of all points are looked at for splitting; the driver learns these alone.
+HOT_SHARE = 1e-4
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -124,15 +127,42 @@ def _found(batch: list[tuple[int, np.ndarray, np.ndarray]]):
     return pa.record_batch([pa.array(x) for x in arrays], ["query_id", "point", "score"])
 
 
-def _probed(all_points: DataFrame, queries: DataFrame, tables: Tables, most: int) -> DataFrame:
+NAMES = ["table", "part", "split", "kind", "id", "embedding", "keys"]
+
+
+def _probed(all_points: DataFrame, queries: DataFrame, tables: Tables, most: int, total: int) -> DataFrame:
     """query_id, point, score: each part's nearest of the visited buckets."""
 
+    def keys_of(batch):
+        cells, _ = tables.cells(_matrix(batch.column("embedding"))) if batch.num_rows else (np.empty((TABLES, 0, FUNCTIONS), np.int64), None)
+        return tables.keys(cells)
+
+    def counted(batches):
+        sums: dict[tuple[int, int], int] = {}
+        for batch in batches:
+            keys = keys_of(batch)
+            for t in range(TABLES):
+                for part, n in zip(*np.unique(tables.part(keys[t]), return_counts=True), strict=True):
+                    sums[t, int(part)] = sums.get((t, int(part)), 0) + int(n)
+        rows = [(t, p, n) for (t, p), n in sums.items()]
+        yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2))], ["table", "part", "n"])
+
+    sums = all_points.select("embedding").mapInArrow(counted, "table int, part long, n long").groupBy("table", "part").agg(F.sum("n").alias("n"))
+    full = sums.where(F.col("n") > max(2 * PART_POINTS, int(total * HOT_SHARE))).collect()  # at most TABLES / HOT_SHARE rows
+    splits = {(r["table"], r["part"]): -(-r["n"] // PART_POINTS) for r in full}
+
     def dealt(batches):
         for batch in batches:
-            cells, _ = tables.cells(_matrix(batch.column("embedding"))) if batch.num_rows else (np.empty((TABLES, 0, FUNCTIONS), np.int64), None)
-            keys = tables.keys(cells)
+            keys = keys_of(batch)
+            spread = common.mixed(batch.column("point").to_numpy().view(np.uint64)) if batch.num_rows else np.empty(0, np.uint64)
             for t in range(TABLES):
-                yield pa.record_batch([pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(tables.part(keys[t])), pa.array(np.zeros(batch.num_rows, np.int32)), batch.column("point"), batch.column("embedding"), pa.array(keys[t].view(np.int64)[:, None].tolist(), pa.list_(pa.int64()))], ["table", "part", "kind", "id", "embedding", "keys"])
+                part = tables.part(keys[t])
+                split = np.zeros(batch.num_rows, np.int64)
+                for (table, p), n in splits.items() if batch.num_rows else ():
+                    if table == t:
+                        own = part == p
+                        split[own] = spread[own] % np.uint64(n)
+                yield pa.record_batch([pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(part), pa.array(split), pa.array(np.zeros(batch.num_rows, np.int32)), batch.column("point"), batch.column("embedding"), pa.array(keys[t].view(np.int64)[:, None].tolist(), pa.list_(pa.int64()))], NAMES)
 
     def asked(batches):
         for batch in batches:
@@ -143,26 +173,26 @@ def _probed(all_points: DataFrame, queries: DataFrame, tables: Tables, most: int
                 for t in range(TABLES):
                     keys = tables.keys(cells[t, 0] + perturbations(inside[t, 0], tables.width, PROBES))
                     part = tables.part(keys)
-                    rows += [(t, int(p), 1, q, x[v].tolist(), keys[part == p].view(np.int64).tolist()) for p in np.unique(part)]
-            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64())]
-            yield pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["table", "part", "kind", "id", "embedding", "keys"])
+                    rows += [(t, int(p), s, 1, q, x[v].tolist(), keys[part == p].view(np.int64).tolist()) for p in np.unique(part) for s in range(splits.get((t, int(p)), 1))]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64())]
+            yield pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], NAMES)
 
-    schema = "table int, part long, kind int, id long, embedding array<double>, keys array<long>"
+    schema = "table int, part long, split long, kind int, id long, embedding array<double>, keys array<long>"
     n = int(all_points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = all_points.select("point", "embedding").mapInArrow(dealt, schema).unionByName(queries.select("vec_id", "embedding").mapInArrow(asked, schema))
-    rows = rows.repartition(max(n, TABLES), "table", "part").sortWithinPartitions("table", "part", "kind")
+    rows = rows.repartition(max(n, TABLES), "table", "part", "split").sortWithinPartitions("table", "part", "split", "kind")
 
     def searched(batches):
         place, ids, x, keys, loose = None, None, None, None, []
         for batch in batches:
             out = []
-            table, part, kind = (batch.column(c).to_numpy() for c in ("table", "part", "kind"))
+            table, part, split, kind = (batch.column(c).to_numpy() for c in ("table", "part", "split", "kind"))
             every, own = _matrix(batch.column("embedding")), batch.column("id").to_numpy()
             lists = batch.column("keys")
-            cuts = np.flatnonzero((np.diff(table) != 0) | (np.diff(part) != 0) | (np.diff(kind) != 0)) + 1
+            cuts = np.flatnonzero((np.diff(table) != 0) | (np.diff(part) != 0) | (np.diff(split) != 0) | (np.diff(kind) != 0)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True) if batch.num_rows else ():
-                if (table[a], part[a]) != place:
-                    place, ids, loose = (table[a], part[a]), None, []
+                if (table[a], part[a], split[a]) != place:
+                    place, ids, loose = (table[a], part[a], split[a]), None, []
                 if kind[a] == 0:
                     loose.append((own[a:b], every[a:b], np.asarray(lists.slice(a, b - a).flatten())))
                     continue
@@ -211,7 +241,7 @@ def nearest(vectors: DataFrame, queries: F.Column, most: int = NEAREST) -> DataF
     sample = np.array([r["embedding"] for r in everything.orderBy(F.xxhash64("point")).select("embedding").limit(SAMPLE).collect()])
     tables = Tables(sample.shape[1] if len(sample) else 1, fit_width(sample), max(1, math.ceil(total / PART_POINTS)))
     best = Window.partitionBy("query_id").orderBy("score", "point")
-    found = _probed(everything, asked, tables, most + 1).distinct()
+    found = _probed(everything, asked, tables, most + 1, total).distinct()
     found = common.stash(found.withColumn("k", F.row_number().over(best)).where(F.col("k") <= most + 1).drop("k"))
 
     def spelled(hits: DataFrame) -> DataFrame:

@@ -49,3 +49,18 @@ def test_probes_come_in_order_of_their_distance():
     inside = np.array([0.1, 0.5, 0.8])
     cost = [(np.where(s < 0, inside, np.where(s > 0, 1 - inside, 0)) ** 2).sum() for s in shifts]
     assert cost == sorted(cost) and len({tuple(s) for s in shifts.tolist()}) == 12 and not shifts[0].any()
+
+
+def test_full_buckets_are_split(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(60, 6)), 5 + 1e-3 * rng.normal(size=(400, 6))])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    monkeypatch.setattr(A, "PART_POINTS", 25)
+    got = {}
+    for r in A.nearest(df, F.col("vec_id") % 10 == 0).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    ids, found = np.arange(len(x)), 0
+    for q in range(0, len(x), 10):
+        want = exact(ids, x, q, 10)
+        found += len({v for v, _ in want} & {v for v, _ in got[q].values()})
+    assert len(got) == 46 and found >= 0.9 * 460
