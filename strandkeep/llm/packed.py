@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from strandkeep.llm import common
 
 #: Different hashes of a bucket, about; the least number of buckets; least parts that a bucket's places are salted to.
-BUCKET_HASHES, LEAST_BUCKETS, SALTS = 2_000_000, 48, 4
+BUCKET_HASHES, LEAST_BUCKETS, SALTS = 500_000, 48, 4
+#: Most tasks of a pass, where the session's shuffle partitions are fewer; a task then takes several buckets in turn.
+MOST_TASKS = 20_000
 #: Buckets with more than this share of all places are salted by their count; the driver learns these alone.
 HOT_SHARE = 1e-5
 
@@ -139,7 +141,7 @@ def repeated(rows: DataFrame, produce, packing: Packing, members: bool = False)
     produce(batch) gives hashes, texts, places, ids and row keys of a batch of rows.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    count, least = packing.buckets, packing.least
+    tasks, least = min(packing.buckets, max(n, MOST_TASKS)), packing.least
 
     def first_pass(batches):
         for batch in batches:
@@ -206,7 +208,7 @@ def repeated(rows: DataFrame, produce, packing: Packing, members: bool = False)
             else:
                 yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(keys_out, pa.int64()), pa.array(out, pa.binary())], ["doc", "key", "places"])
 
-    found = rows.mapInArrow(first_pass, "bucket int, n long, data binary").repartition(count, "bucket").sortWithinPartitions("bucket").mapInArrow(reduce, "bucket int, n long, data binary")
+    found = rows.mapInArrow(first_pass, "bucket int, n long, data binary").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(reduce, "bucket int, n long, data binary")
     shared = common.stash(found)
     total = shared.agg(F.sum("n")).first()[0] or 0
     salts = F.when(F.col("n") > total * HOT_SHARE, F.greatest(F.lit(SALTS), F.ceil(F.col("n") / BUCKET_HASHES))).otherwise(F.lit(SALTS)).cast("int")
@@ -214,7 +216,7 @@ def repeated(rows: DataFrame, produce, packing: Packing, members: bool = False)
     salts_of = {r["bucket"]: r["salts"] for r in hot}
     salt = F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")
     parts = shared.select("bucket", salt, F.lit(0).alias("kind"), "data").unionByName(rows.mapInArrow(second_pass, "bucket int, salt int, kind int, data binary"))
-    sorted_parts = parts.repartition(max(n, count), "bucket", "salt").sortWithinPartitions("bucket", "kind").select("bucket", "salt", "kind", "data")
+    sorted_parts = parts.repartition(max(n, tasks), "bucket", "salt").sortWithinPartitions("bucket", "kind").select("bucket", "salt", "kind", "data")
     return sorted_parts.mapInArrow(look_up, "hash long, doc long, leader long" if members else "doc long, key long, places binary")
 
 
