@@ -39,8 +39,8 @@ ERRORS = 5.0
 #: A block's documents and bytes, about: of those outside the leader's component, and of all of the band value.
 BLOCK_REST, BLOCK_ALL = 128, 512
 REST_BYTES, ALL_BYTES = 4 << 20, 16 << 20
-#: Sets of shingles that a block keeps spelled out.
-HELD_SETS = 64
+#: Shingles that a block keeps spelled out, about.
+HELD_SHINGLES = 300_000
 #: Documents without an id are keyed from here on, by a hash of their text.
 _NULL_IDS = 1 << 62
 _FACTORS = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -193,7 +193,7 @@ def block_links(rows: list[tuple], size: int, percent: int) -> list[tuple[int, i
     root = np.arange(own.max() + 1)
     t = percent / 100
     least = REGISTERS * (t - ERRORS * math.sqrt(t * (1 - t) / REGISTERS))  # equal registers are at least as likely as similarity
-    out, sets = [], {}
+    out, sets, held = [], {}, 0
     for k in np.flatnonzero(rest).tolist():
         there = np.flatnonzero(root[own] != root[own[k]])
         if not len(there):
@@ -206,9 +206,11 @@ def block_links(rows: list[tuple], size: int, percent: int) -> list[tuple[int, i
         for j in there.tolist():
             if root[own[j]] != root[own[k]]:
                 if j not in sets:
-                    if len(sets) >= HELD_SETS:
+                    if held > HELD_SHINGLES:
                         sets.clear()
+                        held = 0
                     sets[j] = spelled(words[j], size)
+                    held += len(sets[j])
                 if linked(mine, sets[j], percent):
                     out.append((docs[k], docs[j]))
                     root[root == root[own[j]]] = root[own[k]]
@@ -317,3 +319,17 @@ def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_near_dups": op4_near_dups}
+
+ORACLES = {
+    "op4_near_dups": """
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+             s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+             f AS (SELECT doc_id, count(*) AS n, sha256(string_agg(s, chr(10) ORDER BY s)) AS f FROM s GROUP BY doc_id),
+             r AS (SELECT f, min(doc_id) AS rep, any_value(n) AS n FROM f GROUP BY f),
+             t AS (SELECT rep, n, s FROM s JOIN r ON rep = doc_id),
+             c AS (SELECT a.rep AS a, b.rep AS b FROM t a JOIN t b ON a.s = b.s AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+             l AS (SELECT a, b FROM c UNION ALL SELECT b, a FROM c),
+             h AS (SELECT rep AS a, rep AS b FROM r UNION SELECT h.a, l.b FROM h JOIN l ON h.b = l.a),
+             m AS (SELECT a AS rep, min(b) AS component_id FROM h GROUP BY a)
+        SELECT doc_id, coalesce(f.n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept FROM d LEFT JOIN f USING (doc_id) LEFT JOIN r USING (f) LEFT JOIN m USING (rep)""",
+}

@@ -139,7 +139,7 @@ def test_links_are_decided_on_the_words(monkeypatch):
 def test_blocks_are_bounded_by_bytes(monkeypatch, spark):
     monkeypatch.setattr(N, "REST_BYTES", 2000)
     monkeypatch.setattr(N, "ALL_BYTES", 3000)
-    monkeypatch.setattr(N, "HELD_SETS", 2)
+    monkeypatch.setattr(N, "HELD_SHINGLES", 300)
     rng = random.Random(19)
     base = [f"w{k}" for k in range(150)]
     rows = []
