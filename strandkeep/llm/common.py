@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandkeep.stash import stash  # noqa: F401  the operators take it from here
+from strandkeep.stash import settled, stash  # noqa: F401  the operators take them from here
 
 #: A word, for every operator that counts or compares words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,7 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tuned(spark: SparkSession) -> None:
     """Bounds Arrow batches by bytes as well as rows, so that very long texts don't pile up in a worker.
 
-    Shuffle files go when the action that wrote them ends, so disk holds one action's at a time.
+    Shuffle files go when the action that wrote them ends, so disk holds one action's at a time. The session
+    keeps these three settings: results are computed when the caller writes them.
     """
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

@@ -1,5 +1,14 @@
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline as C
-from strandkeep.llm import queries
+from strandkeep.llm import hilbert_shards, queries, source_mix, toxicity
+from tests.llm.test_decontamination import brute as contaminated
+from tests.llm.test_near import brute as groups
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def test_stages_each_do_their_part(spark):
@@ -18,11 +27,103 @@ def test_stages_each_do_their_part(spark):
     assert {"shard", "slot"} <= set(seen[-1].columns)
 
 
-def test_odd_and_no_rows(spark, odd_docs, no_docs, tiny):
-    for docs in (odd_docs, no_docs):
-        for _, stage in C.STAGES:
-            docs = C.common.stash(stage(spark, docs, tiny))
-        docs.count()
+def test_equals_a_plain_pipeline(spark):
+    """Every stage's rows by brute force: the classifier's scores word by word, all pairs, all items, the mix and the shards by their laws."""
+    folder = SMALL
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.train(toxicity.training_rows(docs, labels, "toxic", 4, 2, toxicity.TRAINING_ROWS))
+    distances = toxicity.Distances(model["ordinary"], model["toxic"])
+    score = {i: 1 / (1 + 2.718281828459045 ** -sum(a * b for a, b in zip(toxicity.features(toxicity.words_of(t), distances), model["weights"]))) for i, t in rows}
+    clean = [(i, t) for i, t in rows if score[i] < toxicity.CUT]
+    group = groups(clean, 5, 80)
+    apart = [(i, t) for i, t in clean if group[i][1] == i]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    bad = {w[0] for w in contaminated(apart, items)}
+    left = {i for i, _ in apart} - bad
+    got = C.run(spark, folder)
+    out = got.collect()
+    assert {r.doc_id for r in out} <= left
+    taken = Counter(r.doc_id for r in out)
+    again = source_mix.mix(docs.where(F.col("doc_id").isin(*left))).collect()
+    assert {r.doc_id: r.copies for r in again if r.copies} == dict(taken)
+    text = dict(rows)
+    assert all(r.text == text[r.doc_id] for r in out)
+    for k in range(16):
+        own = sorted(r.slot for r in out if r.shard == k)
+        assert own == list(range(len(own)))
+
+
+def test_toxic_rows_go_whatever_the_other_columns_say(spark, odd_docs, no_docs):
+    got = C.drop_toxic(spark, odd_docs, SMALL)
+    assert got.columns == odd_docs.columns and sorted(map(repr, got.collect())) == sorted(map(repr, odd_docs.collect()))
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("score", F.lit("own"))
+    bad = docs.limit(1).withColumns({"doc_id": F.lit(10**6).cast("long"), "text": F.lit("you pathetic worthless idiot, stupid moron and disgusting clown, trash and scum")})
+    kept = C.drop_toxic(spark, docs.unionByName(bad).unionByName(bad).unionByName(bad.withColumn("doc_id", F.lit(None).cast("long"))), folder)
+    assert kept.columns == docs.columns and kept.where("doc_id = 1000000 OR doc_id IS NULL").count() == 0 and 800 < kept.count() < 1000 and kept.where("score <> 'own'").count() == 0
+    assert C.drop_toxic(spark, no_docs, SMALL).count() == 0
+
+
+def test_one_of_each_group_stays(spark, odd_docs, no_docs):
+    got = C.drop_near_duplicates(spark, odd_docs, SMALL)
+    assert got.columns == odd_docs.columns
+    kept = Counter(r.doc_id for r in got.collect())
+    assert kept == Counter([3, 5, 7, 8, 11, 12, 13, 14, 15]) - Counter([5] if 5 not in kept else [])  # 9 repeats 5, the row without id repeats 12
+    assert {3, 7, 8, 11, 12, 13, 14, 15} <= set(kept) and 9 not in kept and None not in kept
+    named = odd_docs.withColumns({"kept": F.lit("own"), "component_id": F.lit(1), "n_shingles": F.lit("x")})
+    assert C.drop_near_duplicates(spark, named, SMALL).where("kept = 'own' AND n_shingles = 'x'").count() == sum(kept.values())
+    assert C.drop_near_duplicates(spark, no_docs, SMALL).count() == 0
+
+
+def test_documents_with_items_go(spark, odd_docs, no_docs, tmp_path):
+    spark.createDataFrame([(1, " ".join(f"W{k}" for k in range(5, 30))), (2, None), (3, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = C.drop_benchmark(spark, odd_docs, str(tmp_path))
+    assert got.columns == odd_docs.columns and Counter(r.doc_id for r in got.collect()) == Counter([7, 8, 11, None, 12, 13, 14, 15])
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
+    assert C.drop_benchmark(spark, odd_docs, str(tmp_path / "none")).count() == 12 and C.drop_benchmark(spark, no_docs, SMALL).count() == 0
+
+
+def test_rows_come_as_often_as_the_mix_takes_them(spark, odd_docs, no_docs):
+    named = odd_docs.withColumns({"copies": F.lit("own"), "taken": F.lit(0)})
+    got = C.mix_sources(spark, named, SMALL)
+    assert got.columns == named.columns and {r.copies for r in got.collect()} == {"own"}
+    want = Counter({k: 0 for k in ()})
+    for r in source_mix.mix(odd_docs.select("doc_id", "text", "source")).collect():
+        want[r.doc_id, r.source] += r.copies
+    assert Counter((r.doc_id, r.source) for r in got.collect()) == +want and C.mix_sources(spark, no_docs, SMALL).count() == 0
+
+
+def test_every_row_gets_a_slot(spark, odd_docs, no_docs):
+    named = odd_docs.unionByName(odd_docs).withColumns({"shard": F.lit("own"), "part": F.lit(1), "at": F.lit(2)})
+    rows = C.shard(spark, named, SMALL).collect()
+    assert len(rows) == 24 and len({(r.shard, r.slot) for r in rows}) == 24 and {r.part for r in rows} == {1}
+    assert C.shard(spark, no_docs, SMALL).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["odd", "none"])
+def test_all_stages_run_on_odd_and_no_rows(spark, odd_docs, no_docs, kind):
+    docs = odd_docs if kind == "odd" else no_docs
+    before = docs.count()
+    for name, stage in C.STAGES:
+        docs = C.common.stash(stage(spark, docs, SMALL))
+        n = docs.count()
+        assert n <= (3 if name == "source_mix" else 1) * before and (n > 0) == (kind == "odd")
+        before = n
+
+
+def test_files_in_curve_order_can_be_skipped(spark):
+    """A filter on the metadata touches fewer shards than in shards dealt by id."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = hilbert_shards.shard_documents(docs.select("doc_id", "text", "source", "lang")).select("source", "lang", "shard", "doc_id").collect()
+    touched = {}
+    for r in rows:
+        touched.setdefault((r.source, r.lang), (set(), set()))
+        touched[r.source, r.lang][0].add(r.shard)
+        touched[r.source, r.lang][1].add(hash(str(r.doc_id)) % 16)
+    ordered, dealt = (sum(len(t[k]) for t in touched.values()) for k in (0, 1))
+    assert ordered < 0.6 * dealt
 
 
 def test_all_are_registered():
