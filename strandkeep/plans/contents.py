@@ -75,7 +75,8 @@ def _measured(spark, folder):
 
 def _envelopes(spark, folder):
     packed = _blobs(spark, folder).withColumn("stored", chunking.encode_objects("content"))
-    return packed.select("doc_id", (chunking.decode_objects("stored") == F.col("content")).alias("same"), F.hex(F.substring("stored", 1, 2)).alias("head"), F.octet_length("content").cast("long").alias("bytes"))
+    again = chunking.decode_objects("stored")
+    return packed.select("doc_id", F.sha2(again, 256).alias("content_sha256"), F.hex(F.substring("stored", 1, 2)).alias("head"), F.octet_length(again).cast("long").alias("bytes"))
 
 
 def _manifest_round(spark, folder):
@@ -161,7 +162,8 @@ def _sealed(spark, folder):
     sealed = blobs.select("doc_id", "content", crypto.remote_id(KEY, F.sha2("content", 256)).alias("remote_id"), crypto.seal(KEY, "content").alias("blob"))
     opened = crypto.unseal(KEY, "blob", "remote_id")
     wrong = crypto.unseal(KEY, "blob", F.reverse("remote_id"))
-    return sealed.select("doc_id", (opened == F.col("content")).alias("opens"), wrong.isNull().alias("refused"), (F.octet_length("blob") - F.octet_length("content")).alias("overhead"))
+    plain = F.contains("blob", F.col("content")) & (F.octet_length("content") > 3)  # no blob shows its content
+    return sealed.select("doc_id", F.sha2(opened, 256).alias("content_sha256"), wrong.isNull().alias("refused"), F.octet_length("blob").cast("long").alias("bytes"), plain.alias("readable"))
 
 
 def _tokens(spark, folder):
@@ -194,14 +196,14 @@ def _escapes(spark, folder):
 
 def _order(spark, folder):
     words = _docs(spark, folder).select(F.explode(F.split("text", " ")).alias("w")).where("length(w) > 0").select("w").distinct()
-    marked = words.withColumn("w", F.when(F.crc32(F.encode("w", "utf-8")) % 5 == 0, F.concat(F.lit("\U0001f600"), "w")).when(F.crc32(F.encode("w", "utf-8")) % 5 == 1, F.concat(F.lit("\ue000"), "w")).otherwise(F.col("w")))
+    marked = words.withColumn("w", F.when(F.length("w") % 5 == 0, F.concat(F.lit("\U0001f600"), "w")).when(F.length("w") % 5 == 1, F.concat(F.lit("\ue000"), "w")).otherwise(F.col("w")))
     # the order is cut into ranges, so that each is ranked by a task of its own; the words before it are added
     ranges = marked.repartitionByRange(scalars.ordinal("w").desc()).withColumn("part", F.spark_partition_id())
     ranges = stash(ranges)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     starts = ranges.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     own = F.row_number().over(Window.partitionBy("part").orderBy(scalars.ordinal("w").desc()))
-    return ranges.join(F.broadcast(starts), "part").select("w", (own + F.col("start")).alias("rank")).orderBy("rank")
+    return ranges.join(F.broadcast(starts), "part").select("w", (own + F.col("start")).cast("long").alias("rank")).orderBy("rank")
 
 
 QUERIES = {
@@ -237,6 +239,11 @@ def _kinds_sql() -> str:
 
 
 _ENTRIES = versions.entries_sql("ours")
+_LINES = "(CASE WHEN {0} = '' THEN 0 ELSE len(string_split({0}, chr(10))) - CAST(right({0}, 1) = chr(10) AS INTEGER) END)"
+#: Ours differs from the base by a first line or by lines at the end: their place, and the lines of ours.
+_EDITS = f"""(SELECT path, CASE WHEN o = 'ours' || chr(10) || b THEN 0 ELSE {_LINES.format("b")} END AS start, {_LINES.format("o")} - {_LINES.format("b")} AS n, string_split(o, chr(10)) AS lines
+    FROM (SELECT path, b.text AS b, o.text AS o FROM {versions.version_sql("base")} b JOIN {versions.version_sql("ours")} o USING (path)) WHERE b <> o)"""
+_ADDED = f"(SELECT path, CAST(start + i AS INTEGER) AS row, lines[start + i + 1] AS line FROM (SELECT *, unnest(range(0, n)) AS i FROM {_EDITS}))"
 
 ORACLES = {
     "src10_reassembly": "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes, true AS in_bounds, sha256(text) AS content_sha256 FROM documents",
@@ -245,15 +252,20 @@ ORACLES = {
     "agg2_fresh_chunks": """SELECT origin, count(*) AS chunks, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT sha256(text) AS c, min(CASE WHEN doc_id % 2 = 0 THEN 'content' ELSE 'manifest' END) AS origin, min(strlen(text)) AS bytes
         FROM documents WHERE lang <> 'en' GROUP BY 1) WHERE c NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en') GROUP BY origin""",
     "agg3_store_size": "SELECT count(*) AS objects, CAST(sum(n) AS BIGINT) AS bytes FROM (SELECT DISTINCT text, strlen(text) AS n FROM documents)",
-    "snk2_envelopes": "SELECT doc_id, true AS same, '5701' AS head, CAST(strlen(text) AS BIGINT) AS bytes FROM documents",
+    "snk2_envelopes": "SELECT doc_id, sha256(text) AS content_sha256, '5701' AS head, CAST(strlen(text) AS BIGINT) AS bytes FROM documents",
     "src7_manifest_round_trip": f"SELECT path || CASE WHEN length(path) % 3 = 0 THEN chr(9) || '\\x' ELSE '' END AS path, size, size + 1700000000000 AS ms, size % 2 = 0 AS executable, array_to_string(chunks, ',') AS chunks FROM {_ENTRIES}",
     "src8_snapshot_round_trip": """SELECT sha256(c_name) AS manifest_id, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS n_parents, CAST(c_custkey AS VARCHAR) AS machine_id, c_name AS machine_name, c_custkey + 1700000000000 AS ms,
         c_nationkey AS file_count, c_custkey AS total_bytes, 'repo' || c_nationkey AS repos FROM customer""",
     "cnt5_line_counts": "SELECT sha256(line) AS line_sha256, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents UNION ALL SELECT unnest(string_split(html, chr(10))) FROM pages) GROUP BY 1",
     "flt9_binary_test": "SELECT doc_id, doc_id % 3 = 0 AND strlen(text) < 8000 AS is_binary FROM documents",
+    "cnt6_line_diff": f"SELECT path, CAST(start AS INTEGER) AS base_start, CAST(0 AS INTEGER) AS base_len, CAST(start AS INTEGER) AS other_start, CAST(n AS INTEGER) AS other_len FROM {_EDITS}",
+    "cnt13_side_by_side": f"SELECT path, row, 'OnlyRight' AS kind, CAST(0 AS INTEGER) AS left_no, CAST(row + 1 AS INTEGER) AS right_no FROM {_ADDED}",
+    "cnt15_layout": f"SELECT path, row, 'OnlyRight' AS kind, '    ' AS left_no, rpad('\u00b7', {linediff.column_for(100)}, ' ') AS left, lpad(CAST(row + 1 AS VARCHAR), 4, ' ') AS right_no, rpad(line, {linediff.column_for(100)}, ' ') AS right FROM {_ADDED}",
+    "srt1_ordinal_order": """WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM documents), m AS (SELECT CASE length(w) % 5 WHEN 0 THEN chr(128512) || w WHEN 1 THEN chr(57344) || w ELSE w END AS w FROM w WHERE length(w) > 0)
+        SELECT w, row_number() OVER (ORDER BY replace(w, chr(128512), chr(55295)) DESC) AS rank FROM m""",
     "flt10_secret_scan": f"WITH l AS (SELECT doc_id, i AS line, x[i] AS x FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))) {_kinds_sql()}",
     "flt11_scan_gate": "SELECT CAST(doc_id AS VARCHAR) AS path FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE lang = 'en')",
-    "crypto_seal": f"SELECT doc_id, true AS opens, true AS refused, {crypto.OVERHEAD} AS overhead FROM documents",
+    "crypto_seal": f"SELECT doc_id, sha256(text) AS content_sha256, true AS refused, CAST(strlen(text) + {crypto.OVERHEAD} AS BIGINT) AS bytes, false AS readable FROM documents",
     "crypto_token_hash": "SELECT c_custkey, sha256('strandkeep/token/v1/' || c_name) AS token_hash FROM customer",
     "fn_format_bytes": """SELECT n, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', round(n / 1024.0::DOUBLE, 1)) WHEN n < 1073741824 THEN printf('%.1f MB', round(n / 1024.0::DOUBLE / 1024, 1)) ELSE printf('%.2f GB', round(n / 1024.0::DOUBLE / 1024 / 1024, 2)) END AS shown
         FROM (SELECT DISTINCT l_orderkey * l_orderkey * l_partkey AS n FROM lineitem)""",

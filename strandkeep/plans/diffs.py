@@ -1,8 +1,9 @@
 """Queries over manifests: what changed, what is new, and how three versions merge."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strandkeep.functions import scalars
+from strandkeep.functions import scalars, structural
 from strandkeep.operators import manifest, merge, store
 from strandkeep.sources import versions
 from strandkeep.sources.tables import table
@@ -84,16 +85,17 @@ def _top_directories(spark, folder):
     return docs.groupBy(scalars.top_directory("path").alias("directory")).agg(F.count("*").alias("files"))
 
 
+@F.udf(T.BinaryType(), useArrow=True)
+def _merged_text(base, ours, theirs):
+    return structural.merge_text(*(bytes(x or b"") for x in (base, ours, theirs))).content
+
+
 def _append_union(spark, folder):
     sides = [versions.version(spark, folder, n).withColumnRenamed("text", n) for n in merge.SIDES]
-    both = sides[0].join(sides[1], "path").join(sides[2], "path")
-    b, o, t = (F.split(x, "\n") for x in merge.SIDES)
-    n = F.size(b)
-    fits = (F.size(o) > n) & (F.size(t) > n) & (F.slice(o, F.lit(1), n) == b) & (F.slice(t, F.lit(1), n) == b) & (F.col("ours") != F.col("theirs"))
-    tails = [F.array_join(F.slice(x, n + 1, F.size(x)), "\n") for x in (o, t)]
-    first = scalars.ordinal(tails[0]) <= scalars.ordinal(tails[1])
-    parts = [F.when(first, tails[0]).otherwise(tails[1]), F.when(first, tails[1]).otherwise(tails[0])]
-    return both.where(fits).select("path", F.sha2(F.concat_ws("\n", "base", *parts), 256).alias("merged_sha256"))
+    both = sides[0].join(sides[1], "path").join(sides[2], "path").where("ours <> theirs")
+    grown = F.startswith("ours", F.concat("base", F.lit("\n"))) & F.startswith("theirs", F.concat("base", F.lit("\n")))
+    merged = _merged_text(*(F.encode(x, "utf-8") for x in merge.SIDES))
+    return both.where(grown & (F.length("base") > 0)).select("path", F.sha2(merged, 256).alias("merged_sha256"))
 
 
 def _content_merge(spark, folder):
@@ -155,6 +157,11 @@ _CHANGE_SQL = f"""SELECT coalesce(b.path, a.path) AS path,
     CASE WHEN b.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'removed' ELSE 'changed' END AS change
     FROM {_sql("base")} b FULL JOIN {_sql("ours")} a ON a.path = b.path
     WHERE b.path IS NULL OR a.path IS NULL OR a.executable <> b.executable OR a.chunks <> b.chunks"""
+#: Merges of contents: ours in front and theirs behind merge, both behind are both kept, all others meet at one place.
+_MERGED = f"""(SELECT path, CASE WHEN content IS NULL THEN 'conflict' ELSE 'merged' END AS status, CASE WHEN appended THEN '{structural.APPENDED}' END AS note, sha256(content) AS content_sha256, CASE WHEN content IS NULL THEN 1 ELSE 0 END AS n_regions
+    FROM (SELECT path, coalesce(b, '') <> '' AND o = b || chr(10) || 'ours' AND t = b || chr(10) || 'theirs' AS appended,
+        CASE WHEN coalesce(b, '') = '' THEN NULL WHEN o = 'ours' || chr(10) || b AND t = b || chr(10) || 'theirs' THEN o || chr(10) || 'theirs' WHEN appended THEN o || chr(10) || 'theirs' END AS content
+        FROM (SELECT path, b.text AS b, o.text AS o, t.text AS t FROM {_DECIDED_SQL} LEFT JOIN {versions.version_sql("base")} b USING (path) LEFT JOIN {versions.version_sql("ours")} o USING (path) LEFT JOIN {versions.version_sql("theirs")} t USING (path) WHERE action = 'ContentMerge')))"""
 _EMPTY_BEFORE = f"(SELECT regexp_replace(path, 'docs/(src\\d+)/(\\w+)/(\\d)(\\d*)', '\\1/\\2/\\3/\\4') AS path FROM {_sql('base')})"
 
 
@@ -186,6 +193,11 @@ ORACLES = {
     "cnt8_append_union": f"""SELECT path, sha256(base || chr(10) || CASE WHEN ot <= tt THEN ot || chr(10) || tt ELSE tt || chr(10) || ot END) AS merged_sha256 FROM (
         SELECT b.path, b.text AS base, substr(o.text, length(b.text) + 2) AS ot, substr(t.text, length(b.text) + 2) AS tt
         FROM {versions.version_sql("base")} b JOIN {versions.version_sql("ours")} o USING (path) JOIN {versions.version_sql("theirs")} t USING (path)
-        WHERE o.text <> t.text AND starts_with(o.text, b.text || chr(10)) AND starts_with(t.text, b.text || chr(10)))""",
+        WHERE o.text <> t.text AND b.text <> '' AND starts_with(o.text, b.text || chr(10)) AND starts_with(t.text, b.text || chr(10)))""",
+    "cnt12_content_merge": f"SELECT path, status, note, content_sha256, n_regions FROM {_MERGED}",
+    "cnt18_apply": f"""SELECT written, count(*) AS n FROM (
+        SELECT unnest(CASE WHEN status = 'merged' OR action = 'TakeTheirs' THEN ['writes'] WHEN action = 'Delete' THEN ['deletes'] WHEN status = 'conflict' OR action = 'Conflict'
+            THEN ['state'] || CASE WHEN ht THEN ['companions'] ELSE [] END || CASE WHEN hb THEN ['companions'] ELSE [] END ELSE [] END) AS written
+        FROM {_DECIDED_SQL} JOIN (SELECT path, hb, ht FROM {_THREE_SQL}) USING (path) LEFT JOIN {_MERGED} USING (path)) GROUP BY written""",
     "snk7_emptied_directories": f"SELECT directory FROM {_above('length(path) < 19')} EXCEPT SELECT directory FROM {_above('length(path) >= 19')}",
 }

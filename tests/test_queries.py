@@ -111,10 +111,8 @@ def test_streamed_history_equals_the_batch_one(spark, tiny, tmp_path):
 
 
 def test_every_word_has_its_rank_in_ordinal_order(spark, tiny):
-    import zlib
-
     words = {w for r in table(spark, tiny, "documents").select("text").collect() for w in r.text.split(" ") if w}
-    marked = ({0: "\U0001f600", 1: ""}.get(zlib.crc32(w.encode()) % 5, "") + w for w in words)
+    marked = ({0: "\U0001f600", 1: "\ue000"}.get(len(w) % 5, "") + w for w in words)
     want = sorted(marked, key=lambda w: w.encode("utf-16-be"), reverse=True)
     assert [tuple(r) for r in catalog.queries()["srt1_ordinal_order"](spark, tiny).select("w", "rank").collect()] == [(w, k + 1) for k, w in enumerate(want)]
     assert len(want) > 50
