@@ -51,9 +51,8 @@ def create(
         findings = stash(findings.unionByName(found))
         taken = workspace.capture(patches.join(found.select("path").distinct(), "path", "left_anti"))
         carried, new = stash(taken.carried), new.unionByName(taken.objects)
-    text = store.write_manifests(entries.withColumn("snapshot_id", F.lit(""))).select(F.encode("text", "utf-8").alias("content"))
-    whole = stash(chunking.chunk(text.withColumn("path", F.lit("manifest")).withColumn("manifest_id", F.sha2("content", 256))))
-    listed = whole.groupBy("manifest_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "chunk_id"))), lambda y: y["chunk_id"]).alias("manifest_chunks"))
+    whole = stash(store.manifest_chunks(entries))
+    listed = whole.agg(F.max("manifest_id").alias("manifest_id"), F.transform(F.array_sort(F.collect_list(F.struct("position", "chunk_id"))), lambda y: y["chunk_id"]).alias("manifest_chunks"))
     head = listed.crossJoin(manifest.totals(entries))  # one row each
     row = head.select(
         "manifest_id", "manifest_chunks", F.array(*map(F.lit, parents)).cast("array<string>").alias("parents"), F.lit(machine[0]).alias("machine_id"), F.lit(machine[1]).alias("machine_name"),

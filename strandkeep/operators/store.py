@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandkeep import settings
+from strandkeep.functions import chunking
 from strandkeep.functions.scalars import escape_field, ordinal, unescape_field
 
 
@@ -54,6 +58,47 @@ def write_manifests(entries: DataFrame) -> DataFrame:
     return whole.select("snapshot_id", F.concat(F.lit(f"{settings.NAMESPACE}-manifest 1\n"), F.array_join(F.transform("xs", lambda x: x["line"]), "")).alias("text"))
 
 
+def manifest_chunks(entries: DataFrame) -> DataFrame:
+    """position, chunk_id, chunk, manifest_id (of the last chunk alone): the manifest of one snapshot's entries, chunked.
+
+    The id is a hash of the whole text, so one task reads the sorted lines end to end; it sorts outside memory and
+    holds a few chunks at a time, whatever the number of files. The chunks are those of the text cut as a whole.
+    """
+    lines = entries.select(F.lit(1).alias("n"), ordinal("path").alias("k"), F.encode(F.concat(manifest_line(), F.lit("\n")), "utf-8").alias("line"))
+    head = entries.sparkSession.range(1).select(F.lit(0).alias("n"), F.unhex(F.lit("")).alias("k"), F.encode(F.lit(f"{settings.NAMESPACE}-manifest 1\n"), "utf-8").alias("line"))
+
+    def streamed(batches):
+        whole, held, position = hashlib.sha256(), bytearray(), 0
+
+        def cut(last: bool) -> list[bytes]:
+            out, start = [], 0
+            for end in chunking.cuts(bytes(held), chunking.gear()):
+                if not last and start + chunking.MAX_SIZE > len(held):
+                    break  # more text may move this cut
+                out.append(bytes(held[start:end]))
+                start = end
+            del held[:start]
+            return out
+
+        def rows(pieces: list[bytes], manifest_id: str | None):
+            ids = [hashlib.sha256(p).hexdigest() for p in pieces]
+            places = range(position, position + len(pieces))
+            last = [None] * (len(pieces) - 1) + [manifest_id] if pieces else []
+            return pa.record_batch([pa.array(places, pa.int32()), pa.array(ids, pa.string()), pa.array(pieces, pa.binary()), pa.array(last, pa.string())], ["position", "chunk_id", "chunk", "manifest_id"])
+
+        for batch in batches:
+            for line in batch.column("line").to_pylist():
+                whole.update(line)
+                held += line
+            if len(held) > 16 * chunking.MAX_SIZE:
+                pieces = cut(False)
+                yield rows(pieces, None)
+                position += len(pieces)
+        yield rows(cut(True), whole.hexdigest())
+
+    return head.unionByName(lines).repartition(1).sortWithinPartitions("n", "k").select("line").mapInArrow(streamed, "position int, chunk_id string, chunk binary, manifest_id string")
+
+
 def read_manifests(texts: DataFrame) -> DataFrame:
     """The file entries of manifests (snapshot_id, text); raises for another header and for a line without five fields."""
     head = f"{settings.NAMESPACE}-manifest 1"

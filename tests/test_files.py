@@ -126,3 +126,18 @@ def test_a_cluster_without_a_shared_folder_raises(spark, monkeypatch):
         stash.shared_folder(fake)
     fake.sparkContext.master = "local[2]"
     assert stash.shared_folder(fake) == stash.shared_folder(fake)
+
+
+def test_a_manifest_streams_through_one_task(spark):
+    import hashlib
+
+    from strandkeep.functions import chunking
+    from strandkeep.operators import store
+
+    entries = spark.range(30_000).selectExpr("concat('d', id % 97, '/', id, CASE WHEN id % 5 = 0 THEN '\U0001f600' ELSE '' END) AS path", "id AS size", "timestamp'2024-01-01' AS modified_utc", "id % 2 = 0 AS executable", "array(sha2(cast(id AS string), 256)) AS chunks")
+    text = store.write_manifests(entries.withColumn("snapshot_id", F.lit("s"))).first().text.encode()
+    rows = sorted(store.manifest_chunks(entries.repartition(5)).collect(), key=lambda r: r.position)
+    assert [bytes(r.chunk) for r in rows] == chunking.split(text) and len(rows) > 100
+    assert all(hashlib.sha256(r.chunk).hexdigest() == r.chunk_id for r in rows) and [r.manifest_id for r in rows if r.manifest_id] == [hashlib.sha256(text).hexdigest()]
+    none = store.manifest_chunks(entries.limit(0)).collect()
+    assert [(r.position, bytes(r.chunk)) for r in none] == [(0, b"strandkeep-manifest 1\n")]
