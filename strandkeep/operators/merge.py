@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,10 +112,13 @@ _REGION = T.StructType().add("base_start", "integer").add("base", T.ArrayType(T.
 _OUTCOME = T.StructType().add("status", "string").add("content", "binary").add("note", "string").add("reason", "string").add("regions", T.ArrayType(_REGION))
 
 
-@F.udf(_OUTCOME, useArrow=True)
-def _merged(path, base, ours, theirs):
-    out = structural.merge_content(path, *(bytes(x or b"") for x in (base, ours, theirs)))
-    return (out.status, out.content, out.note, out.reason, [tuple(r) for r in out.regions])
+@F.pandas_udf(_OUTCOME)
+def _merged(path: pd.Series, base: pd.Series, ours: pd.Series, theirs: pd.Series) -> pd.DataFrame:
+    rows = []
+    for name, *sides in zip(path, base, ours, theirs, strict=True):
+        out = structural.merge_content(name, *(bytes(x or b"") for x in sides))
+        rows.append((out.status, out.content, out.note, out.reason, [r._asdict() for r in out.regions]))
+    return pd.DataFrame(rows, columns=[f.name for f in _OUTCOME])
 
 
 def merge_contents(files: DataFrame) -> DataFrame:

@@ -52,6 +52,14 @@ def claim_or_match(stored: str | None, offered: str) -> tuple[bool, str]:
     return stored in (None, offered), stored or offered
 
 
+def claims(stored: DataFrame, offers: DataFrame, order: str) -> DataFrame:
+    """offers (workspace, fingerprint and others) with kept, the fingerprint that its workspace keeps, and accepted: the stored one (workspace, stored), or, where none is, the first offered by order."""
+    first = offers.groupBy("workspace").agg(F.min_by("fingerprint", order).alias("__first"))
+    both = offers.join(first, "workspace").join(stored, "workspace", "left")
+    kept = F.coalesce("stored", "__first")
+    return both.withColumn("kept", kept).withColumn("accepted", F.col("fingerprint") == kept).drop("__first", "stored")
+
+
 def head_history(moves: DataFrame) -> DataFrame:
     """machine_id, head, set_utc, superseded_utc of head moves (machine_id, head, moved_utc, seq); a move to the same head changes nothing."""
     order = Window.partitionBy("machine_id").orderBy("moved_utc", "seq")

@@ -1,5 +1,6 @@
 """Queries over contents: chunks, stores, lines, differences, encryption, secrets, and scalar functions."""
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,7 +97,7 @@ def _snapshot_round(spark, folder):
     return again.select("manifest_id", F.size("parents").alias("n_parents"), "machine_id", "machine_name", F.unix_millis("created_utc").alias("ms"), "file_count", "total_bytes", F.array_join("repos", ",").alias("repos"))
 
 
-def _lines(spark, folder):
+def _line_counts(spark, folder):
     pages = table(spark, folder, "pages").select(F.explode(F.split("html", "\n")).alias("line"))
     docs = _docs(spark, folder).select(F.explode(F.split("text", "\n")).alias("line"))
     return docs.unionByName(pages).groupBy(F.sha2("line", 256).alias("line_sha256")).agg(F.count("*").alias("n"))
@@ -112,20 +113,29 @@ _ROWS = T.ArrayType(T.StructType().add("kind", T.StringType()).add("left", T.Str
 _CELLS = T.ArrayType(T.StructType().add("kind", T.StringType()).add("left_no", T.StringType()).add("left", T.StringType()).add("right_no", T.StringType()).add("right", T.StringType()))
 
 
-@F.udf(_HUNKS, useArrow=True)
-def diff_lines(base, other):
-    return [tuple(h) for h in linediff.diff(textshape.lines_of((base or "").encode()), textshape.lines_of((other or "").encode()))]
+def _lines(text: str | None) -> list[str]:
+    return textshape.lines_of((text or "").encode())
 
 
-@F.udf(_ROWS, useArrow=True)
-def align_lines(left, right):
-    return linediff.side_by_side(textshape.lines_of((left or "").encode()), textshape.lines_of((right or "").encode()))
+@F.pandas_udf(_HUNKS)
+def diff_lines(base: pd.Series, other: pd.Series) -> pd.Series:
+    return pd.Series([[h._asdict() for h in linediff.diff(_lines(a), _lines(b))] for a, b in zip(base, other, strict=True)])
 
 
-@F.udf(_CELLS, useArrow=True)
-def lay_lines(left, right, width):
-    rows = linediff.side_by_side(textshape.lines_of((left or "").encode()), textshape.lines_of((right or "").encode()))
-    return linediff.lay(rows, 0, len(rows), linediff.column_for(width))
+@F.pandas_udf(_ROWS)
+def align_lines(left: pd.Series, right: pd.Series) -> pd.Series:
+    names = ("kind", "left", "right", "left_no", "right_no")
+    return pd.Series([[dict(zip(names, row, strict=True)) for row in linediff.side_by_side(_lines(a), _lines(b))] for a, b in zip(left, right, strict=True)])
+
+
+@F.pandas_udf(_CELLS)
+def lay_lines(left: pd.Series, right: pd.Series, width: pd.Series) -> pd.Series:
+    names = ("kind", "left_no", "left", "right_no", "right")
+    out = []
+    for a, b, total in zip(left, right, width, strict=True):
+        rows = linediff.side_by_side(_lines(a), _lines(b))
+        out.append([dict(zip(names, cell, strict=True)) for cell in linediff.lay(rows, 0, len(rows), linediff.column_for(total))])
+    return pd.Series(out)
 
 
 def _pair(spark, folder):
@@ -217,7 +227,7 @@ QUERIES = {
     "snk2_envelopes": _envelopes,
     "src7_manifest_round_trip": _manifest_round,
     "src8_snapshot_round_trip": _snapshot_round,
-    "cnt5_line_counts": _lines,
+    "cnt5_line_counts": _line_counts,
     "flt9_binary_test": _binary,
     "cnt6_line_diff": _diffs,
     "cnt13_side_by_side": _aligned,

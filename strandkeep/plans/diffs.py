@@ -1,5 +1,6 @@
 """Queries over manifests: what changed, what is new, and how three versions merge."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,9 +86,9 @@ def _top_directories(spark, folder):
     return docs.groupBy(scalars.top_directory("path").alias("directory")).agg(F.count("*").alias("files"))
 
 
-@F.udf(T.BinaryType(), useArrow=True)
-def _merged_text(base, ours, theirs):
-    return structural.merge_text(*(bytes(x or b"") for x in (base, ours, theirs))).content
+@F.pandas_udf(T.BinaryType())
+def _merged_text(base: pd.Series, ours: pd.Series, theirs: pd.Series) -> pd.Series:
+    return pd.Series([structural.merge_text(*(bytes(x or b"") for x in sides)).content for sides in zip(base, ours, theirs, strict=True)])
 
 
 def _append_union(spark, folder):

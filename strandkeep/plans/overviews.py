@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -107,19 +108,18 @@ def _shapes(spark, folder):
     ends = F.when(F.col("doc_id") % 3 == 0, "\r\n").when(F.col("doc_id") % 3 == 1, "\n").otherwise("")
     docs = table(spark, folder, "documents").select("doc_id", F.concat(F.replace("text", F.lit("\n"), F.when(F.col("doc_id") % 3 == 0, "\r\n").otherwise("\n")), ends).alias("x"))
 
-    @F.udf("boolean", useArrow=True)
-    def same(x):
-        data = x.encode()
-        return textshape.join_lines(textshape.lines_of(data), textshape.shape_of(data, data)) == data
+    @F.pandas_udf("boolean")
+    def same(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: textshape.join_lines(textshape.lines_of(x.encode()), textshape.shape_of(x.encode(), b"")) == x.encode())
 
     return docs.select("doc_id", same("x").alias("same"))
 
 
 def _json_merges(spark, folder):
-    @F.udf("string", useArrow=True)
-    def merged(base, ours, theirs):
-        out = structural.merge_json(base.encode(), ours.encode(), theirs.encode())
-        return out.content.decode() if out else None
+    @F.pandas_udf("string")
+    def merged(base: pd.Series, ours: pd.Series, theirs: pd.Series) -> pd.Series:
+        done = [structural.merge_json(*(x.encode() for x in sides)) for sides in zip(base, ours, theirs, strict=True)]
+        return pd.Series([out.content.decode() if out else None for out in done])
 
     e = table(spark, folder, "events")
     ours = F.concat(F.lit('{"k": 1, "ours": '), "user_id", F.lit("}"))
@@ -149,10 +149,10 @@ def _machines_by_name(spark, folder):
 
 
 def _pairs_merges(spark, folder):
-    @F.udf("string", useArrow=True)
-    def merged(base, ours, theirs):
-        out = structural.merge_pairs(base.encode(), ours.encode(), theirs.encode())
-        return out.content.decode() if out else None
+    @F.pandas_udf("string")
+    def merged(base: pd.Series, ours: pd.Series, theirs: pd.Series) -> pd.Series:
+        done = [structural.merge_pairs(*(x.encode() for x in sides)) for sides in zip(base, ours, theirs, strict=True)]
+        return pd.Series([out.content.decode() if out else None for out in done])
 
     e = table(spark, folder, "events")
     ours = F.concat(F.lit("# ours\nA="), "user_id", F.lit("\nB=1\nD=4\n"))
