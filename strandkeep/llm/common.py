@@ -138,6 +138,30 @@ def texts(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def lean(produce):
+    """produce for mapInArrow, giving memory back when a task ends: workers are reused, and what one holds counts for its executor."""
+
+    def run(batches):
+        try:
+            yield from produce(batches)
+        finally:
+            release_memory()
+
+    return run
+
+
+def release_memory() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library gives back by itself
+        pass
+
+
 def sized(df: DataFrame, payload: F.Column | None = None) -> DataFrame:
     """df, marked for broadcast if its rows and bytes allow that."""
     n, size = df.agg(F.count("*"), F.coalesce(F.sum(F.lit(0) if payload is None else payload), F.lit(0))).first()

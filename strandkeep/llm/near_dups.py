@@ -40,7 +40,7 @@ ERRORS = 5.0
 BLOCK_REST, BLOCK_ALL = 128, 512
 REST_BYTES, ALL_BYTES = 4 << 20, 16 << 20
 #: Shingles that a block keeps spelled out, about.
-HELD_SHINGLES = 300_000
+HELD_SHINGLES = 200_000
 #: Documents without an id are keyed from here on, by a hash of their text.
 _NULL_IDS = 1 << 62
 _FACTORS = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -134,7 +134,7 @@ def described(docs: DataFrame, size: int) -> DataFrame:
             digests = [xxhash.xxh3_128_digest(x.tobytes()) + xxhash.xxh3_64_digest(y.tobytes()) for x, y in zip(one, two, strict=True)]
             yield pa.record_batch([batch.column("doc"), batch.column("t"), pa.array([len(x) for x in one], pa.int64()), pa.array(digests, pa.binary())], ["doc", "t", "n", "s"])
 
-    return docs.select("doc", _digest().alias("t"), "text").mapInArrow(digested, "doc long, t binary, n long, s binary")
+    return docs.select("doc", _digest().alias("t"), "text").mapInArrow(common.lean(digested), "doc long, t binary, n long, s binary")
 
 
 def _digest() -> F.Column:
@@ -152,7 +152,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
             columns = [batch.column("doc"), pa.array(words, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x).tobytes() for x in sets], pa.binary())]
             yield pa.record_batch(columns, ["doc", "words", "n", "registers"])
 
-    return docs.select("doc", "text").mapInArrow(built, "doc long, words binary, n long, registers binary")
+    return docs.select("doc", "text").mapInArrow(common.lean(built), "doc long, words binary, n long, registers binary")
 
 
 def _rows(values: list[bytes], kind) -> np.ndarray:
@@ -176,7 +176,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataF
                         keep.append(k)
             yield pa.record_batch([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], ["a", "b"])
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", *(f"{c}_{x}" for c in ("words", "n", "registers") for x in "ab")).mapInArrow(decided, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", *(f"{c}_{x}" for c in ("words", "n", "registers") for x in "ab")).mapInArrow(common.lean(decided), "a long, b long")
 
 
 def block_links(rows: list[tuple], size: int, percent: int) -> list[tuple[int, int]]:
@@ -285,7 +285,7 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = dealt.join(sets, "doc").repartition(n, "hash", "bx", "by").sortWithinPartitions("hash", "bx", "by", "doc")
-    more = sorted_.select(*columns, "words", "n", "registers").mapInArrow(joined, "a long, b long")
+    more = sorted_.select(*columns, "words", "n", "registers").mapInArrow(common.lean(joined), "a long, b long")
     all_links = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(common.stash(more))
     classes = connected(all_links.unionByName(others.select(F.col("doc").alias("a"), F.col("least").alias("b"))))
     sizes = known.groupBy("doc").agg(F.max("n").alias("n_shingles"))

@@ -147,7 +147,7 @@ def _probed(all_points: DataFrame, queries: DataFrame, tables: Tables, most: int
         rows = [(t, p, n) for (t, p), n in sums.items()]
         yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2))], ["table", "part", "n"])
 
-    sums = all_points.select("embedding").mapInArrow(counted, "table int, part long, n long").groupBy("table", "part").agg(F.sum("n").alias("n"))
+    sums = all_points.select("embedding").mapInArrow(common.lean(counted), "table int, part long, n long").groupBy("table", "part").agg(F.sum("n").alias("n"))
     full = sums.where(F.col("n") > max(2 * PART_POINTS, int(total * HOT_SHARE))).collect()  # at most TABLES / HOT_SHARE rows
     splits = {(r["table"], r["part"]): -(-r["n"] // PART_POINTS) for r in full}
 
@@ -179,7 +179,7 @@ def _probed(all_points: DataFrame, queries: DataFrame, tables: Tables, most: int
 
     schema = "table int, part long, split long, kind int, id long, embedding array<double>, keys array<long>"
     n = int(all_points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = all_points.select("point", "embedding").mapInArrow(dealt, schema).unionByName(queries.select("vec_id", "embedding").mapInArrow(asked, schema))
+    rows = all_points.select("point", "embedding").mapInArrow(common.lean(dealt), schema).unionByName(queries.select("vec_id", "embedding").mapInArrow(common.lean(asked), schema))
     rows = rows.repartition(max(n, TABLES), "table", "part", "split").sortWithinPartitions("table", "part", "split", "kind")
 
     def searched(batches):
@@ -211,7 +211,7 @@ def _probed(all_points: DataFrame, queries: DataFrame, tables: Tables, most: int
                         out.append((int(own[k]), *_best(every[k], ids[at], x[at], most)))
             yield _found(out)
 
-    return rows.mapInArrow(searched, _FOUND)
+    return rows.mapInArrow(common.lean(searched), _FOUND)
 
 
 def _exhaustive(all_points: DataFrame, queries: list[tuple[int, list[float]]], most: int) -> DataFrame:
@@ -222,7 +222,7 @@ def _exhaustive(all_points: DataFrame, queries: list[tuple[int, list[float]]], m
             x, ids = _matrix(batch.column("embedding")), batch.column("point").to_numpy()
             yield _found([(q, *_best(np.array(v), ids, x, most)) for q, v in queries] if len(ids) else [])
 
-    return all_points.select("point", "embedding").mapInArrow(searched, _FOUND)
+    return all_points.select("point", "embedding").mapInArrow(common.lean(searched), _FOUND)
 
 
 def nearest(vectors: DataFrame, queries: F.Column, most: int = NEAREST) -> DataFrame:

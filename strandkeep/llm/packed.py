@@ -208,16 +208,16 @@ def repeated(rows: DataFrame, produce, packing: Packing, members: bool = False)
             else:
                 yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(keys_out, pa.int64()), pa.array(out, pa.binary())], ["doc", "key", "places"])
 
-    found = rows.mapInArrow(first_pass, "bucket int, n long, data binary").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(reduce, "bucket int, n long, data binary")
+    found = rows.mapInArrow(common.lean(first_pass), "bucket int, n long, data binary").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(common.lean(reduce), "bucket int, n long, data binary")
     shared = common.stash(found)
     total = shared.agg(F.sum("n")).first()[0] or 0
     salts = F.when(F.col("n") > total * HOT_SHARE, F.greatest(F.lit(SALTS), F.ceil(F.col("n") / BUCKET_HASHES))).otherwise(F.lit(SALTS)).cast("int")
     hot = shared.withColumn("salts", salts).where(F.col("salts") > SALTS).select("bucket", "salts").collect()  # at most 1 / HOT_SHARE rows
     salts_of = {r["bucket"]: r["salts"] for r in hot}
     salt = F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")
-    parts = shared.select("bucket", salt, F.lit(0).alias("kind"), "data").unionByName(rows.mapInArrow(second_pass, "bucket int, salt int, kind int, data binary"))
+    parts = shared.select("bucket", salt, F.lit(0).alias("kind"), "data").unionByName(rows.mapInArrow(common.lean(second_pass), "bucket int, salt int, kind int, data binary"))
     sorted_parts = parts.repartition(max(n, tasks), "bucket", "salt").sortWithinPartitions("bucket", "kind").select("bucket", "salt", "kind", "data")
-    return sorted_parts.mapInArrow(look_up, "hash long, doc long, leader long" if members else "doc long, key long, places binary")
+    return sorted_parts.mapInArrow(common.lean(look_up), "hash long, doc long, leader long" if members else "doc long, key long, places binary")
 
 
 def _by_owner(owner: np.ndarray, place: np.ndarray):

@@ -347,7 +347,7 @@ def templates(pages: DataFrame) -> DataFrame:
                     rows += found
             yield pa.record_batch([pa.array(hosts, pa.string()), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3))], ["host", "key", "page", "content"])
 
-    seen = pages.select(host().alias("host"), "html").mapInArrow(hashed, "host string, key long, page long, content long").distinct()
+    seen = pages.select(host().alias("host"), "html").mapInArrow(common.lean(hashed), "host string, key long, page long, content long").distinct()
     counts = seen.groupBy("host", "key", "content").agg(F.count("*").alias("n")).groupBy("host", "key").agg(F.sum("n").alias("n"), F.count("*").alias("contents"))
     kind = F.col("key").bitwiseAND(7)
     counts = common.stash(counts.withColumn("kind", kind).where(F.col("n") >= F.when(kind == PARAGRAPH, LEAST_ARTICLES).otherwise(LEAST_PAGES)))
@@ -379,7 +379,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
             yield pa.record_batch([*kept, pa.array([t for t, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], [*names, "text", "n_template"])
 
     schema = pages.select(*names).schema.add("text", "string").add("n_template", "long")
-    return joined.select(*names, "__template", "__known").mapInArrow(extracted, schema)
+    return joined.select(*names, "__template", "__known").mapInArrow(common.lean(extracted), schema)
 
 
 def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,7 +149,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
 
     span = T.ArrayType(T.StructType().add("start", "integer").add("end", "integer"))
     schema = docs.select(*names).schema.add("n_words", "long").add("n_removed", "long").add("kept", "string").add("spans", span)
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(common.lean(cut), schema)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,8 @@ CUT = 0.3
 SEGMENTS = range(4, 13)
 _CARRIER = "|zqxj0vkw8yhg3bfm5pdl7ctn2r9s4u6e1aio|"
 _MARKS = ".,;:!?*&%$#|\"'()[]{}<>-_/\\+=~^`@"
-_CACHE = 1 << 20
+#: Words whose differences a worker remembers, some 50 MB of them.
+_CACHE = 1 << 18
 
 
 def _coded(text: str) -> bytes:
@@ -222,6 +223,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, training_rows_: int = TRA
                 continue
             z = np.array([features(words_of(text or ""), distances) @ weights for text in batch], float)
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        common.release_memory()
 
     out = docs.withColumn("held_out", F.coalesce(fold(4) == 2, F.lit(False))).withColumn("score", scored("text"))
     return out.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
