@@ -103,8 +103,10 @@ def score(data: bytes, model: dict) -> float:
 def score_quality(docs: DataFrame, labels: DataFrame, training_rows_: int = TRAINING_ROWS) -> DataFrame:
     """docs with held_out, score, predicted.
 
-    Empty and null texts score by their statistics alone. Without labelled rows of both classes every score
-    is 0.5. Rows count one by one: repeated ones score alike. The model, some 60 KB, goes in the function's closure.
+    Empty and null texts score by their statistics alone, very long ones by all their words. Without labelled
+    rows of both classes every score is 0.5. Rows count one by one: repeated ones score alike, and of a labelled
+    doc_id with several texts one is learnt from. Columns of these names are replaced. An empty table gives an
+    empty one. The model, some 60 KB, goes in the function's closure.
     """
     docs = docs.drop("held_out", "score", "predicted")
     model = train(training_rows(docs, labels, "quality", 5, 0, training_rows_))

@@ -94,7 +94,10 @@ class Counter:
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", out: str = "n_tokens") -> DataFrame:
-    """docs with a column out (long): tokens of the whole text, 0 for null. Repeated rows each keep theirs.
+    """docs with a column out (long): tokens of the whole text, 0 for null and empty. Repeated rows each keep theirs.
+
+    A column that is named out already is replaced; others stay. Texts of any length are read whole, and an
+    empty table gives an empty one.
 
     The vocabulary goes to the executors once, in the function's closure; its size doesn't depend on the data.
     """

@@ -207,7 +207,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, training_rows_: int = TRA
 
     Empty and null texts score as a text of no toxic words; very long ones are read whole, word by word. With
     fewer than two labelled rows of a class every score is 0. Rows count one by one: repeated ones score alike,
-    and of a labelled doc_id with several texts all are learnt from. An empty table gives an empty one. The
+    and of a labelled doc_id with several texts one is learnt from. An empty table gives an empty one. The
     model, some 140 KB, goes in the function's closure.
     """
     docs = docs.drop("held_out", "score", "predicted")

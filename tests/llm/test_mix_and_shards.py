@@ -168,3 +168,21 @@ def test_shards_of_odd_rows(spark, odd_docs, no_docs):
     check_shards(rows)
     counts = [sum(r.shard == k for r in rows) for k in range(16)]
     assert max(counts) - min(counts) <= 20  # a group larger than a shard is spread
+
+
+def test_placed_odd_rows_keep_the_law(spark, odd_docs, no_docs):
+    """Null metadata, empty texts, ties and repeats: every row has its place, equal texts one shard, sizes near equal."""
+    docs = odd_docs.unionByName(odd_docs.withColumns({"doc_id": F.col("doc_id") + 1000, "text": F.concat("text", F.lit(" again"))}))
+    rows = H.place(H.measured(docs)).collect()
+    assert len(rows) == 24 and sorted(map(repr, rows)) == sorted(map(repr, H.place(H.measured(docs)).collect()))
+    check_shards(rows)
+    of_text = {}
+    for r in rows:
+        of_text.setdefault((r.text_crc32, r.size), set()).add(r.shard)
+    assert all(len(s) == 1 for s in of_text.values()) and H.place(H.measured(no_docs)).count() == 0
+    rng = random.Random(2)
+    many = spark.createDataFrame([(k if rng.random() < 0.9 else None, "x" * rng.randrange(300), rng.choice(["en", None]), rng.choice(["a", "b", None])) for k in range(3000)], "doc_id long, text string, lang string, source string")
+    rows = H.place(H.measured(many)).collect()
+    check_shards(rows)
+    sizes = [sum(r.size for r in rows if r.shard == k) for k in range(16)]
+    assert max(sizes) - min(sizes) < 0.2 * sum(sizes) / 16

@@ -107,3 +107,33 @@ def test_long_texts_and_repeated_labelled_rows(spark):
     assert len(got) == 84 and {r.score for r in got if r.doc_id == 100} == {next(r.score for r in got if r.doc_id == 100)}
     assert {r.predicted for r in got if 100 <= r.doc_id < 200} == {1} and {r.predicted for r in got if r.doc_id < 40} == {0}
     assert next(r.predicted for r in got if r.doc_id == 500) == 1
+
+
+def test_training_texts_are_bounded_by_bytes_and_one_a_document(spark, monkeypatch):
+    from strandkeep.llm import labelled
+
+    rows = [(k, f"text {k} " + "x" * (5000 if k % 4 == 0 else 10)) for k in range(40)] + [(7, "another text of 7")] * 50 + [(9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(3, 0), (5, None)], "doc_id long, quality int")
+    every = labelled.training_rows(docs, labels, "quality", 5, 0, 100)
+    held = [k for k in range(40) if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert len(every) == 40 - len(held) and sum("7" in t for t, _ in every if "another" in t or t.startswith("text 7 ")) == (7 not in held)
+    monkeypatch.setattr(labelled, "TRAINING_BYTES", 6000)
+    few = labelled.training_rows(docs, labels, "quality", 5, 0, 100)
+    assert 10 < len(few) < len(every) and sum(len(t.encode()) for t, _ in few) <= 6000 and set(few) <= set(every)
+    assert len(labelled.training_rows(docs, labels, "quality", 5, 0, 4)) <= 4
+
+
+def test_quality_scores_equal_all_pairs(spark, tiny):
+    """The query's scores, against a sum over all pairs of features."""
+    docs, labels = (spark.read.parquet(f"{tiny}/{t}.parquet") for t in ("documents", "labels"))
+    model = Q.train(Q.training_rows(docs, labels, "quality", 5, 0, Q.TRAINING_ROWS))
+    got = {r.doc_id: r.score for r in Q.op8_quality(spark, tiny).collect()}
+    for r in docs.orderBy("doc_id").limit(25).collect():
+        at, value, stats = Q.sparse((r.text or "").encode())
+        s = np.clip((np.array(stats, np.float32) - model["mean"]) / model["spread"], -5, 5) / np.sqrt(Q.STATISTICS)
+        places, x = np.concatenate([at, np.arange(Q.BUCKETS, Q.BUCKETS + Q.STATISTICS)]), np.concatenate([value, s]).astype(float)
+        v = model["v"][places].astype(float) * x[:, None]
+        pairs = sum(float(v[i] @ v[j]) for i in range(len(x)) for j in range(i))
+        z = float(model["b"]) + float(model["w"][places].astype(float) @ x) + pairs
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)

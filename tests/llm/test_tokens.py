@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from strandkeep.llm import token_counts as T
 
 
@@ -27,3 +29,11 @@ def test_odd_rows(odd_docs, no_docs):
     got = {(r.doc_id, r.n_tokens) for r in T.count_tokens(odd_docs).collect()}
     assert (7, 0) in got and (8, 0) in got and len(T.count_tokens(odd_docs).collect()) == 12
     assert T.count_tokens(no_docs).count() == 0
+
+
+def test_a_column_of_that_name_is_replaced(odd_docs, no_docs):
+    clash = odd_docs.withColumn("n_tokens", F.lit("own"))
+    want = {(r.doc_id, r.text): r.n_tokens for r in T.count_tokens(odd_docs).collect()}
+    got = T.count_tokens(clash)
+    assert got.schema["n_tokens"].dataType.simpleString() == "bigint" and {(r.doc_id, r.text): r.n_tokens for r in got.collect()} == want
+    assert want[7, None] == want[8, ""] == 0 and T.count_tokens(no_docs).count() == 0
