@@ -25,8 +25,9 @@ MOST_TASKS = 20_000
 HOT_SHARE = 1e-5
 
 
-def buckets_for(hashes: float) -> int:
-    return max(LEAST_BUCKETS, int(hashes / BUCKET_HASHES))
+def buckets_for(hashes: float, size: int = 0) -> int:
+    """Buckets of BUCKET_HASHES different hashes, or of size; buckets fall on tasks by hash, so the largest task has some five of them."""
+    return max(LEAST_BUCKETS, int(hashes / (size or BUCKET_HASHES)))
 
 
 def _groups(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

@@ -31,6 +31,8 @@ SPAN = 13
 #: The difference cover and its period; an anchor is so long that every window holds one at each shift.
 PERIOD, COVER = 7, (0, 1, 3)
 ANCHOR = SPAN - PERIOD + 1
+#: Anchors and windows of a bucket, about: some 2 MB of either, so that a task reads little however large the corpus is.
+ANCHORS, WINDOWS = 250_000, 125_000
 _NULL_ID = (1 << 63) - 1
 
 
@@ -91,7 +93,7 @@ def removed_windows(docs: DataFrame) -> DataFrame:
         words, starts = common.hash_words(common.texts(batch.column("text")))
         return *anchors(words, starts), batch.column("doc").to_numpy(), batch.column("key").to_numpy()
 
-    buckets = packed.buckets_for(total * len(COVER) / PERIOD)
+    buckets = packed.buckets_for(total * len(COVER) / PERIOD, ANCHORS)
     marked = packed.repeated(longs, anchored, packed.Packing(buckets, wide=False, least=False))
     marked = common.stash(marked.groupBy("doc", "key").agg(F.collect_list("places").alias("places")))
     size = F.aggregate("places", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x))
@@ -105,7 +107,7 @@ def removed_windows(docs: DataFrame) -> DataFrame:
         text, place = windows(starts, marks)
         return digests(words, text, place), text, place, batch.column("doc").to_numpy(), batch.column("key").to_numpy()
 
-    buckets = packed.buckets_for(candidates * 2)
+    buckets = packed.buckets_for(candidates * 2, WINDOWS)
     gone = packed.repeated(held, windowed, packed.Packing(buckets, wide=True, least=True)).groupBy("doc", "key").agg(F.collect_list("places").alias("places"))
     empty = F.array().cast("array<binary>")
     return common.stash(gone.select("doc", "key", F.lit(False).alias("copy"), "places").unionByName(others.select("doc", "key", F.lit(True).alias("copy"), empty.alias("places"))))
