@@ -227,7 +227,7 @@ _ALL_REPORT = """(SELECT false AS refused, (SELECT count(*) FROM heads) AS live_
 
 def _report_sql(candidates: str, applied: str, stamp: str, purged: int) -> str:
     shown = [("refused", "refused"), ("live_heads", "live_heads"), ("unretainable", "unretainable"), ("live_objects", "live_objects"), ("young", "young"), ("candidates", candidates), ("candidate_bytes", "candidate_bytes"), ("applied", applied), ("stamp", stamp), ("purged_stamps", str(purged))]
-    return f"rep AS {_ALL_REPORT} " + " UNION ALL ".join(f"{'SELECT' if k else 'SELECT'} '{n}' AS name, CAST({x} AS VARCHAR) AS value FROM rep" for k, (n, x) in enumerate(shown))
+    return f"rep AS {_ALL_REPORT} " + " UNION ALL ".join(f"SELECT '{n}' AS name, CAST({x} AS VARCHAR) AS value FROM rep" for n, x in shown)
 
 
 def _tables_sql(counts: dict[str, str]) -> str:
