@@ -70,8 +70,7 @@ def test_one_of_each_group_stays(spark, odd_docs, no_docs):
     got = C.drop_near_duplicates(spark, odd_docs, SMALL)
     assert got.columns == odd_docs.columns
     kept = Counter(r.doc_id for r in got.collect())
-    assert kept == Counter([3, 5, 7, 8, 11, 12, 13, 14, 15]) - Counter([5] if 5 not in kept else [])  # 9 repeats 5, the row without id repeats 12
-    assert {3, 7, 8, 11, 12, 13, 14, 15} <= set(kept) and 9 not in kept and None not in kept
+    assert kept in (Counter([3, 7, 8, 11, 12, 13, 14, 15]), Counter([3, 5, 7, 8, 11, 12, 13, 14, 15]))  # 9 repeats 5, which may be near 3; the row without id repeats 12
     named = odd_docs.withColumns({"kept": F.lit("own"), "component_id": F.lit(1), "n_shingles": F.lit("x")})
     assert C.drop_near_duplicates(spark, named, SMALL).where("kept = 'own' AND n_shingles = 'x'").count() == sum(kept.values())
     assert C.drop_near_duplicates(spark, no_docs, SMALL).count() == 0
@@ -89,7 +88,7 @@ def test_rows_come_as_often_as_the_mix_takes_them(spark, odd_docs, no_docs):
     named = odd_docs.withColumns({"copies": F.lit("own"), "taken": F.lit(0)})
     got = C.mix_sources(spark, named, SMALL)
     assert got.columns == named.columns and {r.copies for r in got.collect()} == {"own"}
-    want = Counter({k: 0 for k in ()})
+    want = Counter()
     for r in source_mix.mix(odd_docs.select("doc_id", "text", "source")).collect():
         want[r.doc_id, r.source] += r.copies
     assert Counter((r.doc_id, r.source) for r in got.collect()) == +want and C.mix_sources(spark, no_docs, SMALL).count() == 0
