@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from strandkeep.stash import settled, stash  # noqa: F401  the operators take them from here
 
@@ -166,3 +169,29 @@ def sized(df: DataFrame, payload: F.Column | None = None) -> DataFrame:
     """df, marked for broadcast if its rows and bytes allow that."""
     n, size = df.agg(F.count("*"), F.coalesce(F.sum(F.lit(0) if payload is None else payload), F.lit(0))).first()
     return F.broadcast(df) if n <= BROADCAST_ROWS and size + 32 * n <= BROADCAST_BYTES else df
+
+
+def sha256_in_order(rows: DataFrame, key: list[str], order: list[str], piece: str, joiner: str) -> DataFrame:
+    """key, sha256 (lowercase hex) of each key's pieces joined in order. A key's pieces stream through one task, which holds none of them."""
+
+    def digest(batches):
+        import pyarrow as pa
+
+        held = state = None
+        for batch in batches:
+            out = []
+            for k, data in zip(zip(*(batch[c].to_pylist() for c in key)), texts(batch[piece])):
+                if state is None or k != held:
+                    if state is not None:
+                        out.append((*held, state.hexdigest()))
+                    held, state = k, hashlib.sha256(data)
+                else:
+                    state.update(joiner.encode() + data)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [*(batch[c].type for c in key), pa.string()])], names=[*key, "sha256"])
+            types = [batch[c].type for c in key]
+        if state is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*held, state.hexdigest()), [*types, pa.string()])], names=[*key, "sha256"])
+
+    ordered = rows.select(*key, *order, piece).repartition(*key).sortWithinPartitions(*key, *order)
+    return ordered.mapInArrow(digest, StructType([*rows.select(*key).schema.fields, StructField("sha256", StringType())]))
