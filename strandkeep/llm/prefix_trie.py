@@ -127,13 +127,12 @@ def rolled_up(nodes: DataFrame) -> DataFrame:
     while not levels[-1].isEmpty():
         above = levels[-1].select(F.col("conv_id").alias("up"))
         levels.append(common.stash(paths.join(above, "up").select(paths.columns)))
-    total = levels.pop()
-    totals = None
+    totals = total = levels.pop()
     for level in reversed(levels):
         below = total.groupBy(F.col("up").alias("conv_id")).agg(F.sum("saved").alias("more"), F.sum("leaves").alias("ends"))
         total = level.join(below, "conv_id", "left").select("conv_id", "up", "at", (F.col("saved") + F.coalesce("more", F.lit(0))).alias("saved"), (F.col("leaves") + F.coalesce("ends", F.lit(0))).alias("leaves"))
         total = common.stash(total)
-        totals = total if totals is None else totals.unionByName(total)
+        totals = totals.unionByName(total)
     hanging = totals.where("up IS NOT NULL").groupBy(F.col("up").alias("conv_id"), F.col("at").alias("depth")).agg(F.count("*").alias("hung"), F.sum("saved").alias("more"), F.sum("leaves").alias("ends"))
     up = Window.partitionBy("conv_id").orderBy(F.desc("depth"))
     here = nodes.join(hanging, ["conv_id", "depth"], "left").withColumn("last", F.row_number().over(up) == 1)
@@ -173,13 +172,14 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op13_prefix_trie": op13_prefix_trie}
 
-_CRC = """list_reduce(list_transform(range(len(CAST({x} AS VARCHAR))), lambda i: ord(substr(CAST({x} AS VARCHAR), CAST(i + 1 AS BIGINT), 1))::BIGINT),
+#: The CRC32 register of a value in decimal, before its last exclusive or.
+CRC_SQL = """list_reduce(list_transform(range(len(CAST({x} AS VARCHAR))), lambda i: ord(substr(CAST({x} AS VARCHAR), CAST(i + 1 AS BIGINT), 1))::BIGINT),
         lambda c, b: list_reduce(range(8), lambda d, k: xor(d >> 1, 3988292384 * (d & 1)), xor(c, b)), 4294967295::BIGINT)"""
 
 ORACLES = {
     "op13_prefix_trie": f"""WITH RECURSIVE t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
             FROM conversations WHERE conv_id IS NOT NULL),
-        c AS (SELECT conv_id, xor({_CRC.format(x="conv_id")}, 4294967295) % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+        c AS (SELECT conv_id, xor({CRC_SQL.format(x="conv_id")}, 4294967295) % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
         s AS (SELECT c.conv_id, 0 AS part, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND pos <= h UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN t USING (conv_id) WHERE pos > h),
         r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth, role, text FROM s),
         p AS (SELECT conv_id, CAST(0 AS BIGINT) AS depth, sha256('') AS node, CAST(NULL AS VARCHAR) AS parent, CAST(0 AS BIGINT) AS words FROM c

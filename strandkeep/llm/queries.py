@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from strandkeep.llm import decontamination, hilbert_shards, near_dups, nearest, page_text, quality, source_mix, substring_dedup, token_counts, toxicity
+from strandkeep.llm import decontamination, hilbert_shards, near_dups, nearest, page_text, prefix_trie, quality, source_mix, state_model, substring_dedup, token_counts, toxicity, turn_repair
 
-MODULES = (token_counts, substring_dedup, decontamination, near_dups, page_text, source_mix, nearest, quality, hilbert_shards, toxicity)
+MODULES = (token_counts, substring_dedup, decontamination, near_dups, page_text, source_mix, nearest, quality, hilbert_shards, toxicity, state_model, turn_repair, prefix_trie)
 
 
 def queries() -> dict:

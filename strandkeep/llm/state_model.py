@@ -271,6 +271,8 @@ def likelihoods(codes: np.ndarray, n: np.ndarray, m: Model, counts: np.ndarray |
         if t:
             e = emit[codes[p.at[: p.live[t - 1]] + t - 1]]
             previous = stepped[base[t - 1] : base[t - 1] + k] * e[:k]
+            if t % SCALED == 0:
+                previous /= (previous @ one)[:, None]
             moves += ((previous / z).T @ w) * m.move
         else:
             starts += g[p.begins[:k]].sum(0)
