@@ -40,7 +40,7 @@ STAY, APART = 0.95, 0.5
 #: What the counts of the base model are raised by.
 ADDED = 0.1
 #: Bytes of text in a block; tokens that are worked on at a time; tokens after which a text is cut into pieces.
-BLOCK, AT_ONCE, PIECE = 8 << 20, 1 << 20, 1 << 12
+BLOCK, AT_ONCE, PIECE = 6 << 20, 1 << 20, 1 << 11
 #: Steps between two scalings of the forward and backward sums.
 SCALED = 8
 
@@ -74,20 +74,24 @@ def _arrays(values: np.ndarray, starts: np.ndarray) -> pa.Array:
 
 
 def _encoded(batch: pa.Table, block: int) -> pa.RecordBatch:
-    """One block of rows (doc_id, held, text): tokens as places in the block's own dictionary, 0 for the end."""
+    """One block of rows (doc_id, held, text): tokens as places in the block's own dictionary, common words first, 0 for the end; their bytes lie by significance, packed."""
     texts = pc.fill_null(batch["text"].combine_chunks().cast(pa.large_string()), "")
     words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     offsets, flat = words.offsets.to_numpy(), words.values
     real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)  # white space at an edge leaves an empty piece
     counts = np.diff(np.concatenate([[0], np.cumsum(real)])[offsets])
     coded = flat.filter(pa.array(real)).dictionary_encode()
+    places = coded.indices.to_numpy()
+    common_first = np.argsort(-np.bincount(places, minlength=len(coded.dictionary)), kind="stable")
+    rank = np.empty(len(common_first), np.int32)
+    rank[common_first] = np.arange(1, len(rank) + 1)
     n = counts + 1
     ids = np.zeros(int(n.sum()), np.int32)
     inside = np.ones(len(ids), bool)
     inside[np.cumsum(n) - 1] = False
-    ids[inside] = coded.indices.to_numpy() + 1
+    ids[inside] = rank[places]
     taught = np.repeat(~batch["held"].to_numpy(), n)
-    seen = np.bincount(ids[taught], minlength=len(coded.dictionary) + 1)[1:]
+    seen = np.bincount(ids[taught], minlength=len(rank) + 1)[1:]
     one = np.array([0, len(n)])
     several = np.array([0, len(seen)])
     return pa.RecordBatch.from_arrays([
@@ -95,8 +99,8 @@ def _encoded(batch: pa.Table, block: int) -> pa.RecordBatch:
         pa.ListArray.from_arrays(pa.array(one, pa.int32()), batch["doc_id"].combine_chunks()),
         pa.ListArray.from_arrays(pa.array(one, pa.int32()), batch["held"].combine_chunks()),
         _arrays(n.astype(np.int32), one),
-        pa.array([ids.tobytes()], pa.binary()),
-        pa.ListArray.from_arrays(pa.array(several, pa.int32()), coded.dictionary.cast(pa.string())),
+        pa.array([pa.compress(ids.view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)], pa.binary()),
+        pa.ListArray.from_arrays(pa.array(several, pa.int32()), coded.dictionary.take(pa.array(common_first)).cast(pa.string())),
         _arrays(seen.astype(np.int64), several),
     ], names=[x.split()[0] for x in _BLOCKS.split(", ")])
 
@@ -126,22 +130,29 @@ def word_counts(coded: DataFrame) -> DataFrame:
 
 
 def classed(counts: DataFrame) -> DataFrame:
-    """counts with class and inner, the log10 probability of a word in its class."""
+    """counts with class, as a table."""
     spark = counts.sparkSession
     top = [r["word"] for r in counts.orderBy(F.desc("c"), "word").limit(OWN).collect()]
     own = spark.createDataFrame([(w, 2 + k) for k, w in enumerate(top)], "word string, own int")
     data = F.col("word").cast("binary")
     ending = F.substring(data, F.greatest(F.octet_length(data) - ENDING + 1, F.lit(1)), F.lit(ENDING))
     rows = counts.join(F.broadcast(own), "word", "left").withColumn("class", F.coalesce("own", (F.lit(2 + OWN) + F.crc32(ending) % ENDINGS).cast("int")))
-    rows = common.stash(rows.select("word", "c", "class"))
-    sums = rows.groupBy("class").agg(F.sum("c").alias("all"), F.count("*").alias("n"))  # CLASSES rows at most
-    return rows.join(F.broadcast(sums), "class").select("word", "c", "class", F.log10((F.col("c") + ADDED) / (F.col("all") + ADDED * F.col("n"))).alias("inner"))
+    return common.stash(rows.select("word", "c", "class"))
 
 
-def coded(block: DataFrame, words: DataFrame, totals: Totals) -> DataFrame:
+def sizes(words: DataFrame) -> np.ndarray:
+    """Tokens and different words of every class, (class, 2)."""
+    out = np.zeros((CLASSES, 2))
+    for r in words.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():  # a row a class at most
+        out[r["class"]] = r["c"], r["n"]
+    return out
+
+
+def coded(block: DataFrame, words: DataFrame, totals: Totals, size: np.ndarray) -> DataFrame:
     """The blocks with class numbers for tokens, and for each text what needs no states, as a table."""
     need = block.select("block", F.posexplode("words").alias("at", "word"))
-    found = need.join(words, "word").groupBy("block").agg(F.collect_list(F.struct("at", "c", "class", "inner")).alias("found"))
+    found = need.join(words, "word").groupBy("block").agg(F.collect_list(F.struct("at", "c", "class")).alias("found"))
+    found = common.stash(found)  # the shuffles of words are gone when tokens are moved
     rows = block.select("block", "doc_ids", "held", "n", "ids", F.size("words").alias("size")).join(found, "block", "left")
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,15 +160,17 @@ def coded(block: DataFrame, words: DataFrame, totals: Totals) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 x = batch.slice(k, 1)
-                size = x["size"][0].as_py()
-                c, kind, inner = np.zeros(size + 1, np.int64), np.full(size + 1, UNKNOWN, np.uint16), np.zeros(size + 1)
+                c, kind, inner = np.zeros(x["size"][0].as_py() + 1, np.int64), np.full(x["size"][0].as_py() + 1, UNKNOWN, np.uint16), np.zeros(x["size"][0].as_py() + 1)
                 if totals.ends:
                     c[0], kind[0] = totals.ends, END
                 known = x["found"].flatten()
                 if len(known):
                     at = known.field("at").to_numpy() + 1
-                    c[at], kind[at], inner[at] = known.field("c").to_numpy(), known.field("class").to_numpy(), known.field("inner").to_numpy()
-                ids, n = np.frombuffer(x["ids"][0].as_buffer(), np.int32), x["n"].flatten().to_numpy()
+                    c[at], kind[at] = known.field("c").to_numpy(), known.field("class").to_numpy()
+                    inner[at] = np.log10((c[at] + ADDED) / (size[kind[at]] @ (1, ADDED)))
+                n = x["n"].flatten().to_numpy()
+                planes = pa.decompress(x["ids"][0].as_buffer(), 4 * int(n.sum()), "zstd", asbytes=True)
+                ids = np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view(np.int32)[:, 0]
                 first, one = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), np.array([0, len(n)])
                 sums = [np.add.reduceat(v[ids], first) for v in ((c > 0).astype(np.int64), np.log10((c + ADDED) / scale), inner)]
                 yield pa.RecordBatch.from_arrays([x["doc_ids"], x["held"], x["n"], *(_arrays(v, one) for v in sums), pa.array([kind[ids].tobytes()], pa.binary())], names=[y.split()[0] for y in _CODED.split(", ")])
@@ -174,8 +187,8 @@ class _Pieces(NamedTuple):
     text: np.ndarray
     #: Pieces there are at each step.
     live: list[int]
-    #: For the second, third and so on pieces of texts: those pieces and the ones before them.
-    rounds: list[tuple[np.ndarray, np.ndarray]]
+    #: For the second, third and so on pieces of texts: those pieces, the ones before them, and their products.
+    rounds: list[tuple]
 
 
 def _live(size: np.ndarray) -> list[int]:
@@ -206,87 +219,86 @@ def likelihoods(codes: np.ndarray, n: np.ndarray, m: Model, counts: np.ndarray |
     its pieces are run from every state there may be before them, and put together piece after piece. Emissions are
     taken relative to the class's largest, which no expectation depends on, and sums are scaled every SCALED steps.
     """
+    if not len(n):
+        return np.zeros(0)
     p, states = _cut(n), len(m.start)
     most = m.emit.max(1)
-    emit, largest = m.emit / np.where(most > 0, most, 1)[:, None], np.log10(np.where(most > 0, most, 1))
-    total = np.add.reduceat(largest[codes], np.cumsum(n) - n) if len(n) else np.zeros(0)
-    one = np.ones(states)
-    first, rest = np.flatnonzero(p.begins), np.flatnonzero(~p.begins)
-    want = counts is not None
-    stepped = np.empty((len(codes), states)) if want else None  # states before the emission, by step
-    base = np.concatenate([[0], np.cumsum(p.live)]).astype(np.int64)
-
-    def forward(which: np.ndarray, x: np.ndarray, begins: bool, keep: bool) -> tuple[np.ndarray, np.ndarray]:
-        log, at = np.zeros(len(which)), p.at[which]
-        for t, k in enumerate(_live(p.size[which])):
-            y = x[:k] if begins and not t else x[:k] @ m.move
-            if keep:
-                stepped[base[t] + which[:k]] = y
-            np.multiply(y, emit[codes[at[:k] + t]], out=x[:k])
-            if t % SCALED == SCALED - 1:
-                scale = x[:k] @ one
-                x[:k] /= scale[:, None]
-                log[:k] += np.log10(scale)
-        scale = x @ one
-        return x / scale[:, None], log + np.log10(scale)
-
-    # what each piece that goes on with a text makes of every state before it
-    product, logs = np.tile(np.eye(states), (len(p.at), 1, 1)), np.zeros(len(p.at))
-    x, log, at = product[rest], np.zeros(len(rest)), p.at[rest]
-    for t, k in enumerate(_live(p.size[rest])):
-        y = (x[:k].reshape(-1, states) @ m.move).reshape(k, states, states)
-        np.multiply(y, emit[codes[at[:k] + t]][:, None, :], out=x[:k])
+    most[most == 0] = 1
+    total = np.add.reduceat(np.log10(most)[codes], np.cumsum(n) - n)
+    one, base = np.ones(states), np.concatenate([[0], np.cumsum(p.live)]).astype(np.int64)
+    order = np.concatenate([p.at[:k] + t for t, k in enumerate(p.live)])  # tokens by step
+    emit = (m.emit / most[:, None])[codes[order]]
+    enter = _entering(p, base, emit, m)
+    alphas, step = np.empty((len(codes), states)), np.empty((len(p.at), states))
+    scales, log = {}, np.zeros(len(p.at))
+    for t, k in enumerate(p.live):
+        here = alphas[base[t] : base[t + 1]]
+        if t:
+            np.matmul(alphas[base[t - 1] : base[t - 1] + k], m.move, out=step[:k])
+        else:
+            step = np.where(p.begins[:, None], m.start, enter @ m.move)
+        np.multiply(step[:k], emit[base[t] : base[t + 1]], out=here)
         if t % SCALED == SCALED - 1:
-            scale = x[:k].sum((1, 2))
-            x[:k] /= scale[:, None, None]
-            log[:k] += np.log10(scale)
-    product[rest], logs[rest] = x, log
-
-    enter, after = np.zeros((len(p.at), states)), np.zeros((len(p.at), states))
-    after[first], log = forward(first, np.tile(m.start, (len(first), 1)), True, want)
-    total[p.text[first]] += log
-    for now, before in p.rounds:
-        enter[now] = after[before]
-        y = (enter[now][:, None, :] @ product[now])[:, 0, :]
-        scale = y @ one
-        after[now] = y / scale[:, None]
-        total[p.text[now]] += logs[now] + np.log10(scale)
-    if not want:
+            scales[t] = here @ one
+            here /= scales[t][:, None]
+            log[:k] += np.log10(scales[t])
+    last = alphas[base[p.size - 1] + np.arange(len(p.size))]
+    np.add.at(total, p.text, log + np.log10(last @ one))
+    if counts is None:
         return total
-    forward(rest, enter[rest], False, True)
-    beta = np.ones((len(p.at), states))  # of what follows a piece
-    for now, before in reversed(p.rounds):
-        y = (product[now] @ beta[now][:, :, None])[:, :, 0]
+    beta = np.ones((len(p.at), states))  # of what follows, so scaled that with the forward sum it makes one
+    for now, before, product in reversed(p.rounds):
+        y = (product @ beta[now][:, :, None])[:, :, 0]
         beta[before] = y / (y @ one)[:, None]
-    order = np.empty(len(codes), np.int64)
-    back, stop = m.move.T.copy(), len(p.live) - 1
-    e = emit[codes[p.at[: p.live[-1]] + stop]]
-    for t in range(stop, -1, -1):
-        k, g = p.live[t], stepped[base[t] : base[t + 1]]
-        order[base[t] : base[t + 1]] = p.at[:k] + t
-        w = e * beta[:k]
-        g *= w
-        z = (g @ one)[:, None]
-        g /= z
+    beta /= ((last * beta) @ one)[:, None]
+    pairs, back = np.zeros((states, states)), m.move.T.copy()
+    for t in range(len(p.live) - 1, -1, -1):
+        k, here = p.live[t], alphas[base[t] : base[t + 1]]
+        w = emit[base[t] : base[t + 1]] * beta[:k]
+        here *= beta[:k]
+        if t in scales:
+            w /= scales[t][:, None]
         if t:
-            e = emit[codes[p.at[: p.live[t - 1]] + t - 1]]
-            previous = stepped[base[t - 1] : base[t - 1] + k] * e[:k]
-            if t % SCALED == 0:
-                previous /= (previous @ one)[:, None]
-            moves += ((previous / z).T @ w) * m.move
+            pairs += alphas[base[t - 1] : base[t - 1] + k].T @ w
+            np.matmul(w, back, out=beta[:k])
         else:
-            starts += g[p.begins[:k]].sum(0)
-            moves += ((enter[rest] / z[rest]).T @ w[rest]) * m.move
-        y = w @ back
-        if t % SCALED == 0:
-            y /= (y @ one)[:, None]
-        beta[:k] = y
+            starts += here[p.begins].sum(0)
+            pairs += enter[~p.begins].T @ w[~p.begins]
+    moves += pairs * m.move
     kinds = codes[order]
     for s in range(states):
-        counts[:, s] += np.bincount(kinds, stepped[:, s], len(counts))
+        counts[:, s] += np.bincount(kinds, alphas[:, s], len(counts))
     return total
 
 
+def _entering(p: _Pieces, base: np.ndarray, emit: np.ndarray, m: Model) -> np.ndarray:
+    """The states before each piece that goes on with a text; p.rounds gets the pieces' products beside them."""
+    states = len(m.start)
+    enter, after = np.zeros((2, len(p.at), states))
+    if not p.rounds:
+        return enter
+
+    def run(which: np.ndarray, x: np.ndarray, first: bool) -> np.ndarray:
+        """x (piece, any, state) at the pieces' ends, scaled."""
+        for t, k in enumerate(_live(p.size[which])):
+            y = x[:k] if first and not t else (x[:k].reshape(-1, states) @ m.move).reshape(k, -1, states)
+            np.multiply(y, emit[base[t] + which[:k]][:, None, :], out=x[:k])
+            if t % SCALED == SCALED - 1:
+                x[:k] /= x[:k].sum((1, 2))[:, None, None]
+        return x / x.sum((1, 2))[:, None, None]
+
+    rest, head = np.flatnonzero(~p.begins), np.sort(p.rounds[0][1])
+    products = run(rest, np.tile(np.eye(states), (len(rest), 1, 1)), False)
+    after[head] = run(head, np.tile(m.start, (len(head), 1, 1)), True)[:, 0]
+    for k, (now, before) in enumerate(p.rounds):
+        product = products[np.searchsorted(rest, now)]
+        p.rounds[k] = now, before, product
+        enter[now] = after[before]
+        y = (enter[now][:, None, :] @ product)[:, 0, :]
+        after[now] = y / y.sum(1)[:, None]
+    return enter
+
+
 def _slices(n: np.ndarray) -> Iterator[tuple[slice, slice]]:
     """Texts and their tokens, some AT_ONCE tokens at a time."""
     ends = np.cumsum(n)
@@ -364,13 +376,11 @@ def score_language(docs: DataFrame, passes: int = PASSES) -> DataFrame:
     ends = block.select(F.explode("held").alias("h")).where("NOT h").count()
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.count("*").alias("n")).first()
     totals = Totals(total["c"] + ends, total["n"] + (1 if ends else 0), ends)
-    words = common.stash(classed(counts))
-    table = coded(block, words, totals)
-    share = np.zeros(CLASSES)
-    for r in words.groupBy("class").agg(F.sum("c").alias("c")).collect():  # a row a class at most
-        share[r["class"]] = r["c"]
-    share[END] = ends
-    share /= max(1, totals.tokens)
+    words = classed(counts)
+    size = sizes(words)
+    table = common.settled(spark, lambda: coded(block, words, totals, size))
+    share = size[:, 0] / max(1, totals.tokens)
+    share[END] = ends / max(1, totals.tokens)
     model = train(table, share, totals.unknown, passes if totals.tokens else 0)
     if not totals.tokens:
         model.emit[UNKNOWN] = 1.0

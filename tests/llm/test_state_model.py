@@ -130,17 +130,15 @@ def test_the_model_is_a_distribution(spark):
     """The chances of all words, the end and an unknown word add up to one wherever a text may stand: here as its first token."""
     rows = [(k, x) for k, x in enumerate(["a b c a", "b b a", "c d e f", "a a a", "", "e e"] * 12)]
     words = sorted({w for d, x in rows if not held(d) for w in x.split()})
-    extra = [(None, w) for w in words]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    block = S.blocks(docs)
-    counts = S.word_counts(block)
-    inner = {}
-    for r in S.classed(counts).collect():
-        inner.setdefault(r["class"], []).append(10 ** r["inner"])
-    assert all(sum(v) == pytest.approx(1) for v in inner.values()) and len(extra) == len(words) == counts.count()
-    share = np.zeros(S.CLASSES)
-    share[[S.END, *inner]] = 1 / (1 + len(inner))
-    m = S.train(S.coded(block, S.classed(counts), S.Totals(100, 7, 60)), share, 0.01, passes=2)
+    block = S.blocks(spark.createDataFrame(rows, "doc_id long, text string"))
+    words_ = S.classed(S.word_counts(block))
+    size = S.sizes(words_)
+    assert size[:, 1].sum() == len(words) and size[:, 0].sum() == sum(len(x.split()) for d, x in rows if not held(d))
+    for r in words_.collect():
+        assert size[r["class"], 0] == r["c"]  # so few words are classes of their own
+    share = size[:, 0] / (size[:, 0].sum() + 60)
+    share[S.END] = 1 - share.sum()
+    m = S.train(S.coded(block, words_, S.Totals(100, 7, 60), size), share, 0.01, passes=2)
     assert np.allclose(m.emit.sum(0), 1) and np.allclose(m.move.sum(1), 1) and m.start.sum() == pytest.approx(1)
 
 
