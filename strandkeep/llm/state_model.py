@@ -130,9 +130,15 @@ def word_counts(coded: DataFrame) -> DataFrame:
 
 
 def classed(counts: DataFrame) -> DataFrame:
-    """counts with class, as a table."""
+    """counts with class, as a table. The commonest words are looked for above a count that few more than OWN reach, so no task sends many."""
     spark = counts.sparkSession
-    top = [r["word"] for r in counts.orderBy(F.desc("c"), "word").limit(OWN).collect()]
+    level = F.floor(F.log2("c") * 16).cast("int")
+    least, reached = 0, 0
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):  # 1,008 levels at most
+        least, reached = r["level"], reached + r["count"]
+        if reached >= OWN:
+            break
+    top = [r["word"] for r in counts.where(level >= least).orderBy(F.desc("c"), "word").limit(OWN).collect()]
     own = spark.createDataFrame([(w, 2 + k) for k, w in enumerate(top)], "word string, own int")
     data = F.col("word").cast("binary")
     ending = F.substring(data, F.greatest(F.octet_length(data) - ENDING + 1, F.lit(1)), F.lit(ENDING))
