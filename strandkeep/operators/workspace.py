@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandkeep import settings
 from strandkeep.functions import chunking
 from strandkeep.functions.scalars import is_id
 from strandkeep.operators import merge
+from strandkeep.sources.state_log import Change, StateLog
 
 
 def dirty(checkouts: DataFrame) -> DataFrame:
@@ -104,17 +105,20 @@ def read_ref(refs: DataFrame, name: str) -> DataFrame:
     return refs.where((F.col("name") == name) & is_id("head"))
 
 
-def save_refs(refs: DataFrame, path: str) -> None:
-    """Writes refs as one Parquet file beside path and renames it over: a reader sees the old refs or the new ones."""
-    spark = refs.sparkSession
-    fresh = f"{path}.new"
-    refs.coalesce(1).write.mode("overwrite").parquet(fresh)
-    jvm = spark._jvm.org.apache.hadoop.fs
-    new, old = jvm.Path(fresh), jvm.Path(path)
-    system = old.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    system.delete(old, True)
-    if not system.rename(new, old):
-        raise OSError(f"refs could not be renamed to {path}")
+def save_refs(refs: DataFrame, path: str) -> int:
+    """Writes refs as the next version of the log at path, and returns its number: a reader sees the old refs or the new ones, and a crash on the way changes nothing."""
+
+    def work(change: Change) -> None:
+        change.create("refs", REFS)
+        change.replace("refs", refs)
+
+    return StateLog(refs.sparkSession, path).change(work).version
+
+
+def load_refs(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The refs of a version, the newest if none is named; none where nothing was saved."""
+    snapshot = StateLog(spark, path).at(version)
+    return snapshot.read("refs") if "refs" in snapshot.tables() else spark.createDataFrame([], REFS)
 
 
 class Pending(NamedTuple):

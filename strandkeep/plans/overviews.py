@@ -7,8 +7,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandkeep.functions import scalars, structural, textshape
-from strandkeep.operators import gc, merge, policy, server
+from strandkeep.operators import durable, gc, merge, policy, server
 from strandkeep.sources.tables import table
+from strandkeep.stash import scratch
 
 NOW = datetime(2024, 1, 31)
 _FOREIGN = """// build output
@@ -85,8 +86,10 @@ def _touched(spark, folder):
 def _enrolled(spark, folder):
     machines = table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("linux").alias("platform"), F.sha2("c_name", 256).alias("token_hash"), F.lit(datetime(2024, 1, 1)).alias("enrolled_utc"), F.lit(datetime(2024, 1, 1)).alias("last_seen_utc"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("h"), "c_custkey")).alias("head"), F.lit(None).cast("timestamp").alias("head_updated_utc"), F.when(F.col("c_custkey") % 5 == 0, F.lit(datetime(2024, 1, 2))).alias("revoked_utc"))
     joining = table(spark, folder, "supplier").select((F.col("s_suppkey") * 20).alias("id"), F.col("s_name").alias("name"), F.lit("macos").alias("platform"), F.col("s_name").alias("token"))
-    after = server.enrol(machines, joining, F.lit(NOW))
-    after = server.revoke(after, table(spark, folder, "supplier").select((F.col("s_suppkey") * 3).alias("id")), F.lit(NOW))
+    log = durable.opened(spark, scratch(spark, "state"), {"machines": machines})
+    durable.enrol(log, joining, F.lit(NOW))
+    durable.revoke(log, table(spark, folder, "supplier").select((F.col("s_suppkey") * 3).alias("id")), F.lit(NOW))
+    after = log.at().read("machines")
     live = server.authenticate(after, table(spark, folder, "supplier").select(F.col("s_suppkey").alias("request"), F.col("s_name").alias("token")))
     return after.join(live.where("machine_id IS NOT NULL").select(F.col("machine_id").alias("id")).withColumn("known", F.lit(True)), "id", "left").select("id", "name", "platform", "head", F.col("revoked_utc").isNotNull().alias("revoked"), F.coalesce("known", F.lit(False)).alias("known"))
 
@@ -94,7 +97,9 @@ def _enrolled(spark, folder):
 def _moved(spark, folder):
     history = table(spark, folder, "customer").select(F.col("c_custkey").alias("machine_id"), (F.col("c_custkey") % 7).alias("head"), F.lit(datetime(2024, 1, 1)).alias("set_utc"), F.when(F.col("c_custkey") % 4 == 0, F.lit(datetime(2024, 1, 5))).alias("superseded_utc"))
     moves = table(spark, folder, "supplier").select((F.col("s_suppkey") * 2).alias("machine_id"), F.lit(3).cast("long").alias("head"))
-    return server.move_heads(history, moves, F.lit(NOW)).select("machine_id", "head", F.col("set_utc").cast("date").cast("string").alias("set_on"), F.col("superseded_utc").cast("date").cast("string").alias("superseded_on"))
+    log = durable.opened(spark, scratch(spark, "state"), {"history": history})
+    durable.move_heads(log, moves, F.lit(NOW))
+    return log.at().read("history").select("machine_id", "head", F.col("set_utc").cast("date").cast("string").alias("set_on"), F.col("superseded_utc").cast("date").cast("string").alias("superseded_on"))
 
 
 def _topped(spark, folder):

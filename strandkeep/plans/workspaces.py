@@ -1,16 +1,18 @@
 """Queries over checkouts, carried work, refs, merges under way, and state changes applied as a whole."""
 
+from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandkeep import settings
-from strandkeep.operators import gc, merge, server, store, workspace
+from strandkeep.operators import durable, gc, merge, server, store, workspace
 from strandkeep.plans import histories
 from strandkeep.plans.histories import NOW
 from strandkeep.sources import files, versions
 from strandkeep.sources.tables import table
+from strandkeep.stash import scratch, stash
 
 
 def _union(parts) -> DataFrame:
@@ -90,7 +92,12 @@ def _refs(spark, folder):
     refs = workspace.write_ref(server.migrate(None, spark, workspace.REFS), "HEAD", heads[0])
     refs = workspace.write_ref(refs, "REMOTE_HEADS", one.withColumn("head", F.lit("older")))
     refs = workspace.write_ref(refs, "HEAD", heads[1])
+    path = scratch(spark, "refs")
+    workspace.save_refs(refs, path)
+    refs = workspace.load_refs(spark, path)
     refs = workspace.write_ref(refs, "REMOTE_HEADS", one.withColumn("head", F.when(F.col("machine_id").cast("long") % 6 == 0, F.lit("torn")).otherwise(F.col("head"))))
+    workspace.save_refs(refs, path)
+    refs = workspace.load_refs(spark, path)
     return _union(workspace.read_ref(refs, n) for n in ("HEAD", "PUSHED", "REMOTE_HEADS")).select("name", "machine_id", "machine_name", "head")
 
 
@@ -100,20 +107,36 @@ def _migrated(spark, folder):
 
 
 def _committed(spark, folder):
+    """All commits of one each machine through a log of versions, then its newest one."""
     sessions, ids = histories._sessions(spark, folder)
     commits = histories._commits_asked(spark, folder)
     one = commits.groupBy("machine_id").agg(F.min_by(F.struct("session", "snapshot"), "session").alias("x")).select("machine_id", "x.session", "x.snapshot")
-    machines, history = histories._machines(spark, folder), histories._history(spark, folder)
-    done = server.commit_heads(one, machines, history, histories._pins(spark, folder), sessions, ids, histories._objects(spark, folder), F.lit(NOW))
+    before = {"machines": histories._machines(spark, folder), "history": histories._history(spark, folder), "pins": histories._pins(spark, folder), "sessions": sessions, "session_ids": ids, "objects": histories._objects(spark, folder)}
+    log = durable.opened(spark, scratch(spark, "state"), before)
+    durable.commit_heads(log, stash(one), F.lit(NOW))
+    now = log.at()
     return _union([
-        done.machines.select(F.lit("machine").alias("kind"), F.col("id").alias("a"), F.col("head").alias("b")),
-        done.history.select(F.when(F.col("superseded_utc").isNull(), "open").otherwise("closed").alias("kind"), F.col("machine_id").alias("a"), F.col("head").alias("b")),
-        done.pins.select(F.lit("pin").alias("kind"), F.col("head").alias("a"), F.col("object").alias("b")),
-        done.sessions.select(F.lit("session").alias("kind"), F.col("id").alias("a"), F.col("machine_id").alias("b")),
-        done.session_ids.select(F.lit("listed").alias("kind"), F.col("session").alias("a"), F.col("object").alias("b")),
+        now.read("machines").select(F.lit("machine").alias("kind"), F.col("id").alias("a"), F.col("head").alias("b")),
+        now.read("history").select(F.when(F.col("superseded_utc").isNull(), "open").otherwise("closed").alias("kind"), F.col("machine_id").alias("a"), F.col("head").alias("b")),
+        now.read("pins").select(F.lit("pin").alias("kind"), F.col("head").alias("a"), F.col("object").alias("b")),
+        now.read("sessions").select(F.lit("session").alias("kind"), F.col("id").alias("a"), F.col("machine_id").alias("b")),
+        now.read("session_ids").select(F.lit("listed").alias("kind"), F.col("session").alias("a"), F.col("object").alias("b")),
     ])
 
 
+def _versions(spark, folder):
+    """The events' last moves of each type as one version after the other; what every version says of every machine's open head."""
+    moves = table(spark, folder, "events").groupBy("event_type", F.col("user_id").alias("machine_id")).agg(F.max("event_id").alias("head"))
+    moves = stash(moves)
+    history = spark.createDataFrame([], "machine_id long, head long, set_utc timestamp, superseded_utc timestamp")
+    log = durable.opened(spark, scratch(spark, "state"), {"history": history})
+    kinds = [r[0] for r in moves.select("event_type").distinct().orderBy("event_type").collect()]  # a handful
+    for k, kind in enumerate(kinds):
+        durable.move_heads(log, moves.where(F.col("event_type") == kind), F.lit(NOW + timedelta(days=k)))
+    states = [(v, log.at(v).read("history")) for v in log.versions()]
+    return _union(h.where("superseded_utc IS NULL").select(F.lit(v).cast("long").alias("version"), "machine_id", "head") for v, h in states)
+
+
 _STAMPS = [("20240101T000000Z", 7), ("20240124T000000Z", 8), ("20240131T000000Z", 9), ("notes", 10)]
 
 
@@ -129,8 +152,14 @@ def _counts(report: DataFrame, after: gc.State) -> DataFrame:
 
 
 def _collected(spark, folder):
-    state = _state(spark, folder)
-    return _counts(*gc.garbage_collect(state, NOW, apply=True, there=state.objects.where("remote_id % 7 <> 2")))
+    """A collection as one version of a log; a dry run before it makes none."""
+    before = _state(spark, folder)
+    log = durable.opened(spark, scratch(spark, "state"), before._asdict())
+    there = log.at().read("objects").where("remote_id % 7 <> 2")
+    begun = log.latest()
+    durable.collect(log, NOW)
+    done = durable.collect(log, NOW, apply=True, there=there)
+    return _counts(done.result, durable.state(log, begun + 1))
 
 
 def _dry_run(spark, folder):
@@ -205,6 +234,7 @@ QUERIES = {
     "snk8_refs": _refs,
     "snk11_migration": _migrated,
     "sta8_commit_heads": _committed,
+    "sta5_versions": _versions,
     "sta9_collect_garbage": _collected,
     "str8_dry_run": _dry_run,
     "cnt17_merge_compute": _computed,
@@ -262,6 +292,8 @@ ORACLES = {
         UNION ALL SELECT 'open', machine_id, snapshot FROM d WHERE (machine_id, snapshot) NOT IN (SELECT (id, head) FROM m)
         UNION ALL (SELECT 'pin', head, object FROM p UNION SELECT 'pin', snapshot, object FROM d JOIN i USING (session))
         UNION ALL SELECT 'session', id, machine_id FROM s WHERE id NOT IN (SELECT session FROM d) UNION ALL SELECT 'listed', session, object FROM i WHERE session NOT IN (SELECT session FROM d)""",
+    "sta5_versions": """WITH m AS (SELECT event_type, user_id AS machine_id, max(event_id) AS head, dense_rank() OVER (ORDER BY event_type) AS k FROM events GROUP BY 1, 2), v AS (SELECT DISTINCT k FROM m)
+        SELECT v.k AS version, machine_id, arg_max(head, m.k) AS head FROM v JOIN m ON m.k <= v.k GROUP BY 1, 2""",
     "sta9_collect_garbage": f"{_STATE}, {_report_sql('moved', 'true', chr(39) + '20240131T000000Z-2' + chr(39), 1)} " + _tables_sql({
         "machines": "g WHERE superseded_utc IS NULL", "history": "g WHERE superseded_utc IS NULL OR superseded_utc >= TIMESTAMP '2024-01-17'", "pins": "p WHERE head IN (SELECT head FROM heads)",
         "sessions": "s WHERE created_utc >= TIMESTAMP '2024-01-30'", "session_ids": "i JOIN s ON s.id = i.session WHERE created_utc >= TIMESTAMP '2024-01-30'",

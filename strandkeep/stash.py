@@ -32,12 +32,18 @@ def shared_folder(spark: SparkSession) -> str:
 def stash(df: DataFrame) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: lineage is cut, and lost executors lose nothing."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stash-{uuid.uuid4().hex}"
-    _written[-1].append(path)
+    path = scratch(spark, "stash")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, dropped with the tables."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written[-1].append(path)
+    return path
+
+
 def settled(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
     """What build returns, written as a table; the tables written on the way are dropped."""
     _written.append([])

@@ -69,17 +69,6 @@ def test_links_to_directories_are_files_and_not_followed(spark, tmp_path):
     assert files.listed(spark, str(tmp_path / "not there")).count() == 0
 
 
-def test_saved_refs_replace_the_old_ones(spark, tmp_path):
-    from strandkeep.operators import workspace
-
-    path = str(tmp_path / "refs")
-    for head in ("a" * 64, "b" * 64):
-        refs = spark.createDataFrame([("HEAD", None, None, head)], workspace.REFS)
-        workspace.save_refs(refs, path)
-        assert [r.head for r in workspace.read_ref(spark.read.parquet(path), "HEAD").collect()] == [head]
-    assert not (tmp_path / "refs.new").exists()
-
-
 def test_a_snapshot_carries_work_and_repositories(spark):
     from strandkeep.operators import workspace
 
