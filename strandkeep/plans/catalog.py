@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandkeep.plans import contents, diffs, histories, overviews, policies, primitives, snapshots, workspaces
+from strandkeep.plans import contents, diffs, disk, histories, overviews, policies, primitives, snapshots, workspaces
 
-MODULES = (diffs, policies, histories, contents, overviews, snapshots, workspaces, primitives)
+MODULES = (diffs, policies, histories, contents, overviews, snapshots, workspaces, primitives, disk)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

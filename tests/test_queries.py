@@ -78,7 +78,7 @@ def test_corrupt_objects_and_orders_raise(spark):
 
 
 def test_odd_paths_survive_the_manifest(spark):
-    paths = ["with\ttab.txt", "with\nnewline.txt", "with\\backslash.txt", "with\\ttricky.txt", "accentué/été.md", "日本語/ファイル.txt", "emoji-\U0001f9f5.md"]
+    paths = ["col\tumn", "two\nlines.csv", "back\\slash\\twice", "a literal\\t and\\n", "Ωmega/ñandú.rs", "ｆｕｌｌ/ｗｉｄｅ", "night \U0001f319.bin", "\t\n\\"]
     entries = spark.createDataFrame([("s", p, 1, datetime(2024, 1, 1), False, []) for p in paths], "snapshot_id string, path string, size long, modified_utc timestamp, executable boolean, chunks array<string>")
     assert sorted(r.path for r in store.read_manifests(store.write_manifests(entries)).collect()) == sorted(paths)
 
@@ -93,8 +93,8 @@ def test_names_resolve_to_one_machine(spark):
 
 
 def test_case_matters_only_where_told(spark):
-    items = spark.createDataFrame([("README.md", "KeepOurs"), ("readme.md", "Write"), ("other.txt", "KeepOurs"), ("OTHER.txt", "Delete")], "path string, action string")
-    assert {r.path for r in merge.case_collisions(items).collect()} == {"README.md", "readme.md"} and merge.case_collisions(items, False).count() == 0
+    items = spark.createDataFrame([("Makefile", "KeepOurs"), ("makefile", "Write"), ("lib/a", "KeepOurs"), ("LIB/a", "Delete"), ("lib/b", "Write")], "path string, action string")
+    assert {r.path for r in merge.case_collisions(items).collect()} == {"Makefile", "makefile"} and merge.case_collisions(items, False).count() == 0
 
 
 def test_streamed_history_equals_the_batch_one(spark, tiny, tmp_path):
