@@ -131,11 +131,41 @@ def test_a_long_line_of_commits_takes_few_rounds(spark):
     assert found.count() == 70_003 and found.where("node = 30000").first().depth == 1 and found.where("node = 30001").first().depth == 40_001
 
 
-def test_ancestry_equals_a_plain_walk(spark):
+def test_a_history_that_merges_often_takes_few_rounds(spark, monkeypatch):
+    """Every fourth of 100,000 commits merges the one three back, every eighth a side branch too: shortest ways lead through thousands of merges."""
+    n, written = 100_000, []
+    stash = graph.stash
+    monkeypatch.setattr(graph, "stash", lambda df: written.append(1) or stash(df))
+    parents = {k: [k - 1, *([k - 3] if k % 4 == 0 else []), *([n + k] if k % 8 == 0 else [])] for k in range(1, n)} | {n + k: [k - 5] for k in range(8, n, 8)}
+    rows = spark.range(1, n).selectExpr("id AS child", "array(id - 1, IF(id % 4 = 0, id - 3, NULL), IF(id % 8 = 0, id + 100000, NULL)) AS ps")
+    rows = rows.unionByName(spark.range(8, n, 8).selectExpr("id + 100000 AS child", "array(id - 5) AS ps"))
+    edges = rows.select("child", F.posexplode("ps").alias("ordinal", "parent")).where("parent IS NOT NULL")
+
+    def walk(head):
+        depth, queue = {head: 0}, [head]
+        for x in queue:
+            for p in parents.get(x, ()):
+                if p not in depth:
+                    depth[p] = depth[x] + 1
+                    queue.append(p)
+        return depth
+
+    found = graph.closure(edges, spark.createDataFrame([(n - 1, n - 1)], "root long, node long"))
+    assert {r.node: r.depth for r in found.collect()} == walk(n - 1) and len(written) < 25
+    written.clear()
+    asked = [(n - 1, 2 * n - 8), (n + 4000, 4001), (4000, n + 4000), (3, n - 1), (n + 4000, 4000)]
+    got = graph.is_ancestor(edges, spark.createDataFrame(asked, "ancestor long, descendant long")).collect()
+    assert {(r.ancestor, r.descendant): r.is_ancestor for r in got} == {(a, d): a in walk(d) for a, d in asked} and len(written) < 25
+
+
+@pytest.mark.parametrize("block", [2, 5, 512])
+def test_ancestry_equals_a_plain_walk(spark, monkeypatch, block):
     import random
 
-    rng = random.Random(12)
-    for seed in range(3):
+    monkeypatch.setattr(graph, "BLOCK", block)
+    monkeypatch.setattr(graph, "SEARCHES", 3 if block == 5 else 20_000)
+    rng = random.Random(block)
+    for seed in range(1):
         parents = {k: rng.sample(range(k), min(k, rng.choice([1, 1, 1, 2, 3]))) if rng.random() < 0.95 else [] for k in range(1, 60)}
         edges = spark.createDataFrame([(c, p, o) for c, ps in parents.items() for o, p in enumerate(ps)], "child long, parent long, ordinal int")
 
@@ -154,3 +184,5 @@ def test_ancestry_equals_a_plain_walk(spark):
         pairs = [(a, b) for a in heads for b in heads]
         want = {(a, b): next((x for x in walk(b)[1] if x in walk(a)[0]), None) for a, b in pairs}
         assert {(r.ours, r.theirs): r.base for r in graph.merge_bases(edges, spark.createDataFrame(pairs, "ours long, theirs long")).collect()} == want
+        tests = {(r.ancestor, r.descendant): r.is_ancestor for r in graph.is_ancestor(edges, spark.createDataFrame(pairs, "ancestor long, descendant long")).collect()}
+        assert tests == {(a, b): a in walk(b)[0] for a, b in pairs}
