@@ -24,6 +24,8 @@ from strandkeep.stash import stash
 BLOCK = 512
 #: Searches that one task makes in a block; more are dealt to several tasks, each with the block's edges.
 SEARCHES = 20_000
+#: Nodes of a history for each group of blocks that a task works on at a time.
+GROUP = 20_000
 
 
 def heights(edges: DataFrame) -> DataFrame:
@@ -41,15 +43,17 @@ def heights(edges: DataFrame) -> DataFrame:
     return rows.select("node", F.col("to").alias("tree"), F.col("far").alias("height"))
 
 
-def _searched(edges: DataFrame, sources: DataFrame, inside: bool) -> DataFrame:
+def _searched(edges: DataFrame, sources: DataFrame, inside: bool, groups: int) -> DataFrame:
     """root, node, far: the least distances from sources (g, root, node, far) over the edges (g, a, b, w, own) of their block g; inside, to the nodes of the block, else to those that edges lead to out of it.
 
-    Sources of one root in a block are searched from together. A task holds a block's edges and SEARCHES sources.
+    Sources of one root in a block are searched from together. Blocks are dealt to groups, as most are small; no edge that is followed leaves a block. A block with more than SEARCHES
+    sources is searched in several tasks.
     """
     kind = sources.schema["node"].dataType
     lots = sources.groupBy("g").agg(F.ceil(F.count("*") / SEARCHES).cast("int").alias("lots"))
-    mine = sources.join(lots, "g").select("g", F.pmod(F.xxhash64("root"), F.col("lots")).cast("int").alias("lot"), "root", F.lit(None).cast(kind).alias("a"), F.col("node").alias("b"), F.col("far").alias("w"), F.lit(True).alias("own"))
-    theirs = edges.join(lots, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.lit(None).cast(kind).alias("root"), "a", "b", "w", "own")
+    group = F.pmod(F.xxhash64("g"), F.lit(groups)).alias("k")
+    mine = sources.join(lots, "g").select(group, F.pmod(F.xxhash64("root"), F.col("lots")).cast("int").alias("lot"), "root", F.lit(None).cast(kind).alias("a"), F.col("node").alias("b"), F.col("far").alias("w"), F.lit(True).alias("own"))
+    theirs = edges.join(lots, "g").select(group, F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.lit(None).cast(kind).alias("root"), "a", "b", "w", "own")
 
     def search(table: pa.Table) -> pa.Table:
         ahead: dict = {}
@@ -86,7 +90,7 @@ def _searched(edges: DataFrame, sources: DataFrame, inside: bool) -> DataFrame:
         return pa.table([pa.array(roots, table["root"].type), pa.array(nodes, table["b"].type), pa.array(fars, pa.int64())], names=["root", "node", "far"])
 
     schema = StructType([sources.schema["root"], sources.schema["node"]]).add("far", "long")
-    return mine.unionByName(theirs).groupBy("g", "lot").applyInArrow(search, schema)
+    return mine.unionByName(theirs).groupBy("k", "lot").applyInArrow(search, schema)
 
 
 def _least(rows: DataFrame) -> DataFrame:
@@ -100,7 +104,8 @@ class Levels:
         places = heights(edges)
         alone = roots.select("node").distinct().join(places, "node", "left_anti").select("node", F.col("node").alias("tree"), F.lit(0).cast("long").alias("height"))
         self.places = stash(places.unionByName(alone))
-        top = self.places.agg(F.max("height")).first()[0] or 0
+        top, size = self.places.agg(F.coalesce(F.max("height"), F.lit(0)), F.count("*")).first()
+        self.groups = max(size // GROUP, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         self.roots, self.edges, flat = roots, [], edges.select(F.col("child").alias("a"), F.col("parent").alias("b"), F.lit(1).cast("long").alias("w")).distinct()
         self.top, width = 0, 1
         while True:
@@ -109,7 +114,7 @@ class Levels:
             self.edges.append(grouped)
             entries = grouped.where("NOT own").select(F.col("b").alias("node")).unionByName(roots.select("node")).distinct()
             sources = self.placed(entries, self.top).select("g", F.col("node").alias("root"), "node", F.lit(0).cast("long").alias("far"))
-            flat = stash(_least(_searched(grouped, sources, False)).select(F.col("root").alias("a"), F.col("node").alias("b"), F.col("far").alias("w")))
+            flat = stash(_least(_searched(grouped, sources, False, self.groups)).select(F.col("root").alias("a"), F.col("node").alias("b"), F.col("far").alias("w")))
             if width > top:
                 break
         self.flat = flat
@@ -141,7 +146,7 @@ class Levels:
         found = _least(found)
         for level in range(self.top, 0, -1):
             sources = wanted(self.placed(found, level), level)
-            found = stash(_least(_searched(self.edges[level - 1], sources.select("g", "root", "node", "far"), True)))
+            found = stash(_least(_searched(self.edges[level - 1], sources.select("g", "root", "node", "far"), True, self.groups)))
         return found
 
 
