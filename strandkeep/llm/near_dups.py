@@ -1,8 +1,8 @@
 """Near-duplicate documents by SetSketch registers.
 
-A document's set is its distinct word shingles, hashed to 64 bits for sketches. Texts with equal sets (by the
-digests of two such sets, hashed with different seeds: 192 bits) are one class, and one document of it,
-with the smallest doc_id, goes on. Its sketch has REGISTERS registers, each the smallest of the set's
+A document's set is its distinct word shingles, told apart by hashes under two seeds (128 bits). Texts with equal
+sets (by digests of 192 bits of both hashes) are one class, and one document of it, with the smallest doc_id,
+goes on. Its sketch has REGISTERS registers, each the smallest of the set's
 exponentially distributed hash values on an exponential scale, cut off to a fixed range; registers of a
 union are the larger ones, and equal registers are likely in proportion to similarity. Bands of registers
 are hashed, and documents of one band value are compared:
@@ -46,18 +46,40 @@ _NULL_IDS = 1 << 62
 _FACTORS = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_sets(texts: list[bytes], size: int, seed: int = 0) -> list[np.ndarray]:
-    """Sorted distinct hashes of the shingles of each text, A-Z in lower case; fewer words than size are one shingle, none are none."""
-    words, starts = common.hash_words([t.lower() for t in texts], seed)
-    every, out = common.rolling(words, size), []
+def shingle_sets(texts: list[bytes], size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct shingles of each text, A-Z in lower case, as hashes under two seeds, sorted by the first and then the second.
+
+    Fewer words than size are one shingle, none are none. Words made to collide under one seed differ under the other.
+    """
+    lower = [t.lower() for t in texts]
+    (one, starts), (two, _) = (common.hash_words(lower, seed) for seed in (0, 1))
+    every, out = [common.rolling(one, size), common.rolling(two, size)], []
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
         if b - a >= size:
-            out.append(np.unique(every[a : b - size + 1]))
+            out.append(_distinct(*(x[a : b - size + 1] for x in every)))
+        elif b > a:
+            out.append(tuple(common.mixed(common.rolling(x[a:b], b - a) + np.uint64(b - a)) for x in (one, two)))
         else:
-            out.append(common.mixed(common.rolling(words[a:b], b - a) + np.uint64(b - a)) if b > a else np.empty(0, np.uint64))
+            out.append((np.empty(0, np.uint64),) * 2)
     return out
 
 
+def _distinct(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of x and y in order."""
+    order = np.argsort(x)
+    x, y = x[order], y[order]
+    if ((x[1:] == x[:-1]) & (y[1:] != y[:-1])).any():  # a collision under the first seed
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+    new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+    return x[new], y[new]
+
+
+def elements(pair: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """One 64-bit value a shingle for the registers, of its hashes under both seeds."""
+    return common.mixed(pair[0] + pair[1] * np.uint64(0x9E3779B97F4A7C15))
+
+
 def spelled(text: bytes, size: int) -> set[tuple[bytes, ...]]:
     """The shingles themselves."""
     words = text.lower().split()
@@ -129,10 +151,9 @@ def described(docs: DataFrame, size: int) -> DataFrame:
 
     def digested(batches):
         for batch in batches:
-            texts = common.texts(batch.column("text"))
-            one, two = (shingle_sets(texts, size, seed) for seed in (0, 1))
-            digests = [xxhash.xxh3_128_digest(x.tobytes()) + xxhash.xxh3_64_digest(y.tobytes()) for x, y in zip(one, two, strict=True)]
-            yield pa.record_batch([batch.column("doc"), batch.column("t"), pa.array([len(x) for x in one], pa.int64()), pa.array(digests, pa.binary())], ["doc", "t", "n", "s"])
+            sets = shingle_sets(common.texts(batch.column("text")), size)
+            digests = [xxhash.xxh3_128_digest(x.tobytes()) + xxhash.xxh3_64_digest(y.tobytes()) for x, y in sets]
+            yield pa.record_batch([batch.column("doc"), batch.column("t"), pa.array([len(x) for x, _ in sets], pa.int64()), pa.array(digests, pa.binary())], ["doc", "t", "n", "s"])
 
     return docs.select("doc", _digest().alias("t"), "text").mapInArrow(common.lean(digested), "doc long, t binary, n long, s binary")
 
@@ -149,7 +170,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
             texts = common.texts(batch.column("text"))
             sets = shingle_sets(texts, size)
             words = [b" ".join(t.lower().split()) for t in texts]
-            columns = [batch.column("doc"), pa.array(words, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x).tobytes() for x in sets], pa.binary())]
+            columns = [batch.column("doc"), pa.array(words, pa.binary()), pa.array([len(x) for x, _ in sets], pa.int64()), pa.array([sketch(elements(x)).tobytes() for x in sets], pa.binary())]
             yield pa.record_batch(columns, ["doc", "words", "n", "registers"])
 
     return docs.select("doc", "text").mapInArrow(common.lean(built), "doc long, words binary, n long, registers binary")
@@ -231,7 +252,7 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     def banded(batch):
         sets = shingle_sets(common.texts(batch.column("text")), size)
-        registers = np.array([sketch(s) for s in sets]).reshape(-1, REGISTERS)
+        registers = np.array([sketch(elements(s)) for s in sets]).reshape(-1, REGISTERS)
         ids = batch.column("doc").to_numpy()
         text, band = np.repeat(np.arange(len(ids)), BANDS), np.tile(np.arange(BANDS), len(ids))
         return [band_hashes(registers).ravel()], text, band, ids, ids

@@ -142,19 +142,21 @@ def mix(docs: DataFrame, weights=cycle_weights, seed: int = 17, most: float = MO
 
     docs needs doc_id, text, source; other columns stay, but for those of the names above, which are replaced.
     Null text has size 0; documents of size 0 are taken once if their source's whole passes take it. Null
-    sources form one source, ordered last. Of each length the rows with the smallest hashes of doc_id and text go
-    in; of rows equal in both, any so many. So a source is fitted to the row whether its ids are null, repeated
-    or alike. An empty table gives an empty one. weights(k) is the weight of the source with the place k.
+    sources form one source, ordered last. Of each length the rows with the smallest hashes of doc_id, text and
+    other columns go in; of rows equal in all of them, so many. So reruns agree, and a source is fitted to the row
+    whether its ids are null, repeated or alike. An empty table gives an empty one. weights(k) is the weight of the
+    source with the place k.
 
     Histograms are fitted source by source, their rows bounded by the distinct lengths. Counts are pre-aggregated
     per length, hash range and hash, so no task ranks a whole source; equal rows of which only some go in are
     numbered in salted parts.
     """
     docs = docs.drop(*{"size", "source_size", "target", "copies", "taken"} & set(docs.columns))
+    others = [x for f in docs.schema if f.name not in ("doc_id", "text", "source") for x in _hashable(f)]
     keyed = docs.withColumns({
         "__sk": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")),
         "size": common.n_words("text"),
-        "__h": F.xxhash64(F.lit(seed), "doc_id", "text"),
+        "__h": F.xxhash64(F.lit(seed), "doc_id", "text", *others),
     })
     narrow = common.stash(keyed.select("__sk", "size", "__h"))
     n = F.col("__n")
@@ -195,6 +197,12 @@ def mix(docs: DataFrame, weights=cycle_weights, seed: int = 17, most: float = MO
     return out.select(*docs.columns, "size", F.col("__n").alias("source_size"), F.col("__target").alias("target"), "copies", "taken")
 
 
+def _hashable(field) -> tuple[F.Column, F.Column]:
+    """A column as xxhash64 takes it, maps and variants as JSON, and whether it is null, as the hash passes over nulls."""
+    column, kind = F.col(f"`{field.name}`"), field.dataType.simpleString()
+    return F.to_json(F.struct(column)) if "map<" in kind or "variant" in kind else column, column.isNull()
+
+
 def _some(rows: DataFrame, salts: int) -> DataFrame:
     """rows with __more = 1 for __some of each group of equal rows, else 0. The salts are written with the rows, so that counts and numbers see the same ones."""
     keys = ["__sk", "size", "__h"]

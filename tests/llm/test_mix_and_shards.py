@@ -126,6 +126,14 @@ def test_mix_is_fitted_to_the_row(spark, monkeypatch, odd_docs, salted):
     check_mix(odd_docs)
 
 
+def test_mix_takes_the_same_of_rows_that_differ_in_other_columns(spark):
+    rows = [(1, "one two three", "a" if k % 3 else "b", None if k % 2 else str(k), str(k) if k % 2 else None, {"k": k}) for k in range(90)]
+    rows += [(k, " ".join(["w"] * (k % 40)), "c", None, None, None) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, x string, y string, z map<string,long>")
+    got, again = ([(r.x, r.y, r.source, r.taken) for r in M.mix(df.repartition(n)).collect()] for n in (3, 7))
+    assert sorted(got, key=repr) == sorted(again, key=repr) and len({r[3] for r in got if r[2] in "ab"}) > 1
+
+
 def test_curve_is_a_walk_through_all_cells():
     cells = np.arange(1 << 15)
     points = np.stack([(cells >> (5 * k)) & 31 for k in range(3)], axis=1)

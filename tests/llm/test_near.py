@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from strandkeep.llm import common
 from strandkeep.llm import near_dups as N
 from strandkeep.llm.components import connected
 
@@ -128,6 +129,18 @@ def test_words_that_polynomials_take_for_equal(spark):
     assert got == brute(rows, 3, 85) and got[2] == (1, 2)
 
 
+def test_words_that_collide_under_one_seed(spark):
+    rows = [(1, "abcdefghijklmnop p q szb851od;@01k`]5 p q"), (2, "abcdefghijklmnop p q"), (3, "szb851od;@01k`]5 p q"), (4, "abcdefghijklmnop p q abcdefghijklmnop p q")]
+    one = common.hash_words([b"abcdefghijklmnop", b"szb851od;@01k`]5"])[0]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert one[0] == one[1] and got == brute(rows, 3, 85) and got[1][0] == 4 and got[3][1] == 3
+
+
+def test_pairs_are_told_apart_by_both_hashes():
+    x, y = np.array([5, 3, 5, 5, 3], np.uint64), np.array([2, 9, 1, 2, 9], np.uint64)
+    assert [v.tolist() for v in N._distinct(x, y)] == [[3, 5, 5], [9, 1, 2]]
+
+
 def test_links_are_decided_on_the_words(monkeypatch):
     """With sketches that take all texts for equal no unequal texts link."""
     registers = N.sketch(np.arange(1, 50, dtype=np.uint64)).tobytes()
