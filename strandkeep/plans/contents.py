@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandkeep.functions import chunking, crypto, linediff, scalars, textshape
-from strandkeep.operators import secrets, store
+from strandkeep.operators import large_files, secrets, store
 from strandkeep.sources import versions
 from strandkeep.sources.tables import table
 from strandkeep.stash import stash
@@ -42,6 +42,26 @@ def _chunk_sums(spark, folder):
     return files.select("doc_id", "bytes", "in_bounds").join(whole, "doc_id").select("doc_id", "bytes", "in_bounds", F.sha2("content", 256).alias("content_sha256"))
 
 
+def _long_files(spark, folder):
+    """The documents of each source end to end as one file, cut range by range; every document put together again from the chunks it lies in."""
+    pieces = _docs(spark, folder).select(F.col("source").alias("file"), F.col("doc_id").alias("order"), F.encode("text", "utf-8").alias("content"))
+    placed = stash(large_files.offsets(pieces))
+    chunks = stash(large_files.chunk_ranges(large_files.of_pieces(placed, 1 << 18)))
+    span = chunking.MAX_SIZE
+    ends = chunks.groupBy("file").agg(F.max(F.col("offset") + F.col("length")).alias("end"))
+    least = F.when(F.col("offset") + F.col("length") < F.col("end"), chunking.MIN_SIZE).otherwise(1)
+    chunks = chunks.join(ends, "file").withColumn("in_bounds", F.col("length").between(least, span)).drop("end")
+    chunks = chunks.withColumn("span", F.explode(F.expr(f"sequence(offset div {span}, (offset + length - 1) div {span})")))
+    docs = placed.where("octet_length(content) > 0").select("file", F.col("order").alias("doc_id"), F.col("offset").alias("low"), (F.col("offset") + F.octet_length("content")).alias("high"))
+    docs = docs.withColumn("span", F.explode(F.expr(f"sequence(low div {span}, (high - 1) div {span})")))
+    start, stop = F.greatest("low", "offset"), F.least(F.col("high"), F.col("offset") + F.col("length"))
+    shared = docs.join(chunks, ["file", "span"]).where((stop > start) & (F.floor(start / span) == F.col("span")))
+    part = F.substring(F.col("chunk"), (start - F.col("offset") + 1).cast("int"), (stop - start).cast("int"))
+    parts = shared.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(start.alias("start"), part.alias("part")))).alias("parts"), F.bool_and("in_bounds").alias("in_bounds"))
+    text = F.aggregate("parts", F.unhex(F.lit("")), lambda a, x: F.concat(a, x["part"]))
+    return parts.select("doc_id", F.octet_length(text).cast("long").alias("bytes"), F.sha2(text, 256).alias("sha256"), "in_bounds")
+
+
 def _survival(spark, folder):
     """How many chunks outlive a line put in front, in files of the documents of a hundred ids each."""
     text = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]))
@@ -220,6 +240,7 @@ QUERIES = {
     "cnt3_chunks": _chunks,
     "src10_reassembly": _chunk_sums,
     "cnt2_chunk_survival": _survival,
+    "cnt3_long_files": _long_files,
     "snk1_object_put": _put,
     "src5_verified_get": _verified,
     "agg2_fresh_chunks": _fresh,
@@ -256,6 +277,7 @@ _EDITS = f"""(SELECT path, CASE WHEN o = 'ours' || chr(10) || b THEN 0 ELSE {_LI
 _ADDED = f"(SELECT path, CAST(start + i AS INTEGER) AS row, lines[start + i + 1] AS line FROM (SELECT *, unnest(range(0, n)) AS i FROM {_EDITS}))"
 
 ORACLES = {
+    "cnt3_long_files": "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes, sha256(text) AS sha256, true AS in_bounds FROM documents WHERE strlen(text) > 0",
     "src10_reassembly": "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes, true AS in_bounds, sha256(text) AS content_sha256 FROM documents",
     "snk1_object_put": "SELECT DISTINCT sha256(text) AS chunk_id FROM documents WHERE lang <> 'en' EXCEPT SELECT sha256(text) FROM documents WHERE lang = 'en'",
     "src5_verified_get": "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes FROM documents",
