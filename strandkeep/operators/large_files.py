@@ -27,15 +27,22 @@ from strandkeep.stash import stash
 
 #: Bytes of a range on disk and of one put together from rows.
 SPLIT, ROW_SPLIT = 64 << 20, 16 << 20
+#: Tasks at most to read the ranges of a tree.
+TASKS = 20_000
 #: Bytes whose fingerprints are held at a time.
 _STEP = 1 << 17
 
 
 class Ranges(NamedTuple):
-    """file, at (number of the range), offset, length (its own bytes), last, and either content (with what follows) or the folder to read it from."""
+    """file, at (number of the range), offset, length (its own bytes), last, and either content (with what follows) or the folder to read it from, in so many tasks."""
 
     rows: DataFrame
     top: str | None = None
+    tasks: int = 0
+
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """rows dealt evenly to tasks: places on disk are a few bytes each, and would be taken for little work."""
+        return rows.repartition(self.tasks) if self.tasks else rows
 
 
 def of_tree(files: DataFrame, root: str, split: int = SPLIT) -> Ranges:
@@ -44,7 +51,8 @@ def of_tree(files: DataFrame, root: str, split: int = SPLIT) -> Ranges:
     rows = files.where("size > 0").select(F.col("path").alias("file"), "size", starts.alias("at"))
     offset = F.col("at").cast("long") * split
     rows = rows.withColumn("offset", offset).withColumn("length", F.least(F.lit(split), F.col("size") - offset))
-    return Ranges(rows.select("file", "at", "offset", "length", (F.col("offset") + F.col("length") == F.col("size")).alias("last")), mounted(root))
+    rows = stash(rows.select("file", "at", "offset", "length", (F.col("offset") + F.col("length") == F.col("size")).alias("last")))
+    return Ranges(rows, mounted(root), min(TASKS, max(1, rows.count())))
 
 
 def offsets(pieces: DataFrame) -> DataFrame:
@@ -205,7 +213,7 @@ def entries_of(ranges: Ranges) -> DataFrame:
                 entry = int(found[entry if len(found) > 1 else 0])
             yield pa.record_batch([batch["file"], batch["at"], pa.array(out, pa.int64())], ["file", "at", "entry"])
 
-    made = ranges.rows.mapInArrow(tables, "file string, at int, exits binary")
+    made = ranges.dealt(ranges.rows).mapInArrow(tables, "file string, at int, exits binary")
     return made.repartition("file").sortWithinPartitions("file", "at").mapInArrow(folded, "file string, at int, entry long")
 
 
@@ -237,4 +245,4 @@ def chunk_ranges(ranges: Ranges, with_chunks: bool = True) -> DataFrame:
                     at = end
 
     schema = "file string, offset long, length int, chunk_id string" + ", chunk binary" * with_chunks
-    return ranges.rows.join(entries_of(ranges), ["file", "at"]).mapInArrow(cut, schema)
+    return ranges.dealt(ranges.rows.join(entries_of(ranges), ["file", "at"])).mapInArrow(cut, schema)
