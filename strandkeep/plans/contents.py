@@ -201,8 +201,13 @@ def _tokens(spark, folder):
 
 
 def _sizes(spark, folder):
-    n = F.col("l_orderkey") * F.col("l_orderkey") * F.col("l_partkey")
-    return table(spark, folder, "lineitem").select(n.alias("n")).distinct().select("n", scalars.format_bytes("n").alias("shown"))
+    """Numbers of all sizes: a long like SQL's where they all fit one, else decimals, so that none is lost where SQL itself overflows."""
+    a, b = (F.col(c).cast("decimal(19,0)") for c in ("l_orderkey", "l_partkey"))
+    n = (a * a * b).cast("decimal(38,0)")
+    items = table(spark, folder, "lineitem").select(n.alias("n"))
+    if (items.agg(F.max(F.abs("n"))).first()[0] or 0) < 1 << 63:
+        items = items.select(F.col("n").cast("long").alias("n"))
+    return items.distinct().select("n", scalars.format_bytes("n").alias("shown"))
 
 
 def _agos(spark, folder):
