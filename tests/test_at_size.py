@@ -1,6 +1,13 @@
 """What larger tables bring: numbers beyond a long, and work that must not pile up in a worker, a task or on disk."""
 
+import pyarrow as pa
+import pytest
+
 from strandkeep.plans import catalog
+from strandkeep.sources.tables import table
+
+#: Bytes of a batch at most.
+BATCH = 4 << 20
 
 
 def test_sizes_beyond_a_long(spark, tmp_path):
@@ -10,3 +17,23 @@ def test_sizes_beyond_a_long(spark, tmp_path):
     sizes = {k * k * p for k, p in keys}
     assert {int(r.n) for r in got} == sizes and len(got) == len(sizes)
     assert {int(r.n): r.shown for r in got} == {1000: "1000 B", 1_200_000_000: "1.12 GB"} | {n: f"{n / 1024 / 1024 / 1024:.2f} GB" for n in sizes if n > 10**18}
+
+
+def test_python_functions_get_small_batches(spark, tmp_path):
+    """What a worker holds follows from its largest batch: neither the rows of a table nor their length may make that grow."""
+    own = spark.newSession()
+    own.range(6000, numPartitions=1).selectExpr("id AS doc_id", "repeat('line of text\n', IF(id < 3000, 1, 200)) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def seen(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "bytes"])
+
+    got = table(own, str(tmp_path), "documents").mapInArrow(seen, "n long, bytes long").collect()
+    assert sum(r.n for r in got) == 6000 and max(r.n for r in got) <= 1000 and max(r.bytes for r in got) <= 1.5 * BATCH
+
+
+@pytest.mark.parametrize("name", ["cnt13_side_by_side"])
+def test_queries_bound_their_batches(spark, tiny, name):
+    own = spark.newSession()
+    catalog.queries()[name](own, tiny)
+    assert int(own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= BATCH
