@@ -32,7 +32,7 @@ def test_python_functions_get_small_batches(spark, tmp_path):
     assert sum(r.n for r in got) == 6000 and max(r.n for r in got) <= 1000 and max(r.bytes for r in got) <= 1.5 * BATCH
 
 
-@pytest.mark.parametrize("name", ["cnt13_side_by_side", "cnt7_three_way_lines", "src10_reassembly", "cnt5_text_shape"])
+@pytest.mark.parametrize("name", ["cnt13_side_by_side", "cnt7_three_way_lines", "src10_reassembly", "cnt5_text_shape", "cnt23_captured_work"])
 def test_queries_bound_their_batches(spark, tiny, name):
     own = spark.newSession()
     catalog.queries()[name](own, tiny)
