@@ -25,7 +25,8 @@ def _tree_of(spark, folder):
     root = scratch(spark, "tree")
     content = F.encode("text", "utf-8").alias("content")
     working_tree.apply(ours.select("path", content), ours.select("path").limit(0), root)
-    changed = theirs.join(ours.withColumnRenamed("text", "now"), "path", "left").where("now IS NULL OR now <> text")
+    now = ours.select("path", F.sha2("text", 256).alias("now"))  # one side's texts move, not both
+    changed = theirs.join(now, "path", "left").where((F.sha2("text", 256) != F.col("now")) | F.col("now").isNull())
     return root, changed.select("path", content), ours.select("path").join(theirs, "path", "left_anti")
 
 

@@ -43,8 +43,8 @@ def listed(spark: SparkSession, root: str, policy: rules.Policy | None = None) -
     top = "/" + bare.lstrip("/") if root.startswith("file:") else bare
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     front, parts = spark.createDataFrame([("",)], "above string"), []
-    while not front.isEmpty():
-        found = stash(front.repartition(n, "above").mapInArrow(lambda batches: _scanned(top, batches), _LISTED + ", is_dir boolean"))
+    while many := front.count():
+        found = stash(front.repartition(min(n, many), "above").mapInArrow(lambda batches: _scanned(top, batches), _LISTED + ", is_dir boolean"))
         entered = found.where("is_dir")
         if policy is not None:
             entered = entered.withColumn("__verdict", rules.verdict(policy, "path", True))

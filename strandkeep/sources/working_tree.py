@@ -21,8 +21,10 @@ from strandkeep import settings
 from strandkeep.functions.scalars import is_safe_path
 from strandkeep.sources import files
 from strandkeep.sources.object_files import mounted, put_file
+from strandkeep.stash import stash
 
 META = f".{settings.NAMESPACE}"
+_PLAN = "path string, kind string"
 
 
 class Busy(Exception):
@@ -51,16 +53,23 @@ def refusals(writes: DataFrame, deletes: DataFrame, there: DataFrame) -> DataFra
     return bad.unionByName(twice).unionByName(both).distinct()
 
 
-def _linked(top: str, path: str) -> bool:
-    """Whether a directory on the way to path is a link."""
+def _linked(top: str, folder: str) -> bool:
+    """Whether a folder or one above it is a link."""
     at = top
-    for part in path.split("/")[:-1]:
+    for part in folder.split("/"):
         at = os.path.join(at, part)
         if os.path.islink(at):
             return True
     return False
 
 
+def _through_links(plan: DataFrame, top: str) -> list[str]:
+    """Some paths of a plan that lead through a link; each folder is looked at once, whatever it holds."""
+    folders = plan.where(F.contains("path", F.lit("/"))).withColumn("folder", F.regexp_replace("path", "/[^/]*$", ""))
+    bad = _per_path(folders.select(F.col("folder").alias("path")).distinct(), lambda path: _linked(top, path), []).where("done").select(F.col("path").alias("folder"))
+    return [r["path"] for r in folders.join(bad, "folder", "left_semi").select("path").limit(5).collect()]
+
+
 def _per_path(rows: DataFrame, work, columns: list[str]) -> DataFrame:
     """path, done of work(path, *columns) on every row."""
 
@@ -86,14 +95,15 @@ def apply(writes: DataFrame, deletes: DataFrame, root: str) -> Applied:
     decided = False
     try:
         there = files.listed(spark, top).where(~F.startswith("path", F.lit(f"{META}/")))
-        refused = refusals(writes, deletes, there).orderBy("path", "reason").limit(5).collect()
-        links = _per_path(writes.select("path").unionByName(deletes.select("path")), lambda path: _linked(top, path), []).where("done") if not refused else None
-        refused = refused or [(r["path"], "leads through a link") for r in links.limit(5).collect()]
+        writes = stash(writes)  # worked out once: what is checked, staged and written down is the same
+        plan = writes.select("path", F.lit("write").alias("kind")).unionByName(deletes.select("path", F.lit("delete").alias("kind")))
+        plan.write.parquet(f"file://{stage}/plan")
+        plan = spark.read.schema(_PLAN).parquet(f"file://{stage}/plan")
+        refused = refusals(plan.where("kind = 'write'"), plan.where("kind = 'delete'"), there).orderBy("path", "reason").limit(5).collect()
+        refused = refused or [(path, "leads through a link") for path in _through_links(plan, top)]
         if refused:
             raise ValueError("refused: " + "; ".join(f"{path!r} {reason}" for path, reason in refused))
         _staged(writes, os.path.join(stage, "files"))
-        plan = writes.select("path", F.lit("write").alias("kind")).unionByName(deletes.select("path", F.lit("delete").alias("kind")))
-        plan.write.parquet(f"file://{stage}/plan")
         decided = put_file(os.path.join(stage, "decided"), b"")
         return _carried_out(spark, top, stage)
     finally:
@@ -102,13 +112,21 @@ def apply(writes: DataFrame, deletes: DataFrame, root: str) -> Applied:
             os.unlink(lock)
 
 
+def _moved(old: str, new: str) -> None:
+    """Renames; the folder of the new name is made if it is not there."""
+    try:
+        os.replace(old, new)
+    except FileNotFoundError:
+        os.makedirs(os.path.dirname(new), exist_ok=True)
+        os.replace(old, new)
+
+
 def _staged(writes: DataFrame, stage: str) -> None:
     more = [c for c in ("executable", "modified_utc") if c in writes.columns]
 
     def put(path: str, content: bytes, *rest) -> bool:
         known = dict(zip(more, rest))
         at = os.path.join(stage, path)
-        os.makedirs(os.path.dirname(at), exist_ok=True)
         beside = os.path.join(os.path.dirname(stage), uuid.uuid4().hex)
         with open(beside, "wb") as file:
             file.write(content or b"")
@@ -118,7 +136,7 @@ def _staged(writes: DataFrame, stage: str) -> None:
             os.chmod(beside, 0o755)
         if known.get("modified_utc"):
             os.utime(beside, (known["modified_utc"].timestamp(),) * 2)
-        os.replace(beside, at)  # a task that runs twice stages the same once more
+        _moved(beside, at)  # a task that runs twice stages the same once more
         return True
 
     os.makedirs(stage, exist_ok=True)
@@ -127,7 +145,7 @@ def _staged(writes: DataFrame, stage: str) -> None:
 
 def _carried_out(spark: SparkSession, top: str, stage: str) -> Applied:
     """Does what a decided plan says, the deletes first; what is done already is passed over."""
-    plan = spark.read.schema("path string, kind string").parquet(f"file://{stage}/plan")
+    plan = spark.read.schema(_PLAN).parquet(f"file://{stage}/plan")
     gone = plan.where("kind = 'delete'")
 
     def delete(path: str) -> bool:
@@ -139,9 +157,8 @@ def _carried_out(spark: SparkSession, top: str, stage: str) -> Applied:
 
     def move(path: str) -> bool:
         staged, final = os.path.join(stage, "files", path), os.path.join(top, path)
-        os.makedirs(os.path.dirname(final), exist_ok=True)
         try:
-            os.replace(staged, final)
+            _moved(staged, final)
         except FileNotFoundError:
             if not os.path.isfile(final):
                 raise

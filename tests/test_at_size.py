@@ -2,8 +2,10 @@
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from strandkeep.plans import catalog
+from strandkeep.sources import working_tree
 from strandkeep.sources.tables import table
 
 #: Bytes of a batch at most.
@@ -37,3 +39,17 @@ def test_queries_bound_their_batches(spark, tiny, name):
     own = spark.newSession()
     catalog.queries()[name](own, tiny)
     assert int(own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= BATCH
+
+
+def test_a_plan_works_its_contents_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def made(k):
+        seen.add(1)
+        return f"content {k}"
+
+    rows = spark.range(50, numPartitions=4).withColumn("text", F.udf(made)("id")).where("length(text) > 3")
+    writes = rows.select(F.concat(F.lit("a/b"), F.col("id") % 3, F.lit("/"), "id").alias("path"), F.encode("text", "utf-8").alias("content"))
+    assert working_tree.apply(writes, writes.select("path").limit(0), str(tmp_path)) == (50, 0, 0)
+    assert seen.value <= 100  # the filter and the column may call it once each
+    assert (tmp_path / "a/b1/49").read_bytes() == b"content 49"
