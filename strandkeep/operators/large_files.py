@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from strandkeep.functions import chunking
 from strandkeep.functions.chunking import AVG_SIZE, MASK_LARGE, MASK_SMALL, MAX_SIZE, MIN_SIZE, REACH
@@ -29,6 +30,8 @@ from strandkeep.stash import stash
 SPLIT, ROW_SPLIT = 64 << 20, 16 << 20
 #: Tasks at most to read the ranges of a tree.
 TASKS = 20_000
+#: Ranges up to which their entries, some ten bytes each, are sent to the contents; beyond, contents are shuffled to them.
+SENT = 1_000_000
 #: Bytes whose fingerprints are held at a time.
 _STEP = 1 << 17
 
@@ -56,18 +59,32 @@ def of_tree(files: DataFrame, root: str, split: int = SPLIT) -> Ranges:
 
 
 def offsets(pieces: DataFrame) -> DataFrame:
-    """pieces (file, order, content and others) with offset, where each stands in its file when pieces are put end to end by order.
+    """pieces (file, order, content and others) with offset, where each stands in its file when pieces are put end to end by order; pieces of no file are left out.
 
-    Sums run within ranges of (file, order) and then over the ranges, so a file of very many pieces is no task's alone.
+    Sums run within ranges of (file, order) and then over the ranges, so a file of very many pieces is no task's alone. Contents are
+    shuffled and written once; what is returned reads that table.
     """
     n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, at = None, 0
+        for batch in batches:
+            inside = []
+            for file, size in zip(batch["file"].to_pylist(), batch["__bytes"].to_pylist(), strict=True):
+                own, at = file, at if file == own else 0
+                inside.append(at)
+                at += size
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(inside, pa.int64())], names=[*batch.schema.names, "__inside"])
+
     length = F.coalesce(F.octet_length("content"), F.lit(0)).cast("long")
-    held = stash(pieces.repartitionByRange(n, "file", "order").withColumns({"__part": F.spark_partition_id(), "__bytes": length}))
+    ordered = pieces.where("file IS NOT NULL").repartitionByRange(n, "file", "order").withColumns({"__part": F.spark_partition_id(), "__bytes": length}).sortWithinPartitions("file", "order")
+    held = stash(ordered.mapInArrow(summed, StructType([*ordered.schema, StructField("__inside", LongType())])))
     sums = held.groupBy("file", "__part").agg(F.sum("__bytes").alias("__sum"))
     before = F.sum("__sum").over(Window.partitionBy("file").orderBy("__part")) - F.col("__sum")
-    inside = F.sum("__bytes").over(Window.partitionBy("file", "__part").orderBy("order").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__bytes")
-    out = held.withColumn("__inside", inside).join(sums.select("file", "__part", before.alias("__before")), ["file", "__part"])
-    return out.withColumn("offset", F.col("__before") + F.col("__inside")).drop("__part", "__bytes", "__before", "__inside")
+    # only the first file of a partition can have begun before it: a row a partition at most
+    begun = stash(sums.select("file", "__part", before.alias("__before")).where("__before > 0"))
+    out = held.join(F.broadcast(begun), ["file", "__part"], "left").withColumn("offset", F.coalesce("__before", F.lit(0)) + F.col("__inside"))
+    return out.select(*pieces.columns, "offset")
 
 
 def of_pieces(placed: DataFrame, split: int = ROW_SPLIT) -> Ranges:
@@ -245,4 +262,6 @@ def chunk_ranges(ranges: Ranges, with_chunks: bool = True) -> DataFrame:
                     at = end
 
     schema = "file string, offset long, length int, chunk_id string" + ", chunk binary" * with_chunks
-    return ranges.dealt(ranges.rows.join(entries_of(ranges), ["file", "at"])).mapInArrow(cut, schema)
+    entries = stash(entries_of(ranges))
+    entries = F.broadcast(entries) if entries.count() <= SENT else entries
+    return ranges.dealt(ranges.rows.join(entries, ["file", "at"])).mapInArrow(cut, schema)

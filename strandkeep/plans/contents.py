@@ -44,20 +44,19 @@ def _chunk_sums(spark, folder):
 
 def _long_files(spark, folder):
     """The documents of each source end to end as one file, cut range by range; every document put together again from the chunks it lies in."""
-    pieces = _docs(spark, folder).select(F.col("source").alias("file"), F.col("doc_id").alias("order"), F.encode("text", "utf-8").alias("content"))
-    placed = stash(large_files.offsets(pieces))
-    chunks = stash(large_files.chunk_ranges(large_files.of_pieces(placed, 1 << 18)))
+    pieces = _docs(spark, folder).select(F.coalesce("source", F.lit("")).alias("file"), F.col("doc_id").alias("order"), F.encode("text", "utf-8").alias("content"))
+    placed = large_files.offsets(pieces)
+    chunks = large_files.chunk_ranges(large_files.of_pieces(placed, 1 << 18))
     span = chunking.MAX_SIZE
-    ends = chunks.groupBy("file").agg(F.max(F.col("offset") + F.col("length")).alias("end"))
+    ends = placed.groupBy("file").agg(F.max(F.col("offset") + F.octet_length("content")).alias("end"))
     least = F.when(F.col("offset") + F.col("length") < F.col("end"), chunking.MIN_SIZE).otherwise(1)
-    chunks = chunks.join(ends, "file").withColumn("in_bounds", F.col("length").between(least, span)).drop("end")
     chunks = chunks.withColumn("span", F.explode(F.expr(f"sequence(offset div {span}, (offset + length - 1) div {span})")))
     docs = placed.where("octet_length(content) > 0").select("file", F.col("order").alias("doc_id"), F.col("offset").alias("low"), (F.col("offset") + F.octet_length("content")).alias("high"))
-    docs = docs.withColumn("span", F.explode(F.expr(f"sequence(low div {span}, (high - 1) div {span})")))
+    docs = docs.join(ends, "file").withColumn("span", F.explode(F.expr(f"sequence(low div {span}, (high - 1) div {span})")))
     start, stop = F.greatest("low", "offset"), F.least(F.col("high"), F.col("offset") + F.col("length"))
     shared = docs.join(chunks, ["file", "span"]).where((stop > start) & (F.floor(start / span) == F.col("span")))
     part = F.substring(F.col("chunk"), (start - F.col("offset") + 1).cast("int"), (stop - start).cast("int"))
-    parts = shared.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(start.alias("start"), part.alias("part")))).alias("parts"), F.bool_and("in_bounds").alias("in_bounds"))
+    parts = shared.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(start.alias("start"), part.alias("part")))).alias("parts"), F.bool_and(F.col("length").between(least, span)).alias("in_bounds"))
     text = F.aggregate("parts", F.unhex(F.lit("")), lambda a, x: F.concat(a, x["part"]))
     return parts.select("doc_id", F.octet_length(text).cast("long").alias("bytes"), F.sha2(text, 256).alias("sha256"), "in_bounds")
 

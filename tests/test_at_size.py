@@ -4,7 +4,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandkeep.plans import catalog
+from strandkeep.operators import large_files
+from strandkeep.plans import catalog, disk
 from strandkeep.sources import working_tree
 from strandkeep.sources.tables import table
 
@@ -53,3 +54,13 @@ def test_a_plan_works_its_contents_out_once(spark, tmp_path):
     assert working_tree.apply(writes, writes.select("path").limit(0), str(tmp_path)) == (50, 0, 0)
     assert seen.value <= 100  # the filter and the column may call it once each
     assert (tmp_path / "a/b1/49").read_bytes() == b"content 49"
+
+
+def test_contents_of_long_files_move_as_rarely_as_can_be(spark):
+    """Placing pieces shuffles them once, before their table is written; entries come to the contents and not the other way round."""
+    rows = [(f"f{k % 3}", k, b"x" * 1000) for k in range(300)]
+    placed = large_files.offsets(spark.createDataFrame(rows, "file string, order int, content binary").repartition(5))
+    chunks = large_files.chunk_ranges(large_files.of_pieces(placed, 90_000))
+    for df in (placed, chunks):
+        assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {(r.file, r.order): r.offset for r in placed.collect()} == {(f, k): k // 3 * 1000 for f, k, _ in rows}
