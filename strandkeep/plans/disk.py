@@ -13,7 +13,7 @@ def _objects(spark, folder):
     """Every text put three times, by tasks that share no order; who created it, and what is read back."""
     texts = table(spark, folder, "documents").where("text IS NOT NULL").select(F.sha2("text", 256).alias("chunk_id"), F.encode("text", "utf-8").alias("content"))
     root = scratch(spark, "objects")
-    often = texts.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(3)))).repartition(12)
+    often = texts.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(3)))).hint("rebalance")  # dealt out in turn, more tasks for more bytes
     done = stash(object_files.write(often, root)).groupBy("chunk_id").agg(F.count_if("created").alias("created"), F.max("bytes").alias("bytes"))
     content = object_files.read(object_files.listed(spark, root), root).select("chunk_id", F.sha2("content", 256).alias("sha256"))
     return done.join(content, "chunk_id").select("chunk_id", "created", "bytes", "sha256")

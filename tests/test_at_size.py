@@ -64,3 +64,15 @@ def test_contents_of_long_files_move_as_rarely_as_can_be(spark):
     for df in (placed, chunks):
         assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
     assert {(r.file, r.order): r.offset for r in placed.collect()} == {(f, k): k // 3 * 1000 for f, k, _ in rows}
+
+
+def test_objects_are_put_in_as_many_tasks_as_their_bytes_take(spark, tmp_path, monkeypatch):
+    own, tasks, write = spark.newSession(), [], disk.object_files.write
+    own.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+    own.conf.set("spark.sql.shuffle.partitions", "64")
+    text = "array_join(transform(sequence(1, 100), x -> sha2(concat(id, ' ', x), 256)), '')"
+    own.range(400, numPartitions=4).selectExpr("id AS doc_id", f"{text} AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(disk.object_files, "write", lambda rows, root: tasks.append(rows.rdd.getNumPartitions()) or write(rows, root))
+    got = catalog.queries()["snk1_object_files"](own, str(tmp_path)).collect()
+    assert len(got) == 400 and {r.created for r in got} == {1} and all(r.chunk_id == r.sha256 for r in got)
+    assert tasks[0] > 12
