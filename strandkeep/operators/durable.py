@@ -101,7 +101,7 @@ def collect(log: StateLog, now: datetime, windows: gc.Windows = gc.Windows(), ap
     """The garbage collected as one version, or only reported; returns the report as a table. Whatever comes in between is seen or makes it begin again."""
 
     def work(change: Change) -> DataFrame:
-        report, after = gc.garbage_collect(gc.State(*(change.read(name) for name in gc.State._fields)), now, windows, apply, there)
+        report, after = gc.garbage_collect(gc.State(*(change.read(name) for name in gc.State._fields)), now, windows, apply, there, held=True)
         report = stash(report)
         if report.first()["applied"]:
             for name in ("history", "pins", "sessions", "session_ids", "objects", "trash"):

@@ -89,13 +89,14 @@ class State(NamedTuple):
     trash: DataFrame
 
 
-def garbage_collect(state: State, now: datetime, windows: Windows = Windows(), apply: bool = False, there: DataFrame | None = None) -> tuple[DataFrame, State]:
+def garbage_collect(state: State, now: datetime, windows: Windows = Windows(), apply: bool = False, there: DataFrame | None = None, held: bool = False) -> tuple[DataFrame, State]:
     """(report, state after). The report adds applied, stamp (null if nothing moved) and purged_stamps.
 
     A refusal and a dry run change nothing, the trash included. On apply, candidates counts what was moved, of
     those still there (remote_id) at the time of moving, while candidate_bytes stays that of all that were marked.
+    held: the state stands in tables already, so that machines and pins need no copy.
     """
-    machines, pins = stash(state.machines), stash(state.pins)
+    machines, pins = (state.machines, state.pins) if held else (stash(state.machines), stash(state.pins))
     heads = stash(live_heads(machines, state.history, now, windows))
     live = stash(live_objects(pins, heads, state.sessions, state.session_ids, now, windows))
     swept = stash(sweep(state.objects, live, now, windows))

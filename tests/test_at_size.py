@@ -4,9 +4,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandkeep.operators import large_files
+from strandkeep.operators import gc, large_files
 from strandkeep.plans import catalog, disk
 from strandkeep.sources import working_tree
+from strandkeep.sources.state_log import StateLog
 from strandkeep.sources.tables import table
 
 #: Bytes of a batch at most.
@@ -76,3 +77,27 @@ def test_objects_are_put_in_as_many_tasks_as_their_bytes_take(spark, tmp_path, m
     got = catalog.queries()["snk1_object_files"](own, str(tmp_path)).collect()
     assert len(got) == 400 and {r.created for r in got} == {1} and all(r.chunk_id == r.sha256 for r in got)
     assert tasks[0] > 12
+
+
+def test_a_large_bucket_takes_several_tasks(spark, tmp_path):
+    own = spark.newSession()
+    own.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+    log = StateLog(own, f"file://{tmp_path}/log")
+    rows = own.range(40_000, numPartitions=4).selectExpr("id", "sha2(string(id), 256) AS x")
+
+    def work(change):
+        change.create("t", rows.schema, ["id"], 2)
+        change.append("t", rows)
+
+    log.change(work)
+    files = [list(f.glob("*.parquet")) for f in (tmp_path / "log/data/t").glob("*/__bucket=*")]
+    assert len(files) == 2 and min(map(len, files)) > 2
+    assert log.at().read("t").exceptAll(rows).isEmpty() and log.at().read("t").count() == 40_000
+
+
+def test_a_collection_copies_no_table_that_stands(spark, tiny, monkeypatch):
+    """Of the state that a log holds nothing is written again before it has changed; pins are its largest table."""
+    copied, stash = [], gc.stash
+    monkeypatch.setattr(gc, "stash", lambda df: copied.append(set(df.columns)) or stash(df))
+    assert catalog.queries()["sta9_collect_garbage"](spark, tiny).count() > 0
+    assert copied and {"head", "object"} not in copied
