@@ -1,5 +1,6 @@
 """What larger tables bring: numbers beyond a long, and work that must not pile up in a worker, a task or on disk."""
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -36,6 +37,19 @@ def test_python_functions_get_small_batches(spark, tmp_path):
     assert sum(r.n for r in got) == 6000 and max(r.n for r in got) <= 1000 and max(r.bytes for r in got) <= 1.5 * BATCH
 
 
+def test_pandas_functions_get_small_batches(spark, tmp_path):
+    """As the named queries call them: ten times as much text as a batch holds must not come at once."""
+    own = spark.newSession()
+    own.range(400, numPartitions=1).selectExpr("id AS doc_id", "repeat('line of text\n', 8000) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+
+    @F.pandas_udf("long")
+    def seen(texts: pd.Series) -> pd.Series:
+        return pd.Series([int(texts.str.len().sum())] * len(texts))
+
+    got = [r.n for r in table(own, str(tmp_path), "documents").select(seen("text").alias("n")).collect()]
+    assert len(got) == 400 and max(got) <= 1.5 * BATCH
+
+
 @pytest.mark.parametrize("name", ["cnt13_side_by_side", "cnt7_three_way_lines", "src10_reassembly", "cnt5_text_shape", "cnt23_captured_work"])
 def test_queries_bound_their_batches(spark, tiny, name):
     own = spark.newSession()
