@@ -175,7 +175,8 @@ def capture(patches: DataFrame) -> Captured:
     there = patches.where(F.col("base_commit").isNotNull() & (F.octet_length("patch") > 0))
     pieces = chunking.chunk(there.select("path", F.col("patch").alias("content")))
     lists = pieces.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "chunk_id"))), lambda x: x["chunk_id"]).alias("patch_chunks"))
-    rows = there.join(lists, "path").select("path", "base_commit", F.coalesce("branch", F.lit("")).alias("branch"), "patch_chunks", F.octet_length("patch").cast("long").alias("patch_bytes"), "changed_files", "staged_files")
+    sized = there.select("path", "base_commit", F.coalesce("branch", F.lit("")).alias("branch"), F.octet_length("patch").cast("long").alias("patch_bytes"), "changed_files", "staged_files")  # the patches themselves stay where they are
+    rows = sized.join(lists, "path").select("path", "base_commit", "branch", "patch_chunks", "patch_bytes", "changed_files", "staged_files")
     return Captured(rows, pieces.select("chunk_id", F.col("chunk").alias("content")).dropDuplicates(["chunk_id"]))
 
 

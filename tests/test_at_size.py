@@ -1,11 +1,15 @@
 """What larger tables bring: numbers beyond a long, and work that must not pile up in a worker, a task or on disk."""
 
+import random
+import tracemalloc
+
 import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandkeep.operators import gc, large_files
+from strandkeep.functions import chunking
+from strandkeep.operators import gc, large_files, workspace
 from strandkeep.plans import catalog, disk
 from strandkeep.sources import working_tree
 from strandkeep.sources.state_log import StateLog
@@ -57,6 +61,38 @@ def test_queries_bound_their_batches(spark, tiny, name):
     assert int(own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= BATCH
 
 
+def test_a_long_patch_takes_no_multiple_of_its_length(monkeypatch):
+    """Cuts are found a block of fingerprints at a time, and are those of all fingerprints at once."""
+    data = random.Random(7).randbytes(16 << 20)
+    chunking.gear()
+    tracemalloc.start()
+    try:
+        ends = chunking.cuts(data)
+        assert tracemalloc.get_traced_memory()[1] < len(data)
+    finally:
+        tracemalloc.stop()
+    assert ends[-1] == len(data) and max(b - a for a, b in zip([0, *ends], ends, strict=False)) <= chunking.MAX_SIZE
+    short = data[: 600 << 10]
+    last = len(short) - chunking.MAX_SIZE  # up to there what follows moves no cut
+    for block in (len(short), 4099, chunking.REACH):
+        monkeypatch.setattr(chunking, "BLOCK", block)
+        assert [x for x in chunking.cuts(short) if x < last] == [x for x in ends if x < last]
+
+
+def test_carried_patches_are_in_no_join(spark):
+    """Their length is what a carried row has; a join with the chunk lists must not shuffle all patches for it."""
+    rows = spark.range(20).selectExpr("string(id) AS path", "'c' AS base_commit", "'b' AS branch", "encode(repeat('x', int(id)), 'utf-8') AS patch", "1 AS changed_files", "1 AS staged_files")
+    carried = workspace.capture(rows).carried
+
+    def joins(node):
+        below = [node.children().apply(k) for k in range(node.children().size())]
+        return [x.schema().simpleString() for x in below if node.nodeName() == "Join"] + [s for x in below for s in joins(x)]
+
+    sides = joins(carried._jdf.queryExecution().optimizedPlan())
+    assert len(sides) == 2 and not any("binary" in s for s in sides)
+    assert {(r.path, r.patch_bytes) for r in carried.collect()} == {(str(k), k) for k in range(1, 20)}
+
+
 def test_a_plan_works_its_contents_out_once(spark, tmp_path):
     seen = spark.sparkContext.accumulator(0)
 
